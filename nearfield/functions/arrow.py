@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
@@ -39,7 +38,7 @@ def arrow_function(return_type: str) -> Callable:
                 result = fn(*[array.filter(kept) for array in arrays])
                 return result.take(pa.array(np.cumsum(valid) - 1, mask=~valid))
 
-            return F.arrow_udf(evaluate, return_type, ArrowUDFType.SCALAR)(*columns)
+            return F.arrow_udf(evaluate, return_type)(*columns)
 
         column_function.__doc__ = fn.__doc__
         column_function.__name__ = fn.__name__

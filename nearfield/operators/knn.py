@@ -309,6 +309,7 @@ def rank_nearest(
     return (
         partial.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
+        .withColumn("rank", F.col("rank").cast("long"))
         .withColumn("score", score)
         .drop("__key")
     )
@@ -358,9 +359,32 @@ def neighbour_lists(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
-def filter_rate_base(base: DataFrame, rate: float, total: int) -> DataFrame:
-    """The rows that pass a filter rate: ``1 - rate`` of them, the highest contiguous ids."""
-    return base.where(F.col("id") >= F.floor(F.lit(rate) * F.lit(total)))
+def nearest_by_filter_rate(
+    queries: DataFrame, base: DataFrame, rates: Sequence[float], k: int,
+    metric: str = EUCLIDEAN, **sizes: int,
+) -> DataFrame:
+    """The k nearest rows at every filter rate: ``(filter_rate, qid, id, rank, score)``.
+
+    Rate r lets ``1 - r`` of the rows pass, those with the highest of the contiguous ids. All
+    rates share one pass over the base, as ranges of the id.
+    """
+    total = base.count()
+    options = F.array(*[
+        F.struct(F.lit(float(r)).alias("rate"), F.floor(F.lit(float(r)) * total).alias("from"))
+        for r in rates
+    ])
+    asked = queries.select("qid", "emb", F.explode(options).alias("o")).select(
+        "qid", "emb", F.col("o.rate").alias("filter_rate"), F.col("o.from").alias("__low"),
+        F.lit(total).cast("long").alias("__high"),
+    )
+    rows = base.select("id", "emb", F.col("id").alias("__id"))
+    partial = nearest_partial(
+        asked, rows, k, metric, within=Range("__id", "__low", "__high"), tags=("filter_rate",),
+        **sizes,
+    )
+    return rank_nearest(partial, k, metric, ("filter_rate", "qid")).select(
+        "filter_rate", "qid", "id", "rank", "score"
+    )
 
 
 def all_ground_truths(

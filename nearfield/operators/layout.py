@@ -33,6 +33,22 @@ def plan_layout(
     return Layout(rows, full + (1 if remainder else 0), full, remainder)
 
 
+def layout_columns(
+    total_bytes: Column, total_rows: Column, limit_bytes: float, margin: float = 1.0,
+    group_rows: int = ROW_GROUP,
+) -> Column:
+    """:func:`plan_layout` for a table of tables, as a struct column."""
+    per_row = total_bytes / total_rows.cast("double")
+    fitting = F.floor(F.lit(limit_bytes * margin) / per_row)
+    rows = (F.greatest(F.lit(1), F.floor(fitting / F.lit(group_rows))) * group_rows).cast("long")
+    return F.struct(
+        rows.alias("rows_per_file"),
+        F.ceil(total_rows / rows).cast("long").alias("files"),
+        F.floor(total_rows / rows).cast("long").alias("full_files"),
+        (total_rows % rows).alias("remainder"),
+    )
+
+
 def stored_size(df: DataFrame) -> DataFrame:
     """One row: files, bytes and rows of a table read from files."""
     files = df.select("_metadata.file_path", "_metadata.file_size")

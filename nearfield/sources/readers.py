@@ -26,24 +26,41 @@ def read_vectors(
     )
 
 
+_SHARD = r"/(?:shuffle_)?train-(\d+)-of-\d+\.parquet"
+
+
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbered shards with ``shard`` (file name) and ``shard_row``, which give their order.
+    """Numbered shards, each a file or a folder of files, with ``shard_no`` and ``position``.
 
-    Shuffled shards are preferred when a folder has both kinds.
+    ``position`` numbers the rows over all shards in order: a row's place in its file plus the
+    rows of the files before it (one count per file). Shuffled shards are preferred when a folder
+    has both kinds.
     """
     for pattern in ("shuffle_train-*-of-*.parquet", "train-*-of-*.parquet"):
         try:
             found = spark.read.parquet(f"{folder}/{pattern}")
+            break
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            continue
-        return found.select(
-            "*",
-            F.col("_metadata.file_name").alias("shard"),
-            F.col("_metadata.row_index").alias("shard_row"),
-        )
-    raise FileNotFoundError(f"no train shards in {folder}")
+    else:
+        raise FileNotFoundError(f"no train shards in {folder}")
+    path = F.col("_metadata.file_path")
+    rows = found.select(
+        "*",
+        F.regexp_extract(path, _SHARD, 1).cast("int").alias("shard_no"),
+        path.alias("__file"),
+        F.col("_metadata.row_index").alias("__row"),
+    )
+    per_file = rows.groupBy("shard_no", "__file").agg((F.max("__row") + 1).alias("n"))
+    offsets, at = [], 0
+    for file in per_file.orderBy("shard_no", "__file").collect():
+        offsets.append((file["__file"], at))
+        at += file["n"]
+    table = spark.createDataFrame(offsets, "__file string, __offset long")
+    return rows.join(F.broadcast(table), "__file").select(
+        *found.columns, "shard_no", (F.col("__offset") + F.col("__row")).alias("position")
+    )
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -177,8 +194,9 @@ def read_results(spark: SparkSession, *folders: str) -> DataFrame:
     out = None
     for folder in folders:
         reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
+        found = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
         try:
-            part = reader.json(f"{folder}/*.json")
+            part = found.json(folder)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
