@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,9 @@ def train_lists(
         kept = math.ceil(training_rows / total * scale)
         rows = rows.where(hash_draw(seed, F.col("id"), F.lit(scale)) < kept)
     vectors = rows.select(array_to_vector("emb").alias("features"))
+    if lists == 1:
+        mean = vectors.select(Summarizer.mean(F.col("features")).alias("mean")).first()["mean"]
+        return spark.createDataFrame([(0, mean.toArray().tolist())], "list_id int, emb array<double>")
     model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(vectors)
     centres = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
     return spark.createDataFrame(centres, "list_id int, emb array<double>")
@@ -154,7 +158,7 @@ def local_lists(
     """
     ship_package(base.sparkSession)
 
-    def fit(key, table: pa.Table) -> pa.Table:
+    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = key[0].as_py()
         ids, centres, owner = _local_fit(block, table, rows_per_list, seed, iterations)
         names = np.array([f"{block}:{i}" for i in range(len(centres))])

@@ -104,8 +104,8 @@ def bootstrap_median(
         _middle_cells(resampled.drop("group_start"), names), "cells"
     )
     ranks = _middle_ranks(cells, names).join(starts, names)
-    ends = F.explode(F.array("low_rank", "high_rank"))
-    wanted = ranks.select(*names, "replicate", (F.col("group_start") + ends).alias("position"))
+    middle = F.array(F.col("group_start") + F.col("low_rank"), F.col("group_start") + F.col("high_rank"))
+    wanted = ranks.select(*names, "replicate", F.explode(middle).alias("position"))
     stat = (
         values_at(ordered, wanted, "position")
         .groupBy(*names, "replicate")

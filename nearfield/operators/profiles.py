@@ -20,43 +20,49 @@ def _root_type(levels: int) -> str:
     return f"{head}, operator_name string, operator_timing double, children array<{_node_type(levels)}>"
 
 
-def parse_profiles(df: DataFrame, text: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """Parse profile JSON into ``__tree``; nothing deeper than ``depth`` is dropped unseen."""
-    return df.withColumn("__tree", F.from_json(text, _root_type(depth)))
+_NODE = "array<struct<path:array<int>,name:string,timing:double>>"
 
 
-def profile_nodes(df: DataFrame, text: str, keys: Sequence[str], depth: int = MAX_DEPTH) -> DataFrame:
+def profile_nodes(
+    df: DataFrame, text: str, keys: Sequence[str], depth: int = MAX_DEPTH,
+    facts: Sequence[str] = (),
+) -> DataFrame:
     """One row per tree node: keys, ``path`` (positions from the root), name and timing.
 
-    Paths compare in pre-order. A tree deeper than ``depth`` fails.
+    Paths compare in pre-order. ``facts`` are root fields repeated on every node. The text is
+    parsed once and its levels are unfolded one after the other; a tree deeper than ``depth``
+    fails instead of losing nodes.
     """
     tree = F.col("__tree")
+    rows = df.select(*keys, F.from_json(text, _root_type(depth)).alias("__tree"))
     root = F.struct(
         F.array().cast("array<int>").alias("path"),
         tree["operator_name"].alias("name"),
         tree["operator_timing"].alias("timing"),
     )
+    none = F.array().cast(f"array<{_node_type(depth)}>")
+    rows = rows.withColumn("__at0", F.transform(
+        F.coalesce(tree["children"], none),
+        lambda c, i: F.struct(F.array(i).alias("path"), c.alias("node")),
+    ))
     levels = [F.array(root)]
-    below = F.transform(
-        tree["children"], lambda c, i: F.struct(F.array(i).alias("path"), c.alias("node"))
-    )
     for level in range(depth + 1):
-        levels.append(F.transform(below, lambda n: F.struct(
+        at = F.col(f"__at{level}")
+        levels.append(F.transform(at, lambda n: F.struct(
             n["path"].alias("path"), n["node"]["operator_name"].alias("name"),
             n["node"]["operator_timing"].alias("timing"))))
         if level < depth:
-            below = F.flatten(F.transform(below, _expander(depth - level - 1)))
-    too_deep = F.exists(below, lambda n: F.coalesce(n["node"]["children"], F.lit("[]")) != "[]")
-    nodes = F.concat(*[F.coalesce(x, F.array().cast(
-        "array<struct<path:array<int>,name:string,timing:double>>")) for x in levels])
-    parsed = parse_profiles(df, text, depth)
-    checked = F.when(
-        F.coalesce(too_deep, F.lit(False)),
-        F.raise_error(F.lit(f"profile tree deeper than {depth + 1} levels")).cast(
-            "array<struct<path:array<int>,name:string,timing:double>>"),
-    ).otherwise(nodes)
-    return parsed.select(*keys, F.explode(checked).alias("n")).select(
-        *keys, "n.path", F.trim("n.name").alias("name"),
+            below = F.flatten(F.transform(at, _expander(depth - level - 1)))
+            rows = rows.withColumn(f"__at{level + 1}", below)
+    too_deep = F.exists(
+        f"__at{depth}", lambda n: F.coalesce(n["node"]["children"], F.lit("[]")) != "[]"
+    )
+    message = F.lit(f"profile tree deeper than {depth + 1} levels")
+    nodes = F.when(too_deep, F.raise_error(message).cast(_NODE)).otherwise(F.concat(*levels))
+    return rows.select(
+        *keys, *[tree[f].alias(f) for f in facts], F.explode(nodes).alias("n")
+    ).select(
+        *keys, *facts, "n.path", F.trim("n.name").alias("name"),
         F.coalesce("n.timing", F.lit(0.0)).alias("timing"),
     )
 
@@ -79,7 +85,8 @@ def profile_rollup(
 ) -> DataFrame:
     """Per profile: first index scan and sequential scan in pre-order, time outside them, planning
     time, and what is left of the latency for the index scan (never negative)."""
-    nodes = profile_nodes(df, text, keys, depth)
+    phases = ["all_optimizers", "planner", "physical_planner"]
+    nodes = profile_nodes(df, text, keys, depth, ["latency", *phases])
 
     def first(names: Sequence[str]) -> Column:
         hit = F.col("name").isin(list(names))
@@ -89,23 +96,14 @@ def profile_rollup(
         skip = F.coalesce(F.col("name").isin(list(names)), F.lit(False))
         return F.sum(F.when(skip, 0.0).otherwise(F.col("timing")))
 
+    planning = sum((F.coalesce(F.max(p), F.lit(0.0)) for p in phases), F.lit(0.0))
     sums = nodes.groupBy(*keys).agg(
         F.count("*").alias("nodes"),
         first(index_scans).alias("index_scan"),
         first(sequential_scans).alias("sequential_scan"),
-        outside(index_scans).alias("__not_index"),
         outside([*index_scans, *sequential_scans]).alias("other_operators"),
+        planning.alias("planning"),
+        (F.max("latency") - outside(index_scans)).alias("__left"),
     )
-    tree = F.col("__tree")
-    planning = (
-        F.coalesce(tree["all_optimizers"], F.lit(0.0)) + F.coalesce(tree["planner"], F.lit(0.0))
-        + F.coalesce(tree["physical_planner"], F.lit(0.0))
-    )
-    heads = parse_profiles(df, text, depth).select(
-        *keys, planning.alias("planning"), tree["latency"].alias("latency")
-    )
-    left = F.col("latency") - F.col("planning") - F.col("__not_index")
-    return sums.join(heads, list(keys)).select(
-        *keys, "nodes", "index_scan", "sequential_scan", "other_operators", "planning",
-        F.greatest(F.lit(0.0), left).alias("index_scan_residual"),
-    )
+    residual = F.greatest(F.lit(0.0), F.col("__left") - F.col("planning"))
+    return sums.withColumn("index_scan_residual", residual).drop("__left")

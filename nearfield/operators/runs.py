@@ -163,7 +163,7 @@ def recall_curve(
 ) -> DataFrame:
     """The points of every recall / throughput curve with their place along it."""
     points = df.select(*groups, recall, rate, id_col)
-    return rank_within(points, groups, [recall, id_col], "point")
+    return rank_within(points, groups, [recall, id_col, rate], "point")
 
 
 def curve_lists(curve: DataFrame, groups: Sequence[str], recall: str, rate: str) -> DataFrame:

@@ -718,17 +718,17 @@ def row_groups(spark, sf):
 
 
 @query("SK2_layout", """
-WITH t AS (SELECT p_partkey, 1000 * (p_partkey + 1) AS rows, floor(4000000 * p_retailprice)::BIGINT * (p_partkey + 1) AS bytes FROM part),
-f AS (SELECT *, greatest(1, ((5 * 1073741824::BIGINT * 0.9::DOUBLE / (bytes / rows::DOUBLE))::DOUBLE) // (122880::DOUBLE)) AS g FROM t)
-SELECT p_partkey, (g * 122880)::BIGINT AS rows_per_file, (rows // (g * 122880))::BIGINT AS full_files,
+WITH t AS (SELECT p_partkey, 10000 * (p_partkey + 1) AS rows, floor(40 * p_retailprice)::BIGINT * 10000 * (p_partkey + 1) AS bytes FROM part),
+f AS (SELECT *, greatest(1, floor(floor(5 * 1073741824::BIGINT * 0.9::DOUBLE / (bytes / rows::DOUBLE)) / 122880::DOUBLE)) AS g FROM t)
+SELECT p_partkey, (g * 122880)::BIGINT AS rows_per_file, floor(rows / (g * 122880)::DOUBLE)::BIGINT AS full_files,
        (rows % (g * 122880)::BIGINT)::BIGINT AS remainder,
        ceil(rows / (g * 122880)::DOUBLE)::BIGINT AS files FROM f
 """)
 def layouts(spark, sf):
     key = F.col("p_partkey")
     parts = table(spark, sf, "part").select(
-        "p_partkey", ((key + 1) * 1000).alias("rows"),
-        (F.floor(F.col("p_retailprice") * 4000000) * (key + 1)).alias("bytes"),
+        "p_partkey", ((key + 1) * 10000).alias("rows"),
+        (F.floor(F.col("p_retailprice") * 40) * 10000 * (key + 1)).alias("bytes"),
     )
     plan = layout_columns(F.col("bytes"), F.col("rows"), 5 * 1024**3, 0.9)
     return parts.withColumn("l", plan).select("p_partkey", "l.*")
