@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 12
+MAX_DEPTH = 8
 
 
 def _node_type(levels: int) -> str:

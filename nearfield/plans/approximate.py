@@ -30,7 +30,7 @@ from nearfield.operators.quantize import (
     dequantise,
 )
 from nearfield.operators.reduce import fit_projection, reduce_jointly
-from nearfield.plans.inputs import DIM, base, knn_oracle, queries, rounded, table
+from nearfield.plans.inputs import BASE_SQL, DIM, QUERIES_SQL, base, knn_oracle, queries, rounded, table
 from nearfield.plans.registry import query
 from nearfield.session import materialize, scratch_path
 
@@ -184,7 +184,18 @@ def reranked_all(spark, sf):
     return rounded(nearest_reranked(asked, rows, K, 10 * K), "score")
 
 
-@query("KN14_reranked")
+@query("KN14_reranked", f"""
+WITH e AS (SELECT vec_id AS id, i, {_X} AS x FROM embeddings, range(1, {DIM + 1}) t(i)),
+lim AS (SELECT min(x) AS lo, max(x) AS hi FROM e),
+c AS (SELECT id, list(greatest(0, least(255, round_even((x - lo) / (hi - lo) * 255, 0))) ORDER BY i)::DOUBLE[{DIM}] AS code
+      FROM e, lim GROUP BY id),
+f AS (SELECT q.id AS qid, c.id,
+             row_number() OVER (PARTITION BY q.id ORDER BY array_distance(q.code, c.code), c.id) AS place FROM c q, c),
+x AS (SELECT f.qid, f.id, array_distance(q.emb, b.emb) AS d FROM f
+      JOIN ({QUERIES_SQL}) q USING (qid) JOIN ({BASE_SQL}) b ON b.id = f.id WHERE f.place <= {2 * K}),
+r AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM x)
+SELECT qid, id, rank, round(d, 6) AS score FROM r WHERE rank <= {K}
+""")
 def reranked(spark, sf):
     rows = base(spark, sf).select("id", "emb")
     asked = queries(spark, sf).select("qid", "emb")
