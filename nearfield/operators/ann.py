@@ -7,18 +7,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions.hashing import hash_draw
+from nearfield.functions.hashing import hash_draw, shuffle_key
 from nearfield.operators.kernels import EUCLIDEAN, VectorBlock, as_list_column, as_matrix, nearest_row
 from nearfield.operators.knn import nearest, nearest_partial, rank_nearest
 from nearfield.operators.metrics import recall_by_rank
+from nearfield.operators.numbering import number_rows
 from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, ship_package
 
 # Rows per list for tables up to a million rows, and for the finer variant.
@@ -47,25 +46,68 @@ def list_count_column(rows: Column) -> Column:
 def train_lists(
     base: DataFrame, lists: int, *, seed: int = 0, iterations: int = 10,
     training_rows: int | None = None, total: int | None = None,
+    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Centroids ``(list_id, emb)`` by k-means.
+    """Centroids ``(list_id, emb)`` by k-means from seeded starting rows.
 
     With ``training_rows`` and the table's ``total`` the fit uses a seeded share of the rows, as
-    inverted lists are commonly trained; all rows are assigned afterwards either way.
+    inverted lists are commonly trained; all rows are assigned afterwards either way. Every task
+    adds up its rows per list before anything is shuffled, and the centroids of each round are a
+    written table.
     """
-    spark = base.sparkSession
-    rows = base.select("id", "emb").dropna()
+    ship_package(base.sparkSession)
+    rows = base.select("id", F.col("emb").cast("array<double>").alias("emb")).dropna()
     if training_rows and total and total > training_rows:
         scale = 1_000_000
         kept = math.ceil(training_rows / total * scale)
-        rows = rows.where(hash_draw(seed, F.col("id"), F.lit(scale)) < kept)
-    vectors = rows.select(array_to_vector("emb").alias("features"))
-    if lists == 1:
-        mean = vectors.select(Summarizer.mean(F.col("features")).alias("mean")).first()["mean"]
-        return spark.createDataFrame([(0, mean.toArray().tolist())], "list_id int, emb array<double>")
-    model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(vectors)
-    centres = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(centres, "list_id int, emb array<double>")
+        rows = materialize(rows.where(hash_draw(seed, F.col("id"), F.lit(scale)) < kept), "training")
+    ids = number_rows(rows.select("id"), [shuffle_key(seed, F.col("id")), "id"], "n")
+    start = rows.join(ids.where(F.col("n") < lists), "id")
+    centroids = materialize(start.select(F.col("n").cast("int").alias("list_id"), "emb"), "centroids")
+    for _ in range(iterations):
+        sums = assign_lists(rows, centroids, broadcast_limit).mapInArrow(
+            _add_up, "list_id int, total array<double>, n long"
+        )
+        moved = sums.groupBy("list_id").applyInArrow(
+            _average, "list_id int, moved array<double>"
+        )
+        joined = centroids.join(moved, "list_id", "left")
+        centroids = materialize(
+            joined.select("list_id", F.coalesce("moved", "emb").alias("emb")), "centroids"
+        )
+    return centroids
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per list seen in a task: the sum and number of its vectors."""
+    totals: dict[int, list] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists, owner = np.unique(batch["list_id"].to_numpy(), return_inverse=True)
+        vectors = as_matrix(batch["emb"])
+        order = np.argsort(owner, kind="stable")
+        edges = np.searchsorted(owner[order], np.arange(len(lists)))
+        sums = np.add.reduceat(vectors[order], edges, axis=0)
+        for number, total, n in zip(lists.tolist(), sums, np.bincount(owner)):
+            held = totals.setdefault(number, [0.0, 0])
+            held[0], held[1] = held[0] + total, held[1] + int(n)
+    if totals:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.int32()),
+             as_list_column(np.array([t for t, _ in totals.values()]), pa.float64()),
+             pa.array([n for _, n in totals.values()], pa.int64())],
+            names=["list_id", "total", "n"],
+        )
+
+
+def _average(table: pa.Table) -> pa.Table:
+    """The mean of one list from at most one row per task."""
+    mean = as_matrix(table["total"]).sum(axis=0) / table["n"].to_numpy().sum()
+    return pa.table({
+        "list_id": table["list_id"].combine_chunks().slice(0, 1),
+        "moved": as_list_column(mean[None, :], pa.float64()),
+    })
 
 
 def assign_lists(

@@ -18,24 +18,34 @@ from nearfield.operators.quantiles import group_starts, ordered_values, quantile
 from nearfield.session import materialize
 
 _CHUNK = 8192
+_DRAWS_PER_TASK = 4_000_000
 
 
-def _draws(replicates: DataFrame) -> DataFrame:
+def _tasks(starts: DataFrame, replicates: int) -> int:
+    """Tasks that generate draws: by their number, as the rows they come from are few."""
+    total = starts.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    cores = starts.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(100_000, total * replicates // _DRAWS_PER_TASK))
+
+
+def _draws(replicates: DataFrame, tasks: int) -> DataFrame:
     """Every draw of every replicate, produced in chunks of bounded length."""
     n = F.col("group_size")
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / _CHUNK)))
     start = F.col("chunk") * _CHUNK
     position = F.explode(F.sequence(start, F.least(start + _CHUNK, n) - 1))
-    spread = replicates.withColumn("chunk", chunk).repartition("replicate", "chunk")
+    spread = replicates.withColumn("chunk", chunk).repartition(
+        tasks, "replicate", "chunk"
+    )
     return spread.withColumn("i", position).withColumn(
         "draw", replicate_draw(F.col("key"), F.col("i"), n)
     )
 
 
-def _middle_cells(replicates: DataFrame, names: Sequence[str]) -> DataFrame:
+def _middle_cells(replicates: DataFrame, names: Sequence[str], tasks: int) -> DataFrame:
     width = F.ceil(F.sqrt(F.col("group_size").cast("double")))
     cells = (
-        _draws(replicates.withColumn("width", width))
+        _draws(replicates.withColumn("width", width), tasks)
         .groupBy(*names, "replicate", "key", "group_size", "width",
                  F.floor(F.col("draw") / F.col("width")).alias("cell"))
         .agg(F.count("*").alias("n"))
@@ -61,10 +71,10 @@ def _middle_positions() -> tuple[Column, Column]:
     return F.floor((n - 1) / 2), F.floor(n / 2)
 
 
-def _middle_ranks(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+def _middle_ranks(cells: DataFrame, names: Sequence[str], tasks: int) -> DataFrame:
     """Both middle ranks of every replicate (equal when the sample size is odd)."""
     cell = F.floor(F.col("draw") / F.col("width"))
-    inside = _draws(cells).where(
+    inside = _draws(cells, tasks).where(
         (cell == F.col("low_cell")) | (cell == F.col("high_cell"))
     )
     low, high = _middle_positions()
@@ -100,10 +110,9 @@ def bootstrap_median(
         .withColumn("replicate", each)
         .withColumn("key", replicate_key(seed, F.col("replicate")))
     )
-    cells = materialize(
-        _middle_cells(resampled.drop("group_start"), names), "cells"
-    )
-    ranks = _middle_ranks(cells, names).join(starts, names)
+    tasks = _tasks(starts, replicates)
+    cells = materialize(_middle_cells(resampled.drop("group_start"), names, tasks), "cells")
+    ranks = _middle_ranks(cells, names, tasks).join(starts, names)
     middle = F.array(F.col("group_start") + F.col("low_rank"), F.col("group_start") + F.col("high_rank"))
     wanted = ranks.select(*names, "replicate", F.explode(middle).alias("position"))
     stat = (

@@ -10,7 +10,7 @@ COSINE = "cosine"
 
 _UNIT = float(np.finfo(np.float64).eps)
 # Cells of a query x base distance matrix held at once, and pairs rescored at once.
-_MATRIX_CELLS = 2_000_000
+_MATRIX_CELLS = 1_000_000
 _PAIR_VALUES = 4_000_000
 
 
@@ -65,24 +65,31 @@ def sort_keys(scores: np.ndarray, metric: str) -> np.ndarray:
 
 
 class VectorBlock:
-    """Vectors with what the matrix form of the distance needs, computed once."""
+    """Vectors with what the matrix form of the distance needs, computed once.
+
+    ``query_form @ base_form.T`` is larger for nearer pairs: the cosine similarity, or half of
+    ``|q|^2 - distance^2``.
+    """
 
     def __init__(self, matrix: np.ndarray, metric: str):
         self.matrix = matrix
         self.squares = np.einsum("ij,ij->i", matrix, matrix)
         if metric == COSINE:
             norms = np.sqrt(self.squares)
-            self.scaled = np.divide(
+            unit = np.divide(
                 matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0
             )
+            self.query_form = self.base_form = unit
         else:
-            self.scaled = matrix
+            ones = np.full((len(matrix), 1), -0.5)
+            self.query_form = np.hstack([matrix, ones])
+            self.base_form = np.hstack([matrix, self.squares[:, None]])
 
     def take(self, rows) -> VectorBlock:
         part = object.__new__(VectorBlock)
-        part.matrix = self.matrix[rows]
-        part.squares = self.squares[rows]
-        part.scaled = part.matrix if self.scaled is self.matrix else self.scaled[rows]
+        part.matrix, part.squares = self.matrix[rows], self.squares[rows]
+        part.query_form = self.query_form[rows]
+        part.base_form = part.query_form if self.base_form is self.query_form else self.base_form[rows]
         return part
 
 
@@ -96,24 +103,25 @@ def _rescore(queries, base, qi, bi, metric):
 
 
 def _nearest_chunk(queries, base, ids, k, metric, worst, allowed):
-    dots = queries.scaled @ base.scaled.T
+    """The k best pairs of every query among these base rows, dropping what is worse than the
+    sort key ``worst``: query row, place, sort key and id, query by query."""
+    rough = queries.query_form @ base.base_form.T
     if metric == EUCLIDEAN:
-        rough = queries.squares[:, None] - 2.0 * dots + base.squares[None, :]
-        scale = queries.squares + (base.squares.max() if len(base.squares) else 0.0)
-        bound = np.where(np.isfinite(worst), worst * worst, np.inf)
+        least = (queries.squares - worst * worst) / 2
+        scale = queries.squares + base.squares.max()
     else:
-        rough = -dots
+        least = -worst
         scale = np.ones(len(rough))
-        bound = worst
     if allowed is not None:
-        rough[~allowed] = np.inf
+        rough[~allowed] = -np.inf
     # Every true neighbour lies within rounding error of the k-th rough value, however many
     # rows tie there, so the exact ranking below sees all of them.
-    slack = 8.0 * (base.matrix.shape[1] + 8) * _UNIT * scale
-    if rough.shape[1] > k:
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        bound = np.minimum(bound, kth)
-    keep = (rough <= (bound + slack)[:, None]) & np.isfinite(rough)
+    slack = 4.0 * (base.matrix.shape[1] + 8) * _UNIT * scale
+    floor = np.maximum(least - slack, np.finfo(np.float64).min)
+    keep = rough >= floor[:, None]
+    if rough.shape[1] > k and np.count_nonzero(keep) > 4 * k * len(rough):
+        kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+        keep = rough >= np.maximum(floor, kth - slack)[:, None]
     qi, bi = np.nonzero(keep)
     keys = _rescore(queries, base, qi, bi, metric)
     found = ids[bi]
@@ -147,15 +155,21 @@ class TopK:
                 self.queries.take(part), base, ids, self.k, self.metric,
                 np.minimum(self.keys[part, self.k - 1], self.bound[part]), mask,
             )
-            new_keys = np.full((len(part), self.k), np.inf)
-            new_ids = np.full((len(part), self.k), np.iinfo(np.int64).max, dtype=np.int64)
-            new_keys[qi, place] = keys
-            new_ids[qi, place] = found
-            all_keys = np.concatenate([self.keys[part], new_keys], axis=1)
-            all_ids = np.concatenate([self.ids[part], new_ids], axis=1)
-            order = np.lexsort((all_ids, all_keys), axis=1)[:, : self.k]
-            self.keys[part] = np.take_along_axis(all_keys, order, axis=1)
-            self.ids[part] = np.take_along_axis(all_ids, order, axis=1)
+            if len(qi):
+                self._merge(part, qi, place, keys, found)
+
+    def _merge(self, part, qi, place, keys, found):
+        hit, row = np.unique(qi, return_inverse=True)
+        part = part[hit]
+        new_keys = np.full((len(part), self.k), np.inf)
+        new_ids = np.full((len(part), self.k), np.iinfo(np.int64).max, dtype=np.int64)
+        new_keys[row, place] = keys
+        new_ids[row, place] = found
+        all_keys = np.concatenate([self.keys[part], new_keys], axis=1)
+        all_ids = np.concatenate([self.ids[part], new_ids], axis=1)
+        order = np.lexsort((all_ids, all_keys), axis=1)[:, : self.k]
+        self.keys[part] = np.take_along_axis(all_keys, order, axis=1)
+        self.ids[part] = np.take_along_axis(all_ids, order, axis=1)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query row, base id and sort key of everything found."""

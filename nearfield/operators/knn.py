@@ -14,7 +14,7 @@ Either way one window on the query id merges the partial lists.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from nearfield.operators.kernels import (
     add_in_range,
     as_matrix,
 )
-from nearfield.session import BROADCAST_LIMIT_BYTES, ship_package
+from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, ship_package
 
 # Values (rows x dimensions) per side of a block pair: 32 MB of float32.
 BLOCK_VALUES = 8_000_000
@@ -40,6 +40,12 @@ _BROADCAST_KEYS = 1_000_000
 # Base partitions from which on a first bound per query is taken from a slice of the base.
 _BOUND_PARTITIONS = 256
 _BOUND_ROWS = 100_000
+# Range queries are put in up to this many bands of range starts.
+_BAND = "__band"
+_MOST_BANDS = 64
+# Shuffle tasks of the blocked form, and the fewest rows worth a block of their own.
+_MOST_TASKS = 20_000
+_LEAST_ROWS = 4_096
 
 
 def metric_for(name: str) -> str:
@@ -217,30 +223,61 @@ def _first_bounds(shared, local: _Queries, base: DataFrame, schema: T.StructType
     return np.array([known.get(row, np.inf) for row in rows], dtype=float)
 
 
+def _banded(queries: DataFrame, base: DataFrame, within: Range, query_rows: int):
+    """Give range queries a band by where their range starts, and base rows every band that some
+    range in it reaches, so that a band's queries meet only the rows they can match."""
+    n = queries.count()
+    bands = min(_MOST_BANDS, -(-n // query_rows))
+    if bands < 2:
+        return None
+    cuts = [i / bands for i in range(1, bands)]
+    starts = queries.agg(F.percentile_approx(within.low, cuts, 10_000).alias("c")).first()["c"]
+    starts = sorted(set(starts))
+    edges = F.array(*[F.lit(x) for x in starts])
+    band = F.size(F.filter(edges, lambda x: x < F.col(within.low)))
+    queries = queries.withColumn(_BAND, band)
+    reach = queries.groupBy(_BAND).agg(
+        F.min(within.low).alias("low"), F.max(within.high).alias("high")
+    )
+    spans = F.array(*[
+        F.struct(F.lit(r[_BAND]).alias("band"), F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high"))
+        for r in reach.collect()
+    ])
+    met = F.filter(spans, lambda x: F.col(within.attr).between(x["low"], x["high"]))
+    reached = F.explode(F.transform(met, lambda x: x["band"]))
+    return queries, base.withColumn(_BAND, reached)
+
+
 def _blocked_form(
     queries: DataFrame, base: DataFrame, spec: _Spec, base_rows: int, query_rows: int
 ) -> DataFrame:
+    if spec.within and not spec.key:
+        banded = _banded(queries, base, spec.within, query_rows)
+        if banded:
+            return _blocked_form(*banded, replace(spec, key=_BAND), base_rows, query_rows)
+    cores = base.sparkSession.sparkContext.defaultParallelism
+
     def blocks(n: Column, size: int) -> Column:
         return F.ceil(n / F.lit(size)).cast("int")
 
     if spec.key:
         per_query = queries.groupBy(spec.key).agg(F.count("*").alias("__nq"))
         per_base = base.groupBy(spec.key).agg(F.count("*").alias("__nb"))
-        sizes = per_query.join(per_base, spec.key).select(
-            spec.key,
-            blocks(F.col("__nb"), base_rows).alias("__bb"),
-            blocks(F.col("__nq"), query_rows).alias("__qb"),
-        )
-        if per_query.count() <= _BROADCAST_KEYS:
+        counted = materialize(per_query.join(per_base, spec.key), "block-sizes")
+        bb, qb = blocks(F.col("__nb"), base_rows), blocks(F.col("__nq"), query_rows)
+        facts = counted.agg(F.count("*").alias("keys"), F.sum(bb * qb).alias("cells")).first()
+        sizes = counted.select(spec.key, bb.alias("__bb"), qb.alias("__qb"))
+        cells = facts["cells"] or 0
+        if facts["keys"] <= _BROADCAST_KEYS:
             sizes = F.broadcast(sizes)
         queries = queries.join(sizes, spec.key)
         base = base.join(sizes, spec.key)
     else:
-        nb, nq = base.count(), queries.count()
-        for_all = {
-            "__bb": blocks(F.lit(max(nb, 1)), base_rows),
-            "__qb": blocks(F.lit(max(nq, 1)), query_rows),
-        }
+        nb, nq = max(1, base.count()), max(1, queries.count())
+        bb = max(-(-nb // base_rows), min(cores, -(-nb // _LEAST_ROWS)))
+        qb = -(-nq // query_rows)
+        cells = bb * qb
+        for_all = {"__bb": F.lit(bb), "__qb": F.lit(qb)}
         queries, base = queries.withColumns(for_all), base.withColumns(for_all)
 
     def cell(own: str, own_id: str, other: str) -> list[Column]:
@@ -252,6 +289,10 @@ def _blocked_form(
     grid = [*key, "__b", "__q"]
     left = queries.select(*_query_columns(spec), *cell("__qb", "qid", "__bb"))
     right = base.select(*_base_columns(spec), *cell("__bb", "id", "__qb"))
+    # A task is heavy by its comparisons, not its bytes, so the number of tasks is set here.
+    tasks = max(cores, min(_MOST_TASKS, 2 * cells))
+    left = left.toDF(*left.columns).repartition(tasks, *grid)
+    right = right.toDF(*right.columns).repartition(tasks, *grid)
 
     def compare(few: pa.Table, many: pa.Table) -> pa.Table:
         if not few.num_rows or not many.num_rows:
@@ -264,7 +305,6 @@ def _blocked_form(
 
     schema = _partial_schema(queries, spec)
     empty = to_arrow_schema(schema).empty_table()
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(compare, schema)
 
 
