@@ -71,13 +71,33 @@ def train_lists(
         moved = sums.groupBy("list_id").applyInArrow(
             _average, "list_id int, moved array<double>"
         )
-        joined = centroids.join(moved, "list_id", "left")
-        centroids = materialize(
-            joined.select("list_id", F.coalesce("moved", "emb").alias("emb")), "centroids"
-        )
+        centroids = _replace_moved(centroids, moved, broadcast_limit)
     return centroids
 
 
+def _replace_moved(centroids: DataFrame, moved: DataFrame, broadcast_limit: int) -> DataFrame:
+    """New centroids; a list without rows keeps its old one. Few enough to be broadcast, they
+    are put together on the driver, else in a written table."""
+    if not _fits(centroids, broadcast_limit):
+        joined = centroids.join(moved, "list_id", "left")
+        kept = joined.select("list_id", F.coalesce("moved", "emb").alias("emb"))
+        return materialize(kept, "centroids")
+    old, new = centroids.toArrow(), moved.toArrow()
+    place = {number: at for at, number in enumerate(old["list_id"].to_pylist())}
+    matrix = as_matrix(old["emb"]).copy()
+    if new.num_rows:
+        matrix[[place[n] for n in new["list_id"].to_pylist()]] = as_matrix(new["moved"])
+    table = pa.table({
+        "list_id": old["list_id"].combine_chunks(), "emb": as_list_column(matrix, pa.float64())
+    })
+    return centroids.sparkSession.createDataFrame(table)
+
+
+def _fits(centroids: DataFrame, broadcast_limit: int) -> bool:
+    size = centroids.agg(F.sum(F.size("emb").cast("long") * 8).alias("bytes")).first()["bytes"]
+    return (size or 0) <= broadcast_limit
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per list seen in a task: the sum and number of its vectors."""
     totals: dict[int, list] = {}
@@ -117,8 +137,7 @@ def assign_lists(
     too many to send to every task."""
     spark = base.sparkSession
     ship_package(spark)
-    dim = centroids.select(F.size("emb").alias("d")).first()["d"]
-    if centroids.count() * dim * 8 > broadcast_limit:
+    if not _fits(centroids, broadcast_limit):
         rows = base.select(F.col("id").alias("qid"), "emb")
         lists = centroids.select(F.col("list_id").cast("long").alias("id"), "emb")
         found = nearest(rows, lists, 1, broadcast_limit=broadcast_limit)

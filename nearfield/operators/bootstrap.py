@@ -28,29 +28,33 @@ def _tasks(starts: DataFrame, replicates: int) -> int:
     return max(cores, min(100_000, total * replicates // _DRAWS_PER_TASK))
 
 
-def _draws(replicates: DataFrame, tasks: int) -> DataFrame:
+def _draws(replicates: DataFrame, seed: int, tasks: int) -> DataFrame:
     """Every draw of every replicate, produced in chunks of bounded length."""
     n = F.col("group_size")
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / _CHUNK)))
     start = F.col("chunk") * _CHUNK
     position = F.explode(F.sequence(start, F.least(start + _CHUNK, n) - 1))
     spread = replicates.withColumn("chunk", chunk).repartition(
-        tasks, "replicate", "chunk"
-    )
-    return spread.withColumn("i", position).withColumn(
-        "draw", replicate_draw(F.col("key"), F.col("i"), n)
+        tasks, "group_start", "replicate", "chunk"
     )
+    keyed = spread.withColumn("key", replicate_key(seed, F.col("replicate")))
+    drawn = replicate_draw(F.col("key"), F.col("i"), n)
+    return keyed.withColumn("i", position).withColumn("draw", drawn)
+
 
+def _cell(draw: Column) -> Column:
+    return F.floor(draw / F.ceil(F.sqrt(F.col("group_size").cast("double"))))
 
-def _middle_cells(replicates: DataFrame, names: Sequence[str], tasks: int) -> DataFrame:
-    width = F.ceil(F.sqrt(F.col("group_size").cast("double")))
+
+def _middle_cells(replicates: DataFrame, seed: int, tasks: int) -> DataFrame:
+    """The cells that hold the middle draws of every replicate, and the draws before the first."""
+    one = ["group_start", "replicate"]
     cells = (
-        _draws(replicates.withColumn("width", width), tasks)
-        .groupBy(*names, "replicate", "key", "group_size", "width",
-                 F.floor(F.col("draw") / F.col("width")).alias("cell"))
-        .agg(F.count("*").alias("n"))
+        _draws(replicates, seed, tasks)
+        .groupBy(*one, _cell(F.col("draw")).alias("cell"))
+        .agg(F.count("*").alias("n"), F.first("group_size").alias("group_size"))
     )
-    before = Window.partitionBy(*names, "replicate").orderBy("cell")
+    before = Window.partitionBy(*one).orderBy("cell")
     upto = F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0))
     low, high = _middle_positions()
     counted = cells.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
@@ -59,7 +63,8 @@ def _middle_cells(replicates: DataFrame, names: Sequence[str], tasks: int) -> Da
         inside = (F.col("before") <= position) & (position < F.col("upto"))
         return F.max(F.when(inside, F.col(column)))
 
-    return counted.groupBy(*names, "replicate", "key", "group_size", "width").agg(
+    return counted.groupBy(*one).agg(
+        F.first("group_size").alias("group_size"),
         holding(low, "cell").alias("low_cell"),
         holding(low, "before").alias("low_before"),
         holding(high, "cell").alias("high_cell"),
@@ -71,22 +76,25 @@ def _middle_positions() -> tuple[Column, Column]:
     return F.floor((n - 1) / 2), F.floor(n / 2)
 
 
-def _middle_ranks(cells: DataFrame, names: Sequence[str], tasks: int) -> DataFrame:
-    """Both middle ranks of every replicate (equal when the sample size is odd)."""
-    cell = F.floor(F.col("draw") / F.col("width"))
-    inside = _draws(cells, tasks).where(
-        (cell == F.col("low_cell")) | (cell == F.col("high_cell"))
-    )
+def _middle_places(cells: DataFrame, seed: int, tasks: int) -> DataFrame:
+    """Both middle places of every replicate in the numbered table (equal for odd sizes)."""
+    cell = _cell(F.col("draw"))
+    # A filter would be pushed below the draw and evaluate it once per mention; nulls are not
+    # collected either.
+    inside = F.when((cell == F.col("low_cell")) | (cell == F.col("high_cell")), F.col("draw"))
     low, high = _middle_positions()
     # Draws between the two cells do not exist: the high cell is the next one that is not empty.
-    at = F.array_sort(F.collect_list("draw"))
-    first = F.first("low_before")
-    return inside.groupBy(*names, "replicate", "group_size").agg(
-        at.alias("sorted"), first.alias("low_before")
-    ).select(
-        *names, "replicate",
-        F.element_at("sorted", (low - F.col("low_before") + 1).cast("int")).alias("low_rank"),
-        F.element_at("sorted", (high - F.col("low_before") + 1).cast("int")).alias("high_rank"),
+    ordered = _draws(cells, seed, tasks).groupBy("group_start", "replicate").agg(
+        F.array_sort(F.collect_list(inside)).alias("sorted"),
+        F.first("low_before").alias("low_before"), F.first("group_size").alias("group_size"),
+    )
+
+    def place(position: Column) -> Column:
+        rank = F.element_at("sorted", (position - F.col("low_before") + 1).cast("int"))
+        return F.col("group_start") + rank
+
+    return ordered.select(
+        "group_start", "replicate", F.explode(F.array(place(low), place(high))).alias("position")
     )
 
 
@@ -105,19 +113,14 @@ def bootstrap_median(
     medians = quantiles_of(ordered, names, {"median": 0.5})
 
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))
-    resampled = (
-        starts.where(F.col("group_size") > 1)
-        .withColumn("replicate", each)
-        .withColumn("key", replicate_key(seed, F.col("replicate")))
+    resampled = starts.where(F.col("group_size") > 1).select(
+        "group_start", "group_size", each.alias("replicate")
     )
     tasks = _tasks(starts, replicates)
-    cells = materialize(_middle_cells(resampled.drop("group_start"), names, tasks), "cells")
-    ranks = _middle_ranks(cells, names, tasks).join(starts, names)
-    middle = F.array(F.col("group_start") + F.col("low_rank"), F.col("group_start") + F.col("high_rank"))
-    wanted = ranks.select(*names, "replicate", F.explode(middle).alias("position"))
+    cells = materialize(_middle_cells(resampled, seed, tasks), "cells")
     stat = (
-        values_at(ordered, wanted, "position")
-        .groupBy(*names, "replicate")
+        values_at(ordered, _middle_places(cells, seed, tasks), "position")
+        .groupBy("group_start", "replicate")
         .agg(F.avg("value").alias("stat"))
     )
     if throughput:
@@ -127,13 +130,13 @@ def bootstrap_median(
     else:
         estimate = F.col("median")
     alpha = (1 - confidence) / 2
-    interval = stat.groupBy(*names).agg(
+    interval = stat.groupBy("group_start").agg(
         F.percentile("stat", F.lit(alpha)).alias("low"),
         F.percentile("stat", F.lit(1 - alpha)).alias("high"),
     )
     return (
         medians.join(starts, names)
-        .join(interval, names, "left")
+        .join(interval, "group_start", "left")
         .withColumn("estimate", estimate)
         .select(
             *names,

@@ -37,8 +37,8 @@ from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, ship_package
 BLOCK_VALUES = 8_000_000
 # Tables of block counts up to this many keys are broadcast (about 32 bytes a key).
 _BROADCAST_KEYS = 1_000_000
-# Base partitions from which on a first bound per query is taken from a slice of the base.
-_BOUND_PARTITIONS = 256
+# Estimated base size from which on a first bound per query is taken from a slice of the base.
+_BOUND_BYTES = 32 * 1024**3
 _BOUND_ROWS = 100_000
 # Range queries are put in up to this many bands of range starts.
 _BAND = "__band"
@@ -199,11 +199,16 @@ def _broadcast_form(queries: DataFrame, base: DataFrame, spec: _Spec) -> DataFra
         reach = F.col(spec.within.attr).between(local.low.min().item(), local.high.max().item())
         base = base.where(reach)
     schema = _partial_schema(queries, spec)
-    if base.rdd.getNumPartitions() >= _BOUND_PARTITIONS:
+    if _estimated_bytes(base) >= _BOUND_BYTES:
         local.bound = _first_bounds(context.broadcast(local), local, base, schema)
     return _scan_with(context.broadcast(local), base, schema)
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan, without running any of it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def _first_bounds(shared, local: _Queries, base: DataFrame, schema: T.StructType) -> np.ndarray:
     """An upper bound of every query's k-th key, from the matches in one slice of the base.
 

@@ -499,49 +499,44 @@ def tags(spark, sf):
 
 
 def _profiles(spark, sf):
-    """A profile tree per order line: projection over top-k over (index scan, filter over scan)."""
+    """A profile tree per event: projection over top-k over an index scan, or two scans."""
     def node(name, timing, *children):
         kids = F.array(*children) if children else F.array()
         return F.struct(F.lit(name).alias("operator_name"), timing.alias("operator_timing"), kids.alias("children"))
 
-    q, p = F.col("l_quantity"), F.col("l_extendedprice")
-    scan = node("SEQ_SCAN ", q / 100)
-    tree = F.struct(
-        (p / 1000).alias("latency"), (q / 10).alias("all_optimizers"), F.col("l_tax").alias("planner"),
-        F.col("l_discount").alias("physical_planner"), F.lit(None).cast("string").alias("operator_name"),
-        F.lit(0.0).alias("operator_timing"),
-        F.array(node("PROJECTION", F.col("l_tax"), node("TOP_N", F.col("l_discount"), node("INDEX_SCAN", p / 500))),
-                ).alias("children"),
-        F.array(scan).alias("unused"),
+    v, few = F.col("value"), (F.col("event_id") % 10) / 100
+    phases = [
+        (v / 10).alias("latency"), (v / 100).alias("all_optimizers"), few.alias("planner"),
+        (few / 2).alias("physical_planner"),
+    ]
+    nested = F.struct(
+        *phases, F.lit(None).cast("string").alias("operator_name"), F.lit(0.0).alias("operator_timing"),
+        F.array(node("PROJECTION", few, node("TOP_N", few / 4, node("INDEX_SCAN", v / 50)))).alias("children"),
     )
-    filtered = F.struct(
-        (p / 1000).alias("latency"), (q / 10).alias("all_optimizers"), F.col("l_tax").alias("planner"),
-        F.col("l_discount").alias("physical_planner"), F.lit("ROOT").alias("operator_name"),
-        F.lit(0.5).alias("operator_timing"),
-        F.array(scan, node("INDEX_FILTER_SCAN", p / 700)).alias("children"),
+    flat = F.struct(
+        *phases, F.lit("ROOT").alias("operator_name"), F.lit(0.5).alias("operator_timing"),
+        F.array(node("SEQ_SCAN ", v / 200), node("INDEX_FILTER_SCAN", v / 70)).alias("children"),
     )
-    text = F.when(F.col("l_linenumber") % 2 == 0, F.to_json(filtered)).otherwise(F.to_json(tree))
-    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.max(F.struct("l_quantity", "l_extendedprice", "l_tax", "l_discount")).alias("m")
-    ).select("l_orderkey", "l_linenumber", "m.*").select("l_orderkey", "l_linenumber", text.alias("profile"))
+    text = F.when(F.col("event_id") % 2 == 0, F.to_json(flat)).otherwise(F.to_json(nested))
+    events = table(spark, sf, "events").select("event_id", text.alias("profile"))
+    # Stands for a folder of many profile files.
+    return events.repartition(spark.sparkContext.defaultParallelism, "event_id")
 
 
 @query("SF10_profile_rollup", """
-WITH l AS (SELECT l_orderkey, l_linenumber, unnest(max(struct_pack(q := l_quantity, p := l_extendedprice, t := l_tax, d := l_discount)))
-           FROM lineitem GROUP BY 1, 2)
-SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 4 END::BIGINT AS nodes,
-       round(CASE WHEN l_linenumber % 2 = 0 THEN p / 700 ELSE p / 500 END, 6) AS index_scan,
-       round(CASE WHEN l_linenumber % 2 = 0 THEN q / 100 END, 6) AS sequential_scan,
-       round(CASE WHEN l_linenumber % 2 = 0 THEN 0.5 ELSE t + d END::DOUBLE, 6) AS other_operators,
-       round(q / 10 + t + d, 6) AS planning,
-       round(greatest(0, p / 1000 - (q / 10 + t + d) - CASE WHEN l_linenumber % 2 = 0 THEN 0.5::DOUBLE + q / 100 ELSE t + d END), 6)
-         AS index_scan_residual
+WITH l AS (SELECT event_id, event_id % 2 = 0 AS flat, value AS v, (event_id % 10) / 100::DOUBLE AS few FROM events)
+SELECT event_id, CASE WHEN flat THEN 3 ELSE 4 END::BIGINT AS nodes,
+       round(CASE WHEN flat THEN v / 70 ELSE v / 50 END, 6) AS index_scan,
+       round(CASE WHEN flat THEN v / 200 END, 6) AS sequential_scan,
+       round(CASE WHEN flat THEN 0.5::DOUBLE ELSE few + few / 4 END, 6) AS other_operators,
+       round(v / 100 + few + few / 2, 6) AS planning,
+       round(greatest(0, v / 10 - (v / 100 + few + few / 2)
+             - CASE WHEN flat THEN 0.5::DOUBLE + v / 200 ELSE few + few / 4 END), 6) AS index_scan_residual
 FROM l
 """)
 def profiles(spark, sf):
     found = profile_rollup(
-        _profiles(spark, sf), "profile", ["l_orderkey", "l_linenumber"],
-        index_scans=["INDEX_SCAN", "INDEX_FILTER_SCAN"],
+        _profiles(spark, sf), "profile", ["event_id"], index_scans=["INDEX_SCAN", "INDEX_FILTER_SCAN"]
     )
     return rounded(
         found, "index_scan", "sequential_scan", "other_operators", "planning", "index_scan_residual"

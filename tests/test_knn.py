@@ -115,7 +115,7 @@ def test_no_queries_and_no_base(spark):
 
 def test_bounds_from_a_slice_change_nothing(spark, monkeypatch):
     """The first-bound pass, used for tables of many partitions."""
-    monkeypatch.setattr(knn, "_BOUND_PARTITIONS", 1)
+    monkeypatch.setattr(knn, "_BOUND_BYTES", 0)
     monkeypatch.setattr(knn, "_BOUND_ROWS", 20)
     base, queries, b, q = fixture(spark)
     for metric in ("euclidean", "cosine"):
