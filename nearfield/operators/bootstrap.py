@@ -34,16 +34,19 @@ def _draws(replicates: DataFrame, seed: int, tasks: int) -> DataFrame:
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / _CHUNK)))
     start = F.col("chunk") * _CHUNK
     position = F.explode(F.sequence(start, F.least(start + _CHUNK, n) - 1))
-    spread = replicates.withColumn("chunk", chunk).repartition(
-        tasks, "group_start", "replicate", "chunk"
-    )
-    keyed = spread.withColumn("key", replicate_key(seed, F.col("replicate")))
+    # What is constant per chunk is computed before the shuffle, not once per draw.
+    chunks = replicates.withColumns({
+        "chunk": chunk,
+        "key": replicate_key(seed, F.col("replicate")),
+        "width": F.ceil(F.sqrt(n.cast("double"))),
+    })
+    spread = chunks.repartition(tasks, "group_start", "replicate", "chunk")
     drawn = replicate_draw(F.col("key"), F.col("i"), n)
-    return keyed.withColumn("i", position).withColumn("draw", drawn)
+    return spread.withColumn("i", position).withColumn("draw", drawn)
 
 
 def _cell(draw: Column) -> Column:
-    return F.floor(draw / F.ceil(F.sqrt(F.col("group_size").cast("double"))))
+    return F.floor(draw / F.col("width"))
 
 
 def _middle_cells(replicates: DataFrame, seed: int, tasks: int) -> DataFrame:
@@ -79,13 +82,13 @@ def _middle_positions() -> tuple[Column, Column]:
 def _middle_places(cells: DataFrame, seed: int, tasks: int) -> DataFrame:
     """Both middle places of every replicate in the numbered table (equal for odd sizes)."""
     cell = _cell(F.col("draw"))
-    # A filter would be pushed below the draw and evaluate it once per mention; nulls are not
-    # collected either.
-    inside = F.when((cell == F.col("low_cell")) | (cell == F.col("high_cell")), F.col("draw"))
+    inside = _draws(cells, seed, tasks).where(
+        (cell == F.col("low_cell")) | (cell == F.col("high_cell"))
+    )
     low, high = _middle_positions()
     # Draws between the two cells do not exist: the high cell is the next one that is not empty.
-    ordered = _draws(cells, seed, tasks).groupBy("group_start", "replicate").agg(
-        F.array_sort(F.collect_list(inside)).alias("sorted"),
+    ordered = inside.groupBy("group_start", "replicate").agg(
+        F.array_sort(F.collect_list("draw")).alias("sorted"),
         F.first("low_before").alias("low_before"), F.first("group_size").alias("group_size"),
     )
 

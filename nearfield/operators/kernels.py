@@ -207,6 +207,21 @@ def add_in_range(top: TopK, rows, low, high, base: VectorBlock, ids, attr) -> No
 
 def nearest_row(vectors: VectorBlock, centres: VectorBlock) -> np.ndarray:
     """Index of the nearest centre of every row (ties go to the lower index)."""
-    top = TopK(vectors, 1, EUCLIDEAN)
-    top.add(np.arange(len(vectors.matrix)), centres, np.arange(len(centres.matrix)))
-    return top.ids[:, 0]
+    n = len(vectors.matrix)
+    out = np.empty(n, dtype=np.int64)
+    step = max(1, _MATRIX_CELLS // max(1, len(centres.matrix)))
+    scale = vectors.squares + centres.squares.max()
+    slack = 4.0 * (vectors.matrix.shape[1] + 8) * _UNIT * scale
+    for at in range(0, n, step):
+        rows = slice(at, at + step)
+        rough = vectors.query_form[rows] @ centres.base_form.T
+        best = rough.argmax(axis=1)
+        floor = rough[np.arange(len(best)), best] - slack[rows]
+        near = rough >= floor[:, None]
+        # Only rows with several centres within rounding error are compared exactly.
+        for row in np.flatnonzero(np.count_nonzero(near, axis=1) > 1):
+            some = np.flatnonzero(near[row])
+            gaps = centres.matrix[some] - vectors.matrix[at + row]
+            best[row] = some[np.einsum("ij,ij->i", gaps, gaps).argmin()]
+        out[rows] = best
+    return out

@@ -329,8 +329,9 @@ def nearest_partial(
     row; rows with a null vector, key, attribute or range end never match."""
     ship_package(base.sparkSession)
     spec = _Spec(k, metric_for(metric), key, within, tuple(tags))
-    queries = queries.select(*_query_columns(spec)).dropna(subset=["emb", *_filters(spec)[0]])
-    base = base.select(*_base_columns(spec)).dropna(subset=["emb", *_filters(spec)[1]])
+    asked, held = _filters(spec)
+    queries = _present(queries.select(*_query_columns(spec)), asked)
+    base = _present(base.select(*_base_columns(spec)), held)
     dim = max(1, _dimension(base))
     if queries.count() * dim * 8 <= broadcast_limit:
         return _broadcast_form(queries, base, spec)
@@ -338,6 +339,13 @@ def nearest_partial(
     return _blocked_form(queries, base, spec, rows, rows)
 
 
+def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without nulls in these columns, one filter each so that the scan can take them."""
+    for column in ("emb", *columns):
+        df = df.where(F.col(column).isNotNull())
+    return df
+
+
 def _filters(spec: _Spec) -> tuple[list[str], list[str]]:
     key = [spec.key] if spec.key else []
     if not spec.within:

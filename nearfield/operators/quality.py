@@ -10,33 +10,38 @@ from pyspark.sql import functions as F
 from nearfield.functions.vectors import is_valid_vector
 from nearfield.operators.ranges import range_counts
 
-_KEY = "__one"
-
-
 def equal_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    a = left.agg(F.count("*").alias("left_rows")).withColumn(_KEY, F.lit(1))
-    b = right.agg(F.count("*").alias("right_rows")).withColumn(_KEY, F.lit(1))
-    return a.join(b, _KEY).select(
-        "left_rows", "right_rows", (F.col("left_rows") == F.col("right_rows")).alias("ok")
+    sides = left.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(
+        right.select(F.lit(0).alias("a"), F.lit(1).alias("b"))
     )
+    totals = sides.agg(
+        F.coalesce(F.sum("a"), F.lit(0)).cast("long").alias("left_rows"),
+        F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("right_rows"),
+    )
+    return totals.withColumn("ok", F.col("left_rows") == F.col("right_rows"))
 
 
 def bijection(mapping: DataFrame) -> DataFrame:
     """Whether a mapping covers 0..N-1 once on the new side and has no id twice on the old."""
-    def once(column: str) -> DataFrame:
-        sizes = mapping.groupBy(column).agg(F.count("*").alias("n"))
-        return sizes.agg(
-            F.sum("n").alias("pairs"), F.count("*").alias(f"distinct_{column}"),
-            F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"),
-        ).withColumn(_KEY, F.lit(1))
-
-    sides = once("old_id").join(once("new_id").drop("pairs"), _KEY).drop(_KEY)
+    sides = F.explode(F.array(
+        F.struct(F.lit(False).alias("new"), F.col("old_id").alias("id")),
+        F.struct(F.lit(True).alias("new"), F.col("new_id").alias("id")),
+    ))
+    ids = mapping.select(sides.alias("s")).groupBy("s.new", "s.id").agg(F.count("*").alias("n"))
+    new = F.col("new")
+    totals = ids.agg(
+        F.coalesce(F.sum(F.when(new, F.col("n"))), F.lit(0)).alias("pairs"),
+        F.count_if(~new).alias("distinct_old_id"),
+        F.count_if(new).alias("distinct_new_id"),
+        F.min(F.when(new, F.col("id"))).alias("low"),
+        F.max(F.when(new, F.col("id"))).alias("high"),
+    )
     n = F.col("pairs")
     fine = (
         (F.col("distinct_old_id") == n) & (F.col("distinct_new_id") == n)
-        & (F.col("min_new_id") == 0) & (F.col("max_new_id") == n - 1)
+        & (F.col("low") == 0) & (F.col("high") == n - 1)
     )
-    return sides.select("pairs", "distinct_old_id", "distinct_new_id", fine.alias("ok"))
+    return totals.select("pairs", "distinct_old_id", "distinct_new_id", fine.alias("ok"))
 
 
 def unsorted_places(

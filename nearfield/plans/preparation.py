@@ -699,7 +699,7 @@ def row_groups(spark, sf):
 
     path = scratch_path(spark, "groups")
     writers.write_vectors(
-        table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").coalesce(2), path, GROUP
+        table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), path, GROUP
     )
     files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).distinct()
 
@@ -802,17 +802,16 @@ def selectivity_report(spark, sf):
         F.regexp_replace("value", "^,", ""),
         "range_start long, range_end long, count long, selectivity double",
     )
+    head = F.regexp_extract("value", r'"total_rows": (\d+), "num_queries": (\d+)', 1)
+    count = F.regexp_extract("value", r'"total_rows": (\d+), "num_queries": (\d+)', 2)
     start = lines.where(F.col("value").startswith('{"total_rows"')).select(
-        F.regexp_extract("value", r'"total_rows": (\d+)', 1).cast("long").alias("total_rows"),
-        F.regexp_extract("value", r'"num_queries": (\d+)', 1).cast("long").alias("num_queries"),
-        F.lit(1).alias("one"),
-    )
-    entries = lines.where(F.col("value").rlike('^,?\\{"range_start"')).select(
-        entry.alias("e"), F.lit(1).alias("one")
-    )
-    return entries.join(F.broadcast(start), "one").select(
+        head.cast("long").alias("total_rows"), count.cast("long").alias("num_queries")
+    ).first()
+    entries = lines.where(F.col("value").rlike('^,?\\{"range_start"')).select(entry.alias("e"))
+    return entries.select(
         "e.range_start", "e.range_end", "e.count", F.round("e.selectivity", 9).alias("selectivity"),
-        "total_rows", "num_queries",
+        F.lit(start["total_rows"]).cast("long").alias("total_rows"),
+        F.lit(start["num_queries"]).cast("long").alias("num_queries"),
     )
 
 

@@ -544,7 +544,7 @@ def profiles(spark, sf):
 
 
 def _write_results(spark, sf):
-    """Events as result files: one file per type, a result per user and dataset."""
+    """Events as result files: a result per type and user, up to twenty users in a file."""
     events = table(spark, sf, "events")
     per_user = events.groupBy("event_type", "user_id").agg(
         F.avg("value").alias("mean"), F.count("*").alias("n"), F.min("event_id").alias("first")
@@ -563,12 +563,14 @@ def _write_results(spark, sf):
             F.struct((user % 25).alias("case_id"), F.lit(100).alias("k")).alias("case_config"),
         ).alias("task_config"),
     )
-    files = per_user.select("event_type", result.alias("r"), "first").groupBy("event_type").agg(
+    part = F.floor(user / 20).alias("part")
+    files = per_user.select("event_type", part, result.alias("r"), "first").groupBy("event_type", "part").agg(
         F.sort_array(F.collect_list(F.struct("first", "r"))).alias("rs")
     )
     path = scratch_path(spark, "results")
     doc = files.select(
-        F.col("event_type").alias("run"), F.col("event_type").alias("run_id"),
+        F.concat_ws("-", "event_type", "part").alias("run"),
+        F.concat_ws("-", "event_type", "part").alias("run_id"),
         F.concat("event_type", F.lit("_case_10-20-30")).alias("task_label"),
         F.transform("rs", lambda r: r["r"]).alias("results"), F.lit(1.5).alias("timestamp"),
     )
@@ -577,7 +579,7 @@ def _write_results(spark, sf):
 
 
 @query("SC7_read_results", """
-SELECT event_type AS run_id, event_type || '_case_10-20-30' AS task_label, upper(event_type) AS index_kind, user_id % 25 AS case_id,
+SELECT event_type || '-' || (user_id // 20) AS run_id, event_type || '_case_10-20-30' AS task_label, upper(event_type) AS index_kind, user_id % 25 AS case_id,
        CASE WHEN user_id % 2 = 0 THEN 1 ELSE 14 END AS threads, (user_id % 2)::VARCHAR AS global_version,
        round(avg(value), 6) AS optimize_duration, round(1 / count(*)::DOUBLE, 6) AS recall
 FROM events GROUP BY event_type, user_id
