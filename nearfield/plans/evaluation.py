@@ -141,7 +141,7 @@ def rates(spark, sf):
 REPLICATES = 100
 
 
-def bootstrap_sql(source: str, groups: str, throughput: bool, replicates: int) -> str:
+def bootstrap_sql(source: str, groups: str, throughput: bool, replicates: int, digits: int = 6) -> str:
     """The same resamples drawn in SQL: ``source`` has the groups, ``latency`` and ``event_id``."""
     key = mix32_sql("(b + 42) % 4294967296")
     draw = mix32_sql("(key + i * 2654435769) % 4294967296")
@@ -157,18 +157,18 @@ d AS (SELECT {groups}, n, b, unnest(range(n)) AS i, key FROM g, reps WHERE n > 1
 dr AS (SELECT {groups}, b, ({draw}) % n AS rank FROM d),
 m AS (SELECT {groups}, b, median(latency) AS m FROM dr JOIN r USING ({groups}, rank) GROUP BY {groups}, b),
 c AS (SELECT {groups}, quantile_cont({stat}, 0.025) AS lo, quantile_cont({stat}, 0.975) AS hi FROM m GROUP BY {groups})
-SELECT {groups}, round({est}, 6) AS estimate, round(coalesce({est} - lo, 0), 6) AS lower_err,
-       round(coalesce(hi - {est}, 0), 6) AS upper_err, n, n < 30 AS few
+SELECT {groups}, round({est}, {digits}) AS estimate, round(coalesce({est} - lo, 0), {digits}) AS lower_err,
+       round(coalesce(hi - {est}, 0), {digits}) AS upper_err, n, n < 30 AS few
 FROM g LEFT JOIN c {using}
 """
 
 
-@query("AG6_median_interval", bootstrap_sql(LATENCIES_SQL, "kind, run", False, REPLICATES))
+@query("AG6_median_interval", bootstrap_sql(LATENCIES_SQL, "kind, run", False, REPLICATES, 10))
 def median_interval(spark, sf):
     found = bootstrap_median(
         latencies(spark, sf), ["kind", "run"], "latency", "event_id", replicates=REPLICATES
     )
-    return rounded(found, "estimate", "lower_err", "upper_err")
+    return rounded(found, "estimate", "lower_err", "upper_err", digits=10)
 
 
 @query("AG7_qps_interval", bootstrap_sql(LATENCIES_SQL, "kind, run", True, REPLICATES))
