@@ -143,7 +143,7 @@ def assign_lists(
         found = nearest(rows, lists, 1, broadcast_limit=broadcast_limit)
         pairs = found.select(F.col("qid").alias("id"), F.col("id").cast("int").alias("list_id"))
         return base.join(pairs, "id")
-    table = centroids.orderBy("list_id").toArrow()
+    table = centroids.toArrow().sort_by("list_id")
     numbers = table["list_id"].to_numpy()
     shared = spark.sparkContext.broadcast((numbers, VectorBlock(as_matrix(table["emb"]), EUCLIDEAN)))
 
