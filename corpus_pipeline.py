@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import mixing, quality, simhash, tokens
+from nearfield.llm import decontaminate, mixing, quality, simhash, tokens
 from nearfield.llm.queries import table, tokenizer_path
 from nearfield.session import scratch_path
 
@@ -23,6 +23,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item, not even an edited one, is found."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources; a document that is taken twice has two rows."""
     return mixing.repeat(mixing.mix(docs))
@@ -36,6 +41,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", good),
     ("SimHash near-dedup", distinct),
+    ("benchmark decontamination", unseen),
     ("mixing sources to target weights", mixed),
     ("token-ID / binary output", tokenised),
 ]

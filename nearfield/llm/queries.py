@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import licenses, mixing, quality, simhash, tokens
+from nearfield.llm import (
+    chat, decontaminate, licenses, lines, mixing, neighbours, pii, quality, simhash, tokens,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op1_quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op2_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op3_benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.op4_block_nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op5_token_lists(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,23 +49,39 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.op7_fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op9_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10_water_filled_mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_quality_scores": op1,
+    "op2_perspectives": op2,
+    "op3_benchmark_leaks": op3,
+    "op4_block_nearest": op4,
     "op5_token_lists": op5,
     "op6_simhash_classes": op6,
+    "op7_fuzzy_lines": op7,
     "op8_license_spans": op8,
+    "op9_personal_data": op9,
     "op10_water_filled_mix": op10,
 }
 
+# The others have no SQL: trained models, SimHash with components, alignment, the tokenizer.
 ORACLES: dict[str, str] = {
+    "op2_perspectives": chat.SQL,
+    "op4_block_nearest": neighbours.SQL,
     "op8_license_spans": licenses.sql(),
     "op10_water_filled_mix": mixing.sql(),
 }
