@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -18,13 +19,32 @@ from nearfield.llm.common import by_batch, id_and_text
 from nearfield.session import scratch_path
 
 END_ID = 2
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 # Entries kept by a worker from batch to batch; a full cache starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 # First bytes of characters that are never white space.
 _SOLID = textscan.byte_set(range(0x21, 0x7F), range(0xC3, 0xE0), range(0xE4, 0xEA))
 
+# Kinds of bytes in plain pieces: ASCII letters and all bytes of U+00C0 to U+017F but the signs for
+# times and division are letters; digits; other printable ASCII. Everything else, and the apostrophe,
+# which may begin a word of its own, makes a piece odd.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 192), 0xC3, 0xC4, 0xC5]] = 1
+_KIND[48:58] = 2
+_KIND[ord("'")] = 0
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -54,12 +74,13 @@ class Layout:
 
 
 class Encoder:
-    """Encodes whole batches of texts, each distinct piece of a batch once.
+    """Encodes whole batches of texts, each distinct word of a batch once.
 
     A byte-level tokenizer without normalizer never joins what stands before a space and a solid
-    character with what follows. Texts are cut there, equal pieces are found by hash, and only new
-    pieces go through the pre-tokenizer and the model. Other tokenizers, and texts that hold an
-    added token, are encoded whole.
+    character with what follows. Texts are cut there into pieces, and plain pieces further where
+    letters, digits and signs meet, which is where the pre-tokenizer cuts them. Equal parts are found
+    by hash; only new ones go through the model, odd pieces through the pre-tokenizer first. Other
+    tokenizers, and texts that hold an added token, are encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -75,24 +96,52 @@ class Encoder:
             and told.get("post_processor") is None and told.get("model", {}).get("type") == "BPE"
             and told.get("truncation") is None and told.get("padding") is None
         )
-        self.pieces: dict[bytes, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        # ids as the bytes of 32-bit numbers, of words and of odd pieces
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
-    def _piece(self, piece: bytes) -> list[int]:
+    def _ids(self, spelt: str) -> bytes:
+        return array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = self._ids(word.decode("latin-1").translate(_BYTE_LETTERS))
+        return found
+
+    def _piece(self, piece: bytes) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = []
-            for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece.decode()):
-                ids = self.words.get(word)
-                if ids is None:
-                    ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(word)]
-                found += ids
-            self.pieces[piece] = found
+            words = self.splitter.pre_tokenize_str(piece.decode())
+            found = self.pieces[piece] = b"".join(self._ids(spelt) for spelt, _ in words)
         return found
 
+    @staticmethod
+    def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of words and odd pieces, and which are odd."""
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        begins[: len(data)][:-1] = (data[:-1] == 32) & _SOLID[data[1:]]
+        begins[offsets[:-1]] = True
+        begins = begins[: len(data)]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return starts, starts.astype(bool)
+        kind = _KIND[data]
+        odd = kind == 0
+        odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        odd[starts[data[starts] == 32]] = False  # the space that a word begins with
+        odd_piece = np.add.reduceat(odd, starts, dtype=np.int64) > 0
+        lead = starts[:-1][data[starts[:-1]] == 32] if len(data) == starts[-1] + 1 else starts[data[starts] == 32]
+        kind[lead] = kind[lead + 1]
+        inside = np.repeat(~odd_piece, np.diff(np.append(starts, len(data))))
+        begins[1:] |= (kind[1:] != kind[:-1]) & inside[1:]
+        words = np.flatnonzero(begins)
+        return words, odd_piece[np.searchsorted(starts, words, side="right") - 1]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
         raw = data.tobytes()
@@ -100,18 +149,15 @@ class Encoder:
             found = [self._whole(raw[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
             counts = np.array([len(x) for x in found], dtype=np.int64)
             return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
-        if len(self.pieces) > CACHE_ENTRIES or len(self.words) > CACHE_ENTRIES:
+        if max(len(self.pieces), len(self.words)) > CACHE_ENTRIES:
             self.pieces, self.words = {}, {}
-        begins = np.zeros(len(data) + 1, dtype=bool)
-        begins[: len(data)][:-1] = (data[:-1] == 32) & _SOLID[data[1:]]
-        begins[offsets[:-1]] = True
-        begins[len(data)] = False
-        starts = np.flatnonzero(begins)
+        starts, odd = self._cut(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         _, which, at = np.unique(textscan.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        held = [self._piece(raw[i:j]) for i, j in zip(starts[which].tolist(), ends[which].tolist())]
-        lengths = np.array([len(x) for x in held], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(held), np.int32, int(lengths.sum()))
+        parts = zip(starts[which].tolist(), ends[which].tolist(), odd[which].tolist())
+        held = [self._piece(raw[i:j]) if is_odd else self._word(raw[i:j]) for i, j, is_odd in parts]
+        lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        flat = np.frombuffer(b"".join(held), np.int32)
         first = np.cumsum(lengths) - lengths
         n = lengths[at]
         done = np.concatenate(([0], np.cumsum(n)))

@@ -1,8 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from nearfield.llm import textscan, tokens
@@ -28,8 +31,6 @@ def test_pieces_give_the_same_ids(reference):
     coder = tokens.Encoder(open(tokenizer_path()).read())
     assert coder.cuts
     plain = [t for t in TEXTS if t and "<|endoftext|>" not in t]
-    import pyarrow as pa
-
     data, offsets = textscan.texts(pa.array(plain * 2))
     ids, counts = coder.encode(data, offsets)
     expected = [reference.encode(t, add_special_tokens=False).ids for t in plain * 2]
@@ -78,3 +79,17 @@ def test_files(spark, docs_of, tmp_path, reference, encoding):
     assert "ids" not in narrow.split("ReadSchema")[1]
     with pytest.raises(ValueError):
         tokens.Layout(encoding="plain").options()
+
+
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x180, exclude_categories=["Cs"]), st.sampled_from(
+    " \n\t'smtdrlve1Aaé., \u0085\x1c　漢"))))
+@settings(max_examples=1500, deadline=None)
+def test_any_text_gives_the_same_ids(text):
+    coder = _CODER or _CODER.append(tokens.Encoder(open(tokenizer_path()).read())) or _CODER
+    data, offsets = textscan.texts(pa.array([text, text]))
+    ids, counts = coder[0].encode(data, offsets)
+    assert ids.tolist() == coder[0].tokenizer.encode(text, add_special_tokens=False).ids * 2
+    assert counts[0] == counts[1]
+
+
+_CODER = []
