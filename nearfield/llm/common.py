@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearfield.session import materialize, ship_package
 
-__all__ = ["by_batch", "id_and_text", "materialize", "same_columns"]
+__all__ = ["by_batch", "id_and_text", "materialize"]
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,7 +31,3 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
             yield from fn(batch)
 
     return df.mapInArrow(each, schema)
-
-
-def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select([df[f"`{c}`"] for c in like.columns])
