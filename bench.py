@@ -21,7 +21,7 @@ sys.path.insert(0, str(ROOT))
 from nearfield.operators.ann import assign_lists, train_lists  # noqa: E402
 from nearfield.operators.knn import nearest  # noqa: E402
 from nearfield.plans import catalogue  # noqa: E402
-from nearfield.plans.inputs import base, queries  # noqa: E402
+from nearfield.plans.inputs import DIM, base, queries  # noqa: E402
 from nearfield.session import materialize  # noqa: E402
 
 HEADLINE = [
@@ -91,6 +91,8 @@ def main() -> None:
     centres = materialize(train_lists(rows, 200, iterations=5), "centres")
     run(assign_lists(rows, centres))
     times["lists_built_larger"] = round(time.perf_counter() - started, 3)
+    elements = {form: rate * DIM for form, rate in rates.items()}
+    elements["lists_built"] = round(rows.count() * DIM / times["lists_built_larger"])
 
     sweep = catalogue.QUERIES["KN16_recall_sweep"](spark, sf).collect()
     recalls = {
@@ -103,6 +105,7 @@ def main() -> None:
         "queries": times,
         "sf": Path(sf).name,
         "distance_evaluations_per_second": rates,
+        "elements_per_second": elements,
         "recall": recalls,
     }))
 

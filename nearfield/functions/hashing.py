@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 _TWO32 = 1 << 32
 _MULTIPLIER = 0x45D9F3B
-_STEP = 2654435769
+# Odd steps per low and high word of a position, for the two words of a draw. They are small enough
+# that a product with any 32-bit word fits a bigint.
+_STEPS = ((625341585, 1664525), (1103515245, 22695477))
+_OTHER_WORD = 2654435769
 
 
 def shuffle_key(seed: int, id_col: Column) -> Column:
@@ -20,8 +23,8 @@ def shuffle_key(seed: int, id_col: Column) -> Column:
 
 
 def hash_draw(seed: int, id_col: Column, n: Column) -> Column:
-    """An integer in ``[0, n)`` from the first 32 bits of the shuffle key."""
-    head = F.conv(F.substring(shuffle_key(seed, id_col), 1, 8), 16, 10).cast("long")
+    """An integer in ``[0, n)`` from the first 60 bits of the shuffle key."""
+    head = F.conv(F.substring(shuffle_key(seed, id_col), 1, 15), 16, 10).cast("long")
     return F.pmod(head, n.cast("long"))
 
 
@@ -43,6 +46,26 @@ def replicate_key(seed: int, replicate: Column) -> Column:
     return mix32((replicate + F.lit(seed)) % F.lit(_TWO32))
 
 
+def replicate_key_sql(seed: int, replicate: str) -> str:
+    return mix32_sql(f"(({replicate}) + {seed}) % {_TWO32}")
+
+
 def replicate_draw(key: Column, i: Column, n: Column) -> Column:
-    """The ``i``-th draw with replacement from ``[0, n)`` of the replicate with this key."""
-    return mix32((key + i * F.lit(_STEP)) % F.lit(_TWO32)) % n
+    """The ``i``-th draw with replacement from ``[0, n)`` of the replicate with this key.
+
+    Two mixed words make 63 bits, so that tables of any size are drawn from evenly.
+    """
+    low, high = i % F.lit(_TWO32), F.shiftright(i, 32)
+    (a, b), (c, d) = _STEPS
+    first = mix32((key + low * F.lit(a) + high * F.lit(b)) % F.lit(_TWO32))
+    second = mix32((key + F.lit(_OTHER_WORD) + low * F.lit(c) + high * F.lit(d)) % F.lit(_TWO32))
+    return (first * F.lit(1 << 31) + F.shiftright(second, 1)) % n
+
+
+def replicate_draw_sql(key: str, i: str, n: str) -> str:
+    """SQL text of :func:`replicate_draw`."""
+    low, high = f"(({i}) % {_TWO32})", f"(({i}) >> 32)"
+    (a, b), (c, d) = _STEPS
+    first = mix32_sql(f"(({key}) + {low} * {a} + {high} * {b}) % {_TWO32}")
+    second = mix32_sql(f"(({key}) + {_OTHER_WORD} + {low} * {c} + {high} * {d}) % {_TWO32}")
+    return f"((({first}) * {1 << 31} + (({second}) >> 1)) % ({n}))"

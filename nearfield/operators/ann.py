@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from nearfield.functions.hashing import hash_draw, shuffle_key
-from nearfield.operators.kernels import EUCLIDEAN, VectorBlock, as_list_column, as_matrix, nearest_row
+from pyspark.sql.pandas.types import to_arrow_type
+
+from nearfield.functions.arrow import arrow_function
+from nearfield.functions.hashing import shuffle_key
+from nearfield.operators.kernels import (
+    EUCLIDEAN,
+    VectorBlock,
+    as_list_column,
+    as_matrix,
+    finite_rows,
+    nearest_row,
+)
 from nearfield.operators.knn import nearest, nearest_partial, rank_nearest
 from nearfield.operators.metrics import recall_by_rank
 from nearfield.operators.numbering import number_rows
@@ -24,6 +32,8 @@ from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, ship_package
 ROWS_PER_LIST = 1_000
 ROOT_FROM_ROWS = 1_000_000
 ROWS_PER_FINE_LIST = 256
+# Scan tasks per core in training: fewer and longer tasks leave fewer partial sums.
+_TASKS_PER_CORE = 4
 
 
 def list_count(rows: int) -> int:
@@ -45,32 +55,37 @@ def list_count_column(rows: Column) -> Column:
 
 def train_lists(
     base: DataFrame, lists: int, *, seed: int = 0, iterations: int = 10,
-    training_rows: int | None = None, total: int | None = None,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Centroids ``(list_id, emb)`` by k-means from seeded starting rows.
+    """Centroids ``(list_id, emb)`` by k-means over all rows from seeded starting rows.
 
-    With ``training_rows`` and the table's ``total`` the fit uses a seeded share of the rows, as
-    inverted lists are commonly trained; all rows are assigned afterwards either way. Every task
-    adds up its rows per list before anything is shuffled, and the centroids of each round are a
-    written table.
+    Rows with a null vector or a value that is not finite are left out. A few long tasks each add
+    up their rows per list before anything is shuffled.
     """
-    ship_package(base.sparkSession)
-    rows = base.select("id", F.col("emb").cast("array<double>").alias("emb")).dropna()
-    if training_rows and total and total > training_rows:
-        scale = 1_000_000
-        kept = math.ceil(training_rows / total * scale)
-        rows = materialize(rows.where(hash_draw(seed, F.col("id"), F.lit(scale)) < kept), "training")
+    rows = _training_rows(base.select("id", "emb"))
     ids = number_rows(rows.select("id"), [shuffle_key(seed, F.col("id")), "id"], "n")
     start = rows.join(ids.where(F.col("n") < lists), "id")
     centroids = materialize(start.select(F.col("n").cast("int").alias("list_id"), "emb"), "centroids")
+    return _rounds(rows, centroids, iterations, broadcast_limit)
+
+
+def _training_rows(base: DataFrame) -> DataFrame:
+    context = base.sparkSession.sparkContext
+    fine = F.forall("emb", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    rows = base.withColumn("emb", F.col("emb").cast("array<double>")).dropna().where(fine)
+    return rows.coalesce(_TASKS_PER_CORE * context.defaultParallelism)
+
+
+def _rounds(rows: DataFrame, centroids: DataFrame, iterations: int, broadcast_limit: int,
+            key: str | None = None) -> DataFrame:
+    """Move the centroids to the mean of their rows, ``iterations`` times."""
+    ship_package(rows.sparkSession)
+    number = centroids.schema["list_id"].dataType.simpleString()
     for _ in range(iterations):
-        sums = assign_lists(rows, centroids, broadcast_limit).mapInArrow(
-            _add_up, "list_id int, total array<double>, n long"
-        )
-        moved = sums.groupBy("list_id").applyInArrow(
-            _average, "list_id int, moved array<double>"
+        sums = assign_lists(rows, centroids, broadcast_limit, key).mapInArrow(
+            _add_up, f"list_id {number}, total array<double>, n long"
         )
+        moved = sums.groupBy("list_id").applyInArrow(_average, f"list_id {number}, moved array<double>")
         centroids = _replace_moved(centroids, moved, broadcast_limit)
     return centroids
 
@@ -80,16 +95,15 @@ def _replace_moved(centroids: DataFrame, moved: DataFrame, broadcast_limit: int)
     are put together on the driver, else in a written table."""
     if not _fits(centroids, broadcast_limit):
         joined = centroids.join(moved, "list_id", "left")
-        kept = joined.select("list_id", F.coalesce("moved", "emb").alias("emb"))
+        kept = joined.withColumn("emb", F.coalesce("moved", "emb")).select(*centroids.columns)
         return materialize(kept, "centroids")
     old, new = centroids.toArrow(), moved.toArrow()
     place = {number: at for at, number in enumerate(old["list_id"].to_pylist())}
     matrix = as_matrix(old["emb"]).copy()
     if new.num_rows:
         matrix[[place[n] for n in new["list_id"].to_pylist()]] = as_matrix(new["moved"])
-    table = pa.table({
-        "list_id": old["list_id"].combine_chunks(), "emb": as_list_column(matrix, pa.float64())
-    })
+    at = old.schema.get_field_index("emb")
+    table = old.combine_chunks().set_column(at, "emb", as_list_column(matrix, pa.float64()))
     return centroids.sparkSession.createDataFrame(table)
 
 
@@ -104,6 +118,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        kind = batch["list_id"].type
         lists, owner = np.unique(batch["list_id"].to_numpy(), return_inverse=True)
         vectors = as_matrix(batch["emb"])
         order = np.argsort(owner, kind="stable")
@@ -114,7 +129,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[0], held[1] = held[0] + total, held[1] + int(n)
     if totals:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(totals), pa.int32()),
+            [pa.array(list(totals), kind),
              as_list_column(np.array([t for t, _ in totals.values()]), pa.float64()),
              pa.array([n for _, n in totals.values()], pa.int64())],
             names=["list_id", "total", "n"],
@@ -130,36 +145,73 @@ def _average(table: pa.Table) -> pa.Table:
     })
 
 
+def _by_value(column: pa.Array | None, rows: int) -> Iterator[tuple[object, np.ndarray]]:
+    """Row numbers of every value of a column; of all rows without one."""
+    if not rows:
+        return
+    if column is None:
+        yield None, np.arange(rows)
+        return
+    coded = column.dictionary_encode()
+    index = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+    order = np.argsort(index, kind="stable")
+    values = [*coded.dictionary.to_pylist(), None]
+    edges = np.searchsorted(index[order], np.arange(len(values) + 1))
+    for at, value in enumerate(values):
+        if edges[at + 1] > edges[at]:
+            yield value, order[edges[at] : edges[at + 1]]
+
+
 def assign_lists(
-    base: DataFrame, centroids: DataFrame, broadcast_limit: int = BROADCAST_LIMIT_BYTES
+    base: DataFrame, centroids: DataFrame, broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    key: str | None = None,
 ) -> DataFrame:
-    """Adds ``list_id``, the nearest centroid. Rows stay where they are unless the centroids are
-    too many to send to every task."""
+    """Adds ``list_id``, the nearest centroid, null for a vector that is null or not finite. With
+    ``key`` a row's lists are those with its value of that column. Rows stay where they are unless
+    the centroids are too many to send to every task."""
     spark = base.sparkSession
     ship_package(spark)
+    number = centroids.schema["list_id"].dataType
+    own = [key] if key else []
     if not _fits(centroids, broadcast_limit):
-        rows = base.select(F.col("id").alias("qid"), "emb")
-        lists = centroids.select(F.col("list_id").cast("long").alias("id"), "emb")
-        found = nearest(rows, lists, 1, broadcast_limit=broadcast_limit)
-        pairs = found.select(F.col("qid").alias("id"), F.col("id").cast("int").alias("list_id"))
-        return base.join(pairs, "id")
+        rows = base.select(F.col("id").alias("qid"), "emb", *own)
+        lists = centroids.select(F.col("list_id").cast("long").alias("id"), "emb", *own)
+        found = nearest(rows, lists, 1, key=key, broadcast_limit=broadcast_limit)
+        pairs = found.select(F.col("qid").alias("id"), F.col("id").cast(number).alias("list_id"))
+        return base.join(pairs, "id", "left")
     table = centroids.toArrow().sort_by("list_id")
-    numbers = table["list_id"].to_numpy()
-    shared = spark.sparkContext.broadcast((numbers, VectorBlock(as_matrix(table["emb"]), EUCLIDEAN)))
+    heads = table[key].to_pylist() if key else [None] * table.num_rows
+    groups: dict = {}
+    for at, value in enumerate(heads):
+        groups.setdefault(value, []).append(at)
+    matrix, numbers = as_matrix(table["emb"]), table["list_id"].to_numpy()
+    shared = spark.sparkContext.broadcast({
+        value: (numbers[rows], VectorBlock(matrix[rows], EUCLIDEAN)) for value, rows in groups.items()
+    })
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, centres = shared.value
         for batch in batches:
-            if batch.num_rows:
-                rows = VectorBlock(as_matrix(batch["emb"]), EUCLIDEAN)
-                found = ids[nearest_row(rows, centres)].astype(np.int32)
-            else:
-                found = np.zeros(0, np.int32)
+            found = np.zeros(batch.num_rows, np.int64)
+            known = batch["emb"].is_valid().to_numpy(zero_copy_only=False)
+            if known.any():
+                matrix = as_matrix(batch["emb"].filter(pa.array(known)))
+                fine = finite_rows(matrix)
+                matrix = matrix[fine]
+                known[known] = fine
+            rows = np.flatnonzero(known)
+            for value, part in _by_value(batch[key].take(pa.array(rows)) if key else None, len(rows)):
+                if value not in shared.value:
+                    known[rows[part]] = False
+                    continue
+                ids, centres = shared.value[value]
+                found[rows[part]] = ids[nearest_row(VectorBlock(matrix[part], EUCLIDEAN), centres)]
+            lists = pa.array(found, mask=~known).cast(kind)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found)], names=[*batch.schema.names, "list_id"]
+                [*batch.columns, lists], names=[*batch.schema.names, "list_id"]
             )
 
-    schema = T.StructType([*base.schema.fields, T.StructField("list_id", T.IntegerType())])
+    kind = to_arrow_type(number)
+    schema = T.StructType([*base.schema.fields, T.StructField("list_id", number)])
     return base.mapInArrow(assign, schema)
 
 
@@ -186,61 +238,41 @@ def search_lists(
     queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int, n_probe: int,
     metric: str = EUCLIDEAN, **sizes: int,
 ) -> DataFrame:
-    """The k nearest rows among the probed lists."""
+    """The k nearest rows among the probed lists; 0 probes search all lists, which is a plain scan."""
+    if not n_probe:
+        return nearest(queries, assigned.where(F.col("list_id").isNotNull()), k, metric, **sizes)
     asked = probes(queries, centroids, n_probe, **sizes)
     partial = nearest_partial(asked, assigned, k, metric, key="list_id", **sizes)
     return rank_nearest(partial, k, metric).select("qid", "id", "rank", "score")
 
 
-def _local_fit(block: int, table: pa.Table, rows_per_list: int, seed: int, iterations: int):
-    table = table.sort_by("id")
-    vectors = VectorBlock(as_matrix(table["emb"]), EUCLIDEAN)
-    n = len(vectors.matrix)
-    lists = max(1, math.ceil(n / rows_per_list))
-    rng = np.random.default_rng([seed, block])
-    centres = vectors.matrix[np.sort(rng.choice(n, lists, replace=False))]
-    for _ in range(iterations):
-        owner = nearest_row(vectors, VectorBlock(centres, EUCLIDEAN))
-        sizes = np.bincount(owner, minlength=lists)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, owner, vectors.matrix)
-        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
-    owner = nearest_row(vectors, VectorBlock(centres, EUCLIDEAN))
-    return table["id"], centres, owner
+# Lists of a block are numbered from this many times the block.
+_LOCAL = 1 << 32
 
 
 def local_lists(
-    base: DataFrame, *, rows_per_list: int = ROWS_PER_FINE_LIST, seed: int = 0, iterations: int = 10
+    base: DataFrame, *, rows_per_list: int = ROWS_PER_FINE_LIST, seed: int = 0, iterations: int = 10,
+    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Lists of their own for every ``block`` of rows.
+    """Lists of their own for every ``block`` of rows, trained for all blocks at once.
 
     Returns the rows with ``list_id`` (unique over all blocks as ``block:number``) and the
-    centroids ``(block, list_id, emb)``. A task holds one block, whose size the caller fixes.
+    centroids ``(block, list_id, emb)``. A block starts from its first rows in seeded order, one
+    list per ``rows_per_list``.
     """
-    ship_package(base.sparkSession)
-
-    def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        ids, centres, owner = _local_fit(block, table, rows_per_list, seed, iterations)
-        names = np.array([f"{block}:{i}" for i in range(len(centres))])
-        rows = pa.table({
-            "block": pa.array(np.full(len(owner), block)), "list_id": pa.array(names[owner]),
-            "id": ids.combine_chunks(),
-            "emb": pa.nulls(len(owner), pa.list_(pa.float64())),
-        })
-        heads = pa.table({
-            "block": pa.array(np.full(len(centres), block)), "list_id": pa.array(names),
-            "id": pa.nulls(len(centres), pa.int64()),
-            "emb": as_list_column(centres, pa.float64()),
-        })
-        return pa.concat_tables([rows, heads])
-
-    schema = "block long, list_id string, id long, emb array<double>"
-    fitted = base.select("block", "id", "emb").groupBy("block").applyInArrow(fit, schema)
-    both = materialize(fitted, "local-lists")
-    centroids = both.where(F.col("id").isNull()).select("block", "list_id", "emb")
-    owners = both.where(F.col("id").isNotNull()).select("id", "list_id")
-    return base.join(owners, "id"), centroids
+    rows = _training_rows(base.select("block", "id", "emb"))
+    order = Window.partitionBy("block").orderBy(shuffle_key(seed, F.col("id")), "id")
+    drawn = rows.select("block", "id").withColumns({
+        "n": F.row_number().over(order) - 1, "rows": F.count("*").over(Window.partitionBy("block")),
+    }).where(F.col("n") < F.ceil(F.col("rows") / rows_per_list))
+    number = F.col("block") * F.lit(_LOCAL) + F.col("n")
+    start = rows.join(drawn.select("id", number.alias("list_id")), "id").select("block", "list_id", "emb")
+    centroids = _rounds(rows, materialize(start, "centroids"), iterations, broadcast_limit, "block")
+    name = F.concat_ws(":", F.floor(F.col("list_id") / _LOCAL), F.col("list_id") % _LOCAL).alias("list_id")
+    assigned = assign_lists(base, centroids, broadcast_limit, "block")
+    rest = [c for c in assigned.columns if c != "list_id"]
+    return assigned.select(*rest, F.when(F.col("list_id").isNotNull(), name).alias("list_id")), \
+        centroids.select("block", name, "emb")
 
 
 def search_local_lists(
@@ -265,33 +297,46 @@ def search_local_lists(
     return rank_nearest(partial, k, metric).select("qid", "id", "rank", "score")
 
 
+def hash_directions(dim: int, tables: int, seed: int) -> np.ndarray:
+    """Unit vectors (dim x tables) whose components come from md5, so that any engine can draw them."""
+    def component(t: int, i: int) -> float:
+        head = hashlib.md5(f"{seed}:{t}:{i}".encode()).hexdigest()[:8]
+        return int(head, 16) / 2147483648.0 - 1.0
+
+    drawn = np.array([[component(t, i) for t in range(tables)] for i in range(dim)])
+    return drawn / np.sqrt((drawn**2).sum(axis=0))
+
+
+def hash_buckets(emb: Column, directions: np.ndarray, bucket_length: float) -> Column:
+    """One bucket per table: ``table * 2**32`` plus the floor of the projection over the length."""
+
+    @arrow_function("array<bigint>")
+    def buckets(column: pa.Array) -> pa.Array:
+        matrix = as_matrix(column)
+        matrix = np.where(finite_rows(matrix)[:, None], matrix, 0.0)
+        place = np.floor(matrix @ directions / bucket_length)
+        place = np.clip(place, -(2**31), 2**31 - 1).astype(np.int64) + 2**31
+        return as_list_column(place + (np.arange(place.shape[1]) << 32), pa.int64())
+
+    return buckets(emb)
+
+
 def nearest_by_hash(
     queries: DataFrame, base: DataFrame, k: int, *, bucket_length: float, tables: int,
     seed: int = 0, **sizes: int,
 ) -> DataFrame:
     """The k nearest rows among those sharing a random-projection bucket with the query.
 
-    Buckets are compared block by block and leave only the k best per query, so a bucket that
-    holds much of the table is split like any other frequent key.
+    A base row lists its buckets beside its vector, which is held once. Buckets leave only the k
+    best per query, so a bucket that holds much of the table is like any other frequent key.
     """
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-        numHashTables=tables, seed=seed,
-    )
-    features = array_to_vector("emb").alias("features")
-    model = lsh.fit(base.select(features))
-
-    def bucketed(df: DataFrame, id_col: str) -> DataFrame:
-        hashed = model.transform(df.select(id_col, "emb", features))
-        place = F.posexplode("hashes").alias("table", "hash")
-        value = vector_to_array("hash")[0].cast("long")
-        return hashed.select(id_col, "emb", place).select(
-            id_col, "emb", F.concat_ws(":", "table", value).alias("bucket")
-        )
-
-    partial = nearest_partial(
-        bucketed(queries, "qid"), bucketed(base, "id"), k, EUCLIDEAN, key="bucket", **sizes
+    first = base.select(F.size("emb").alias("d")).where("d >= 0").first()
+    directions = hash_directions(first["d"] if first else 0, tables, seed)
+    listed = base.select("id", "emb", hash_buckets(F.col("emb"), directions, bucket_length).alias("bucket"))
+    asked = queries.select(
+        "qid", "emb", F.explode(hash_buckets(F.col("emb"), directions, bucket_length)).alias("bucket")
     )
+    partial = nearest_partial(asked, listed, k, EUCLIDEAN, key="bucket", **sizes)
     once = partial.groupBy("qid", "id").agg(F.min("__key").alias("__key"))
     return rank_nearest(once, k, EUCLIDEAN).select("qid", "id", "rank", "score")
 

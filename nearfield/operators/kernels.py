@@ -8,7 +8,8 @@ import pyarrow as pa
 EUCLIDEAN = "euclidean"
 COSINE = "cosine"
 
-_UNIT = float(np.finfo(np.float64).eps)
+# Matrix products are taken in single precision while squares stay well inside its range.
+_SINGLE_RANGE = (1e-25, 1e30)
 # Cells of a query x base distance matrix held at once, and pairs rescored at once.
 _MATRIX_CELLS = 1_000_000
 _PAIR_VALUES = 4_000_000
@@ -17,7 +18,8 @@ _PAIR_VALUES = 4_000_000
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column, or binary column of u8 codes, as an (n, d) float64 matrix.
 
-    Refuses nulls and ragged rows.
+    Refuses nulls and ragged rows. Rows with a value that is not finite are the caller's to drop
+    (:func:`finite_rows`): they have no distance to anything.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -27,10 +29,12 @@ def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if column.null_count:
         raise ValueError("null vector")
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        parts = column.to_pylist()
-        if len({len(part) for part in parts}) > 1:
+        _, offsets, data = column.cast(pa.large_binary()).buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+        if (np.diff(at) != at[1] - at[0]).any():
             raise ValueError("vectors differ in dimension")
-        return np.frombuffer(b"".join(parts), np.uint8).astype(np.float64).reshape(n, -1)
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        return raw.astype(np.float64).reshape(n, -1)
     values = column.flatten()
     dim, ragged = divmod(len(values), n)
     lengths = column.value_lengths()
@@ -47,6 +51,11 @@ def as_list_column(matrix: np.ndarray, value_type: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel(), type=value_type))
 
 
+def finite_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows without NaN and infinity."""
+    return np.isfinite(matrix).all(axis=1)
+
+
 def pair_scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
     """Exact double-precision distance (Euclidean) or similarity (cosine) of aligned rows."""
     if metric == EUCLIDEAN:
@@ -74,25 +83,35 @@ class VectorBlock:
     def __init__(self, matrix: np.ndarray, metric: str):
         self.matrix = matrix
         self.squares = np.einsum("ij,ij->i", matrix, matrix)
+        low, high = _SINGLE_RANGE
+        single = metric == COSINE or low < self.squares.max(initial=1.0) < high
+        self.kind = np.float32 if single else np.float64
         if metric == COSINE:
             norms = np.sqrt(self.squares)
             unit = np.divide(
                 matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0
             )
-            self.query_form = self.base_form = unit
+            self.query_form = self.base_form = unit.astype(self.kind)
         else:
             ones = np.full((len(matrix), 1), -0.5)
-            self.query_form = np.hstack([matrix, ones])
-            self.base_form = np.hstack([matrix, self.squares[:, None]])
+            self.query_form = np.hstack([matrix, ones]).astype(self.kind)
+            self.base_form = np.hstack([matrix, self.squares[:, None]]).astype(self.kind)
 
     def take(self, rows) -> VectorBlock:
         part = object.__new__(VectorBlock)
+        part.kind = self.kind
         part.matrix, part.squares = self.matrix[rows], self.squares[rows]
         part.query_form = self.query_form[rows]
         part.base_form = part.query_form if self.base_form is self.query_form else self.base_form[rows]
         return part
 
 
+def _slack(queries: VectorBlock, base: VectorBlock, scale: np.ndarray) -> np.ndarray:
+    """How far a rough value can be from the true one: the rounding of the forms and of the sums."""
+    unit = max(float(np.finfo(b.kind).eps) for b in (queries, base))
+    return 4.0 * (base.matrix.shape[1] + 8) * unit * scale
+
+
 def _rescore(queries, base, qi, bi, metric):
     step = max(1, _PAIR_VALUES // max(1, base.matrix.shape[1]))
     out = np.empty(len(qi))
@@ -116,8 +135,8 @@ def _nearest_chunk(queries, base, ids, k, metric, worst, allowed):
         rough[~allowed] = -np.inf
     # Every true neighbour lies within rounding error of the k-th rough value, however many
     # rows tie there, so the exact ranking below sees all of them.
-    slack = 4.0 * (base.matrix.shape[1] + 8) * _UNIT * scale
-    floor = np.maximum(least - slack, np.finfo(np.float64).min)
+    slack = _slack(queries, base, scale)
+    floor = np.maximum(least - slack, np.finfo(rough.dtype).min)
     keep = rough >= floor[:, None]
     if rough.shape[1] > k and np.count_nonzero(keep) > 4 * k * len(rough):
         kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
@@ -136,24 +155,25 @@ def _nearest_chunk(queries, base, ids, k, metric, worst, allowed):
 class TopK:
     """The k nearest ids so far of every query row; blocks of base rows are merged in."""
 
-    def __init__(self, queries: VectorBlock, k: int, metric: str, bound: np.ndarray | None = None):
+    def __init__(self, queries: VectorBlock, k: int, metric: str):
         self.queries, self.k, self.metric = queries, k, metric
         n = len(queries.matrix)
-        self.bound = np.full(n, np.inf) if bound is None else bound
         self.keys = np.full((n, k), np.inf)
         self.ids = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
 
     def add(self, rows: np.ndarray, base: VectorBlock, ids: np.ndarray, allowed=None) -> None:
         """Merge base rows into the query rows ``rows``; ``allowed(rows)`` masks pairs."""
-        if not len(ids):
+        if not len(ids) or not len(rows):
             return
+        if base.matrix.shape[1] != self.queries.matrix.shape[1]:
+            raise ValueError("vectors differ in dimension")
         step = max(1, _MATRIX_CELLS // len(ids))
         for at in range(0, len(rows), step):
             part = rows[at : at + step]
             mask = allowed(part) if allowed is not None else None
             qi, place, keys, found = _nearest_chunk(
                 self.queries.take(part), base, ids, self.k, self.metric,
-                np.minimum(self.keys[part, self.k - 1], self.bound[part]), mask,
+                self.keys[part, self.k - 1], mask,
             )
             if len(qi):
                 self._merge(part, qi, place, keys, found)
@@ -173,7 +193,7 @@ class TopK:
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query row, base id and sort key of everything found."""
-        qi, place = np.nonzero(np.isfinite(self.keys) & (self.keys <= self.bound[:, None]))
+        qi, place = np.nonzero(np.isfinite(self.keys))
         return qi, self.ids[qi, place], self.keys[qi, place]
 
 
@@ -211,7 +231,7 @@ def nearest_row(vectors: VectorBlock, centres: VectorBlock) -> np.ndarray:
     out = np.empty(n, dtype=np.int64)
     step = max(1, _MATRIX_CELLS // max(1, len(centres.matrix)))
     scale = vectors.squares + centres.squares.max()
-    slack = 4.0 * (vectors.matrix.shape[1] + 8) * _UNIT * scale
+    slack = _slack(vectors, centres, scale)
     for at in range(0, n, step):
         rows = slice(at, at + step)
         rough = vectors.query_form[rows] @ centres.base_form.T

@@ -4,7 +4,8 @@ One operator covers the plain join and its filtered forms: an equality key (labe
 inverted lists, hash buckets) and a closed range. Two physical forms give the same rows:
 
 * few queries: the query matrix, whose size is checked first, is broadcast and the base table is
-  scanned once where it lies, every task keeping only the k best per query;
+  scanned once where it lies, every task keeping only the k best per query; a few times as many are
+  cut into slices of that size, each with a scan of its own, so that the base is never moved;
 * many queries: both sides are cut into blocks, each pair of blocks is compared in one task, and
   only the k best per query and block pair leave it. A frequent key gets more blocks.
 
@@ -30,6 +31,7 @@ from nearfield.operators.kernels import (
     VectorBlock,
     add_in_range,
     as_matrix,
+    finite_rows,
 )
 from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, ship_package
 
@@ -37,9 +39,10 @@ from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, ship_package
 BLOCK_VALUES = 8_000_000
 # Tables of block counts up to this many keys are broadcast (about 32 bytes a key).
 _BROADCAST_KEYS = 1_000_000
-# Estimated base size from which on a first bound per query is taken from a slice of the base.
-_BOUND_BYTES = 32 * 1024**3
-_BOUND_ROWS = 100_000
+# Slices of queries that are broadcast one by one before the blocked form takes over, and scan tasks
+# per core: fewer and longer tasks leave fewer partial lists to merge.
+_MOST_SLICES = 8
+_SCANS_PER_CORE = 4
 # Range queries are put in up to this many bands of range starts.
 _BAND = "__band"
 _MOST_BANDS = 64
@@ -109,7 +112,11 @@ class _Queries:
 
     def __init__(self, table: pa.Table, spec: _Spec):
         self.spec = spec
-        self.block = VectorBlock(as_matrix(table["emb"]), spec.metric)
+        matrix = as_matrix(table["emb"])
+        fine = finite_rows(matrix)
+        if not fine.all():
+            matrix, table = matrix[fine], table.filter(pa.array(fine))
+        self.block = VectorBlock(matrix, spec.metric)
         self.labels = {name: table[name].combine_chunks() for name in ("qid", *spec.tags)}
         n = table.num_rows
         if spec.key:
@@ -122,16 +129,21 @@ class _Queries:
         if spec.within:
             self.low = _numpy(table[spec.within.low])
             self.high = _numpy(table[spec.within.high])
-        self.bound = None
 
     def collector(self) -> TopK:
-        return TopK(self.block, self.spec.k, self.spec.metric, self.bound)
+        return TopK(self.block, self.spec.k, self.spec.metric)
 
     def add(self, top: TopK, batch) -> None:
         if not batch.num_rows:
             return
         spec = self.spec
-        base = VectorBlock(as_matrix(batch["emb"]), spec.metric)
+        matrix = as_matrix(batch["emb"])
+        fine = finite_rows(matrix)
+        if not fine.all():
+            matrix, batch = matrix[fine], batch.filter(pa.array(fine))
+            if not batch.num_rows:
+                return
+        base = VectorBlock(matrix, spec.metric)
         ids = _numpy(batch["id"])
         attr = _numpy(batch[spec.within.attr]) if spec.within else None
         if not spec.key:
@@ -139,6 +151,10 @@ class _Queries:
             return
         codes = batch[spec.key]
         codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        owner = None
+        if pa.types.is_list(codes.type):  # a row stands under each of its keys; its vector is held once
+            owner = np.repeat(np.arange(len(codes)), codes.value_lengths().to_numpy())
+            codes = codes.flatten()
         coded = codes.dictionary_encode()
         values = coded.dictionary.to_pylist()
         index = _numpy(coded.indices)
@@ -148,6 +164,7 @@ class _Queries:
             rows = self.rows.get(value)
             if rows is not None:
                 part = order[edges[at] : edges[at + 1]]
+                part = part if owner is None else owner[part]
                 self._merge(
                     top, rows, base.take(part), ids[part], None if attr is None else attr[part]
                 )
@@ -184,50 +201,30 @@ def _scan_with(shared, base: DataFrame, schema: T.StructType) -> DataFrame:
     return base.mapInArrow(scan, schema)
 
 
-def _broadcast_form(queries: DataFrame, base: DataFrame, spec: _Spec) -> DataFrame:
+def _broadcast_form(table: pa.Table, queries: DataFrame, base: DataFrame, spec: _Spec) -> DataFrame:
     context = base.sparkSession.sparkContext
-    table = queries.toArrow()
     local = _Queries(table, spec)
     if spec.key:
         keys = [key for key in local.rows if key is not None]
-        if len(keys) <= 1000:
+        kind = base.schema[spec.key].dataType
+        if isinstance(kind, T.ArrayType):
+            if 0 < len(keys) <= 1000:
+                own = F.array(*[F.lit(key).cast(kind.elementType) for key in keys])
+                base = base.where(F.arrays_overlap(F.col(spec.key), own))
+        elif len(keys) <= 1000:
             base = base.where(F.col(spec.key).isin(keys))
         else:
-            wanted = queries.select(spec.key).distinct()
+            wanted = base.sparkSession.createDataFrame([(key,) for key in keys], T.StructType(
+                [T.StructField(spec.key, queries.schema[spec.key].dataType)]))
             base = base.join(F.broadcast(wanted), spec.key, "left_semi").select(*base.columns)
-    if spec.within and table.num_rows:
+    if spec.within and len(local.low):
         reach = F.col(spec.within.attr).between(local.low.min().item(), local.high.max().item())
         base = base.where(reach)
     schema = _partial_schema(queries, spec)
-    if _estimated_bytes(base) >= _BOUND_BYTES:
-        local.bound = _first_bounds(context.broadcast(local), local, base, schema)
+    base = base.coalesce(_SCANS_PER_CORE * context.defaultParallelism)
     return _scan_with(context.broadcast(local), base, schema)
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, without running any of it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def _first_bounds(shared, local: _Queries, base: DataFrame, schema: T.StructType) -> np.ndarray:
-    """An upper bound of every query's k-th key, from the matches in one slice of the base.
-
-    Any k matching rows bound the k-th best key from above, so tasks may drop what is worse.
-    One number per (already broadcast) query row comes back to the driver.
-    """
-    spec = local.spec
-    labels = ["qid", *spec.tags]
-    kth = (
-        _scan_with(shared, base.limit(_BOUND_ROWS), schema)
-        .groupBy(*labels)
-        .agg(F.count("*").alias("n"), F.max("__key").alias("key"))
-        .where(F.col("n") >= spec.k)
-    )
-    known = {tuple(row[c] for c in labels): row["key"] for row in kth.collect()}
-    rows = zip(*(column.to_pylist() for column in local.labels.values()))
-    return np.array([known.get(row, np.inf) for row in rows], dtype=float)
-
-
 def _banded(queries: DataFrame, base: DataFrame, within: Range, query_rows: int):
     """Give range queries a band by where their range starts, and base rows every band that some
     range in it reaches, so that a band's queries meet only the rows they can match."""
@@ -326,15 +323,29 @@ def nearest_partial(
     block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Candidate lists ``(qid, tags, id, __key)`` holding at least the k nearest of every query
-    row; rows with a null vector, key, attribute or range end never match."""
+    row; rows with a null vector, key, attribute or range end never match, nor do vectors with a
+    value that is not finite. The base's key column may be a list of distinct keys, under each of
+    which the row stands."""
     ship_package(base.sparkSession)
     spec = _Spec(k, metric_for(metric), key, within, tuple(tags))
     asked, held = _filters(spec)
     queries = _present(queries.select(*_query_columns(spec)), asked)
     base = _present(base.select(*_base_columns(spec)), held)
     dim = max(1, _dimension(base))
-    if queries.count() * dim * 8 <= broadcast_limit:
-        return _broadcast_form(queries, base, spec)
+    size = queries.count() * dim * 8
+    slices = -(-size // broadcast_limit) if broadcast_limit else size
+    if slices <= 1:
+        return _broadcast_form(queries.toArrow(), queries, base, spec)
+    if slices <= _MOST_SLICES:
+        stored = materialize(queries, "queries")
+        part = F.pmod(F.xxhash64("qid", *spec.tags), F.lit(slices))
+        found = None
+        for number in range(slices):
+            scan = _broadcast_form(stored.where(part == number).toArrow(), stored, base, spec)
+            found = scan if found is None else found.unionByName(scan)
+        return found
+    if spec.key and isinstance(base.schema[spec.key].dataType, T.ArrayType):
+        base = base.withColumn(spec.key, F.explode(spec.key))
     rows = max(1, block_values // dim)
     return _blocked_form(queries, base, spec, rows, rows)
 
@@ -393,8 +404,8 @@ def nearest_with_member(
     **sizes: int,
 ) -> DataFrame:
     """The k nearest rows whose list column ``of`` contains the query's ``member``."""
-    exploded = base.select("id", "emb", F.explode(F.array_distinct(of)).alias(member))
-    return nearest(queries, exploded, k, metric, key=member, **sizes)
+    listed = base.select("id", "emb", F.array_distinct(of).alias(member))
+    return nearest(queries, listed, k, metric, key=member, **sizes)
 
 
 def neighbour_lists(queries: DataFrame, ranked: DataFrame) -> DataFrame:

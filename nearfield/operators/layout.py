@@ -76,18 +76,24 @@ def file_index(numbered: DataFrame, rows_per_file: int, idx: str = "idx") -> Dat
 
 
 def split_index(numbered: DataFrame, sizes: Sequence[int], idx: str = "idx") -> DataFrame:
-    """Adds ``file_idx`` from given row counts per file (a list of file sizes, not of rows)."""
+    """Adds ``file_idx`` from given row counts per file (a list of file sizes, not of rows).
+
+    Fails where rows, numbered from 0, are not as many as the sizes say.
+    """
     spark = numbered.sparkSession
     starts, at = [], 0
     for number, size in enumerate(sizes):
         if size:
             starts.append((at, at + size, number))
         at += size
+    last = numbered.agg(F.max(idx).alias("last")).first()["last"]
+    if (-1 if last is None else last) != at - 1:
+        raise ValueError(f"files of {at} rows in all do not fit {0 if last is None else last + 1} rows")
     if len(starts) <= 1000:
         place = F.lit(None).cast("int")
         for low, _, number in starts:
             place = F.when(F.col(idx) >= low, number).otherwise(place)
-        return numbered.where(F.col(idx) < at).withColumn("file_idx", place)
+        return numbered.withColumn("file_idx", place)
     table = spark.createDataFrame(starts, "low long, high long, file_idx int")
     # An equality on coarse steps turns the range lookup into a hash join.
     step = max(1, math.ceil(at / len(starts)))

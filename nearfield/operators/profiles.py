@@ -2,108 +2,95 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 8
-
-
-def _node_type(levels: int) -> str:
-    children = "string" if levels == 0 else f"array<{_node_type(levels - 1)}>"
-    return f"struct<operator_name:string,operator_timing:double,children:{children}>"
-
-
-def _root_type(levels: int) -> str:
-    head = "latency double, all_optimizers double, planner double, physical_planner double"
-    return f"{head}, operator_name string, operator_timing double, children array<{_node_type(levels)}>"
-
-
-_NODE = "array<struct<path:array<int>,name:string,timing:double>>"
+from nearfield.functions.arrow import arrow_function
+
+_HEAD = "latency double, all_optimizers double, planner double, physical_planner double"
+_NODE = "struct<path:array<int>,name:string,timing:double>"
+
+
+def _walk(text: str) -> list[dict]:
+    """The nodes of one tree in pre-order, whatever its depth; text that is no tree has a bare root."""
+    try:
+        tree = json.loads(text)
+    except (ValueError, RecursionError):
+        tree = None
+    out, left = [], [([], tree if isinstance(tree, dict) else {})]
+    while left:
+        path, node = left.pop()
+        name, timing = node.get("operator_name"), node.get("operator_timing")
+        out.append({
+            "path": path, "name": None if name is None else str(name),
+            "timing": None if timing is None else float(timing),
+        })
+        children = node.get("children") or []
+        left += [([*path, i], children[i]) for i in reversed(range(len(children)))]
+    return out
+
+
+def _nodes(text: Column) -> Column:
+    @arrow_function(f"array<{_NODE}>")
+    def nodes(column: pa.Array) -> pa.Array:
+        kind = pa.struct([("path", pa.list_(pa.int32())), ("name", pa.string()), ("timing", pa.float64())])
+        return pa.array([_walk(x) for x in column.to_pylist()], pa.list_(kind))
+
+    bare = F.array(F.struct(
+        F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("double").alias("timing"),
+    ))
+    return F.transform(F.coalesce(nodes(text), bare), lambda n: F.struct(
+        n["path"].alias("path"), F.trim(n["name"]).alias("name"),
+        F.coalesce(n["timing"], F.lit(0.0)).alias("timing"),
+    ))
 
 
 def profile_nodes(
-    df: DataFrame, text: str, keys: Sequence[str], depth: int = MAX_DEPTH,
-    facts: Sequence[str] = (),
+    df: DataFrame, text: str, keys: Sequence[str], facts: Sequence[str] = ()
 ) -> DataFrame:
     """One row per tree node: keys, ``path`` (positions from the root), name and timing.
 
-    Paths compare in pre-order. ``facts`` are root fields repeated on every node. The text is
-    parsed once and its levels are unfolded one after the other; a tree deeper than ``depth``
-    fails instead of losing nodes.
+    Paths compare in pre-order. ``facts`` are root fields repeated on every node.
     """
-    tree = F.col("__tree")
-    rows = df.select(*keys, F.from_json(text, _root_type(depth)).alias("__tree"))
-    root = F.struct(
-        F.array().cast("array<int>").alias("path"),
-        tree["operator_name"].alias("name"),
-        tree["operator_timing"].alias("timing"),
-    )
-    none = F.array().cast(f"array<{_node_type(depth)}>")
-    rows = rows.withColumn("__at0", F.transform(
-        F.coalesce(tree["children"], none),
-        lambda c, i: F.struct(F.array(i).alias("path"), c.alias("node")),
-    ))
-    levels = [F.array(root)]
-    for level in range(depth + 1):
-        at = F.col(f"__at{level}")
-        levels.append(F.transform(at, lambda n: F.struct(
-            n["path"].alias("path"), n["node"]["operator_name"].alias("name"),
-            n["node"]["operator_timing"].alias("timing"))))
-        if level < depth:
-            below = F.flatten(F.transform(at, _expander(depth - level - 1)))
-            rows = rows.withColumn(f"__at{level + 1}", below)
-    too_deep = F.exists(
-        f"__at{depth}", lambda n: F.coalesce(n["node"]["children"], F.lit("[]")) != "[]"
-    )
-    message = F.lit(f"profile tree deeper than {depth + 1} levels")
-    nodes = F.when(too_deep, F.raise_error(message).cast(_NODE)).otherwise(F.concat(*levels))
-    return rows.select(
-        *keys, *[tree[f].alias(f) for f in facts], F.explode(nodes).alias("n")
-    ).select(
-        *keys, *facts, "n.path", F.trim("n.name").alias("name"),
-        F.coalesce("n.timing", F.lit(0.0)).alias("timing"),
-    )
-
-
-def _expander(levels: int):
-    none = F.array().cast(f"array<{_node_type(levels)}>")
-
-    def expand(n: Column) -> Column:
-        return F.transform(
-            F.coalesce(n["node"]["children"], none),
-            lambda c, i: F.struct(F.concat(n["path"], F.array(i)).alias("path"), c.alias("node")),
-        )
-
-    return expand
+    head = F.from_json(text, _HEAD)
+    return df.select(
+        *keys, *[head[f].alias(f) for f in facts], F.explode(_nodes(F.col(text))).alias("n")
+    ).select(*keys, *facts, "n.*")
 
 
 def profile_rollup(
     df: DataFrame, text: str, keys: Sequence[str], *, index_scans: Sequence[str],
-    sequential_scans: Sequence[str] = ("SEQ_SCAN",), depth: int = MAX_DEPTH,
+    sequential_scans: Sequence[str] = ("SEQ_SCAN",),
 ) -> DataFrame:
     """Per profile: first index scan and sequential scan in pre-order, time outside them, planning
-    time, and what is left of the latency for the index scan (never negative)."""
+    time, and what is left of the latency for the index scan (never negative). A row's tree is
+    summed up in the row."""
     phases = ["all_optimizers", "planner", "physical_planner"]
-    nodes = profile_nodes(df, text, keys, depth, ["latency", *phases])
+    rows = df.select(*keys, F.from_json(text, _HEAD).alias("__head"), _nodes(F.col(text)).alias("__nodes"))
+    head, nodes = F.col("__head"), F.col("__nodes")
+
+    def named(names: Sequence[str]):
+        return lambda n: F.coalesce(n["name"].isin(list(names)), F.lit(False))
 
     def first(names: Sequence[str]) -> Column:
-        hit = F.col("name").isin(list(names))
-        return F.min(F.when(hit, F.struct("path", "timing")))["timing"]
+        return F.get(F.filter(nodes, named(names)), 0)["timing"]
 
     def outside(names: Sequence[str]) -> Column:
-        skip = F.coalesce(F.col("name").isin(list(names)), F.lit(False))
-        return F.sum(F.when(skip, 0.0).otherwise(F.col("timing")))
+        rest = F.filter(nodes, lambda n: ~named(names)(n))
+        return F.aggregate(rest, F.lit(0.0), lambda total, n: total + n["timing"])
 
-    planning = sum((F.coalesce(F.max(p), F.lit(0.0)) for p in phases), F.lit(0.0))
-    sums = nodes.groupBy(*keys).agg(
-        F.count("*").alias("nodes"),
+    planning = sum((F.coalesce(head[p], F.lit(0.0)) for p in phases), F.lit(0.0))
+    return rows.select(
+        *keys,
+        F.size(nodes).cast("long").alias("nodes"),
         first(index_scans).alias("index_scan"),
         first(sequential_scans).alias("sequential_scan"),
         outside([*index_scans, *sequential_scans]).alias("other_operators"),
         planning.alias("planning"),
-        (F.max("latency") - outside(index_scans)).alias("__left"),
+        F.greatest(F.lit(0.0), head["latency"] - outside(index_scans) - planning).alias("index_scan_residual"),
     )
-    residual = F.greatest(F.lit(0.0), F.col("__left") - F.col("planning"))
-    return sums.withColumn("index_scan_residual", residual).drop("__left")

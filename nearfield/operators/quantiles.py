@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.operators.numbering import number_rows
+from nearfield.session import materialize
+
+# Rows of positions (some 40 bytes each) up to which they are broadcast.
+_BROADCAST_POSITIONS = 500_000
 
 
 def group_starts(numbered: DataFrame, groups: Sequence[str], idx: str = "idx") -> DataFrame:
@@ -40,7 +44,11 @@ def ordered_values(df: DataFrame, groups: Sequence[str], value: str, id_col: str
 
 
 def values_at(ordered: DataFrame, wanted: DataFrame, position: str) -> DataFrame:
-    """``wanted`` with the value at the table-wide number in column ``position``."""
+    """``wanted`` with the value at the table-wide number in column ``position``. A few positions,
+    which are counted first, are sent to the ordered table, which then stays where it is."""
+    wanted = materialize(wanted, "positions")
+    if wanted.count() <= _BROADCAST_POSITIONS:
+        wanted = F.broadcast(wanted)
     lookup = ordered.select(F.col("idx").alias(position), F.col("value"))
     return wanted.join(lookup, position)
 

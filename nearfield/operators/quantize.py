@@ -14,9 +14,11 @@ from nearfield.functions.arrow import arrow_function
 from nearfield.functions.vectors import vector_score
 from nearfield.operators.kernels import EUCLIDEAN, as_list_column, as_matrix
 from nearfield.operators.knn import nearest_partial, rank_nearest
-from nearfield.session import ship_package
+from nearfield.session import materialize, ship_package
 
 LEVELS = 255
+# Candidate pairs up to which their ids (8 bytes each) are broadcast.
+_BROADCAST_CANDIDATES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,9 @@ def quantise(emb: Column, bounds: Bounds) -> Column:
     def codes(column: pa.Array) -> pa.Array:
         scaled = np.rint((as_matrix(column) - low) / width * LEVELS)
         packed = np.clip(scaled, 0, LEVELS).astype(np.uint8)
-        return pa.array([row.tobytes() for row in packed], pa.binary())
+        n, dim = packed.shape
+        ends = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * np.int32(dim)).tobytes())
+        return pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(packed.tobytes())])
 
     return codes(emb)
 
@@ -117,10 +121,15 @@ def code_candidates(queries: DataFrame, coded: DataFrame, m: int, bounds: Bounds
 def rerank(
     candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, metric: str = EUCLIDEAN
 ) -> DataFrame:
-    """Exact order of candidate rows: ``(qid, id, rank, score)``. Only candidates meet vectors."""
+    """Exact order of candidate rows: ``(qid, id, rank, score)``. Only candidates meet vectors: their
+    ids, counted first, are sent to the base where they are few, so that only their rows move."""
+    found = materialize(candidates.select("qid", "id"), "candidates")
+    ids = found.select("id").distinct()
+    if found.count() <= _BROADCAST_CANDIDATES:
+        ids = F.broadcast(ids)
+    fetched = base.select("id", F.col("emb").alias("__b")).join(ids, "id", "left_semi")
     pairs = (
-        candidates.select("qid", "id")
-        .join(base.select("id", F.col("emb").alias("__b")), "id")
+        found.join(fetched, "id")
         .join(queries.select("qid", F.col("emb").alias("__q")), "qid")
     )
     score, ascending = vector_score(metric, F.col("__q"), F.col("__b"))

@@ -12,35 +12,47 @@ from pyspark.sql import functions as F
 from nearfield.operators.numbering import block_of, running_total
 
 
+def _upto(values: DataFrame, attr: str, points: DataFrame) -> DataFrame:
+    """``points`` (``qid``, ``point`` and ``side``) with the number of values before each point.
+
+    Points of side 0 sort before equal values, those of side 2 after them. Values and points keep
+    their own types; the union gives both the wider one, so nothing is truncated.
+    """
+    kind = points.schema["qid"].dataType
+    counted = (
+        values.where(F.col(attr).isNotNull())
+        .groupBy(F.col(attr).alias("point"))
+        .agg(F.count("*").alias("n"))
+        .select("point", F.lit(1).alias("side"), F.lit(None).cast(kind).alias("qid"), "n")
+    )
+    asked = points.select("point", "side", "qid", F.lit(0).cast("long").alias("n"))
+    totals = running_total(counted.unionByName(asked), ["point", "side", "qid"], "n")
+    return totals.where(F.col("side") != 1)
+
+
 def range_counts(
     values: DataFrame, attr: str, ranges: DataFrame, *, qid: str = "qid",
     low: str = "range_start", high: str = "range_end",
 ) -> DataFrame:
     """``(qid, count)``: rows whose ``attr`` lies in the closed range. Empty ranges count 0."""
-    kind = ranges.schema[low].dataType
-    points = (
-        values.where(F.col(attr).isNotNull())
-        .groupBy(F.col(attr).cast(kind).alias("point"))
-        .agg(F.count("*").alias("n"))
-        .select("point", F.lit(1).alias("side"), F.lit(None).cast("long").alias("qid"), "n")
-    )
-    # A range start sorts before equal values, a range end after them.
-    ends = ranges.select(
-        F.explode(
-            F.array(
-                F.struct(F.col(low).alias("point"), F.lit(0).alias("side")),
-                F.struct(F.col(high).cast(kind).alias("point"), F.lit(2).alias("side")),
-            )
-        ).alias("end"),
-        F.col(qid).cast("long").alias("qid"),
-    ).select("end.point", "end.side", "qid", F.lit(0).cast("long").alias("n"))
-    totals = running_total(points.unionByName(ends), ["point", "side", "qid"], "n")
+    def end(column: str, side: int) -> DataFrame:
+        return ranges.select(
+            F.col(qid).alias("qid"), F.col(column).alias("point"), F.lit(side).alias("side")
+        )
+
+    totals = _upto(values, attr, end(low, 0).unionByName(end(high, 2)))
     below = F.max(F.when(F.col("side") == 0, F.col("total")))
     upto = F.max(F.when(F.col("side") == 2, F.col("total")))
-    return (
-        totals.where(F.col("side") != 1)
-        .groupBy(F.col("qid").alias(qid))
-        .agg(F.greatest(upto - below, F.lit(0)).alias("count"))
+    return totals.groupBy(F.col("qid").alias(qid)).agg(
+        F.greatest(upto - below, F.lit(0)).alias("count")
+    )
+
+
+def matches_per_query(queries: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``(qid, n)``: rows of ``values`` with the query's key, counted once per key; 0 if none."""
+    sizes = values.groupBy(key).agg(F.count("*").alias("n"))
+    return queries.select("qid", key).join(sizes, key, "left").select(
+        "qid", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
 
 
@@ -75,13 +87,13 @@ def skippable_blocks(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     is two one-sided range counts.
     """
     total = blocks.count()
-    reaching = range_counts(
-        blocks, "high", ranges.select("qid", "range_start", F.lit(2**62).alias("range_end"))
-    ).withColumnRenamed("count", "not_below")
-    started = range_counts(
-        blocks, "low", ranges.select("qid", F.lit(-(2**62)).alias("range_start"), "range_end")
-    ).withColumnRenamed("count", "not_above")
-    overlap = F.col("not_below") + F.col("not_above") - F.lit(total)
+    starts = ranges.select("qid", F.col("range_start").alias("point"), F.lit(0).alias("side"))
+    ends = ranges.select("qid", F.col("range_end").alias("point"), F.lit(2).alias("side"))
+    known = blocks.where(F.col("high").isNotNull()).count()
+    reaching = _upto(blocks, "high", starts).select("qid", (F.lit(known) - F.col("total")).alias("not_below"))
+    started = _upto(blocks, "low", ends).select("qid", F.col("total").alias("not_above"))
+    # every block with values starts by the end of a range or ends before its start, or both
+    overlap = F.col("not_below") + F.col("not_above") - F.lit(known)
     return reaching.join(started, "qid").select(
         "qid",
         (F.lit(total) - overlap).alias("skipped"),

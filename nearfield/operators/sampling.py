@@ -13,9 +13,21 @@ from nearfield.operators.numbering import number_rows, number_rows_total
 ROW_GROUP = 122_880
 
 
+def _likely_first(ids: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+    """Rows that hold the first n in shuffled order: those whose key starts low enough for a few more
+    than n to be expected. They are counted; if they are too few, all rows are returned."""
+    total = ids.count()
+    share = (n + 8 * n**0.5 + 20) / total if total else 1.0
+    if share >= 0.5:
+        return ids
+    whole = 16**15
+    few = ids.where(hash_draw(seed, F.col(id_col), F.lit(whole)) < int(share * whole))
+    return few if few.count() >= n else ids
+
+
 def sample_ids(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
     """``(id, original_id)`` of a seeded sample without replacement, renumbered in id order."""
-    ids = df.select(id_col)
+    ids = _likely_first(df.select(id_col), n, seed, id_col)
     drawn = number_rows(ids, [shuffle_key(seed, F.col(id_col)), id_col], "__draw").where(
         F.col("__draw") < n
     )
@@ -109,7 +121,9 @@ def shuffle_queries(
     """Generated queries in random order with new ids, each with a drawn vector."""
     drawn = draw_positions(filters, n_vectors, seed + 1, "qid", "at")
     mixed = number_rows(drawn, [shuffle_key(seed, F.col("qid")), "qid"], "id")
-    sources = number_rows(
-        vectors.select(F.col(id_col).alias("source_id"), "emb"), ["source_id"], "at"
+    # only ids are numbered; vectors move for the drawn rows alone
+    sources = number_rows(vectors.select(F.col(id_col).alias("source_id")), ["source_id"], "at")
+    named = mixed.join(sources, "at").drop("at")
+    return named.join(vectors.select(F.col(id_col).alias("source_id"), "emb"), "source_id").select(
+        *mixed.drop("at").columns, "source_id", "emb"
     )
-    return mixed.join(sources, "at").drop("at")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.codec import error_report, quantise_column
-from nearfield.functions.hashing import mix32_sql
+from nearfield.functions.hashing import replicate_draw_sql, replicate_key_sql
 from nearfield.operators.bootstrap import bootstrap_median
 from nearfield.operators.buckets import assign_bucket, bucket_qps, bucket_recalls
 from nearfield.operators.knn import nearest, neighbour_lists
@@ -138,13 +138,12 @@ def rates(spark, sf):
     return _summary(spark, sf).select("kind", "run", "qps")
 
 
-REPLICATES = 100
+REPLICATES = 1000
 
 
 def bootstrap_sql(source: str, groups: str, throughput: bool, replicates: int, digits: int = 6) -> str:
     """The same resamples drawn in SQL: ``source`` has the groups, ``latency`` and ``event_id``."""
-    key = mix32_sql("(b + 42) % 4294967296")
-    draw = mix32_sql("(key + i * 2654435769) % 4294967296")
+    key, draw = replicate_key_sql(42, "b"), replicate_draw_sql("key", "i", "n")
     stat = "CASE WHEN m > 0 THEN 1 / m ELSE 'inf'::DOUBLE END" if throughput else "m"
     est = "CASE WHEN med > 0 THEN 1 / med ELSE 0 END" if throughput else "med"
     using = f"USING ({groups})"
@@ -154,7 +153,7 @@ r AS (SELECT {groups}, latency, row_number() OVER (PARTITION BY {groups} ORDER B
 g AS (SELECT {groups}, count(*) AS n, median(latency) AS med FROM s GROUP BY {groups}),
 reps AS (SELECT b, {key} AS key FROM range({replicates}) t(b)),
 d AS (SELECT {groups}, n, b, unnest(range(n)) AS i, key FROM g, reps WHERE n > 1),
-dr AS (SELECT {groups}, b, ({draw}) % n AS rank FROM d),
+dr AS (SELECT {groups}, b, {draw} AS rank FROM d),
 m AS (SELECT {groups}, b, median(latency) AS m FROM dr JOIN r USING ({groups}, rank) GROUP BY {groups}, b),
 c AS (SELECT {groups}, quantile_cont({stat}, 0.025) AS lo, quantile_cont({stat}, 0.975) AS hi FROM m GROUP BY {groups})
 SELECT {groups}, round({est}, {digits}) AS estimate, round(coalesce({est} - lo, 0), {digits}) AS lower_err,
@@ -240,7 +239,7 @@ ARXIV_BOUNDS = [(0, 5), (5, 25), (25, 75), (75, 100)]
 POINT_BOUNDS = [(75, 100), (5.0, 5.0), (1, 6)]
 
 
-def _bucket_sql(value: str, bounds) -> str:
+def bucket_sql(value: str, bounds) -> str:
     cases = []
     for at, (low, high) in reversed(list(enumerate(bounds))):
         top = "<=" if low == high or high == 100 or at == len(bounds) - 1 else "<"
@@ -251,8 +250,8 @@ def _bucket_sql(value: str, bounds) -> str:
 
 
 @query("W8_selectivity_buckets", f"""
-SELECT l_orderkey, l_linenumber, {_bucket_sql("l_discount", ARXIV_BOUNDS)} AS bucket,
-       {_bucket_sql("l_discount", POINT_BOUNDS)} AS point_bucket FROM lineitem
+SELECT l_orderkey, l_linenumber, {bucket_sql("l_discount", ARXIV_BOUNDS)} AS bucket,
+       {bucket_sql("l_discount", POINT_BOUNDS)} AS point_bucket FROM lineitem
 """)
 def buckets(spark, sf):
     share = F.col("l_discount")
@@ -266,7 +265,7 @@ def buckets(spark, sf):
 DISCOUNT_BOUNDS = [(0, 3), (3, 8), (50, 100)]
 _SCORED_SQL = f"""
 SELECT {LINE_ID_SQL} AS event_id, l_returnflag AS run, 1 - l_tax AS recall, l_quantity / 1000 AS latency,
-       {_bucket_sql("l_discount", DISCOUNT_BOUNDS)} AS bucket FROM lineitem
+       {bucket_sql("l_discount", DISCOUNT_BOUNDS)} AS bucket FROM lineitem
 """
 
 
@@ -291,14 +290,14 @@ def recall_per_bucket(spark, sf):
 
 
 @query("AG18_bucket_qps", f"""
-WITH s AS ({_SCORED_SQL}), x AS ({bootstrap_sql("SELECT * FROM s WHERE bucket >= 0", "run, bucket", True, 20)
+WITH s AS ({_SCORED_SQL}), x AS ({bootstrap_sql("SELECT * FROM s WHERE bucket >= 0", "run, bucket", True, REPLICATES)
     .replace("WITH s AS", "WITH s_ AS").replace("FROM s)", "FROM s_)").replace("FROM s GROUP", "FROM s_ GROUP")})
 SELECT run, bucket, coalesce(estimate, 0) AS qps, coalesce(lower_err, 0) AS lower_err,
        coalesce(upper_err, 0) AS upper_err FROM {_ALL_BUCKETS} LEFT JOIN x USING (run, bucket)
 """)
 def qps_per_bucket(spark, sf):
     found = bucket_qps(
-        _scored(spark, sf), ["run"], DISCOUNT_BOUNDS, "latency", "event_id", replicates=20
+        _scored(spark, sf), ["run"], DISCOUNT_BOUNDS, "latency", "event_id", replicates=REPLICATES
     )
     return rounded(found, "qps", "lower_err", "upper_err")
 

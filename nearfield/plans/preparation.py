@@ -38,6 +38,7 @@ from nearfield.operators.quality import (
 from nearfield.operators.ranges import (
     block_profile,
     eligible,
+    matches_per_query,
     range_counts,
     selectivities,
     skippable_blocks,
@@ -78,7 +79,7 @@ from nearfield.session import scratch_path, ship_package
 from nearfield.sources import readers, writers
 
 BLOCK = 1024
-TO_DUCK_INT = "('0x' || substr(md5('{seed}:' || {col}), 1, 8))::BIGINT"
+TO_DUCK_INT = "('0x' || substr(md5('{seed}:' || {col}), 1, 15))::BIGINT"
 
 
 def draw_sql(seed: int, column: str, n: str) -> str:
@@ -128,12 +129,20 @@ def replace_id(spark, sf):
 
 @query("PF4_equality_predicate", f"""
 WITH q AS ({QUERIES_SQL}), b AS ({BASE_SQL})
-SELECT q.qid, count(*) AS n FROM q JOIN b ON b.label = q.label GROUP BY q.qid
+SELECT q.qid, count(b.id) AS n FROM q LEFT JOIN b ON b.label = q.label GROUP BY q.qid
 """)
 def equality_predicate(spark, sf):
-    """Matches per query, counted once per label before the queries join."""
-    sizes = base(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
-    return queries(spark, sf).select("qid", "label").join(sizes, "label").select("qid", "n")
+    return matches_per_query(queries(spark, sf), base(spark, sf).select("label"), "label")
+
+
+@query("PF4_unmatched_queries", f"""
+WITH q AS ({QUERIES_SQL}), b AS ({BASE_SQL})
+SELECT q.qid, count(b.id) AS n FROM q LEFT JOIN b ON b.label = q.label + 3 AND b.label < 8 GROUP BY q.qid
+""")
+def unmatched_queries(spark, sf):
+    """Some queries ask for a label that no row has; they match 0 rows."""
+    asked = queries(spark, sf).withColumn("label", F.col("label") + 3)
+    return matches_per_query(asked, base(spark, sf).where("label < 8").select("label"), "label")
 
 
 @query("PF5_range_predicate", f"""
@@ -146,17 +155,24 @@ def range_predicate(spark, sf):
     return counts.withColumnRenamed("count", "n")
 
 
+@query("JN11_fractional_values", f"""
+SELECT q.qid, count(p.v) AS count FROM ({DAY_RANGES_SQL}) q
+LEFT JOIN (SELECT 8000 + o_totalprice / 100 AS v FROM orders) p ON p.v BETWEEN q.range_start AND q.range_end
+GROUP BY q.qid
+""")
+def fractional_values(spark, sf):
+    """Fractions against ranges with integer ends."""
+    values = table(spark, sf, "orders").select((8000 + F.col("o_totalprice") / 100).alias("v"))
+    return range_counts(values, "v", day_ranges(spark, sf))
+
+
 @query("PF6_member_predicate", f"""
 WITH q AS ({QUERIES_SQL}), b AS ({BASE_SQL})
-SELECT q.qid, count(*) AS n FROM q JOIN b ON list_contains(b.members, q.member) GROUP BY q.qid
+SELECT q.qid, count(b.id) AS n FROM q LEFT JOIN b ON list_contains(b.members, q.member) GROUP BY q.qid
 """)
 def member_predicate(spark, sf):
-    sizes = (
-        base(spark, sf)
-        .select("id", F.explode(F.array_distinct("members")).alias("member"))
-        .groupBy("member").agg(F.count("*").alias("n"))
-    )
-    return queries(spark, sf).select("qid", "member").join(sizes, "member").select("qid", "n")
+    members = base(spark, sf).select(F.explode(F.array_distinct("members")).alias("member"))
+    return matches_per_query(queries(spark, sf), members, "member")
 
 
 @query("PF7_filter_rate", """
@@ -219,7 +235,12 @@ SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (d
 """)
 def labels_left(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
-    return docs.join(table(spark, sf, "labels"), "doc_id", "left")
+    labels = table(spark, sf, "labels")
+    joined = docs.join(labels, "doc_id", "left")
+    # a label table that repeats an id would multiply rows
+    if labels.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return joined
+    raise ValueError("labels repeat an id: the join would change the number of rows")
 
 
 @query("JN2_labels_inner", """
@@ -748,7 +769,8 @@ def repacked(spark, sf):
     numbered, total = number_rows_total(lines, ["l_orderkey", "l_linenumber"])
     path = scratch_path(spark, "repacked")
     writers.write_files(file_index(numbered, 5000), path, -(-total // 5000), rows_per_group=1000)
-    return file_report(spark.read.parquet(path))
+    shards = readers.read_shards(spark, path).withColumnRenamed("shard_no", "file_idx")
+    return file_report(shards, "position")
 
 
 @query("SK4_subset_to_bytes", f"""
@@ -759,7 +781,10 @@ def subset(spark, sf):
     """As if a row took 100 bytes: the leading rows that fill a thousandth of a GiB."""
     numbered, total = number_rows_total(orders(spark, sf), ["id"])
     keep = subset_rows(100 * total, total, 0.001, BLOCK)
-    return numbered.where(F.col("idx") < keep).select(F.col("id").alias("o_orderkey"))
+    path = scratch_path(spark, "subset")
+    writers.write_files(
+        file_index(numbered.where(F.col("idx") < keep), BLOCK), path, -(-keep // BLOCK), rows_per_group=BLOCK)
+    return readers.read_shards(spark, path).select(F.col("id").alias("o_orderkey"))
 
 
 @query("SK5_split_sizes", f"""
@@ -771,7 +796,10 @@ SELECT CASE WHEN idx < n // 2 THEN 0 WHEN idx < n // 2 + n // 3 THEN 1 ELSE 2 EN
 def split_sizes(spark, sf):
     numbered, n = number_rows_total(orders(spark, sf), ["day", "id"])
     sizes = [n // 2, n // 3, n - n // 2 - n // 3]
-    return file_report(split_index(numbered, sizes))
+    path = scratch_path(spark, "split")
+    writers.write_files(split_index(numbered, sizes), path, len(sizes), prefix="shuffle_train")
+    shards = readers.read_shards(spark, path).withColumnRenamed("shard_no", "file_idx")
+    return file_report(shards, "position")
 
 
 @query("SK6_shard_names", """

@@ -16,7 +16,6 @@ from nearfield.functions.names import (
     index_name,
     index_position,
     label_field,
-
     parse_dataset,
     pg_index_name,
     short_dataset_labels,
@@ -43,6 +42,8 @@ from nearfield.operators.runs import (
     system_by_dataset,
     timing_breakdown,
 )
+from nearfield.operators.buckets import assign_bucket, bucket_qps, bucket_recalls
+from nearfield.plans.evaluation import ARXIV_BOUNDS, REPLICATES, bootstrap_sql, bucket_sql
 from nearfield.plans.inputs import LINE_ID_SQL, line_id, rounded, table
 from nearfield.plans.registry import query
 from nearfield.session import scratch_path
@@ -596,6 +597,52 @@ def results(spark, sf):
     )
 
 
+_PER_QUERY_SQL = f"""
+SELECT *, {bucket_sql("(query % 10) / 10.0::DOUBLE", ARXIV_BOUNDS)} AS bucket FROM (
+  SELECT upper(event_type) AS run, event_id, value / 1000 AS latency, (event_id % 11) / 10::DOUBLE AS recall,
+         row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS query FROM events)
+"""
+
+
+@query("AG18_from_result_files", f"""
+WITH p AS ({_PER_QUERY_SQL}), x AS ({bootstrap_sql("SELECT * FROM p WHERE bucket >= 0", "run, bucket", True, REPLICATES)}),
+r AS (SELECT run, bucket, avg(recall) AS recall, count(*) AS queries FROM p GROUP BY run, bucket)
+SELECT run, bucket, round(coalesce(recall, 0), 6) AS recall, coalesce(queries, 0) AS queries, coalesce(estimate, 0) AS qps,
+       coalesce(lower_err, 0) AS lower_err, coalesce(upper_err, 0) AS upper_err
+FROM (SELECT DISTINCT run FROM p) CROSS JOIN (SELECT unnest([0, 1, 2, 3])::INTEGER AS bucket)
+LEFT JOIN r USING (run, bucket) LEFT JOIN x USING (run, bucket)
+""")
+def from_result_files(spark, sf):
+    """From the arrays of result files to recall and throughput per run and selectivity bucket."""
+    events = table(spark, sf, "events").select(
+        "event_type", "user_id", F.struct("event_id", "value").alias("e")
+    )
+    lists = events.groupBy("event_type", "user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    metrics = F.struct(
+        F.transform("es", lambda e: e["value"] / 1000).alias("serial_latencies"),
+        F.transform("es", lambda e: (e["event_id"] % 11) / 10).alias("recalls"),
+    )
+    task = F.struct(
+        F.struct(F.upper("event_type").alias("index")).alias("db_case_config"),
+        F.struct(F.col("user_id").alias("case_id")).alias("case_config"),
+    )
+    result = F.struct(metrics.alias("metrics"), task.alias("task_config"))
+    name = F.concat_ws("-", "event_type", F.pmod("user_id", F.lit(20)))
+    path = scratch_path(spark, "query-results")
+    lists.select(name.alias("run_id"), result.alias("r")).groupBy("run_id").agg(
+        F.collect_list("r").alias("results")
+    ).withColumn("run", F.col("run_id")).write.partitionBy("run").json(path)
+    flat = readers.flatten_results(readers.read_results(spark, path))
+    rows = readers.per_query(flat, ["index_kind", "case_id"]).select(
+        F.col("index_kind").alias("run"), "latency", "recall", F.concat_ws(":", "index_kind", "case_id", "query").alias("id"),
+        assign_bucket((F.col("query") % 10) / 10, ARXIV_BOUNDS).alias("bucket"),
+    )
+    found = bucket_recalls(rows, ["run"], ARXIV_BOUNDS).join(
+        bucket_qps(rows, ["run"], ARXIV_BOUNDS, "latency", "id", replicates=REPLICATES), ["run", "bucket"]
+    )
+    return rounded(found, "recall", "qps", "lower_err", "upper_err")
+
+
 @query("SC8_read_summary", """
 SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 6) AS avg_latency, round(avg(l_discount), 6) AS avg_recall
 FROM lineitem GROUP BY ALL

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from nearfield.functions.arrow import arrow_function
 from nearfield.functions.vectors import normalised_vector
 from nearfield.operators.kernels import as_list_column
+from nearfield.session import materialize
 
 
 def read_vectors(
@@ -68,13 +69,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A task reads consecutive lines of each file split, so a line's number is its place in the
     split plus the lines of all splits before it; one count per split is gathered to add those up.
+    Splits depend on the executors at hand, so the lines are written once with their places, and
+    both the counts and the lines are read from there.
     """
-    lines = spark.read.text(path).select(
+    read = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("__file"),
         F.col("_metadata.file_block_start").alias("__start"),
         F.monotonically_increasing_id().alias("__seq"),
     )
+    lines = materialize(read, "lines")
     splits = lines.groupBy("__file", "__start").agg(
         F.count("*").alias("n"), F.min("__seq").alias("first")
     )
@@ -240,8 +244,13 @@ def flatten_results(results: DataFrame) -> DataFrame:
 
 
 def per_query(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per run and query: ``(keys, query, latency, recall)`` from the aligned arrays."""
-    pair = F.posexplode(F.arrays_zip("serial_latencies", "recalls")).alias("query", "p")
+    """One row per run and query: ``(keys, query, latency, recall)`` from the aligned arrays. Fails
+    where a run has not as many recalls as latencies."""
+    lengths = [F.coalesce(F.size(c), F.lit(-1)) for c in ("serial_latencies", "recalls")]
+    said = F.concat(F.lit("latencies and recalls differ in number: "), lengths[0], F.lit(" and "), lengths[1])
+    zipped = F.arrays_zip("serial_latencies", "recalls")
+    fine = F.when(lengths[0] == lengths[1], zipped).otherwise(F.raise_error(said))
+    pair = F.posexplode(fine).alias("query", "p")
     return runs.select(*keys, pair).select(
         *keys, "query", F.col("p.serial_latencies").alias("latency"), F.col("p.recalls").alias("recall")
     )

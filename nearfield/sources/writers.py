@@ -21,17 +21,26 @@ def write_files(
     indexed: DataFrame, path: str, files: int, *, prefix: str = "train", idx: str = "idx",
     rows_per_group: int = ROW_GROUP,
 ) -> DataFrame:
-    """Write one file per ``file_idx`` in ``idx`` order; returns the name of each.
+    """Write one shard per ``file_idx`` in ``idx`` order; returns the name of each.
 
-    Files land in a folder per ``file_idx``; a file, whose size the layout bounds, is one task.
+    A shard is a folder with its name (``train-00-of-10.parquet``) that holds one file, and is what
+    ``read_shards`` reads. A file, whose size the layout bounds, is one task.
     """
-    placed = indexed.repartition(max(1, files), "file_idx").sortWithinPartitions("file_idx", idx)
+    spark = indexed.sparkSession
+    placed = indexed.repartitionById(max(1, files), F.col("file_idx")).sortWithinPartitions("file_idx", idx)
     placed.write.option("parquet.block.row.count.limit", rows_per_group).option(
         "parquet.block.size", 1 << 34
     ).partitionBy("file_idx").parquet(path)
-    spark = indexed.sparkSession
     numbers = spark.range(files).select(F.col("id").cast("int").alias("file_idx"))
-    return numbers.select("file_idx", shard_name(prefix, F.col("file_idx"), files).alias("name"))
+    names = numbers.select("file_idx", shard_name(prefix, F.col("file_idx"), files).alias("name"))
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in names.collect():
+        written = jvm.org.apache.hadoop.fs.Path(at, f"file_idx={row['file_idx']}")
+        if store.exists(written):  # a shard without rows has no folder
+            store.rename(written, jvm.org.apache.hadoop.fs.Path(at, row["name"]))
+    return names
 
 
 def _write_document(body: DataFrame, head: str, tail: str, path: str) -> None:

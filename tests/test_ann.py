@@ -92,6 +92,17 @@ def test_recall_grows_with_the_probes(data, lists):
         assert by_probe[2] == pytest.approx(hits / (k * M))
 
 
+def test_rows_that_are_not_finite_have_no_list(spark, data):
+    b = data[2].unionByName(spark.createDataFrame(
+        [(N, [float("nan")] * D), (N + 1, None)], "id long, emb array<float>"))
+    centres = train_lists(b, 6, iterations=5)
+    assert np.allclose(sorted(r["emb"] for r in centres.collect()),
+                       sorted(r["emb"] for r in train_lists(data[2], 6, iterations=5).collect()))
+    for limit in (1 << 20, 0):
+        rows = {r["id"]: r["list_id"] for r in assign_lists(b, centres, broadcast_limit=limit).collect()}
+        assert len(rows) == N + 2 and rows[N] is rows[N + 1] is None and len(set(rows.values())) > 3
+
+
 def test_local_lists(data):
     base, queries, b, q = data
     blocks = b.withColumn("block", F.floor(F.col("id") / 100))

@@ -2,12 +2,14 @@ import numpy as np
 import pytest
 from brute import collected, neighbours
 
-from nearfield.operators import knn
 from nearfield.operators.knn import Range, metric_for, nearest, nearest_with_member, neighbour_lists
 
 BASE = "id long, emb array<float>, label string, attr long, members array<string>"
 QUERIES = "qid long, emb array<float>, label string, low long, high long, member string"
-FORMS = [{}, {"broadcast_limit": 0}, {"broadcast_limit": 0, "block_values": 4 * 7}]
+FORMS = [
+    {}, {"broadcast_limit": 0}, {"broadcast_limit": 0, "block_values": 4 * 7},
+    {"broadcast_limit": 300},  # queries in slices
+]
 
 
 def fixture(spark, seed=0, n=120, m=25, copies=40):
@@ -113,19 +115,30 @@ def test_no_queries_and_no_base(spark):
         assert nearest(q, b.where("false"), 3, **sizes).count() == 0
 
 
-def test_bounds_from_a_slice_change_nothing(spark, monkeypatch):
-    """The first-bound pass, used for tables of many partitions."""
-    monkeypatch.setattr(knn, "_BOUND_BYTES", 0)
-    monkeypatch.setattr(knn, "_BOUND_ROWS", 20)
-    base, queries, b, q = fixture(spark)
-    for metric in ("euclidean", "cosine"):
-        agree(nearest(q, b, 7, metric), neighbours(queries, base, 7, metric))
-    found = nearest(q, b, 7, key="label", within=Range("attr", "low", "high"))
-    expected = neighbours(
-        queries, base, 7,
-        passes=lambda x, y: x["label"] == y["label"] and x["low"] <= y["attr"] <= x["high"],
-    )
-    agree(found, expected)
+@pytest.mark.parametrize("sizes", FORMS)
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+def test_vectors_that_are_not_finite_never_match(spark, sizes, bad):
+    base, queries, _, _ = fixture(spark)
+    base[3]["emb"], queries[2]["emb"] = [1.0, bad, 0.0, 0.0], [bad, 0.0, 0.0, 0.0]
+    b = spark.createDataFrame([tuple(r.values()) for r in base], BASE)
+    q = spark.createDataFrame([tuple(r.values()) for r in queries], QUERIES)
+    del base[3], queries[2]
+    agree(nearest(q, b, 7, **sizes), neighbours(queries, base, 7))
+    found = nearest(q, b, 9, key="label", within=Range("attr", "low", "high"), **sizes)
+    agree(found, neighbours(queries, base, 9, passes=lambda x, y: (
+        x["label"] == y["label"] and x["low"] <= y["attr"] <= x["high"])))
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1e-6, 1e12, 1e20])
+def test_single_precision_products_keep_exact_order(spark, scale):
+    """Nearly equal distances, and values near the ends of single precision."""
+    rng = np.random.default_rng(8)
+    points = (1 + rng.normal(size=(200, 16)) * 1e-7) * scale
+    base = [{"id": i, "emb": p.tolist()} for i, p in enumerate(points)]
+    queries = [{"qid": i, "emb": (points[i] * 1.0000001).tolist()} for i in range(10)]
+    b = spark.createDataFrame([tuple(r.values()) for r in base], "id long, emb array<double>")
+    q = spark.createDataFrame([tuple(r.values()) for r in queries], "qid long, emb array<double>")
+    agree(nearest(q, b, 5), neighbours(queries, base, 5))
 
 
 def test_queries_without_a_match_get_empty_lists(spark):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield.functions.hashing import hash_draw, replicate_draw, replicate_key
 from nearfield.functions.codec import decode_vector, encode_vector, quantise_column, error_report
 from nearfield.functions.names import (
     format_bytes,
@@ -14,9 +15,9 @@ from nearfield.functions.vectors import euclidean_distance, permute_dimensions,
 from nearfield.operators.bootstrap import bootstrap_median
 from nearfield.operators.buckets import assign_bucket
 from nearfield.operators.layout import layout_columns, plan_layout, split_index, subset_rows
-from nearfield.operators.metrics import histogram, latency_summary, recalls
+from nearfield.operators.metrics import histogram, latency_summary, recall_by_rank, recalls
 from nearfield.operators.numbering import number_rows, number_rows_total, running_total
-from nearfield.operators.profiles import profile_rollup
+from nearfield.operators.profiles import profile_nodes, profile_rollup
 from nearfield.operators.quality import (
     array_length_is,
     bijection,
@@ -25,7 +26,7 @@ from nearfield.operators.quality import (
     vector_report,
 )
 from nearfield.operators.quantiles import group_quantiles, rank_within
-from nearfield.operators.ranges import range_counts, skippable_blocks
+from nearfield.operators.ranges import matches_per_query, range_counts, skippable_blocks
 from nearfield.operators.remap import remap_lists, remap_rows, zip_by_position
 from nearfield.operators.runs import rate_at_recall, timing_breakdown
 from nearfield.operators.sampling import range_filters, sample, split_queries
@@ -82,6 +83,26 @@ def _mix(x):
     return (x >> 16) ^ x
 
 
+def _draw(key, i, n):
+    (a, b), (c, d) = ((625341585, 1664525), (1103515245, 22695477))
+    low, high = i % 2**32, i >> 32
+    first = _mix((key + low * a + high * b) % 2**32)
+    second = _mix((key + 2654435769 + low * c + high * d) % 2**32)
+    return (first * 2**31 + (second >> 1)) % n
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    n = 30_000_000_000
+    rows = spark.range(4000).select(
+        hash_draw(1, F.col("id"), F.lit(n)).alias("a"),
+        replicate_draw(replicate_key(1, F.lit(3)), F.col("id") * 7_500_001, F.lit(n)).alias("b"), "id").collect()
+    for column in ("a", "b"):
+        drawn = np.array([r[column] for r in rows]) / n
+        assert drawn.min() >= 0 and drawn.max() < 1
+        assert np.abs(np.histogram(drawn, 10, (0, 1))[0] - 400).max() < 100
+    assert all(r["b"] == _draw(_mix(4), r["id"] * 7_500_001, n) for r in rows[:200])
+
+
 @pytest.mark.parametrize("throughput", [False, True])
 def test_bootstrap_against_numpy(spark, throughput):
     rng = np.random.default_rng(9)
@@ -95,8 +116,7 @@ def test_bootstrap_against_numpy(spark, throughput):
         n = len(ordered)
         turn = (lambda x: 1 / x) if throughput else (lambda x: x)
         estimate = turn(np.median(ordered))
-        stats = [turn(np.median(ordered[[_mix((_mix(b + 42) + i * 2654435769) % 2**32) % n for i in range(n)]]))
-                 for b in range(50)]
+        stats = [turn(np.median(ordered[[_draw(_mix(b + 42), i, n) for i in range(n)]])) for b in range(50)]
         low, high = np.quantile(stats, [0.025, 0.975]) if n > 1 else (estimate, estimate)
         r = found[g]
         assert (r["estimate"], r["lower_err"], r["upper_err"]) == pytest.approx(
@@ -123,6 +143,29 @@ def test_range_counts_with_hot_values_and_inverted_ranges(spark, skewed):
     assert {r["qid"]: r["count"] for r in range_counts(df, "v", q).collect()} == expected
 
 
+def test_fractions_against_integer_ranges(spark):
+    values = spark.createDataFrame([(5.7,), (5.0,), (6.2,), (None,)], "v double")
+    ranges = spark.createDataFrame([("a", 5, 5), ("b", 5, 6)], "qid string, range_start long, range_end long")
+    assert {r["qid"]: r["count"] for r in range_counts(values, "v", ranges).collect()} == {"a": 1, "b": 2}
+    days = spark.createDataFrame([(f"2020-01-0{i}",) for i in range(1, 6)], "d string").select(F.to_date("d").alias("d"))
+    asked = spark.createDataFrame([(1, "2020-01-02", "2020-01-04")], "qid long, s string, e string").select(
+        "qid", F.to_date("s").alias("range_start"), F.to_date("e").alias("range_end"))
+    assert range_counts(days, "d", asked).first()["count"] == 3
+
+
+def test_predicates_count_unmatched_queries(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "z"), (3, None)], "qid long, label string")
+    values = spark.createDataFrame([("a",), ("a",), (None,)], "label string")
+    assert {r["qid"]: r["n"] for r in matches_per_query(queries, values, "label").collect()} == {1: 2, 2: 0, 3: 0}
+
+
+def test_blocks_beyond_62_bits(spark):
+    big = 2**62 + 5
+    blocks = spark.createDataFrame([(0, -big, -big + 2), (1, 0, 1), (2, big, big + 1)], "block long, low long, high long")
+    q = spark.createDataFrame([(0, big, big), (1, -big, -big), (2, 5, 6)], "qid long, range_start long, range_end long")
+    assert {r["qid"]: r["skipped"] for r in skippable_blocks(blocks, q).collect()} == {0: 2, 1: 2, 2: 3}
+
+
 def test_skippable_blocks(spark):
     blocks = [(i, int(lo), int(lo) + i % 9) for i, lo in enumerate(np.random.default_rng(4).integers(0, 60, 40))]
     ranges = [(i, i, i + i % 13) for i in range(70)]
@@ -178,6 +221,14 @@ def test_recall_edges(spark):
         recalls(found, truth, 2, strict=True).collect()
 
 
+def test_recall_of_a_run_that_found_nothing(spark):
+    truth = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 3, 1)], "qid long, id long, rank long")
+    found = spark.createDataFrame([("a", 0, 1, 1), ("a", 0, 9, 2)], "run string, qid long, id long, rank long")
+    every = spark.createDataFrame([("a",), ("b",)], "run string")
+    rows = {r["run"]: r["recall"] for r in recall_by_rank(found, truth, ["run"], 2, every=every).collect()}
+    assert rows == {"a": 0.5, "b": 0.0}  # the query with one true neighbour is left out
+
+
 def test_buckets(spark):
     shares = [0.0, 0.001, 0.01, 0.0999, 0.1, 0.5, 0.75, 1.0]
     df = spark.createDataFrame([(s,) for s in shares], "s double")
@@ -213,6 +264,9 @@ def test_many_split_sizes(spark):
     rows = spark.range(sum(sizes)).select(F.col("id").alias("idx"))
     counts = {r["file_idx"]: r["count"] for r in split_index(rows, sizes).groupBy("file_idx").count().collect()}
     assert counts == {i: n for i, n in enumerate(sizes) if n}
+    for wrong in ([*sizes, 1], sizes[:-1]):
+        with pytest.raises(ValueError, match="do not fit"):
+            split_index(rows, wrong)
 
 
 def test_checks(spark):
@@ -294,8 +348,15 @@ def test_profiles(spark):
     r = profile_rollup(df, "p", ["id"], index_scans=["IDX"]).first()
     assert (r["nodes"], r["index_scan"], r["sequential_scan"]) == (5, 7.0, 2.0)
     assert (r["other_operators"], r["planning"], r["index_scan_residual"]) == (1.0, 1.5, 5.5)
-    with pytest.raises(Exception, match="deeper than 1 levels"):
-        profile_rollup(df, "p", ["id"], index_scans=["IDX"], depth=0).collect()
+    deep = '{"operator_name": "IDX", "operator_timing": 4.0}'
+    for _ in range(30):
+        deep = f'{{"operator_name": "A", "operator_timing": 1.0, "children": [{deep}]}}'
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "no tree")], "id int, p string")
+    rows = {r["id"]: r for r in profile_rollup(df, "p", ["id"], index_scans=["IDX"]).collect()}
+    assert (rows[1]["nodes"], rows[1]["index_scan"], rows[1]["other_operators"]) == (31, 4.0, 30.0)
+    assert rows[2]["nodes"] == rows[3]["nodes"] == 1 and rows[2]["index_scan"] is None
+    paths = [r["path"] for r in profile_nodes(df, "p", ["id"]).where("id = 1").collect()]
+    assert sorted(map(len, paths)) == list(range(31))
 
 
 def test_rate_at_recall_reports_missing_sides(spark):

@@ -138,6 +138,12 @@ def test_results(spark, tmp_path):
     queries = readers.per_query(flat, ["case_id"]).orderBy("query").collect()
     assert [(r["case_id"], r["query"], r["latency"], r["recall"]) for r in queries] == [(5, 0, 0.1, 1.0), (5, 1, 0.2, 1.0)]
     assert readers.read_results(spark, str(tmp_path / "missing")).count() == 0
+    short = _result(9, [0.1, 0.2])
+    short["metrics"]["recalls"] = [1.0]
+    put("d.json", [short], None)
+    again = readers.flatten_results(readers.read_results(spark, str(tmp_path)))
+    with pytest.raises(Exception, match="differ in number: 2 and 1"):
+        readers.per_query(again, ["case_id"]).collect()
 
 
 def test_summary_csv(spark, tmp_path):
@@ -156,7 +162,23 @@ def test_files_and_row_groups(spark, tmp_path):
     names = writers.write_files(file_index(df, 300), str(tmp_path / "out"), 4, rows_per_group=100)
     assert [r["name"] for r in names.orderBy("file_idx").collect()] == [f"train-0{i}-of-4.parquet" for i in range(4)]
     for at, rows in enumerate([300, 300, 300, 100]):
-        (file,) = (tmp_path / "out" / f"file_idx={at}").glob("*.parquet")
+        (file,) = (tmp_path / "out" / f"train-0{at}-of-4.parquet").glob("*.parquet")
         meta = pq.ParquetFile(file).metadata
         assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [100] * (rows // 100)
         assert pq.read_table(file)["idx"].to_pylist() == list(range(at * 300, at * 300 + rows))
+    shards = readers.read_shards(spark, str(tmp_path / "out"))
+    assert all(r["idx"] == r["position"] and r["shard_no"] == r["idx"] // 300 for r in shards.collect())
+
+
+def test_lines_survive_a_change_of_parallelism(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        lines = readers.read_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "17000")
+        rows = lines.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r["line"]: r["value"] for r in rows} == {i: f"line {i}" for i in range(20_000)}
