@@ -140,7 +140,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = classes(docs, id_col, text_col).filter("doc_id = component_id")
     ids = materialize(marks.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")), "kept")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    met = docs.join(ids, docs[id_col].cast("long") == F.col("__kept"), "left")
+    # as many ids as documents stay: never a side to broadcast, whatever the size
+    met = docs.join(ids.hint("merge"), docs[id_col].cast("long") == F.col("__kept"), "left")
     if ids.filter("__rows > 1").isEmpty():
         return met.filter(F.col("__kept").isNotNull() | F.col(id_col).isNull()).select(*own)
     once = met.filter((F.col("__rows") == 1) | F.col(id_col).isNull()).select(*own)
