@@ -38,8 +38,10 @@ def _normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[
     return [b" ".join(raw[i:j].split()) for i, j in zip(starts.tolist(), ends.tolist())]
 
 
-def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per line: a hash of its normalised words, its SimHash over them, and how many there are."""
+def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+           n_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per line: a hash of its normalised words, the first bits of its SimHash over them, and how many
+    words there are."""
     normal = _NORMAL[data]
     cuts = np.unique(np.concatenate((starts, ends)))
     offsets = np.concatenate(([0], cuts, [len(data)]))
@@ -54,7 +56,7 @@ def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     whole = textscan.mix(sums[last] - sums[first] + count.astype(np.uint64))
     bits = np.zeros(len(starts), dtype=np.uint64)
     some = np.flatnonzero(count > 0)
-    for i in range(64):
+    for i in range(n_bits):
         ones = np.add.reduceat(((word >> np.uint64(i)) & np.uint64(1)).astype(np.int64), first[some]) if len(some) else []
         bits[some] |= (np.asarray(ones) * 2 > count[some]).astype(np.uint64) << np.uint64(i)
     return whole, bits, count
@@ -89,8 +91,8 @@ def _signed(x: int) -> int:
 
 
 def close_prints(distinct: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of keys whose prints ``fp`` differ in at most ``MAX_BITS`` bits, from one row
-    per key. Keys meet in blocks; a block is cut into cells by key, and every two cells of a block
+    """Pairs ``(a, b)``, a < b, of keys whose prints ``fp`` differ in at most ``MAX_BITS`` bits, from one
+    row per key. Keys meet in blocks; a block is cut into cells by key, and every two cells of a block
     are joined on their own, so that no task holds a large block and none is left out."""
     fp = F.col("fp")
     slots = F.array(*[
@@ -107,8 +109,13 @@ def close_prints(distinct: DataFrame) -> DataFrame:
     right = post.select("choice", "value", F.col("key").alias("b"), F.col("fp").alias("fb"), cell.alias("cell"))
     met = left.join(right, ["choice", "value", "cell"]).filter(
         (F.col("own") < F.col("cell")) | (F.col("a") < F.col("b")))
-    near = met.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= MAX_BITS).filter("a <> b")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    differ = F.col("fa").bitwiseXOR(F.col("fb"))
+    agreed = F.lit(None).cast("int")
+    for i, m in reversed(list(enumerate(_MASKS))):
+        agreed = F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, i).otherwise(agreed)
+    # a pair is taken from the first choice under which it agrees, so it comes once
+    near = met.filter(F.bit_count(differ) <= MAX_BITS).filter(agreed == F.col("choice")).filter("a <> b")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _wanted_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -123,7 +130,7 @@ def _wanted_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
             part = data[offsets[k] : offsets[k + 1]]
             starts, ends = textscan.spans(part, np.array([0, len(part)]), _LINE)
             breaks = np.concatenate(([0], np.cumsum(part == 10)))[starts]
-            whole, _, _ = prints(part, starts, ends)
+            whole, _, _ = prints(part, starts, ends, n_bits=0)
             asked = {(w["line"].as_py(), w["key"].as_py()) for w in wanted.values}
             rows = [r for r, (line, key) in enumerate(zip(breaks.tolist(), whole.view(np.int64).tolist()))
                     if (line, key) in asked]
@@ -135,6 +142,106 @@ def _wanted_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return by_batch(read, each, "key long, normal string").dropDuplicates(["key"])
 
 
+def edits(a: str, b: str) -> int:
+    """Edit distance. What both ends share is left out; the rest takes one step of whole-column bit
+    operations per character of ``b``, with a column as one integer."""
+    first, last = 0, 0
+    shorter = min(len(a), len(b))
+    while first < shorter and a[first] == b[first]:
+        first += 1
+    while last < shorter - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = whole, 0, len(a)  # where a column's value rises and falls from row to row
+    for c in b:
+        same = places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rise = down | (whole & ~(diagonal | up))
+        fall = up & diagonal
+        score += bool(rise & top) - bool(fall & top)
+        rise = rise << 1 | 1
+        up = (fall << 1 | ~(diagonal | rise)) & whole
+        down = rise & diagonal & whole
+    return score
+
+
+def _alike(pairs: DataFrame, normal: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of keys whose normalised texts are similar enough."""
+    one, two = (normal.select(F.col("key").alias(k), F.col("normal").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fine = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            allowed = (1 - similarity) * max(len(x), len(y)) + 1e-9
+            fine.append(abs(len(x) - len(y)) <= allowed and edits(x, y) <= allowed)
+        yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+
+    met = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    return materialize(by_batch(met, each, "a long, b long"), "line-links")
+
+
+def similar_lines(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """``(node, component)`` of the distinct lines ``(key, fp, first)`` that are linked to others.
+
+    Links inside a component that is known already need not be looked at, so pairs are verified in
+    three steps: every line with the first line of its print, and every print's first line with
+    that of the least near print; then first lines of near prints that are still apart; then
+    single lines of near prints that are still apart. What is left out joins nothing new, so the
+    components are those of all pairs, while a group of many copies costs a few pairs per line.
+    """
+    prints = materialize(nodes.groupBy("fp").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")), "prints")
+    near = materialize(close_prints(prints.select(F.col("fp").alias("key"), "fp")), "near-prints")
+    met = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp")))
+    used = prints.filter("n > 1").select("fp").union(met).distinct()
+    lines = materialize(nodes.join(used, "fp").join(prints.select("fp", "head"), "fp"), "near-lines")
+    normal = materialize(_wanted_texts(docs, lines.select("first.doc_id", "first.line", "key")), "line-texts")
+
+    heads = prints.select("fp", "head")
+    least = near.groupBy("b").agg(F.min("a").alias("a"))
+
+    def of_heads(pairs: DataFrame) -> DataFrame:
+        left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+
+    stars = lines.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    links = _alike(stars.union(of_heads(least)), normal, similarity)
+
+    def placed(links: DataFrame) -> DataFrame:
+        """Every line with its print and the component it is in so far."""
+        of = components(links)
+        return materialize(lines.join(of, F.col("key") == F.col("node"), "left").select(
+            "key", "fp", F.coalesce("component", "key").alias("part")), "line-parts")
+
+    parts = placed(links)
+    part_of = parts.select("key", "part")
+    apart = of_heads(near).join(part_of.select(F.col("key").alias("a"), F.col("part").alias("pa")), "a").join(
+        part_of.select(F.col("key").alias("b"), F.col("part").alias("pb")), "b").filter("pa <> pb").select("a", "b")
+    apart = materialize(apart, "heads-apart")
+    if not apart.isEmpty():
+        links = links.union(_alike(apart, normal, similarity))
+        parts = placed(links)
+
+    # prints whose lines are not all in one component, alone or together with a near print
+    span = parts.groupBy("fp").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    every = near.select("a", "b").union(span.filter("low <> high").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    a, b = (span.select(F.col("fp").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in ("a", "b"))
+    mixed = every.join(a, "a").join(b, "b").filter("least(la, lb) <> greatest(ha, hb)").select("a", "b")
+    one, two = (parts.select(F.col("fp").alias(c), F.col("key").alias(f"k{c}"), F.col("part").alias(f"p{c}")) for c in ("a", "b"))
+    left = mixed.join(one, "a").join(two, "b").filter("pa <> pb").select(
+        F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    tried = stars.union(of_heads(least)).union(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = materialize(left.distinct().join(tried.distinct(), ["a", "b"], "left_anti"), "lines-apart")
+    if not left.isEmpty():
+        links = links.union(_alike(left, normal, similarity))
+    return components(links)
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
            least_words: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, line, words, group_id, keep)`` for every line that has a word.
@@ -156,16 +263,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
     place = F.struct("doc_id", "line")
     nodes = materialize(every.groupBy("key").agg(
         F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("words").alias("words")), "line-nodes")
-    near = materialize(close_prints(nodes.filter(F.col("words") >= least_words).select("key", "fp")), "line-pairs")
-    ends = near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).distinct()
-    places = nodes.join(ends, "key").select("first.doc_id", "first.line", "key")
-    normal = materialize(_wanted_texts(text, places), "line-texts")
-    one, two = (normal.select(F.col("key").alias(k), F.col("normal").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
-    # the distance is found within a band of as many edits as are allowed, and is -1 beyond it
-    allowed = f"cast(floor(greatest(length(ta), length(tb)) * {1 - similarity!r} + 1e-9) AS int)"
-    links = near.join(one, "a").join(two, "b").filter(
-        f"levenshtein(ta, tb, {allowed}) >= 0").select("a", "b")
-    of = components(links)
+    of = similar_lines(nodes.filter(F.col("words") >= least_words).select("key", "fp", "first"), text, similarity)
     named = nodes.join(of, F.col("key") == F.col("node"), "left").select(
         "key", "first", F.coalesce("component", "key").alias("group_id"))
     kept = named.groupBy("group_id").agg(F.min("first").alias("kept"))

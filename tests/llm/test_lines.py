@@ -82,6 +82,25 @@ def test_against_all_pairs(docs_of, monkeypatch, cell):
     assert len(found) == len(rows) and found == by_hand(texts, range(len(texts)))
 
 
+def test_edits():
+    rng = random.Random(9)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abé ") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        assert lines.edits(a, b) == distance(a, b)
+    long = "x" * 5000
+    assert lines.edits(long + "a" + long, long + "bc" + long) == 2
+
+
+def test_prints_shared_by_different_lines(docs_of, monkeypatch):
+    """Word order does not change a print: groups must come from pairs other than the first lines'."""
+    words = [f"word{i}" for i in range(12)]
+    orders = [RNG.sample(words, 12) for _ in range(6)]
+    texts = [" ".join(o) for o in orders] + [" ".join(o).replace("word3", "word3 x", 1) for o in orders]
+    texts += [" ".join(o[:-1] + ["other"]) for o in orders]
+    rows = {(r.doc_id, r.line): r.keep for r in lines.groups(docs_of(texts)).collect()}
+    assert rows == by_hand(texts, range(len(texts)))
+
+
 def test_links_exist():
     line = " ".join(f"word{i % 37}x{'abcdefgh'[i % 8]}" for i in range(80))
     (_, a), (_, b) = print_of(line), print_of(line.replace("word3xd", "word3xq", 1))
