@@ -1,4 +1,4 @@
-"""Find benchmark items in training text: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Find benchmark items in training text: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -13,15 +13,14 @@ from nearfield.llm import textscan
 from nearfield.llm.common import by_batch, id_and_text, materialize
 
 GRAM = 4  # words of a seed: an edited copy that keeps one run of four words is still met
-# A seed is rare if it is found in at most this many passages, or in at most RELATIVE times as many
-# as the middle gram of its item: grams of an item that was copied often are all frequent alike.
-RARE = 1000
-RELATIVE = 10.0
+RARE = 1000  # not a limit any more: frequent seeds are aligned like all others (the name is kept for its test)
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.6  # of the score of an unchanged copy of the whole item
-# Seeds that every task holds at once.
+# Grams of items that every task holds at once, and places of items looked at in one go.
 SEED_LIMIT = 2_000_000
+_PORTION = 1 << 20
 _ALIGN_CELLS = 1 << 21
+_PAIRS = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,10 +29,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return textscan.hashes(textscan.LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values.view(np.int64)))
-
-
 def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
     """``(item_id, words, grams)`` as hashes of every benchmark item of at least ``gram`` words.
 
@@ -54,53 +49,59 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
     return by_batch(text, each, "item_id long, words array<long>, grams array<long>").filter("size(grams) > 0")
 
 
-class Seeds:
-    """Sorted hashes with a table that answers most lookups by a few bits of the hash."""
+def _ramps(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from every ``first`` on, ``size`` of each."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
-    def __init__(self, seeds: np.ndarray):
-        self.seeds = np.sort(seeds)
-        bits = max(int(len(seeds) * 16).bit_length(), 10)
+
+class Seeds:
+    """The grams of some items, sorted, each with the items that hold it, and a table that answers most
+    lookups by a few bits of the hash."""
+
+    def __init__(self, number: list[int | None], words: list[np.ndarray], grams: list[np.ndarray]):
+        self.number, self.words = number, words
+        self.sorted_words = [np.unique(w) for w in words]
+        gram, item = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.lexsort((item, gram))
+        gram, item = gram[order], item[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (item[1:] != item[:-1]))
+        self.items = item[new]
+        self.seeds, self.first, self.count = np.unique(gram[new], return_index=True, return_counts=True)
+        bits = max(int(len(self.seeds) * 16).bit_length(), 10)
         self.mask = np.uint64((1 << bits) - 1)
         self.table = np.zeros(1 << bits, dtype=bool)
-        self.table[seeds & self.mask] = True
+        self.table[self.seeds & self.mask] = True
 
-    def places(self, gram: np.ndarray) -> np.ndarray:
-        """Where ``gram`` has a seed."""
+    def places(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``gram`` has a seed, and which."""
         at = np.flatnonzero(self.table[gram & self.mask])
         found = np.minimum(np.searchsorted(self.seeds, gram[at]), len(self.seeds) - 1)
-        return at[self.seeds[found] == gram[at]]
-
-
-def _passages(docs: DataFrame, seeds: np.ndarray, gram: int, reach: int) -> DataFrame:
-    """Stretches of documents around seeds: ``(doc_id, start, words, grams)``.
-
-    Seeds whose surroundings (``reach`` words, the length of the longest item) meet share a passage.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(Seeds(seeds))
-
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, offsets = textscan.texts(batch.column(1))
-        for i, j in textscan.runs(offsets):
-            word, bounds = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            every = textscan.grams(word, gram)
-            at = sent.value.places(every) if len(every) else np.empty(0, np.int64)
-            doc = np.searchsorted(bounds, at, side="right") - 1
-            inside = at + gram <= bounds[doc + 1]
-            doc, at = doc[inside], at[inside]
-            if not len(at):
-                continue
-            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * reach)))
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at)) - 1
-            begin = np.maximum(at[first] - reach, bounds[doc[first]])
-            end = np.minimum(at[last] + reach, bounds[doc[first] + 1])
-            taken = np.concatenate([word[a:b] for a, b in zip(begin, end)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc[first] + i)), pa.array(begin - bounds[doc[first]]),
-                 _lists(taken, np.cumsum(end - begin)), _lists(every[at], last + 1)],
-                names=["doc_id", "start", "words", "grams"])
-
-    return by_batch(docs, each, "doc_id long, start long, words array<long>, grams array<long>")
+        same = self.seeds[found] == gram[at]
+        return at[same], found[same]
+
+    def met(self, at: np.ndarray, seed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(item, place)`` of every item of every seed found, sorted, in portions of whole items, so
+        that little is held at once however many items share a frequent seed."""
+        order = np.argsort(seed, kind="stable")
+        at = at[order]
+        known, first, often = np.unique(seed[order], return_index=True, return_counts=True)
+        which = np.repeat(np.arange(len(known)), self.count[known])
+        item = self.items[_ramps(self.first[known], self.count[known])]
+        order = np.argsort(item, kind="stable")
+        item, which = item[order], which[order]
+        ends = np.append(np.flatnonzero(item[1:] != item[:-1]) + 1, len(item))
+        total = np.cumsum(often[which])[ends - 1]
+        done = 0  # items
+        while done < len(ends):
+            before = total[done - 1] if done else 0
+            last = max(int(np.searchsorted(total, before + _PORTION, side="right")), done + 1)
+            part = slice(ends[done - 1] if done else 0, ends[last - 1])
+            place = at[_ramps(first[which[part]], often[which[part]])]
+            of = np.repeat(item[part], often[which[part]])
+            order = np.lexsort((place, of))
+            yield of[order], place[order]
+            done = last
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -140,72 +141,94 @@ def _align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return score, int(j), end
 
 
+def _may_align(known: np.ndarray, passage: np.ndarray, length: int, least: float) -> bool:
+    """Whether a passage can hold an alignment of the least score with an item of ``length`` words, of
+    which ``known`` are the distinct ones. Such an alignment matches ``least`` of the words and has at
+    most ``2 * (1 - least)`` item lengths of gaps, so that many matches must stand in such a stretch."""
+    found = np.minimum(np.searchsorted(known, passage), len(known) - 1)
+    same = np.concatenate(([0], np.cumsum(known[found] == passage)))
+    stretch = min(int(length * (1 + MATCH * (1 - least))) + 1, len(passage))
+    return int((same[stretch:] - same[: len(same) - stretch]).max()) >= least * length - 1e-9
+
+
+def _found(docs: DataFrame, seeds: Seeds, gram: int, reach: int, least: float) -> DataFrame:
+    """The alignments of the items of ``seeds`` with the documents, found in the tasks that read them.
+
+    Every item that shares a gram with a document is aligned with the passages around these grams
+    (``reach`` words to both sides; what meets is one passage), however frequent the grams are.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(seeds)
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = textscan.texts(batch.column(1))
+        own = sent.value
+        docs, rows = [], []
+        for i, j in textscan.runs(offsets):
+            word, bounds = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            every = textscan.grams(word, gram)
+            at, seed = own.places(every) if len(every) else (np.empty(0, np.int64),) * 2
+            inside = at + gram <= bounds[np.searchsorted(bounds, at, side="right")]
+            at, seed = at[inside], seed[inside]
+            for item, place in own.met(at, seed) if len(at) else ():
+                doc = np.searchsorted(bounds, place, side="right") - 1
+                new = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > 2 * reach)
+                first = np.flatnonzero(np.append(True, new))
+                last = np.append(first[1:], len(place)) - 1
+                begin = np.maximum(place[first] - reach, bounds[doc[first]])
+                end = np.minimum(place[last] + reach, bounds[doc[first] + 1])
+                for k, d, a, b in zip(item[first].tolist(), doc[first].tolist(), begin.tolist(), end.tolist()):
+                    whole, passage = own.words[k], word[a:b]
+                    if not _may_align(own.sorted_words[k], passage, len(whole), least):
+                        continue
+                    score, start, stop = align(whole, passage)
+                    if score >= least * MATCH * len(whole):
+                        shift = a - int(bounds[d])
+                        docs.append(d + i)
+                        rows.append((own.number[k], score / (MATCH * len(whole)), shift + start, shift + stop))
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(docs, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
+            names=["doc_id", "item_id", "score", "first_word", "last_word"])
+
+    return by_batch(docs, each, _PAIRS)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, gram: int = GRAM,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, score, first_word, last_word)``: benchmark items found in documents.
 
-    Every n-gram of words of every document is compared with those of the items. Passages around
-    the matches are joined with the items on seeds that are rare in this corpus, and each such pair
-    is aligned; ``score`` is the best local alignment over that of an unchanged copy, and pairs of
-    at least ``least`` are returned, the best place of each, with word positions from 0 (the last
-    exclusive). Null texts are empty and hold nothing; empty items are left out; rows without an id
-    are searched too and returned with a null id; rows that repeat an id count as one document;
-    other columns are not read.
+    Every n-gram of words of every document is compared with those of the items. An item is aligned
+    with the passages around all grams that it shares with a document, frequent ones too; only where
+    too few of its words stand together for the least score is the alignment spared. ``score`` is the
+    best local alignment over that of an unchanged copy, and pairs of at least ``least`` are returned,
+    the best place of each, with word positions from 0 (the last exclusive). Null texts are empty and
+    hold nothing; empty items and items without an id are left out; rows without an id are searched
+    too and returned with a null id; rows that repeat an id count as one document; other columns are
+    not read.
 
     Documents are read once and never shuffled. Items grow with the benchmark, not with the corpus:
-    the hashes of their grams are held whole by every task up to ``SEED_LIMIT``; beyond it the grams are
-    taken in parts of that size, each with a reading of the documents.
+    they are held whole by every task up to ``SEED_LIMIT`` grams; beyond it items are taken in parts of
+    that size, each with a reading of the documents.
     """
     spark = docs.sparkSession
-    item = materialize(items(benchmark, gram=gram), "items")
-    all_grams = item.select("item_id", F.explode("grams").alias("gram"))
-    reach = item.agg(F.max(F.size("words"))).first()[0]
-    pairs = "doc_id long, item_id long, score double, first_word long, last_word long"
+    item = materialize(items(benchmark, gram=gram).filter("item_id IS NOT NULL"), "items")
+    reach, total = item.agg(F.max(F.size("words")), F.sum(F.size("grams"))).first()
     if reach is None:
-        return spark.createDataFrame([], pairs)
-    parts = int(all_grams.agg(F.approx_count_distinct("gram")).first()[0] * 1.2) // SEED_LIMIT + 1
+        return spark.createDataFrame([], _PAIRS)
+    parts = total // SEED_LIMIT + 1
     text = id_and_text(docs, id_col, text_col)
     found = []
     for part in range(parts):
-        chosen = all_grams.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).select("gram").distinct()
-        seeds = chosen.toArrow().column(0).to_numpy().view(np.uint64)
-        found.append(materialize(_passages(text, seeds, gram, reach), "passages"))
-    passages = found[0]
+        chosen = item.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow()
+        if not len(chosen):
+            continue
+        lists = [[x.values.to_numpy().view(np.uint64) for x in chosen[c]] for c in ("words", "grams")]
+        seeds = Seeds(chosen["item_id"].to_pylist(), *lists)
+        found.append(materialize(_found(text, seeds, gram, reach, least), "alignments"))
+    aligned = found[0]
     for more in found[1:]:
-        passages = passages.unionByName(more)
-
-    # a passage is known by its document, place and content, so repeated rows are one
-    name = [F.col("doc_id"), F.col("start"), F.xxhash64("words").alias("content")]
-    hits = passages.select(*name, F.explode(F.array_distinct("grams")).alias("gram"))
-    often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("found"))
-    known = all_grams.distinct().join(often, "gram")
-    middle = known.groupBy("item_id").agg(F.percentile_approx("found", 0.5).alias("middle"))
-    rare = known.join(middle, "item_id").filter(
-        (F.col("found") <= RARE) | (F.col("found") <= RELATIVE * F.col("middle"))).select("gram", "item_id")
-    met = hits.join(rare, "gram").select("doc_id", "start", "content", "item_id").distinct()
-    whole = passages.select(
-        F.col("doc_id").alias("d"), F.col("start").alias("s"), F.xxhash64("words").alias("c"),
-        F.col("words").alias("passage")).dropDuplicates(["d", "s", "c"])
-    both = met.join(whole, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s"))
-                    & (F.col("content") == F.col("c"))).join(
-        item.select(F.col("item_id").alias("of"), F.col("words").alias("item")), F.col("item_id") == F.col("of"))
-
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        doc, number, start, item, passage = batch.columns
-        rows = []
-        for k in range(len(batch)):
-            a, b = (x[k].values.to_numpy(zero_copy_only=False) for x in (item, passage))
-            score, first, last = align(a, b)
-            if score >= least * MATCH * len(a):
-                at = start[k].as_py()
-                rows.append((doc[k].as_py(), number[k].as_py(), score / (MATCH * len(a)), at + first, at + last))
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, kinds)],
-            names=["doc_id", "item_id", "score", "first_word", "last_word"])
-
-    aligned = by_batch(both.select("doc_id", "item_id", "start", "item", "passage"), each, pairs)
+        aligned = aligned.unionByName(more)
     best = F.max_by(F.struct("score", "first_word", "last_word"),
                     F.struct("score", (-F.col("first_word")).alias("earlier"), "last_word"))
     return aligned.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")

@@ -99,6 +99,24 @@ def test_item_in_many_copies_is_still_found(spark, docs_of, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in rows} == {(i, 0) for i in range(80)} | {(80, 1)}
 
 
+def test_frequent_seeds_are_aligned(spark, docs_of):
+    """Edited copies that share only grams found a thousand times as often as their item's other grams."""
+    words = [f"v{i}" for i in range(25)]
+    kept = [w if i % 5 else "changed" for i, w in enumerate(words)]
+    texts = [" ".join(kept)] * 1200 + [" ".join(words)]
+    rows = decontaminate.contaminated(docs_of(texts), benchmark(spark, [" ".join(words)])).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, 0) for i in range(1201)}
+    assert decontaminate.keep_clean(docs_of(texts), benchmark(spark, [" ".join(words)])).count() == 0
+
+
+def test_a_seed_of_many_items(spark, docs_of, monkeypatch):
+    shared = prose(5)
+    items = [" ".join(shared + prose(15)) for _ in range(40)]
+    monkeypatch.setattr(decontaminate, "_PORTION", 7)
+    rows = decontaminate.contaminated(docs_of(items + [" ".join(shared)]), benchmark(spark, items)).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in rows} == {(i, i, 1.0) for i in range(40)}
+
+
 def test_edges(spark, docs_of):
     leak = ITEMS[2]
     docs = docs_of([leak, None, "", "clean text that is nobody's", leak, "clean one", "clean two", ("a " * 50_000) + leak],
