@@ -27,10 +27,12 @@ _CANDIDATE = "[@0-9]"
 
 LABELS = ("none", *KINDS)
 N_LABELS = len(LABELS)
-ROUNDS = 12
+ROUNDS = 1000  # at most; a text is done as soon as its messages settle
+SETTLED = 1e-8  # largest change of a log message
 DAMPING = 0.5
 LEAST = 0.5  # probability from which a token is labelled
 FEATURES = 18
+_NEVER = -1e9  # log potential that no number of messages makes up for
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'.,;:!?()[]{}<>"
 
@@ -84,8 +86,8 @@ class Graph:
     """The tokens of some texts that may be labelled, and the edges between them.
 
     ``rule`` is the label that a base span gives a token, 0 if none does. Tokens next to each other
-    are joined by chain edges; each token and the next one of the same form in its text by a skip
-    edge, so that equal tokens are linked through one another however often they occur.
+    are joined by chain edges. ``skip`` has each token and the next one of the same form in its text,
+    ``group`` the group of a token: all tokens of its form in its text, -1 if it has none.
     """
 
     text: list[int]
@@ -96,6 +98,7 @@ class Graph:
     rule: list[int]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    group: list[int]
 
 
 def _form(token: str) -> str | None:
@@ -123,7 +126,8 @@ def _features(token: str, before: str | None, after: str | None) -> int:
 
 
 def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
-    g = Graph([], [], [], [], [], [], [], [])
+    g = Graph([], [], [], [], [], [], [], [], [])
+    n_groups = 0
     for t, text in enumerate(texts):
         if not text:
             continue
@@ -146,10 +150,15 @@ def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
             if before is not None:
                 g.chain.append((node - 1, node))
             form = _form(core)
-            if form is not None:
-                if form in last_of:
-                    g.skip.append((last_of[form], node))
-                last_of[form] = node
+            if form is None:
+                g.group.append(-1)
+            elif form in last_of:
+                g.skip.append((last_of[form], node))
+                g.group.append(g.group[last_of[form]])
+            else:
+                g.group.append(n_groups)
+                n_groups += 1
+            last_of[form] = node
     return g
 
 
@@ -174,6 +183,11 @@ class Field:
     def posterior(self, g: Graph) -> np.ndarray:
         """Label probabilities of every token by loopy message passing (sum-product, damped).
 
+        Two tokens of one form are joined by a skip edge; three and more each with a hub, so that all
+        are two steps from one another however many there are. A hub has the labels that rules give to
+        tokens of its form and is not outvoted by tokens that no rule knows. A text is done when its
+        messages have settled, or after ``ROUNDS`` if they go round in circles.
+
         Texts share no edge, so what stands beside a text in a batch doesn't matter.
         """
         n = len(g.text)
@@ -182,23 +196,50 @@ class Field:
         known = rule > 0
         own[known] = -20.0
         own[known, rule[known]] = 0.0
-        pairs = np.array(g.chain + g.skip, dtype=np.int64).reshape(-1, 2)
-        near = np.repeat([0, 1], [len(g.chain), len(g.skip)])
+        pairs, skip, hubs = self._edges(g, rule)
+        own = np.concatenate((own, hubs))
+        near = skip.astype(np.int64)
         tables = np.stack((self.chain, self.skip))
         source = np.concatenate((pairs[:, 0], pairs[:, 1]))
         target = np.concatenate((pairs[:, 1], pairs[:, 0]))
         back = np.concatenate((np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))))
         potential = np.concatenate((tables[near], tables[near].transpose(0, 2, 1)))
+        text = np.array(g.text, dtype=np.int64)[np.concatenate((pairs[:, 0], pairs[:, 0]))]
         message = np.zeros((len(source), N_LABELS))
-        for _ in range(ROUNDS if len(source) else 0):
-            belief = own + self._gather(message, target, n)
-            out = belief[source] - message[back]
-            new = _log_sum(out[:, :, None] + potential, axis=1)[:, 0, :]
+        open_ = np.arange(len(source))  # edges of texts whose messages have not settled
+        for _ in range(ROUNDS):
+            if not len(open_):
+                break
+            belief = own + self._gather(message[open_], target[open_], len(own))  # right in open texts
+            out = belief[source[open_]] - message[back[open_]]
+            new = _log_sum(out[:, :, None] + potential[open_], axis=1)[:, 0, :]
             new -= _log_sum(new, axis=1)
-            message = DAMPING * message + (1 - DAMPING) * new
-        belief = own + self._gather(message, target, n)
+            new = DAMPING * message[open_] + (1 - DAMPING) * new
+            moved = np.abs(new - message[open_]).max(axis=1) > SETTLED
+            message[open_] = new
+            open_ = open_[np.isin(text[open_], text[open_[moved]])]
+        belief = (own + self._gather(message, target, len(own)))[:n]
         return np.exp(belief - _log_sum(belief, axis=1))
 
+    @staticmethod
+    def _edges(g: Graph, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges with the token in front, whether each is a skip edge, and the hubs' own log potentials."""
+        group = np.array(g.group, dtype=np.int64)
+        size = np.bincount(group[group >= 0])
+        chain, skip = (np.array(e, dtype=np.int64).reshape(-1, 2) for e in (g.chain, g.skip))
+        skip = skip[size[group[skip[:, 0]]] == 2]
+        large = np.flatnonzero(size > 2)
+        member = np.flatnonzero(np.isin(group, large))
+        hub = np.searchsorted(large, group[member])
+        found = np.zeros((len(large), N_LABELS))
+        np.add.at(found, (hub, rule[member]), 1)
+        found[:, 0] = 0  # no rule
+        some = found.sum(axis=1) > 0
+        own = np.zeros((len(large), N_LABELS))
+        own[some] = np.where(found[some] > 0, np.log(np.maximum(found[some], 1)), _NEVER)
+        pairs = np.concatenate((chain, skip, np.column_stack((member, hub + len(group)))))
+        return pairs, np.arange(len(pairs)) >= len(chain), own
+
     @staticmethod
     def _gather(message: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
         return np.column_stack([

@@ -84,6 +84,30 @@ def test_skip_edges_carry_labels():
     assert pii.Field(weights, np.zeros((5, 5)), np.zeros((5, 5))).posterior(g)[1].argmax() == 0
 
 
+def test_one_known_mention_reaches_all():
+    """A rule knows one mention of a number, first, in the middle or last of 51; the others look like nothing."""
+    agree = np.full((5, 5), -2.0) + np.eye(5) * 4
+    weights = np.zeros((pii.FEATURES + 1, 5))
+    weights[-1, 0] = 1.5
+    field = pii.Field(weights, np.zeros((5, 5)), agree)
+    for at in (0, 25, 50):
+        g = graph(" and ".join(["9885552485"] * 51))
+        assert not any(g.rule)
+        assert (field.posterior(g).argmax(axis=1) == 0).all()
+        g.rule[at] = 4
+        p = field.posterior(g)
+        assert (p.argmax(axis=1) == 4).all() and np.ptp(np.delete(p, at, axis=0), axis=0).max() < 1e-6
+
+
+def test_messages_settle_on_a_long_chain():
+    """The label of the first of a hundred neighbours reaches the last one."""
+    stay = np.full((5, 5), -20.0) + np.eye(5) * 20
+    field = pii.Field(np.zeros((pii.FEATURES + 1, 5)), stay, np.zeros((5, 5)))
+    g = graph(" ".join(f"{i % 10}" for i in range(100)))
+    g.rule[0] = 2
+    assert (field.posterior(g).argmax(axis=1) == 2).all()
+
+
 def test_batches_do_not_matter():
     texts = ["a@b.c 12 a@b.c", "", "99 99 +1 234 567 8901", "1.2.3.4 x 1.2.3.4"]
     rng = np.random.default_rng(3)
