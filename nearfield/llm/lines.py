@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity."""
+"""Fuzzy line dedup: SimHash blocks and MinHash tables of normalised lines, edit similarity."""
 
 from __future__ import annotations
 
@@ -16,7 +16,10 @@ from nearfield.llm.components import components
 
 MAX_BITS = 3
 SIMILARITY = 0.8
-LEAST_WORDS = 5  # shorter lines are compared as a whole only
+LEAST_WORDS = 5  # shorter lines have no SimHash
+# MinHash tables of pairs of neighbouring words: lines meet if in one table all least hashes agree.
+TABLES = 16
+_LEAST_HASHES = 4
 
 # 64 bits in five blocks: of two prints that differ in at most three bits at least two blocks agree,
 # so they meet under one of the ten choices of two blocks.
@@ -62,9 +65,35 @@ def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return whole, bits, count
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, line, key, fp, words)`` for every line that has a word; lines count from 0 within a
-    document and include those without words."""
+def slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: int) -> np.ndarray:
+    """Per line that has a word: its value in every MinHash table."""
+    normal = _NORMAL[data]
+    offsets = np.concatenate(([0], np.unique(np.concatenate((starts, ends))), [len(data)]))
+    word_starts, word_ends = textscan.spans(normal, np.unique(offsets), textscan.WORD)
+    word = textscan.hashes(normal, word_starts, word_ends)
+    first, last = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
+    first, last = first[last > first], last[last > first]
+    out = np.zeros((len(first), tables), dtype=np.int32)
+    if not len(first):
+        return out
+    feature = np.append(textscan.grams(word, 2), word[-1:])  # a line's last word has no pair
+    alone = last - first == 1
+    feature[first[alone]] = word[first[alone]]
+    none = last[~alone] - 1
+    seed = textscan.mix(np.arange(1, tables * _LEAST_HASHES + 1, dtype=np.uint64))
+    for t in range(tables):
+        value = np.zeros(len(first), dtype=np.uint64)
+        for k in range(_LEAST_HASHES):
+            order = (feature ^ (feature >> np.uint64(29))) * (seed[t * _LEAST_HASHES + k] | np.uint64(1))
+            order[none] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            value = textscan.mix(value + np.minimum.reduceat(order, first))
+        out[:, t] = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return out
+
+
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 0) -> DataFrame:
+    """``(doc_id, line, key, fp, words, slots)`` for every line that has a word; lines count from 0 within
+    a document and include those without words. ``slots`` are its values in MinHash tables."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = textscan.texts(batch.column(1))
@@ -80,10 +109,16 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc[some] + i)), pa.array((breaks[starts] - breaks[at[doc]])[some]),
                  pa.array(whole[some].view(np.int64)), pa.array(bits[some].view(np.int64)),
-                 pa.array(count[some].astype(np.int64))],
-                names=["doc_id", "line", "key", "fp", "words"])
+                 pa.array(count[some].astype(np.int64)), slot_lists(part, starts, ends)],
+                names=["doc_id", "line", "key", "fp", "words", "slots"])
 
-    return by_batch(id_and_text(docs, id_col, text_col), each, "doc_id long, line long, key long, fp long, words long")
+    def slot_lists(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        found = slots(part, starts, ends, tables)
+        offsets = np.arange(len(found) + 1, dtype=np.int32) * np.int32(tables)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)))
+
+    schema = "doc_id long, line long, key long, fp long, words long, slots array<int>"
+    return by_batch(id_and_text(docs, id_col, text_col), each, schema)
 
 
 def _signed(x: int) -> int:
@@ -187,7 +222,7 @@ def _alike(pairs: DataFrame, normal: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_lines(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """``(node, component)`` of the distinct lines ``(key, fp, first)`` that are linked to others.
+    """Links ``(a, b)`` between the distinct lines ``(key, fp, first)`` that join all that are similar.
 
     Links inside a component that is known already need not be looked at, so pairs are verified in
     three steps: every line with the first line of its print, and every print's first line with
@@ -239,17 +274,51 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataF
     left = materialize(left.distinct().join(tried.distinct(), ["a", "b"], "left_anti"), "lines-apart")
     if not left.isEmpty():
         links = links.union(_alike(left, normal, similarity))
-    return components(links)
+    return links
+
+
+def similar_in_tables(nodes: DataFrame, docs: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``links`` and those that join all similar lines ``(key, first, slots)`` that share a slot of a table.
+
+    As in ``similar_lines``, every line of a slot is verified with the slot's first line; then every two
+    lines of a slot that are still in different components, slots being cut into cells.
+    """
+    slot = nodes.select("key", F.posexplode("slots").alias("t", "v")).select("key", F.xxhash64("t", "v").alias("slot"))
+    heads = slot.groupBy("slot").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(slot.join(heads, "slot"), "line-slots")
+    used = nodes.select("key", "first").join(shared.select("key").distinct(), "key")
+    normal = materialize(_wanted_texts(docs, used.select("first.doc_id", "first.line", "key")), "slot-texts")
+    stars = materialize(
+        shared.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "slot-stars")
+    links = links.union(_alike(stars, normal, similarity))
+
+    parts = shared.join(components(links), F.col("key") == F.col("node"), "left").select(
+        "slot", "key", "n", F.coalesce("component", "key").alias("part"))
+    parts = materialize(parts, "slot-parts")
+    mixed = parts.groupBy("slot").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    post = parts.join(mixed.select("slot"), "slot")
+    cells = F.ceil(F.col("n") / _CELL).cast("int")
+    cell = F.pmod(F.xxhash64("key"), cells).cast("int")
+    left = post.select("slot", F.col("key").alias("ka"), F.col("part").alias("pa"), cell.alias("own"),
+                       F.explode(F.sequence(cell, cells - 1)).alias("cell"))
+    right = post.select("slot", F.col("key").alias("kb"), F.col("part").alias("pb"), cell.alias("cell"))
+    met = left.join(right, ["slot", "cell"]).filter("pa <> pb AND (own < cell OR ka < kb)")
+    apart = met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+    apart = materialize(apart.join(stars, ["a", "b"], "left_anti"), "slots-apart")
+    if not apart.isEmpty():
+        links = links.union(_alike(apart, normal, similarity))
+    return links
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
-           least_words: int = LEAST_WORDS) -> DataFrame:
+           least_words: int = LEAST_WORDS, tables: int = 0) -> DataFrame:
     """``(doc_id, line, words, group_id, keep)`` for every line that has a word.
 
     Lines that are equal when normalised (lower case, every digit alike, words only) are one node.
     Nodes of at least ``least_words`` words are linked if the SimHashes of their words differ in at
     most ``MAX_BITS`` bits and their texts have edit similarity (one less edits over the longer
-    length) of ``similarity`` or more. ``group_id`` names a connected group; of each, the occurrence
+    length) of ``similarity`` or more; with ``tables``, so are nodes of any length that share a slot of
+    one of so many MinHash tables. ``group_id`` names a connected group; of each, the occurrence
     with the least document id and line is kept, wherever the others stand. A null text has no
     lines; rows without an id are left out, as their lines could not be told apart; rows that repeat
     an id count as one document, equal lines at one place of it as one line. Other columns are not
@@ -259,12 +328,14 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
     is one node. Texts are read again for lines in near pairs only.
     """
     text = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    every = materialize(lines(text).distinct(), "lines")
+    every = materialize(lines(text, tables=tables).distinct(), "lines")
     place = F.struct("doc_id", "line")
-    nodes = materialize(every.groupBy("key").agg(
+    nodes = materialize(every.groupBy("key", "slots").agg(
         F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("words").alias("words")), "line-nodes")
-    of = similar_lines(nodes.filter(F.col("words") >= least_words).select("key", "fp", "first"), text, similarity)
-    named = nodes.join(of, F.col("key") == F.col("node"), "left").select(
+    links = similar_lines(nodes.filter(F.col("words") >= least_words).select("key", "fp", "first"), text, similarity)
+    if tables:
+        links = similar_in_tables(nodes, text, links, similarity)
+    named = nodes.join(components(links), F.col("key") == F.col("node"), "left").select(
         "key", "first", F.coalesce("component", "key").alias("group_id"))
     kept = named.groupBy("group_id").agg(F.min("first").alias("kept"))
     small = named.select(F.col("key").alias("of"), "group_id").join(kept, "group_id")
@@ -274,7 +345,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
 
 def op7_fuzzy_lines(docs: DataFrame) -> DataFrame:
     """Per document: its lines, those that are kept, and the groups it shares with other lines."""
-    found = groups(docs)
+    found = groups(docs, tables=TABLES)
     return found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if("keep").alias("n_kept"),
         F.sum("words").alias("n_words"), F.sum(F.when(F.col("keep"), F.col("words")).otherwise(0)).alias("kept_words"))

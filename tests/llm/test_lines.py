@@ -114,3 +114,31 @@ def test_edges(docs_of):
     rows = {(r.doc_id, r.line): r.keep for r in lines.groups(docs_of(texts, ids=ids)).collect()}
     assert rows == {(1, 0): True, (2, 0): False, (3, 0): True, (4, 0): True}
     assert lines.op7_fuzzy_lines(docs_of([])).collect() == [] and lines.groups(docs_of([None, ""])).collect() == []
+
+
+@pytest.mark.parametrize("n_words, least", [(4, 0.2), (10, 0.85), (20, 0.97), (40, 0.97), (80, 0.97)])
+def test_recall_of_one_changed_word(n_words, least):
+    """Lines of which one word is replaced and whose edit similarity is 0.8: how many meet in a table."""
+    rng = random.Random(n_words)
+    met = tried = 0
+    while tried < 300:
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n_words)]
+        other = list(words)
+        other[rng.randrange(n_words)] = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+        a, b = " ".join(words), " ".join(other)
+        if a != b and lines.edits(a, b) <= 0.2 * max(len(a), len(b)):
+            data, _ = textscan.texts(pa.array([f"{a}\n{b}"]))
+            x, y = lines.slots(data, np.array([0, len(a) + 1]), np.array([len(a), len(data)]), lines.TABLES)
+            met, tried = met + bool((x == y).any()), tried + 1
+    assert met / tried >= least
+
+
+def test_changed_words_are_grouped(docs_of):
+    """Against all pairs by edit similarity alone, one word of every line replaced."""
+    rng = random.Random(8)
+    stock = [["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(25)] for _ in range(30)]
+    texts = [" ".join(words) for words in stock] + [" ".join([*w[:k], "other", *w[k + 1 :]]) for k, w in enumerate(stock[:25])]
+    rows = {r.doc_id: r.keep for r in lines.groups(docs_of(texts), tables=lines.TABLES).collect()}
+    kept = [not any(distance(t, texts[j]) <= 0.2 * max(len(t), len(texts[j])) for j in range(i)) for i, t in enumerate(texts)]
+    assert rows == dict(enumerate(kept))
+    assert [r.n_kept for r in lines.op7_fuzzy_lines(docs_of(texts)).orderBy("doc_id").collect()] == [int(k) for k in kept]
