@@ -7,22 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import (
-    chat, decontaminate, licenses, lines, mixing, neighbours, pii, quality, simhash, tokens,
+    alignment, chat, compression, decontaminate, exact, licenses, lines, mixing, neighbours, pii, quality,
+    simhash, tokens,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10_water_filled_mix(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.op11_resident_lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op12_token_alignment(
+        table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.op13_exact_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_scores": op1,
     "op2_perspectives": op2,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Query] = {
     "op8_license_spans": op8,
     "op9_personal_data": op9,
     "op10_water_filled_mix": op10,
+    "op11_resident_lloyd": op11,
+    "op12_token_alignment": op12,
+    "op13_exact_classes": op13,
 }
 
 # The others have no SQL: trained models, SimHash with components, alignment, the tokenizer.
@@ -84,4 +102,6 @@ ORACLES: dict[str, str] = {
     "op4_block_nearest": neighbours.SQL,
     "op8_license_spans": licenses.sql(),
     "op10_water_filled_mix": mixing.sql(),
+    "op11_resident_lloyd": compression.sql(),
+    "op13_exact_classes": exact.SQL,
 }

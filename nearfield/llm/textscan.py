@@ -16,6 +16,7 @@ RUN_BYTES = 1 << 20
 # Any odd number has an inverse modulo 2**64, so a word's polynomial can be moved to its start.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SHORT = 64  # bytes of a span that is hashed eight bytes at a time
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -73,6 +74,70 @@ def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def _codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each span by its bytes, and the place of a span of each code. Spans are short.
+
+    Spans are hashed and compared eight bytes at a time: those of one hash must equal one of them,
+    or all are told apart by a table of whole values.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h, lanes = lengths.astype(np.uint64), []
+    for at in range(0, int(lengths.max(initial=0)), 8):
+        some = np.flatnonzero(lengths > at)
+        left = np.minimum(lengths[some] - at, 8).astype(np.uint64)
+        value = eights[starts[some] + at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - left * np.uint64(8)))
+        lanes.append((some, value))
+        h[some] = mix(h[some] * np.uint64(_BASE) ^ value)
+    codes = pa.array(h).dictionary_encode().indices.to_numpy()
+    place = np.empty(int(codes.max(initial=-1)) + 1, np.int64)
+    place[codes] = np.arange(len(codes))
+    one = place[codes]
+    same = bool((lengths == lengths[one]).all())
+    whole = np.zeros(len(codes), np.uint64)
+    for some, value in lanes if same else ():
+        whole[some] = value
+        same = same and bool((value == whole[one[some]]).all())
+    if not same:
+        raw = data.tobytes()
+        spans_of = pa.array([raw[i : i + n] for i, n in zip(starts.tolist(), lengths.tolist())], pa.binary())
+        codes = spans_of.dictionary_encode().indices.to_numpy()
+        place = np.empty(int(codes.max()) + 1, np.int64)
+        place[codes] = np.arange(len(codes))
+    return codes, place
+
+
+def distinct(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The spans between neighbouring bounds by their bytes: a code for each, and the span of each code."""
+    lengths = np.diff(bounds)
+    raw, starts = data.tobytes(), bounds[:-1]
+    long = np.flatnonzero(lengths > _SHORT)
+    if not len(long):
+        codes, place = _codes(data, starts, lengths)
+        at, to = starts[place].tolist(), bounds[1:][place].tolist()
+        return codes, [raw[i:j] for i, j in zip(at, to)]
+    short = np.flatnonzero(lengths <= _SHORT)
+    codes = np.empty(len(lengths), np.int64)
+    codes[short], place = _codes(data, starts[short], lengths[short])
+    place = short[place]
+    words = [raw[i:j] for i, j in zip(starts[place].tolist(), bounds[1:][place].tolist())]
+    known: dict[bytes, int] = {}
+    for k in long.tolist():
+        codes[k] = known.setdefault(raw[bounds[k] : bounds[k + 1]], len(words) + len(known))
+    return codes, [*words, *known]
+
+
+def spread(held: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of 32-bit numbers, given once each as bytes, one after another as the codes call them, and
+    where each one starts (one more than codes)."""
+    lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
+    flat = np.frombuffer(b"".join(held), np.int32)
+    first = np.cumsum(lengths) - lengths
+    n = lengths[codes]
+    done = np.concatenate(([0], np.cumsum(n)))
+    return flat[np.repeat(first[codes] - done[:-1], n) + np.arange(done[-1])], done
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all their bits."""
     h = h ^ (h >> np.uint64(30))

@@ -80,15 +80,17 @@ class Encoder:
     character with what follows. Texts are cut there into pieces, and plain pieces further where
     letters, digits and signs meet, which is where the pre-tokenizer cuts them. Equal parts are found
     by hash; only new ones go through the model, odd pieces through the pre-tokenizer first. Other
-    tokenizers, and texts that hold an added token, are encoded whole.
+    tokenizers, and texts that hold an added token, are encoded whole; with ``plain`` the strings of added
+    tokens are text like any other.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         told = json.loads(definition)
         self.tokenizer = Tokenizer.from_str(definition)
-        self.added = [t["content"].encode() for t in told.get("added_tokens", [])]
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t["content"].encode() for t in told.get("added_tokens", [])]
         before = told.get("pre_tokenizer") or {}
         self.cuts = (
             before.get("type") == "ByteLevel" and before.get("use_regex", True)
@@ -101,6 +103,15 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id."""
+        letters = {chr(letter): byte for byte, letter in _BYTE_LETTERS.items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        return out
+
     def _whole(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 

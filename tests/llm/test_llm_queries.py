@@ -20,7 +20,7 @@ def test_gives_rows(spark, name):
 
 
 def test_native_operators_run_no_python(spark):
-    for name in ("op2_perspectives", "op8_license_spans", "op10_water_filled_mix"):
+    for name in ("op2_perspectives", "op8_license_spans", "op10_water_filled_mix", "op13_exact_classes"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InArrow" not in plan, name
 
