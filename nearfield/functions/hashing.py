@@ -6,6 +6,7 @@ same rows again and the same expression can be written in SQL.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +63,26 @@ def replicate_draw(key: Column, i: Column, n: Column) -> Column:
     return (first * F.lit(1 << 31) + F.shiftright(second, 1)) % n
 
 
+def _mix32_array(x: np.ndarray) -> np.ndarray:
+    """:func:`mix32` of an array of unsigned 32-bit numbers, which is changed."""
+    for _ in range(2):
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(_MULTIPLIER)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def drawn_ranks(key: np.ndarray, i: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """:func:`replicate_draw` of whole arrays."""
+    key, low = key.astype(np.uint32), i.astype(np.uint32)
+    high = (i >> 32).astype(np.uint32)
+    (a, b), (c, d) = _STEPS
+    first = _mix32_array(key + low * np.uint32(a) + high * np.uint32(b))
+    second = _mix32_array(key + np.uint32(_OTHER_WORD) + low * np.uint32(c) + high * np.uint32(d))
+    word = (first.astype(np.uint64) << np.uint64(31)) + (second >> np.uint32(1))
+    return (word % n.astype(np.uint64)).astype(np.int64)
+
+
 def replicate_draw_sql(key: str, i: str, n: str) -> str:
     """SQL text of :func:`replicate_draw`."""
     low, high = f"(({i}) % {_TWO32})", f"(({i}) >> 32)"

@@ -1,24 +1,34 @@
 """Bootstrap confidence intervals of a median, or of throughput as 1 / median.
 
 A resample is a set of drawn ranks, so its median is the value at its middle rank; only those
-ranks are ever joined to values. Draws are hashes of (seed, replicate, position) and are generated
-twice: once to find which cell of about sqrt(n) ranks holds the middle, once to order the draws
-inside that cell. Neither pass gathers a whole resample anywhere.
+ranks are ever joined to values. Every draw is generated once, in numpy on Arrow batches, and all
+that is kept of a part of a resample is how many draws lie below a band around the middle, and the
+draws inside it. Such states add up over the parts. A band is some square roots of the resample wide,
+so nothing ever holds a whole resample; replicates whose middle lies outside it, which the counts
+show, are drawn again with a wider one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.hashing import replicate_draw, replicate_key
+from nearfield.functions.hashing import drawn_ranks, replicate_key
 from nearfield.operators.quantiles import group_starts, ordered_values, quantiles_of, values_at
-from nearfield.session import materialize
+from nearfield.session import materialize, ship_package
 
-_CHUNK = 8192
-_DRAWS_PER_TASK = 4_000_000
+# Half a band in square roots of the resample; the middle's standard deviation is half of one.
+_BAND = 3.0
+# Draws that are one row of work, that are in memory at once, and that make a task.
+_CHUNK = 1 << 18
+_RUN = 1 << 18
+_DRAWS_PER_TASK = 20_000_000
+_ONE = ["group_start", "replicate"]
 
 
 def _tasks(starts: DataFrame, replicates: int) -> int:
@@ -28,77 +38,78 @@ def _tasks(starts: DataFrame, replicates: int) -> int:
     return max(cores, min(100_000, total * replicates // _DRAWS_PER_TASK))
 
 
-def _draws(replicates: DataFrame, seed: int, tasks: int) -> DataFrame:
-    """Every draw of every replicate, produced in chunks of bounded length."""
-    n = F.col("group_size")
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / _CHUNK)))
-    start = F.col("chunk") * _CHUNK
-    position = F.explode(F.sequence(start, F.least(start + _CHUNK, n) - 1))
-    # What is constant per chunk is computed before the shuffle, not once per draw.
-    chunks = replicates.withColumns({
-        "chunk": chunk,
-        "key": replicate_key(seed, F.col("replicate")),
-        "width": F.ceil(F.sqrt(n.cast("double"))),
-    })
-    spread = chunks.repartition(tasks, "group_start", "replicate", "chunk")
-    drawn = replicate_draw(F.col("key"), F.col("i"), n)
-    return spread.withColumn("i", position).withColumn("draw", drawn)
-
-
-def _cell(draw: Column) -> Column:
-    return F.floor(draw / F.col("width"))
-
-
-def _middle_cells(replicates: DataFrame, seed: int, tasks: int) -> DataFrame:
-    """The cells that hold the middle draws of every replicate, and the draws before the first."""
-    one = ["group_start", "replicate"]
-    cells = (
-        _draws(replicates, seed, tasks)
-        .groupBy(*one, _cell(F.col("draw")).alias("cell"))
-        .agg(F.count("*").alias("n"), F.first("group_size").alias("group_size"))
-    )
-    before = Window.partitionBy(*one).orderBy("cell")
-    upto = F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0))
-    low, high = _middle_positions()
-    counted = cells.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
-
-    def holding(position: Column, column: str) -> Column:
-        inside = (F.col("before") <= position) & (position < F.col("upto"))
-        return F.max(F.when(inside, F.col(column)))
-
-    return counted.groupBy(*one).agg(
-        F.first("group_size").alias("group_size"),
-        holding(low, "cell").alias("low_cell"),
-        holding(low, "before").alias("low_before"),
-        holding(high, "cell").alias("high_cell"),
-    )
-
-
-def _middle_positions() -> tuple[Column, Column]:
-    n = F.col("group_size")
-    return F.floor((n - 1) / 2), F.floor(n / 2)
-
-
-def _middle_places(cells: DataFrame, seed: int, tasks: int) -> DataFrame:
-    """Both middle places of every replicate in the numbered table (equal for odd sizes)."""
-    cell = _cell(F.col("draw"))
-    inside = _draws(cells, seed, tasks).where(
-        (cell == F.col("low_cell")) | (cell == F.col("high_cell"))
-    )
-    low, high = _middle_positions()
-    # Draws between the two cells do not exist: the high cell is the next one that is not empty.
-    ordered = inside.groupBy("group_start", "replicate").agg(
-        F.array_sort(F.collect_list("draw")).alias("sorted"),
-        F.first("low_before").alias("low_before"), F.first("group_size").alias("group_size"),
-    )
-
-    def place(position: Column) -> Column:
-        rank = F.element_at("sorted", (position - F.col("low_before") + 1).cast("int"))
-        return F.col("group_start") + rank
-
-    return ordered.select(
-        "group_start", "replicate", F.explode(F.array(place(low), place(high))).alias("position")
-    )
+def _runs(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` draws."""
+    ends, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        done = ends[first] - lengths[first]
+        last = max(first + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield first, last
+        first = last
+
+
+def _states(batch: pa.RecordBatch, size: int = _CHUNK, most: int = _RUN) -> Iterator[pa.RecordBatch]:
+    """Draws below the band, and those inside it, of every row of work, a part of ``size`` draws."""
+    start, replicate, n, chunk, key, low, high = (
+        batch.column(c).to_numpy() for c in ("group_start", "replicate", "group_size", "chunk", "key", "low", "high"))
+    lengths = np.minimum(n - chunk * size, size)
+    for i, j in _runs(lengths, most):
+        length = lengths[i:j]
+        of = np.repeat(np.arange(i, j), length)
+        position = np.arange(len(of)) - np.repeat(np.cumsum(length) - length - chunk[i:j] * size, length)
+        rank = drawn_ranks(key[of], position, n[of])
+        below = np.bincount(of[rank < low[of]] - i, minlength=j - i)
+        inside = np.flatnonzero((rank >= low[of]) & (rank < high[of]))
+        ends = np.searchsorted(of[inside], np.arange(i, j + 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(start[i:j]), pa.array(replicate[i:j]), pa.array(below.astype(np.int64)),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rank[inside], pa.int64()))],
+            names=["group_start", "replicate", "below", "inside"])
+
+
+def _middles(replicates: DataFrame, tasks: int) -> DataFrame:
+    """Every replicate with both middle ranks (equal for odd sizes), null where the band misses one.
+
+    ``replicates`` has ``group_start``, ``replicate``, ``group_size``, ``key`` and ``width``, half the band.
+    """
+    n, size, most = F.col("group_size"), _CHUNK, _RUN
+    middle = F.floor(n / 2)
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size)))
+    work = replicates.select(
+        *_ONE, "group_size", chunk.alias("chunk"), "key",
+        F.greatest(middle - F.col("width"), F.lit(0)).cast("long").alias("low"),
+        F.least(middle + F.col("width"), n).cast("long").alias("high"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _states(batch, size, most)
+
+    states = work.repartition(tasks, *_ONE, "chunk").mapInArrow(
+        each, "group_start long, replicate long, below long, inside array<long>")
+    merged = states.groupBy(*_ONE).agg(
+        F.sum("below").alias("below"), F.sort_array(F.flatten(F.collect_list("inside"))).alias("inside"))
+
+    def rank(position: Column) -> Column:
+        at = position - F.col("below")
+        held = (at >= 0) & (at < F.size("inside"))
+        return F.when(held, F.element_at("inside", (at + 1).cast("int")))
+
+    return replicates.join(merged, _ONE).select(
+        *replicates.columns, rank(F.floor((n - 1) / 2)).alias("low_rank"), rank(middle).alias("high_rank"))
+
+
+def _middle_places(replicates: DataFrame, tasks: int) -> DataFrame:
+    """Both middle places of every replicate in the numbered table."""
+    found = []
+    while True:
+        told = materialize(_middles(replicates, tasks), "middles")
+        hit = F.col("low_rank").isNotNull() & F.col("high_rank").isNotNull()
+        places = F.array(*[F.col("group_start") + F.col(c) for c in ("low_rank", "high_rank")])
+        found.append(told.where(hit).select(*_ONE, F.explode(places).alias("position")))
+        missed = told.where(~hit)
+        if missed.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        replicates = missed.select(*replicates.columns).withColumn("width", F.col("width") * 4 + 1)
 
 
 def bootstrap_median(
@@ -118,11 +129,14 @@ def bootstrap_median(
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))
     resampled = starts.where(F.col("group_size") > 1).select(
         "group_start", "group_size", each.alias("replicate")
-    )
-    tasks = _tasks(starts, replicates)
-    cells = materialize(_middle_cells(resampled, seed, tasks), "cells")
+    ).withColumns({
+        "key": replicate_key(seed, F.col("replicate")),
+        "width": F.ceil(F.lit(_BAND) * F.sqrt(F.col("group_size").cast("double"))),
+    })
+    ship_package(df.sparkSession)
+    places = _middle_places(resampled, _tasks(starts, replicates))
     stat = (
-        values_at(ordered, _middle_places(cells, seed, tasks), "position")
+        values_at(ordered, places, "position")
         .groupBy("group_start", "replicate")
         .agg(F.avg("value").alias("stat"))
     )

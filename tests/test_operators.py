@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.functions.hashing import hash_draw, replicate_draw, replicate_key
+from nearfield.functions.hashing import drawn_ranks, hash_draw, replicate_draw, replicate_key
+from nearfield.operators import bootstrap
 from nearfield.functions.codec import decode_vector, encode_vector, quantise_column, error_report
 from nearfield.functions.names import (
     format_bytes,
@@ -124,6 +126,41 @@ def test_bootstrap_against_numpy(spark, throughput):
         assert r["n"] == n and r["few"] == (n < 30)
 
 
+def test_draws_of_arrays_and_columns_agree(spark):
+    rng = np.random.default_rng(4)
+    n = np.array([1, 2, 7, 1000, 2**31 + 11, 2**40 + 3, 2**62 + 1])
+    rows = [(int(rng.integers(2**32)), int(rng.integers(2**45)), int(n[i % 7])) for i in range(700)]
+    table = spark.createDataFrame(rows, "key long, i long, n long")
+    drawn = replicate_draw(F.col("key"), F.col("i"), F.col("n"))
+    expected = [r["d"] for r in table.select(drawn.alias("d")).collect()]
+    key, i, size = map(np.array, zip(*rows))
+    assert drawn_ranks(key, i, size).tolist() == expected
+
+
+@pytest.mark.parametrize("band, chunk, run", [(0.0, 1 << 18, 1 << 18), (0.5, 64, 100), (3.0, 7, 10)])
+def test_bands_that_miss_are_widened(spark, monkeypatch, band, chunk, run):
+    """Whatever the band, the parts of a resample and the rows worked on at once, the same interval."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "a" if i < 700 else "b", float(v)) for i, v in enumerate(rng.exponential(size=1000))]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    whole = sorted(bootstrap_median(df, ["g"], "v", "id", replicates=40).collect())
+    for name, value in (("_BAND", band), ("_CHUNK", chunk), ("_RUN", run)):
+        monkeypatch.setattr(bootstrap, name, value)
+    assert sorted(bootstrap_median(df, ["g"], "v", "id", replicates=40).collect()) == whole
+
+
+def test_states_hold_a_band_only():
+    """Of a hundred thousand draws a state keeps a few thousand."""
+    n = 100_000
+    batch = pa.RecordBatch.from_pydict({
+        "group_start": [0], "replicate": [3], "group_size": [n], "chunk": [0], "key": [77],
+        "low": [n // 2 - 950], "high": [n // 2 + 950]})
+    state = pa.Table.from_batches(bootstrap._states(batch)).to_pylist()[0]
+    drawn = np.sort(drawn_ranks(np.full(n, 77), np.arange(n), np.full(n, n)))
+    assert 1500 < len(state["inside"]) < 2300
+    assert sorted(state["inside"])[n // 2 - state["below"]] == drawn[n // 2]
+
+
 def test_latencies(spark, skewed):
     df, rows = skewed
     r = latency_summary(df.where("grp = 'g1'"), ["grp"], "v", "id").first()
