@@ -1,7 +1,9 @@
 """Time the headline queries: prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables and ``BENCH_CPUS`` the local cores. Every query is run to the end
-into the no-op sink; the kNN join is also run on a larger table made from the embeddings.
+into the no-op sink; the kNN join is also run on a larger table made from the embeddings. Times go to
+the error stream as they come. A step that takes more than ``BENCH_STEP_SECONDS`` is cancelled and listed
+as stopped, and no step begins after ``BENCH_SECONDS``, so the line is always printed.
 """
 
 from __future__ import annotations
@@ -9,7 +11,9 @@ from __future__ import annotations
 import json
 import os
 import sys
+import threading
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -41,10 +45,45 @@ def run(df) -> float:
     return time.perf_counter() - started
 
 
-def timed(query, spark, sf) -> float:
-    started = time.perf_counter()
-    run(query(spark, sf))
-    return round(time.perf_counter() - started, 3)
+class Steps:
+    """Timed steps, each bounded."""
+
+    def __init__(self, spark: SparkSession):
+        self.context = spark.sparkContext
+        self.limit = float(os.environ.get("BENCH_STEP_SECONDS", "150"))
+        self.end = time.monotonic() + float(os.environ.get("BENCH_SECONDS", "1200"))
+        self.times: dict[str, float] = {}
+        self.stopped: dict[str, str] = {}
+
+    def run(self, name: str, step: Callable[[], object]) -> object:
+        """The step's result, or None if it failed, was cancelled or came too late."""
+        if time.monotonic() > self.end:
+            self.stopped[name] = "not begun"
+            return None
+        over = threading.Event()
+
+        def cancel() -> None:  # again and again, as a step may begin another job
+            while not over.wait(0 if late.is_set() else self.limit):
+                late.set()
+                self.context.cancelAllJobs()
+                over.wait(1)
+
+        late = threading.Event()
+        watch = threading.Thread(target=cancel, daemon=True)
+        watch.start()
+        started = time.perf_counter()
+        try:
+            result = step()
+            self.times[name] = round(time.perf_counter() - started, 3)
+            print(f"{name} {self.times[name]}", file=sys.stderr, flush=True)
+            return result
+        except Exception as error:  # noqa: BLE001
+            self.stopped[name] = f"after {self.limit:g} s" if late.is_set() else str(error).split("\n")[0][:200]
+            print(f"{name} stopped: {self.stopped[name]}", file=sys.stderr, flush=True)
+            return None
+        finally:
+            over.set()
+            watch.join()
 
 
 def larger_base(spark, sf):
@@ -75,29 +114,34 @@ def main() -> None:
     spark.sparkContext.setLogLevel("OFF")
     run(catalogue.QUERIES["KN1_knn_euclidean"](spark, str(Path(sf).parent / "sf0.001")))
 
-    times = {name: timed(catalogue.QUERIES[name], spark, sf) for name in HEADLINE}
-
-    rows, _ = larger_base(spark, sf)
-    asked = queries(spark, sf).select("qid", "emb")
-    pairs = rows.count() * asked.count()
-    rates = {}
-    for form, sizes in (("scan", {}), ("blocks", {"broadcast_limit": 0})):
-        started = time.perf_counter()
-        run(nearest(asked, rows, 10, **sizes))
-        seconds = time.perf_counter() - started
-        times[f"knn_larger_{form}"] = round(seconds, 3)
-        rates[form] = round(pairs / seconds)
-    started = time.perf_counter()
-    centres = materialize(train_lists(rows, 200, iterations=5), "centres")
-    run(assign_lists(rows, centres))
-    times["lists_built_larger"] = round(time.perf_counter() - started, 3)
-    elements = {form: rate * DIM for form, rate in rates.items()}
-    elements["lists_built"] = round(rows.count() * DIM / times["lists_built_larger"])
-
-    sweep = catalogue.QUERIES["KN16_recall_sweep"](spark, sf).collect()
-    recalls = {
-        f"{r['quantisation']},n_probe={r['n_probe']},k={r['k']}": r["recall"] for r in sweep
-    }
+    steps = Steps(spark)
+    for name in HEADLINE:
+        steps.run(name, lambda name=name: run(catalogue.QUERIES[name](spark, sf)))
+
+    rates, elements, recalls = {}, {}, {}
+    made = steps.run("larger_base", lambda: larger_base(spark, sf))
+    if made:
+        rows, _ = made
+        asked = queries(spark, sf).select("qid", "emb")
+        pairs = rows.count() * asked.count()
+        for form, sizes in (("scan", {}), ("blocks", {"broadcast_limit": 0})):
+            name = f"knn_larger_{form}"
+            if steps.run(name, lambda sizes=sizes: run(nearest(asked, rows, 10, **sizes))) is not None:
+                rates[form] = round(pairs / steps.times[name])
+        name = "lists_built_larger"
+
+        def build() -> float:
+            return run(assign_lists(rows, materialize(train_lists(rows, 200, iterations=5), "centres")))
+
+        if steps.run(name, build) is not None:
+            elements["lists_built"] = round(rows.count() * DIM / steps.times[name])
+    elements |= {form: rate * DIM for form, rate in rates.items()}
+    sweep = steps.run("recall_figures", lambda: catalogue.QUERIES["KN16_recall_sweep"](spark, sf).collect())
+    for r in sweep or ():
+        recalls[f"{r['quantisation']},n_probe={r['n_probe']},k={r['k']}"] = r["recall"]
+    steps.times.pop("larger_base", None)
+    steps.times.pop("recall_figures", None)
+    times = steps.times
     print(json.dumps({
         "metric": "total_seconds",
         "value": round(sum(times.values()), 3),
@@ -107,6 +151,7 @@ def main() -> None:
         "distance_evaluations_per_second": rates,
         "elements_per_second": elements,
         "recall": recalls,
+        "stopped": steps.stopped,
     }))
 
 
