@@ -6,16 +6,21 @@ inverted lists, hash buckets) and a closed range. Two physical forms give the sa
 * few queries: the query matrix, whose size is checked first, is broadcast and the base table is
   scanned once where it lies, every task keeping only the k best per query; a few times as many are
   cut into slices of that size, each with a scan of its own, so that the base is never moved;
-* many queries: both sides are cut into blocks, each pair of blocks is compared in one task, and
-  only the k best per query and block pair leave it. A frequent key gets more blocks.
+* many queries: the base is written once, every row in one block, into a table bucketed by block;
+  queries are routed to the blocks that they can match, in waves of bounded size. A wave moves its
+  queries only: the blocks are read where they lie. Blocks follow the key or ranges of the
+  attribute, and a frequent key or value gets as many blocks as its rows need.
 
-Either way one window on the query id merges the partial lists.
+Either way one window on the query id, whose limit is applied before the shuffle too, merges the
+partial lists. Several filters over one base share all of this: see :func:`all_ground_truths`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +38,27 @@ from nearfield.operators.kernels import (
     as_matrix,
     finite_rows,
 )
-from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, ship_package
+from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, scratch_path, ship_package
 
-# Values (rows x dimensions) per side of a block pair: 32 MB of float32.
+# Values (rows x dimensions) of a base block, 32 MB of float32, and how many times as many queries of a
+# wave may meet in a block.
 BLOCK_VALUES = 8_000_000
-# Tables of block counts up to this many keys are broadcast (about 32 bytes a key).
+_WAVE_BLOCKS = 4
+# Lists of keys and blocks up to this many rows are broadcast (about 32 bytes a row).
 _BROADCAST_KEYS = 1_000_000
 # Slices of queries that are broadcast one by one before the blocked form takes over, and scan tasks
 # per core: fewer and longer tasks leave fewer partial lists to merge.
 _MOST_SLICES = 8
 _SCANS_PER_CORE = 4
-# Range queries are put in up to this many bands of range starts.
-_BAND = "__band"
+# Waves that are one plan; more are written one after another.
+_PLAN_WAVES = 8
+# Bands of the attribute by which range queries are routed.
 _MOST_BANDS = 64
-# Shuffle tasks of the blocked form, and the fewest rows worth a block of their own.
-_MOST_TASKS = 20_000
+# Buckets of a stored base, and the fewest rows worth a block of their own.
+_MOST_BUCKETS = 20_000
 _LEAST_ROWS = 4_096
+_CELL = "__cell"
+_FILTER = "filter_type"
 
 
 def metric_for(name: str) -> str:
@@ -107,43 +117,60 @@ def _numpy(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
+def _valid(table, columns: Sequence[str]) -> np.ndarray:
+    """Rows without nulls in these columns."""
+    fine = np.ones(table.num_rows, dtype=bool)
+    for column in columns:
+        if table[column].null_count:
+            fine &= _numpy(table[column].is_valid())
+    return fine
+
+
+def _finite(table):
+    """Rows whose vectors are finite, and the vectors."""
+    matrix = as_matrix(table["emb"])
+    fine = finite_rows(matrix)
+    return (table, matrix) if fine.all() else (table.filter(pa.array(fine)), matrix[fine])
+
+
 class _Queries:
-    """Query rows as a task sees them."""
+    """Query rows as a task sees them; rows with a null in what the filter needs match nothing."""
 
-    def __init__(self, table: pa.Table, spec: _Spec):
+    def __init__(self, table: pa.Table, spec: _Spec, block: VectorBlock | None = None):
         self.spec = spec
-        matrix = as_matrix(table["emb"])
-        fine = finite_rows(matrix)
-        if not fine.all():
-            matrix, table = matrix[fine], table.filter(pa.array(fine))
-        self.block = VectorBlock(matrix, spec.metric)
+        if block is None:
+            table, matrix = _finite(table)
+            block = VectorBlock(matrix, spec.metric)
+        self.block = block
         self.labels = {name: table[name].combine_chunks() for name in ("qid", *spec.tags)}
-        n = table.num_rows
+        fine = np.flatnonzero(_valid(table, _filters(spec)[0]))
         if spec.key:
             rows: dict = {}
-            for at, value in enumerate(table[spec.key].to_pylist()):
+            for at, value in zip(fine.tolist(), table[spec.key].take(pa.array(fine)).to_pylist()):
                 rows.setdefault(value, []).append(at)
             self.rows = {value: np.array(found) for value, found in rows.items()}
         else:
-            self.rows = {None: np.arange(n)}
+            self.rows = {None: fine}
         if spec.within:
-            self.low = _numpy(table[spec.within.low])
-            self.high = _numpy(table[spec.within.high])
+            self.low, self.high = (
+                _numpy(table[c].fill_null(0) if table[c].null_count else table[c])
+                for c in (spec.within.low, spec.within.high))
 
     def collector(self) -> TopK:
         return TopK(self.block, self.spec.k, self.spec.metric)
 
     def add(self, top: TopK, batch) -> None:
-        if not batch.num_rows:
-            return
+        if batch.num_rows:
+            batch, matrix = _finite(batch)
+            self.add_block(top, VectorBlock(matrix, self.spec.metric), batch)
+
+    def add_block(self, top: TopK, base: VectorBlock, batch) -> None:
         spec = self.spec
-        matrix = as_matrix(batch["emb"])
-        fine = finite_rows(matrix)
+        fine = _valid(batch, _filters(spec)[1])
         if not fine.all():
-            matrix, batch = matrix[fine], batch.filter(pa.array(fine))
-            if not batch.num_rows:
-                return
-        base = VectorBlock(matrix, spec.metric)
+            base, batch = base.take(fine), batch.filter(pa.array(fine))
+        if not batch.num_rows:
+            return
         ids = _numpy(batch["id"])
         attr = _numpy(batch[spec.within.attr]) if spec.within else None
         if not spec.key:
@@ -183,6 +210,33 @@ class _Queries:
         return pa.RecordBatch.from_arrays(columns, names=[*self.labels, "id", "__key"])
 
 
+class _ManyFilters:
+    """Query rows under several filters, which share the vectors of the queries and of each batch."""
+
+    def __init__(self, table: pa.Table, specs: Mapping[str, _Spec]):
+        table, matrix = _finite(table)
+        self.metric = next(iter(specs.values())).metric
+        block = VectorBlock(matrix, self.metric)
+        self.parts = {name: _Queries(table, spec, block) for name, spec in specs.items()}
+
+    def collector(self) -> dict[str, TopK]:
+        return {name: part.collector() for name, part in self.parts.items()}
+
+    def add(self, tops: dict[str, TopK], batch) -> None:
+        if batch.num_rows:
+            batch, matrix = _finite(batch)
+            base = VectorBlock(matrix, self.metric)
+            for name, part in self.parts.items():
+                part.add_block(tops[name], base, batch)
+
+    def found(self, tops: dict[str, TopK]) -> pa.RecordBatch:
+        batches = []
+        for name, part in self.parts.items():
+            batch = part.found(tops[name])
+            batches.append(batch.add_column(0, _FILTER, pa.array([name] * batch.num_rows, pa.string())))
+        return pa.concat_batches(batches)
+
+
 def _partial_schema(queries: DataFrame, spec: _Spec) -> T.StructType:
     fields = [T.StructField(c, queries.schema[c].dataType) for c in ("qid", *spec.tags)]
     return T.StructType(
@@ -201,8 +255,14 @@ def _scan_with(shared, base: DataFrame, schema: T.StructType) -> DataFrame:
     return base.mapInArrow(scan, schema)
 
 
-def _broadcast_form(table: pa.Table, queries: DataFrame, base: DataFrame, spec: _Spec) -> DataFrame:
+def _scanned(local, base: DataFrame, schema: T.StructType) -> DataFrame:
+    """One scan of the base by a few tasks per core, with the queries broadcast."""
     context = base.sparkSession.sparkContext
+    base = base.coalesce(_SCANS_PER_CORE * context.defaultParallelism)
+    return _scan_with(context.broadcast(local), base, schema)
+
+
+def _broadcast_form(table: pa.Table, queries: DataFrame, base: DataFrame, spec: _Spec) -> DataFrame:
     local = _Queries(table, spec)
     if spec.key:
         keys = [key for key in local.rows if key is not None]
@@ -220,94 +280,128 @@ def _broadcast_form(table: pa.Table, queries: DataFrame, base: DataFrame, spec:
     if spec.within and len(local.low):
         reach = F.col(spec.within.attr).between(local.low.min().item(), local.high.max().item())
         base = base.where(reach)
-    schema = _partial_schema(queries, spec)
-    base = base.coalesce(_SCANS_PER_CORE * context.defaultParallelism)
-    return _scan_with(context.broadcast(local), base, schema)
+    return _scanned(local, base, _partial_schema(queries, spec))
+
+
+def _blocks(rows: int, size: int, cores: int) -> int:
+    """Blocks of ``size`` rows, as many as cores if there are rows enough."""
+    return max(1, -(-rows // size), min(cores, -(-rows // _LEAST_ROWS)))
+
+
+def _in_all_blocks(queries: DataFrame, base: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    cell = F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    return queries.withColumn(_CELL, every), base.withColumn(_CELL, cell)
+
 
+def _by_member(queries: DataFrame, base: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows lie in one block whatever their members; queries go to blocks that hold their member."""
+    placed = base.withColumn(_CELL, F.pmod(F.xxhash64("id"), F.lit(n)).cast("long"))
+    holds = materialize(placed.select(F.explode(key).alias(key), _CELL).distinct(), "members")
+    if holds.count() <= _BROADCAST_KEYS:
+        holds = F.broadcast(holds)
+    return queries.join(holds, key), placed
 
-def _banded(queries: DataFrame, base: DataFrame, within: Range, query_rows: int):
-    """Give range queries a band by where their range starts, and base rows every band that some
-    range in it reaches, so that a band's queries meet only the rows they can match."""
-    n = queries.count()
-    bands = min(_MOST_BANDS, -(-n // query_rows))
-    if bands < 2:
-        return None
+
+def _by_key(queries: DataFrame, base: DataFrame, key: str, n: int, base_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of a key lie in one block, which keys share, but for keys with more rows than a block.
+
+    There are no more of those than blocks, so their list is small.
+    """
+    counted = base.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > base_rows)
+    hot = F.broadcast(materialize(
+        counted.select(key, F.ceil(F.col("__n") / base_rows).cast("long").alias("__parts")), "hot-keys"))
+    shared = F.pmod(F.xxhash64(key), F.lit(n)).cast("long")
+
+    def cell(part: Column) -> Column:
+        # Hashes of keys' parts may meet each other; keys are told apart inside a block anyway.
+        return F.when(F.col("__parts").isNull(), shared).otherwise(F.xxhash64(F.col(key), part))
+
+    part = F.pmod(F.xxhash64("id"), F.col("__parts"))
+    placed = base.join(hot, key, "left").withColumn(_CELL, cell(part)).drop("__parts")
+    parts = F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - 1)
+    routed = queries.join(hot, key, "left").withColumn("__part", F.explode(parts))
+    return routed.withColumn(_CELL, cell(F.col("__part"))).drop("__parts", "__part"), placed
+
+
+def _by_range(queries: DataFrame, base: DataFrame, within: Range, n: int, base_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows lie in bands of the attribute, each of as many blocks as it needs; queries go to the bands
+    that their range reaches. The bands are a few rows."""
+    attr = F.col(within.attr)
+    bands = min(_MOST_BANDS, n)
     cuts = [i / bands for i in range(1, bands)]
-    starts = queries.agg(F.percentile_approx(within.low, cuts, 10_000).alias("c")).first()["c"]
-    starts = sorted(set(starts))
-    edges = F.array(*[F.lit(x) for x in starts])
-    band = F.size(F.filter(edges, lambda x: x < F.col(within.low)))
-    queries = queries.withColumn(_BAND, band)
-    reach = queries.groupBy(_BAND).agg(
-        F.min(within.low).alias("low"), F.max(within.high).alias("high")
-    )
-    spans = F.array(*[
-        F.struct(F.lit(r[_BAND]).alias("band"), F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high"))
-        for r in reach.collect()
-    ])
-    met = F.filter(spans, lambda x: F.col(within.attr).between(x["low"], x["high"]))
-    reached = F.explode(F.transform(met, lambda x: x["band"]))
-    return queries, base.withColumn(_BAND, reached)
+    found = base.agg(F.percentile_approx(attr, cuts, 10_000).alias("c")).first()["c"] if cuts else None
+    edges = sorted(set(found or ()))
+    band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x < attr)) if edges else F.lit(0)
+    banded = base.withColumn("__band", band)
+    spans = banded.groupBy("__band").agg(
+        F.min(attr).alias("low"), F.max(attr).alias("high"), F.count("*").alias("n")).collect()
+    if not spans:
+        return _in_all_blocks(queries, base, 1)
+    options = F.array(*[
+        F.struct(F.lit(r["__band"]).alias("band"), F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high"),
+                 F.lit(-(-r["n"] // base_rows)).cast("long").alias("parts")) for r in spans])
+    own = F.element_at(F.filter(options, lambda x: x["band"] == F.col("__band")), 1)["parts"]
+    spread = F.lit(1 << 32).cast("long")
+    cell = F.col("__band") * spread + F.pmod(F.xxhash64("id"), own)
+    met = F.filter(options, lambda x: (x["low"] <= F.col(within.high)) & (x["high"] >= F.col(within.low)))
+    cells = F.flatten(F.transform(met, lambda x: F.transform(
+        F.sequence(F.lit(0).cast("long"), x["parts"] - 1), lambda p: x["band"] * spread + p)))
+    return queries.withColumn(_CELL, F.explode(cells)), banded.withColumn(_CELL, cell).drop("__band")
+
+
+def _stored(base: DataFrame, buckets: int) -> DataFrame:
+    """The base written once, bucketed by block. The table's name is only needed to tell Spark of the
+    buckets; its files lie in the shared folder."""
+    spark = base.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    writer = base.repartition(buckets, _CELL).write.format("parquet").option("path", scratch_path(spark, "blocks"))
+    writer.bucketBy(buckets, _CELL).saveAsTable(name)
+    stored = spark.table(name)
+    stored.schema  # resolved, so the name may go
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def _blocked_form(
-    queries: DataFrame, base: DataFrame, spec: _Spec, base_rows: int, query_rows: int
+    queries: DataFrame, base: DataFrame, place, local, schema: T.StructType, rows: int, k: int, per: Sequence[str],
 ) -> DataFrame:
-    if spec.within and not spec.key:
-        banded = _banded(queries, base, spec.within, query_rows)
-        if banded:
-            return _blocked_form(*banded, replace(spec, key=_BAND), base_rows, query_rows)
-    cores = base.sparkSession.sparkContext.defaultParallelism
+    """Candidate lists by waves of queries over a stored base.
 
-    def blocks(n: Column, size: int) -> Column:
-        return F.ceil(n / F.lit(size)).cast("int")
-
-    if spec.key:
-        per_query = queries.groupBy(spec.key).agg(F.count("*").alias("__nq"))
-        per_base = base.groupBy(spec.key).agg(F.count("*").alias("__nb"))
-        counted = materialize(per_query.join(per_base, spec.key), "block-sizes")
-        bb, qb = blocks(F.col("__nb"), base_rows), blocks(F.col("__nq"), query_rows)
-        facts = counted.agg(F.count("*").alias("keys"), F.sum(bb * qb).alias("cells")).first()
-        sizes = counted.select(spec.key, bb.alias("__bb"), qb.alias("__qb"))
-        cells = facts["cells"] or 0
-        if facts["keys"] <= _BROADCAST_KEYS:
-            sizes = F.broadcast(sizes)
-        queries = queries.join(sizes, spec.key)
-        base = base.join(sizes, spec.key)
-    else:
-        nb, nq = max(1, base.count()), max(1, queries.count())
-        bb = max(-(-nb // base_rows), min(cores, -(-nb // _LEAST_ROWS)))
-        qb = -(-nq // query_rows)
-        cells = bb * qb
-        for_all = {"__bb": F.lit(bb), "__qb": F.lit(qb)}
-        queries, base = queries.withColumns(for_all), base.withColumns(for_all)
-
-    def cell(own: str, own_id: str, other: str) -> list[Column]:
-        mine = F.pmod(F.xxhash64(own_id), F.col(own)).cast("int")
-        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return [mine.alias("__" + own[2]), each.alias("__" + other[2])]
-
-    key = [spec.key] if spec.key else []
-    grid = [*key, "__b", "__q"]
-    left = queries.select(*_query_columns(spec), *cell("__qb", "qid", "__bb"))
-    right = base.select(*_base_columns(spec), *cell("__bb", "id", "__qb"))
-    # A task is heavy by its comparisons, not its bytes, so the number of tasks is set here.
-    tasks = max(cores, min(_MOST_TASKS, 2 * cells))
-    left = left.toDF(*left.columns).repartition(tasks, *grid)
-    right = right.toDF(*right.columns).repartition(tasks, *grid)
+    ``place`` routes queries and places base rows, given the number of blocks; ``local`` makes what
+    compares a wave's queries in a block.
+    """
+    spark = base.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    n = _blocks(base.count(), rows, cores)
+    routed, placed = place(queries, base, n)
+    stored = _stored(placed, max(cores, min(_MOST_BUCKETS, n)))
+    waves = -(-queries.count() // (rows * _WAVE_BLOCKS)) or 1
+    wave = F.pmod(F.xxhash64("qid", *[c for c in per if c in queries.columns and c != "qid"]), F.lit(waves))
+    empty = to_arrow_schema(schema).empty_table()
 
     def compare(few: pa.Table, many: pa.Table) -> pa.Table:
         if not few.num_rows or not many.num_rows:
             return empty
-        local = _Queries(few, spec)
-        top = local.collector()
+        asked = local(few)
+        top = asked.collector()
         for batch in many.to_batches(max_chunksize=16_384):
-            local.add(top, batch)
-        return pa.Table.from_batches([local.found(top)])
+            asked.add(top, batch)
+        return pa.Table.from_batches([asked.found(top)])
 
-    schema = _partial_schema(queries, spec)
-    empty = to_arrow_schema(schema).empty_table()
-    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(compare, schema)
+    def found(number: int) -> DataFrame:
+        asked = routed.where(wave == number).groupBy(_CELL)
+        return asked.cogroup(stored.groupBy(_CELL)).applyInArrow(compare, schema)
+
+    if waves <= _PLAN_WAVES:
+        return reduce(DataFrame.unionByName, map(found, range(waves)))
+    # A query is in one wave, so its list is whole at its end.
+    path = scratch_path(spark, "waves")
+    order = Window.partitionBy(*per).orderBy("__key", "id")
+    for number in range(waves):
+        best = found(number).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best.drop("rank").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def nearest_partial(
@@ -344,10 +438,20 @@ def nearest_partial(
             scan = _broadcast_form(stored.where(part == number).toArrow(), stored, base, spec)
             found = scan if found is None else found.unionByName(scan)
         return found
-    if spec.key and isinstance(base.schema[spec.key].dataType, T.ArrayType):
-        base = base.withColumn(spec.key, F.explode(spec.key))
     rows = max(1, block_values // dim)
-    return _blocked_form(queries, base, spec, rows, rows)
+
+    def place(queries: DataFrame, base: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        if spec.key and isinstance(base.schema[spec.key].dataType, T.ArrayType):
+            return _by_member(queries, base, spec.key, n)
+        if spec.key:
+            return _by_key(queries, base, spec.key, n, rows)
+        if spec.within:
+            return _by_range(queries, base, spec.within, n, rows)
+        return _in_all_blocks(queries, base, n)
+
+    return _blocked_form(
+        queries, base, place, lambda few: _Queries(few, spec), _partial_schema(queries, spec), rows, k,
+        ["qid", *spec.tags])
 
 
 def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -453,17 +557,38 @@ def nearest_by_filter_rate(
 
 def all_ground_truths(
     queries: DataFrame, base: DataFrame, k: int, *, label: str, within: Range, member: str,
-    members: str, metric: str = EUCLIDEAN, **sizes: int,
+    members: str, metric: str = EUCLIDEAN, broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+    block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
-    """Unfiltered, equality, range and set-membership ground truth in one table."""
-    found = {
-        "none": nearest(queries, base, k, metric, **sizes),
-        "em": nearest(queries, base, k, metric, key=label, **sizes),
-        "r": nearest(queries, base, k, metric, within=within, **sizes),
-        "emis": nearest_with_member(queries, base, k, member, members, metric, **sizes),
+    """Unfiltered (``none``), equality (``em``), range (``r``) and set-membership (``emis``) ground truth:
+    ``(filter_type, qid, id, rank, score)``.
+
+    All four come from one scan of the base, whose vectors are read and prepared once for all; each
+    task keeps the k best per filter and query. A row with a null in what a filter needs is left out
+    of that filter only.
+    """
+    ship_package(base.sparkSession)
+    kind = metric_for(metric)
+    specs = {
+        "none": _Spec(k, kind, None, None, ()), "em": _Spec(k, kind, label, None, ()),
+        "r": _Spec(k, kind, None, within, ()), "emis": _Spec(k, kind, member, None, ()),
     }
-    parts = [df.select(F.lit(name).alias("filter_type"), "*") for name, df in found.items()]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    asked = _present(queries.select("qid", "emb", label, within.low, within.high, member), ())
+    own = F.array_distinct(members).alias(member)
+    rows = _present(base.select("id", "emb", label, within.attr, own), ())
+    dim = max(1, _dimension(rows))
+    plain = _partial_schema(queries, specs["none"])
+    schema = T.StructType([T.StructField(_FILTER, T.StringType()), *plain.fields])
+    size = asked.count() * dim * 8
+    slices = -(-size // broadcast_limit) if broadcast_limit else size
+    if slices <= _MOST_SLICES:
+        stored = asked if slices <= 1 else materialize(asked, "queries")
+        part = F.pmod(F.xxhash64("qid"), F.lit(max(1, slices)))
+        partial = reduce(DataFrame.unionByName, [
+            _scanned(_ManyFilters(stored.where(part == number).toArrow(), specs), rows, schema)
+            for number in range(max(1, slices))])
+    else:
+        partial = _blocked_form(
+            asked, rows, _in_all_blocks, lambda few: _ManyFilters(few, specs), schema,
+            max(1, block_values // dim), k, [_FILTER, "qid"])
+    return rank_nearest(partial, k, metric, (_FILTER, "qid")).select(_FILTER, "qid", "id", "rank", "score")

@@ -2,7 +2,10 @@ import numpy as np
 import pytest
 from brute import collected, neighbours
 
-from nearfield.operators.knn import Range, metric_for, nearest, nearest_with_member, neighbour_lists
+from nearfield.operators import knn
+from nearfield.operators.knn import (
+    Range, all_ground_truths, metric_for, nearest, nearest_partial, nearest_with_member, neighbour_lists,
+)
 
 BASE = "id long, emb array<float>, label string, attr long, members array<string>"
 QUERIES = "qid long, emb array<float>, label string, low long, high long, member string"
@@ -166,3 +169,84 @@ def test_large_offset_keeps_exact_order(spark):
     q = spark.createDataFrame([tuple(r.values()) for r in queries], "qid long, emb array<float>")
     for sizes in FORMS:
         agree(nearest(q, b, 10, **sizes), neighbours(queries, base, 10))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("case", ["plain", "key", "range", "member"])
+def test_no_vector_of_a_stored_base_is_shuffled(spark, case):
+    """Each wave shuffles its queries; the base is read by bucket, where it lies."""
+    _, _, b, q = fixture(spark, n=300, m=60)
+    kind = {
+        "plain": {}, "key": {"key": "label"}, "range": {"within": Range("attr", "low", "high")}, "member": {"key": "members"},
+    }[case]
+    q = q.withColumn("members", q["member"])
+    plan = _plan(nearest_partial(q, b, 5, broadcast_limit=0, block_values=4 * 16, **kind))
+    waves = plan.count("FlatMapCoGroupsInArrow")
+    assert waves == 1 and plan.count("Bucketed: true") == 1
+    base_side = plan[plan.index("Bucketed: true") - 600 : plan.index("Bucketed: true")]
+    assert "Exchange" not in base_side.split("FileScan")[0].splitlines()[-1]
+    # The exchanges are the queries' and, for members, that of the list of blocks that hold them.
+    assert plan.count("Exchange hashpartitioning(__cell") == 1
+
+
+@pytest.mark.parametrize("kind", [{}, {"key": "label"}, {"within": Range("attr", "low", "high")}])
+def test_many_waves(spark, monkeypatch, kind):
+    """Waves beyond one plan are written one after another, and leave whole lists."""
+    monkeypatch.setattr(knn, "_PLAN_WAVES", 1)
+    monkeypatch.setattr(knn, "_WAVE_BLOCKS", 1)
+    base, queries, b, q = fixture(spark)
+    passes = {
+        0: lambda x, y: True, "key": lambda x, y: x["label"] == y["label"],
+        "within": lambda x, y: x["low"] <= y["attr"] <= x["high"],
+    }[next(iter(kind), 0)]
+    found = nearest(q, b, 7, broadcast_limit=0, block_values=4 * 9, **kind)
+    agree(found, neighbours(queries, base, 7, passes=passes))
+
+
+@pytest.mark.parametrize("sizes", FORMS)
+def test_all_filters_in_one_scan(spark, sizes):
+    base, queries, b, q = fixture(spark)
+    base[3] |= {"label": None}
+    base[5] |= {"attr": None, "members": None}
+    base[7] |= {"emb": None}
+    base[9] |= {"members": [None, "m1"]}
+    queries[1] |= {"label": None}
+    queries[2] |= {"low": None, "member": None}
+    queries[4] |= {"emb": None}
+    b = spark.createDataFrame([tuple(r[c] for c in ("id", "emb", "label", "attr", "members")) for r in base], BASE).repartition(4)
+    q = spark.createDataFrame(
+        [tuple(r[c] for c in ("qid", "emb", "label", "low", "high", "member")) for r in queries], QUERIES)
+    found = all_ground_truths(
+        q, b, 6, label="label", within=Range("attr", "low", "high"), member="member", members="members", **sizes)
+    passes = {
+        "none": lambda x, y: True, "em": lambda x, y: x["label"] is not None and x["label"] == y["label"],
+        "r": lambda x, y: None not in (x["low"], x["high"], y["attr"]) and x["low"] <= y["attr"] <= x["high"],
+        "emis": lambda x, y: x["member"] is not None and x["member"] in (y["members"] or ()),
+    }
+    for name, passing in passes.items():
+        agree(found.where(f"filter_type = '{name}'"), neighbours(queries, base, 6, passes=passing))
+
+
+def test_all_filters_read_the_base_once(spark, tmp_path):
+    _, _, b, q = fixture(spark)
+    b.write.parquet(str(tmp_path / "base"))
+    found = all_ground_truths(
+        q, spark.read.parquet(str(tmp_path / "base")), 6, label="label", within=Range("attr", "low", "high"),
+        member="member", members="members")
+    assert _plan(found).count("FileScan") == 1
+
+
+def test_hot_keys_and_values_get_blocks_of_their_own(spark):
+    """No block holds more than about a block's rows, though a third of them share label and value."""
+    _, _, b, q = fixture(spark, n=600, copies=200)
+    for place in (
+        lambda: knn._by_key(q, b, "label", 10, 40)[1], lambda: knn._by_range(q, b, Range("attr", "low", "high"), 10, 40)[1],
+        lambda: knn._by_member(q.withColumnRenamed("member", "members"), b, "members", 15)[1],
+    ):
+        sizes = [r["count"] for r in place().groupBy("__cell").count().collect()]
+        assert sum(sizes) == 600 and max(sizes) < 250 and len(sizes) > 6
+        hot = [r["count"] for r in place().where("label = 'hot'").groupBy("__cell").count().collect()]
+        assert max(hot) < 80
