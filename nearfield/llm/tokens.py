@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -19,8 +19,8 @@ from nearfield.llm.common import by_batch, id_and_text
 from nearfield.session import scratch_path
 
 END_ID = 2
-RUN_BYTES = 2 << 20
-# Entries kept by a worker from batch to batch; a full cache starts anew.
+RUN_BYTES = 4 << 20
+# Words that make a generation of a worker's cache; two generations are kept.
 CACHE_ENTRIES = 200_000
 
 # First bytes of characters that are never white space.
@@ -28,7 +28,7 @@ _SOLID = textscan.byte_set(range(0x21, 0x7F), range(0xC3, 0xE0), range(0xE4, 0xE
 
 # Kinds of bytes in plain pieces: ASCII letters and all bytes of U+00C0 to U+017F but the signs for
 # times and division are letters; digits; other printable ASCII. Everything else, and the apostrophe,
-# which may begin a word of its own, makes a piece odd.
+# which may begin a word of its own, makes a piece odd, but for single line breaks between plain bytes.
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[33:127] = 3
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 192), 0xC3, 0xC4, 0xC5]] = 1
@@ -44,6 +44,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_LETTERS_BUT_NUL = {byte: letter for byte, letter in _BYTE_LETTERS.items() if byte}
 
 
 @dataclass(frozen=True)
@@ -73,13 +74,35 @@ class Layout:
         }
 
 
+class Recent:
+    """Values of keys met lately: two generations, of which a full one replaces the older."""
+
+    def __init__(self, entries: int):
+        self.entries = entries
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, keys: list[bytes], make: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The values of distinct keys; ``make`` is asked for those that are not held."""
+        if len(self.new) > self.entries:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        found = [new.get(k) or old.get(k) for k in keys]
+        missing = [i for i, v in enumerate(found) if v is None]
+        if missing:
+            for i, v in zip(missing, make([keys[i] for i in missing])):
+                found[i] = v
+        new.update(zip(keys, found))
+        return found
+
+
 class Encoder:
     """Encodes whole batches of texts, each distinct word of a batch once.
 
     A byte-level tokenizer without normalizer never joins what stands before a space and a solid
     character with what follows. Texts are cut there into pieces, and plain pieces further where
     letters, digits and signs meet, which is where the pre-tokenizer cuts them. Equal parts are found
-    by hash; only new ones go through the model, odd pieces through the pre-tokenizer first. Other
+    by their bytes; only new ones go through the model, odd pieces through the pre-tokenizer first. Other
     tokenizers, and texts that hold an added token, are encoded whole; with ``plain`` the strings of added
     tokens are text like any other.
     """
@@ -100,8 +123,7 @@ class Encoder:
         )
         self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
         # ids as the bytes of 32-bit numbers, of words and of odd pieces
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.words, self.pieces = Recent(CACHE_ENTRIES), Recent(CACHE_ENTRIES // 4)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id."""
@@ -115,21 +137,14 @@ class Encoder:
     def _whole(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
-    def _ids(self, spelt: str) -> bytes:
-        return array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        spelt = b"\0".join(words).decode("latin-1").translate(_LETTERS_BUT_NUL).split("\0")
+        tokenize = self.model.tokenize
+        return [array("i", [t.id for t in tokenize(word)]).tobytes() for word in spelt]
 
-    def _word(self, word: bytes) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.words[word] = self._ids(word.decode("latin-1").translate(_BYTE_LETTERS))
-        return found
-
-    def _piece(self, piece: bytes) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            words = self.splitter.pre_tokenize_str(piece.decode())
-            found = self.pieces[piece] = b"".join(self._ids(spelt) for spelt, _ in words)
-        return found
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        tokenize, split = self.model.tokenize, self.splitter.pre_tokenize_str
+        return [array("i", [t.id for word, _ in split(p.decode()) for t in tokenize(word)]).tobytes() for p in pieces]
 
     @staticmethod
     def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +157,9 @@ class Encoder:
         if not len(starts):
             return starts, starts.astype(bool)
         kind = _KIND[data]
+        breaks = np.flatnonzero(data[1:-1] == 10) + 1
+        breaks = breaks[(kind[breaks - 1] > 0) & _SOLID[data[breaks + 1]] & ~begins[breaks] & ~begins[breaks + 1]]
+        kind[breaks] = 4  # a word of its own
         odd = kind == 0
         odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
         odd[starts[data[starts] == 32]] = False  # the space that a word begins with
@@ -160,19 +178,16 @@ class Encoder:
             found = [self._whole(raw[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
             counts = np.array([len(x) for x in found], dtype=np.int64)
             return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
-        if max(len(self.pieces), len(self.words)) > CACHE_ENTRIES:
-            self.pieces, self.words = {}, {}
         starts, odd = self._cut(data, offsets)
-        ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        _, which, at = np.unique(textscan.hashes(data, starts, ends), return_index=True, return_inverse=True)
-        parts = zip(starts[which].tolist(), ends[which].tolist(), odd[which].tolist())
-        held = [self._piece(raw[i:j]) if is_odd else self._word(raw[i:j]) for i, j, is_odd in parts]
-        lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        flat = np.frombuffer(b"".join(held), np.int32)
-        first = np.cumsum(lengths) - lengths
-        n = lengths[at]
-        done = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(first[at] - done[:-1], n) + np.arange(done[-1])]
+        codes, parts = textscan.distinct(data, np.append(starts, len(data)) if len(starts) else np.zeros(1, np.int64))
+        is_odd = np.zeros(len(parts), dtype=bool)
+        is_odd[codes] = odd  # equal parts are all odd or all plain
+        plain, rest = np.flatnonzero(~is_odd).tolist(), np.flatnonzero(is_odd).tolist()
+        held = [b""] * len(parts)
+        for some, cache, make in ((plain, self.words, self._words), (rest, self.pieces, self._pieces)):
+            for i, ids in zip(some, cache.of([parts[i] for i in some], make)):
+                held[i] = ids
+        ids, done = textscan.spread(held, codes)
         bounds = done[np.searchsorted(starts, offsets)]
         return ids, np.diff(bounds)
 

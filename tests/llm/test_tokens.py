@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -93,3 +94,42 @@ def test_any_text_gives_the_same_ids(text):
 
 
 _CODER = []
+
+
+def thue_morse(letters, n):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("length", [16, 1024])
+def test_words_of_one_hash_are_compared(spark, docs_of, length):
+    """Words that collide in every polynomial modulo a power of two have their own ids."""
+    texts = [thue_morse("ab", length), thue_morse("ba", length), thue_morse("ab", length)]
+    path = tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    got = {r.doc_id: r.ids for r in tokens.encode(docs_of(texts), path, None).collect()}
+    assert [got[i] for i in range(3)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_distinct_spans_where_hashes_collide(monkeypatch):
+    monkeypatch.setattr(textscan, "mix", lambda h: h * np.uint64(0))
+    words = [b"one", b"two", b"one", b"a longer word", b"three", b"", b"two", b"x" * 70, b"x" * 70, b"x" * 71]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    codes, held = textscan.distinct(data, np.concatenate(([0], np.cumsum([len(w) for w in words]))))
+    assert [held[c] for c in codes] == words and len(held) == len(set(words))
+
+
+def test_random_mixtures_of_bytes_and_breaks():
+    path = tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        encoder = tokens.Encoder(file.read())
+    rng = random.Random(3)
+    parts = ["a", "bc", "Z", "9", "12", " ", "  ", "\n", "\n\n", "\t", ".", "'s", "'", " \n", "\n ", "é", "×", "ß", "\xa0",
+             " ", "\u0085", "日本", "😀", ",", "\r\n", "<|endoftext|>", "\x00", "\x1c", "\x0b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    for k in range(0, len(texts), 40):
+        raw = [t.encode() for t in texts[k : k + 40]]
+        ids, n = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw]))))
+        at = np.concatenate(([0], np.cumsum(n)))
+        for text, i, j in zip(raw, at, at[1:]):
+            assert ids[i:j].tolist() == tokenizer.encode(text.decode(), add_special_tokens=False).ids
