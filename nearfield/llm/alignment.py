@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +15,17 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import textscan
 from nearfield.llm.common import by_batch, id_and_text, materialize
-from nearfield.llm.tokens import Encoder
+from nearfield.llm.tokens import Encoder, Recent
 
 RUN_BYTES = 2 << 20
-# Words kept by a worker from batch to batch, and the longest that is kept; a full cache starts anew.
-CACHE_ENTRIES = 200_000
-CACHE_WORD = 64
+# Words that make a generation of a worker's cache; two generations are kept.
+CACHE_ENTRIES = 100_000
 # Pairs of ids, by falling count, that are broadcast; the others are joined by a shuffle.
 FREQUENT_PAIRS = 1_000_000
 # A step of the counts by which frequent pairs are told: an eighth of a power of two.
 _STEPS = 8
-# Tokens of a text that are aligned at once.
-WINDOW = 100_000
+# Tokens that are aligned at once.
+WINDOW = 200_000
 _LOW = (1 << 32) - 1
 _PROBE = "ﬁ A  Ａ½ b"
 
@@ -57,18 +58,18 @@ class Pieces:
             and not self.together[at, :0x80].any() and not self.together[at, 0xC0:].any()
             and not self.together[32, at])
         self.ahead = len(ahead)
-        self.words: dict[bytes, bytes] = {}
+        self.words = Recent(CACHE_ENTRIES)
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        if self.cuts:
-            found = self.processor.encode([self.guard + w.decode() for w in words])
-            return [np.array(ids[self.ahead :], np.int32).tobytes() for ids in found]
-        return [np.array(ids, np.int32).tobytes() for ids in self.processor.encode([w[1:].decode() for w in words])]
+        """The ids of each word; none where its pieces spell something else, as U+2581 becomes a space."""
+        skip = self.ahead if self.cuts else 0
+        ahead = self.guard if self.cuts else ""
+        found = self.processor.encode([ahead + w[0 if skip else 1 :].decode() for w in words])
+        spelt = (b"".join(map(self.bytes.__getitem__, ids[skip:])) for ids in found)
+        return [array("i", ids[skip:]).tobytes() if s == w else b"" for ids, s, w in zip(found, spelt, words)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after another, how many each text has, and which texts they spell."""
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {}
         starts = offsets[:-1]
         if self.cuts:
             begins = np.ones(len(data), dtype=bool)
@@ -76,18 +77,11 @@ class Pieces:
             begins[starts] = True
             starts = np.flatnonzero(begins)
         codes, words = textscan.distinct(data, np.append(starts, len(data)))
-        new = [w for w in words if w not in self.words]
-        made = dict(zip(new, self._ids(new)))
-        self.words |= {w: ids for w, ids in made.items() if len(w) <= CACHE_WORD}
-        held = [made[w] if w in made else self.words[w] for w in words]
+        held = self.words.of(words, self._ids)
         ids, done = textscan.spread(held, codes)
-        odd = np.fromiter(map(self._odd, held, words), bool, len(words))[codes]
+        odd = np.concatenate(([0], np.cumsum(np.diff(done) == 0)))
         bounds = np.searchsorted(starts, offsets)
-        return ids, np.diff(done[bounds]), np.diff(np.concatenate(([0], np.cumsum(odd)))[bounds]) == 0
-
-    def _odd(self, ids: bytes, text: bytes) -> bool:
-        """Whether pieces spell something else, such as a space for U+2581."""
-        return b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("i"))) != text
+        return ids, np.diff(done[bounds]), np.diff(odd[bounds]) == 0
 
 
 class ByteLevel:
@@ -109,10 +103,10 @@ class ByteLevel:
 Range = tuple[int, int, int, int]
 
 
-def groups(a_ends: list[int], b_ends: list[int]) -> tuple[list[Range], list[int], list[int]]:
-    """The least groups of tokens that end together, as ``(a, a_end, b, b_end)`` index ranges, and the
-    tokens of every link, two tokens that overlap. A stretch of groups of one token a side is one
-    range as long on either side; no other group's sides begin with tokens that end together.
+def groups(a_ends: list[int], b_ends: list[int]) -> list[Range]:
+    """The least groups of tokens that end together, as ``(a, a_end, b, b_end)`` index ranges. A stretch of
+    groups of one token a side is one range; the sides of any other group begin with tokens of
+    different ends.
 
     ``a_ends`` and ``b_ends`` rise strictly and share their last number. While tokens match one to one,
     the two arrays agree at a fixed shift of the index. Blocks of doubling length are compared at
@@ -120,11 +114,12 @@ def groups(a_ends: list[int], b_ends: list[int]) -> tuple[list[Range], list[int]
     takes about log n comparisons. The group behind it is walked token by token, and its surplus of
     tokens on one side moves the shift.
     """
-    found, a_links, b_links = [], [], []
+    found: list[Range] = []
     i, shift, n = 0, 0, len(a_ends)
     while i < n:
         j = i + shift
-        if a_ends[i] == b_ends[j]:
+        x, y = a_ends[i], b_ends[j]
+        if x == y:
             k, step = 1, 1
             while True:
                 block = a_ends[i + k : i + k + step]
@@ -138,27 +133,20 @@ def groups(a_ends: list[int], b_ends: list[int]) -> tuple[list[Range], list[int]
                 if block and block == b_ends[j + k : j + k + step]:
                     k += len(block)
             found.append((i, i + k, j, j + k))
-            a_links.extend(range(i, i + k))
-            b_links.extend(range(j, j + k))
             i += k
             continue
         a, b = i, j
-        x, y = a_ends[a], b_ends[b]
         while x != y:
-            a_links.append(a)
-            b_links.append(b)
             if x < y:
                 a += 1
                 x = a_ends[a]
             else:
                 b += 1
                 y = b_ends[b]
-        a_links.append(a)
-        b_links.append(b)
         found.append((i, a + 1, j, b + 1))
         shift = b - a
         i = a + 1
-    return found, a_links, b_links
+    return found
 
 
 def _cut(a_ends: np.ndarray, b_ends: np.ndarray, least: int) -> tuple[int, int]:
@@ -172,6 +160,71 @@ def _cut(a_ends: np.ndarray, b_ends: np.ndarray, least: int) -> tuple[int, int]:
     return len(a_ends), len(b_ends)
 
 
+def _each(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1`` and so on, ``n`` numbers for every entry."""
+    done = np.cumsum(n) - n
+    return np.repeat(first - done, n) + np.arange(int(n.sum()))
+
+
+@dataclass(frozen=True)
+class Alignment:
+    """Where groups end on either side, in tokens, and the tokens of every link in order."""
+
+    a_ends: np.ndarray
+    b_ends: np.ndarray
+    a_links: np.ndarray
+    b_links: np.ndarray
+
+
+def aligned(a_ends: np.ndarray, b_ends: np.ndarray, window: int = WINDOW) -> Alignment:
+    """The alignment of tokens that end at these bytes, in windows that end where both sides do."""
+    ranges, i, j = [np.empty((0, 4), np.int64)], 0, 0
+    while i < len(a_ends):
+        x, y = _cut(a_ends, b_ends, i + window)
+        found = groups(a_ends[i:x].tolist(), b_ends[j:y].tolist())
+        ranges.append(np.array(found, np.int64) + np.array([i, i, j, j]))
+        i, j = x, y
+    i, x, j, y = np.concatenate(ranges).T
+    one_to_one = a_ends[i] == b_ends[j]
+    # A stretch has a group and a link for each of its tokens.
+    times = np.where(one_to_one, x - i, 1)
+    a_group = _each(np.where(one_to_one, i + 1, x), times)
+    b_group = _each(np.where(one_to_one, j + 1, y), times)
+    a_even, b_even = _each(i[one_to_one], (x - i)[one_to_one]), _each(j[one_to_one], (y - j)[one_to_one])
+    # Inside other groups, each stretch of bytes between neighbouring ends is a link's.
+    i, x, j, y = i[~one_to_one], x[~one_to_one], j[~one_to_one], y[~one_to_one]
+    ends = np.unique(np.concatenate([a_ends[_each(i, x - i)], b_ends[_each(j, y - j)]]))
+    a_links = np.concatenate([a_even, np.searchsorted(a_ends, ends)])
+    b_links = np.concatenate([b_even, np.searchsorted(b_ends, ends)])
+    return Alignment(a_group, b_group, a_links, b_links)
+
+
+class Names:
+    """The decimal names of ids as bytes, first all of one side, then all of the other."""
+
+    def __init__(self, a: int, b: int):
+        names = [str(i).encode() for side in (a, b) for i in range(side)]
+        self.length = np.array([len(x) + 1 for x in names], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b",".join([*names, b""]), np.uint8)
+        self.second = a
+
+    def told(self, a: np.ndarray, b: np.ndarray, found: Alignment) -> tuple[bytes, np.ndarray]:
+        """All groups as ``a1,a2|b1;``, and where each one ends."""
+        a_n, b_n = (np.diff(ends, prepend=0) for ends in (found.a_ends, found.b_ends))
+        a_at = _each(found.a_ends - a_n + found.b_ends - b_n, a_n)
+        b_at = _each(found.a_ends + found.b_ends - b_n, b_n)
+        name = np.empty(len(a) + len(b), np.int64)
+        name[a_at], name[b_at] = a, b.astype(np.int64) + self.second
+        n = self.length[name]
+        out = self.bytes[_each(self.start[name], n)]
+        ends = np.cumsum(n)
+        out[ends[found.a_ends + found.b_ends - b_n - 1] - 1] = ord("|")
+        last = ends[found.a_ends + found.b_ends - 1]
+        out[last - 1] = ord(";")
+        return out.tobytes(), last
+
+
 class Aligner:
     """Aligns the texts of a batch; kept by a worker, with the words that its tokenizers remember."""
 
@@ -179,65 +232,40 @@ class Aligner:
         self.a, self.b = ByteLevel(definition), Pieces(model)
         self.a_length = np.array([len(x) for x in self.a.bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b.bytes], np.int64)
-        self.a_name, self.b_name = ([str(i) for i in range(len(x.bytes))] for x in (self.a, self.b))
-        self.a_bits, self.b_bits = (max(1, (len(x.bytes) - 1).bit_length()) for x in (self.a, self.b))
-
-    def _told(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int],
-              found: list[Range]) -> list[str]:
-        """The groups as text."""
-        a_names, b_names = list(map(self.a_name.__getitem__, a)), list(map(self.b_name.__getitem__, b))
-        told: list[str] = []
-        for i, x, j, y in found:
-            if x - i == 1 and y - j == 1:
-                told.append(f"{a_names[i]}|{b_names[j]}")
-            elif a_ends[i] == b_ends[j]:
-                told += [f"{p}|{q}" for p, q in zip(a_names[i:x], b_names[j:y])]
-            else:
-                told.append(f"{','.join(a_names[i:x])}|{','.join(b_names[j:y])}")
-        return told
-
-    def one(self, a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> tuple[int, str, np.ndarray]:
-        """Groups and their checksum, and the linked pairs, of one text's ids. Long texts are gone through
-        in windows that end where both tokenizers end a token."""
-        a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
-        sums, n, pairs = hashlib.sha256(), 0, []
-        i = j = 0
-        while i < len(a):
-            x, y = _cut(a_ends, b_ends, i + window)
-            mine, theirs = a[i:x], b[j:y]
-            lists = a_ends[i:x].tolist(), b_ends[j:y].tolist()
-            found, a_links, b_links = groups(*lists)
-            told = self._told(mine.tolist(), theirs.tolist(), *lists, found)
-            sums.update((";" * bool(n) + ";".join(told)).encode())
-            n += len(told)
-            pairs.append((mine[a_links].astype(np.int64) << self.b_bits) | theirs[b_links])
-            i, j = x, y
-        return n, sums.hexdigest(), np.concatenate(pairs)
+        self.names = Names(len(self.a_length), len(self.b_length))
+        self.a_bits, self.b_bits = (max(1, (len(x) - 1).bit_length()) for x in (self.a_length, self.b_length))
 
     def batch(self, doc_id: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         """``(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs)`` of the texts."""
         n = len(doc_id)
-        full = np.flatnonzero(np.diff(offsets))
-        spaced = np.insert(data, offsets[full], 32)
-        at = np.append(offsets[full], offsets[-1]) + np.arange(len(full) + 1)
-        a, a_counts, a_fine = self.a.encode(spaced, at)
-        b, b_counts, b_fine = self.b.encode(spaced, at)
-        a_at, b_at = (np.concatenate(([0], np.cumsum(c))) for c in (a_counts, b_counts))
-        numbers, sums = np.zeros((4, n), np.int64), [""] * n
-        keys = []
-        for t in np.flatnonzero(a_fine & b_fine).tolist():
-            mine, theirs = a[a_at[t] : a_at[t + 1]], b[b_at[t] : b_at[t + 1]]
-            row = int(full[t])
-            found, sums[row], pairs = self.one(mine, theirs)
-            numbers[:, row] = len(mine), len(theirs), found, len(pairs)
-            keys.append(pairs | (row << (self.a_bits + self.b_bits)))
-        key, times = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
-        first = key >> self.b_bits & ((1 << self.a_bits) - 1)
-        pair = (first << 32) | (key & ((1 << self.b_bits) - 1))
-        ends = np.searchsorted(key >> (self.a_bits + self.b_bits), np.arange(n + 1))
+        rows = np.flatnonzero(np.diff(offsets))
+        spaced = np.insert(data, offsets[rows], 32)
+        at = np.append(offsets[rows], offsets[-1]) + np.arange(len(rows) + 1)
+        a, a_n, a_fine = self.a.encode(spaced, at)
+        b, b_n, b_fine = self.b.encode(spaced, at)
+        fine = a_fine & b_fine
+        a, b = a[np.repeat(fine, a_n)], b[np.repeat(fine, b_n)]
+        rows, a_n, b_n = rows[fine], a_n[fine], b_n[fine]
+        # Both sides spell the same bytes and end together with every text, so no group leaves its text.
+        found = aligned(np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b]))
+        told, ends = self.names.told(a, b, found)
+        text_ends = np.cumsum(a_n)
+        group_ends = np.searchsorted(found.a_ends, text_ends) + 1
+        told_ends = ends[group_ends - 1]
+        sums = [""] * n
+        for row, i, j in zip(rows.tolist(), [0, *told_ends.tolist()], told_ends.tolist()):
+            sums[row] = hashlib.sha256(told[i : j - 1]).hexdigest()
+        text = np.searchsorted(text_ends, found.a_links, side="right")
+        numbers = np.zeros((4, n), np.int64)
+        numbers[:, rows] = a_n, b_n, np.diff(group_ends, prepend=0), np.bincount(text, minlength=len(rows))
+        key = (rows[text] << (self.a_bits + self.b_bits)) | (a[found.a_links].astype(np.int64) << self.b_bits) | b[found.b_links]
+        key, times = np.unique(key, return_counts=True)
+        pair = (key >> self.b_bits & ((1 << self.a_bits) - 1)) << 32 | (key & ((1 << self.b_bits) - 1))
+        bounds = np.searchsorted(key >> (self.a_bits + self.b_bits), np.arange(n + 1))
         linked = pa.StructArray.from_arrays([pa.array(pair), pa.array(times, pa.int64())], names=["pair", "n"])
         return pa.RecordBatch.from_arrays(
-            [doc_id, *map(pa.array, numbers), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), linked)],
+            [doc_id, *map(pa.array, numbers), pa.array(sums),
+             pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), linked)],
             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
 

@@ -99,28 +99,19 @@ def test_groups_of_random_ends():
         end = rng.randint(1, 60)
         a = sorted({*rng.sample(range(1, end + 1), rng.randint(1, end)), end})
         b = sorted({*(a if rng.random() < 0.3 else rng.sample(range(1, end + 1), rng.randint(1, end))), end})
-        ranges, a_links, b_links = alignment.groups(a, b)
-        pieces = [(i + t, i + t + 1, j + t, j + t + 1) for i, x, j, y in ranges for t in range(x - i)
-                  if a[i] == b[j]] + [r for r in ranges if a[r[0]] != b[r[2]]]
+        found = alignment.aligned(np.array(a), np.array(b), rng.choice([1, 3, 1000]))
         common = sorted(set(a) & set(b))
-        expected = [(a.index(p) + 1 if p else 0, a.index(e) + 1, b.index(p) + 1 if p else 0, b.index(e) + 1)
-                    for p, e in zip([0, *common], common)]
-        assert sorted(pieces) == expected
+        assert found.a_ends.tolist() == [a.index(e) + 1 for e in common]
+        assert found.b_ends.tolist() == [b.index(e) + 1 for e in common]
         overlaps = [(i, j) for i in range(len(a)) for j in range(len(b))
                     if (a[i - 1] if i else 0) < b[j] and (b[j - 1] if j else 0) < a[i]]
-        assert list(zip(a_links, b_links)) == overlaps
-
-
-def test_windows_of_a_long_text():
-    with open(A_PATH, encoding="utf-8") as a_file, open(B_PATH, "rb") as b_file:
-        aligner = alignment.Aligner(a_file.read(), b_file.read())
-    text = np.frombuffer((" " + " ".join(t for t in TEXTS[:4] * 50 if t)).encode(), np.uint8)
-    at = np.array([0, len(text)])
-    (a, _, _), (b, _, _) = aligner.a.encode(text, at), aligner.b.encode(text, at)
-    whole = aligner.one(a, b)
-    for window in (1, 7, 1000):
-        parts = aligner.one(a, b, window)
-        assert parts[:2] == whole[:2] and (parts[2] == whole[2]).all()
+        assert sorted(zip(found.a_links.tolist(), found.b_links.tolist())) == overlaps
+
+
+def test_stretches_are_one_range_each():
+    a = [*range(1, 1001), 1003, 1004, *range(1005, 1050)]
+    b = [*range(1, 1001), 1001, 1002, 1004, *range(1005, 1050)]
+    assert alignment.groups(a, b) == [(0, 1000, 0, 1000), (1000, 1002, 1000, 1003), (1002, 1047, 1003, 1048)]
 
 
 def test_a_tokenizer_that_must_encode_whole_texts(spark, docs_of, tmp_path):
