@@ -57,17 +57,26 @@ def tiles(vectors: DataFrame, size: int) -> DataFrame:
 
 
 class Quantised:
-    """Rows as ``scale * int8`` with the length of what rounding leaves."""
+    """Rows as ``scale * int8`` with the length of what rounding leaves.
+
+    Squares of very large or small rows leave the range of a double, so all is computed from
+    ``unit``, the row without its ``power`` of two, which takes no rounding; lengths and scales are held
+    for ``unit`` too.
+    """
 
     def __init__(self, ids: bytes, vectors: bytes, dim: int):
         self.ids = np.frombuffer(ids, dtype="<i8")
         self.exact = np.frombuffer(vectors, dtype="<f8").reshape(-1, dim)
-        self.scale = np.abs(self.exact).max(axis=1) / 127
-        self.scale = np.where(self.scale > 0, self.scale, 1.0)  # of a denormal vector
-        self.codes = np.rint(self.exact / self.scale[:, None]).astype(np.int8)
-        kept = self.codes * self.scale[:, None]
-        self.kept = np.sqrt((kept**2).sum(axis=1))
-        self.lost = np.sqrt(((self.exact - kept) ** 2).sum(axis=1))
+        _, self.power = np.frexp(np.abs(self.exact).max(axis=1))
+        self.unit = np.ldexp(self.exact, -self.power[:, None])
+        self.unit_scale = np.abs(self.unit).max(axis=1) / 127
+        self.codes = np.rint(self.unit / self.unit_scale[:, None]).astype(np.int8)
+        kept = self.codes * self.unit_scale[:, None]
+        self.unit_kept = np.sqrt((kept**2).sum(axis=1))
+        self.unit_lost = np.sqrt(((self.unit - kept) ** 2).sum(axis=1))
+        with np.errstate(over="ignore", under="ignore"):
+            self.scale, self.kept, self.lost = (
+                np.ldexp(x, self.power) for x in (self.unit_scale, self.unit_kept, self.unit_lost))
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,19 +112,31 @@ def tile_neighbours(q: Quantised, b: Quantised, k: int) -> tuple[np.ndarray, np.
 
     An approximate product misses the true one by at most what rounding left of either vector times
     the other. Pairs whose upper bound is below the k-th lower bound of their query are dropped;
-    the others are computed from the original vectors.
+    the others are computed from the original vectors. All is compared in units of the query's size
+    and the largest base row's. Products too large for a double are equal there, as their scores
+    are; a product too small for it may be anything near zero.
     """
-    approximate = _products(q.codes, b.codes) * q.scale[:, None] * b.scale[None, :]
-    bound = q.lost[:, None] * (b.kept + b.lost)[None, :] + q.kept[:, None] * b.lost[None, :]
-    bound += 1e-12 * (np.abs(approximate) + bound) + 1e-300
-    lower = approximate - bound
+    most = int(b.power.max(initial=0))
+    smaller = np.ldexp(1.0, b.power - most)
+    approximate = _products(q.codes, b.codes) * q.unit_scale[:, None] * (b.unit_scale * smaller)[None, :]
+    bound = q.unit_lost[:, None] * ((b.unit_kept + b.unit_lost) * smaller)[None, :]
+    bound += q.unit_kept[:, None] * (b.unit_lost * smaller)[None, :]
+    power = q.power.astype(np.int64) + most
+    with np.errstate(over="ignore"):
+        vague = np.ldexp(float(b.exact.shape[1]), np.clip(-1074 - power, -1070, 2000))
+        cap = np.ldexp(1.0, np.clip(1024 - power, -1070, 2000))
+        bound += 1e-12 * (np.abs(approximate) + bound) + 1e-300 + vague[:, None]
+    lower = np.minimum(approximate - bound, cap[:, None])
+    upper = np.minimum(approximate + bound, cap[:, None])
     out = (q.ids[:, None] == b.ids[None, :]) | _copies_beyond(b.exact, k + 1)[None, :]
     lower[out] = -np.inf
     kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] >= k else np.full(len(lower), -np.inf)
-    left, right = np.nonzero((approximate + bound >= kth[:, None]) & ~out)
+    left, right = np.nonzero((upper >= kth[:, None]) & ~out)
     score = np.empty(len(left))
     for i in range(0, len(left), _PAIRS):
-        score[i : i + _PAIRS] = _scores(q.exact[left[i : i + _PAIRS]], b.exact[right[i : i + _PAIRS]])
+        of, to = left[i : i + _PAIRS], right[i : i + _PAIRS]
+        with np.errstate(over="ignore", under="ignore"):
+            score[i : i + _PAIRS] = np.ldexp(_scores(q.unit[of], b.unit[to]), q.power[of] + b.power[to])
     order = np.lexsort((b.ids[right], -score, left))
     left, right, score = left[order], right[order], score[order]
     first = np.searchsorted(left, left)

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +60,36 @@ def test_bound_holds():
     near = neighbours._products(a.codes, b.codes) * a.scale[:, None] * b.scale[None, :]
     bound = a.lost[:, None] * (b.kept + b.lost)[None, :] + a.kept[:, None] * b.lost[None, :]
     assert (np.abs(a.exact @ b.exact.T - near) <= bound * (1 + 1e-9)).all()
+
+
+@pytest.mark.parametrize("sizes", [[1e160], [1e-200], [1e-320, 5e-324], [1e308, 1.0, 1e-308], [1e154, 1e150, 1e-150], [1.0, 3e200]])
+def test_vectors_of_any_finite_size(spark, sizes):
+    """Nothing is lost where squares or products leave the range of a double; scores are infinite or
+    zero there, and ties go to the smaller id."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        v = rng.normal(size=8)
+        v = v / np.abs(v).max() * sizes[i % len(sizes)]
+        rows.append((i, [float(x) for x in v]))
+    rows = [(i, v) for i, v in rows if any(v)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+
+    def product(a, b):
+        exact = sum(Fraction(x) * Fraction(y) for x, y in zip(a, b))
+        try:
+            return float(exact)
+        except OverflowError:
+            return math.inf if exact > 0 else -math.inf
+
+    for q, v in rows:
+        if q % 20:
+            continue
+        expected = sorted(((-product(v, w), i) for i, w in rows if i != q))[:20]
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, len(expected) + 1))
+        for (_, vec, score), (minus, i) in zip(found, expected):
+            assert score == pytest.approx(-minus, rel=1e-12, abs=1e-322)
+            assert vec == i or score == pytest.approx(-minus, rel=1e-14)
