@@ -42,6 +42,7 @@ EXACT_COUNTS = {
     "Cohere (6M × 768)": 6_021_120,
 }
 
+# Fixed value: the format of a dataset's display name.
 _DATASET = r"^(.+?)\s*\((\d+(?:\.\d+)?)\s*([KM]?)\s*×\s*(\d+)"
 
 
@@ -185,6 +186,7 @@ def short_system_label(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, "DuckDB ", ""), r"\(IVF, ", "(")
 
 
+# Fixed value: the format of a task label.
 _TASK = r"^([^_]+)_(?:(.+)_)?(\d{2}-\d{2}-\d{2})$"
 
 
@@ -198,6 +200,7 @@ def task_tags(task_label: Column) -> Column:
     )
 
 
+# The units of sizes.
 _UNITS = ["KiB", "MiB", "GiB", "TiB"]
 
 

@@ -16,10 +16,11 @@ _NODE = "struct<path:array<int>,name:string,timing:double>"
 
 
 def _walk(text: str) -> list[dict]:
-    """The nodes of one tree in pre-order, whatever its depth; text that is no tree has a bare root."""
+    """The nodes of one tree in pre-order; text that is no tree has a bare root. A tree deeper than the
+    parser can follow is an error, not a bare root."""
     try:
         tree = json.loads(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         tree = None
     out, left = [], [([], tree if isinstance(tree, dict) else {})]
     while left:

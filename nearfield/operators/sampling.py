@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.hashing import hash_draw, shuffle_key
 from nearfield.operators.numbering import number_rows, number_rows_total
 
+# Fixed value: rows of a storage block of the measured engine.
 ROW_GROUP = 122_880
 
 

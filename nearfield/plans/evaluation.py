@@ -235,6 +235,7 @@ def selectivity(spark, sf):
     return report.select("qid", "count", F.round("selectivity", 9).alias("selectivity"))
 
 
+# Bounds of the selectivity buckets, in percent.
 ARXIV_BOUNDS = [(0, 5), (5, 25), (25, 75), (75, 100)]
 POINT_BOUNDS = [(75, 100), (5.0, 5.0), (1, 6)]
 
