@@ -77,9 +77,54 @@ def draw_positions(requests: DataFrame, n: int, seed: int, qid: str = "qid", at:
     return requests.withColumn(at, hash_draw(seed, F.col(qid), F.lit(n)))
 
 
+# Keys looked at to place the cuts of a selection, and how often it is narrowed at most.
+_SAMPLED_KEYS = 4_000
+_NARROWINGS = 8
+
+
+def _cuts(keys: DataFrame, total: int, n: int) -> list[Column]:
+    """A few keys that about n rows and increasingly more do not exceed, from a sample of bounded size."""
+    drawn = keys.sample(min(1.0, _SAMPLED_KEYS / total), seed=0).sort("key").collect()
+    if not drawn:
+        return []
+    place, fields = n / total * len(drawn), keys.schema["key"].dataType.fields
+    steps = {int(place + width * (place + 1) ** 0.5) for width in (1, 2, 4, 8, 16)}
+    return [
+        F.struct(*[F.lit(drawn[at]["key"][f.name]).cast(f.dataType).alias(f.name) for f in fields])
+        for at in sorted(steps) if at < len(drawn)
+    ]
+
+
+def lowest(df: DataFrame, keys: Sequence[Column | str], n: int) -> DataFrame:
+    """Rows among which are the first n in ascending order of ``keys`` (nulls first), and few others.
+
+    Nothing is sorted: keys that may cut off the rest come from a sample of keys, the rows up to each
+    are counted in one pass over the key columns, and the lowest cut that leaves n rows is taken, again
+    and again while it leaves many more. The result is right whatever the sample; it only decides how
+    much is left. The end of the first key is a condition of its own, which files can be skipped by.
+    """
+    named = [k if isinstance(k, Column) else F.col(k) for k in keys]
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(named)])
+    total = df.count()
+    for _ in range(_NARROWINGS):
+        if total <= 2 * n or total <= _SAMPLED_KEYS:
+            break
+        cuts = _cuts(df.select(key.alias("key")), total, n)
+        if not cuts:
+            break
+        counts = df.agg(*[F.count_if(key <= cut).alias(f"n{i}") for i, cut in enumerate(cuts)]).first()
+        enough = [(rows, cut) for rows, cut in zip(counts, cuts) if n <= rows < total]
+        if not enough:
+            break
+        total, cut = enough[0]
+        first = named[0].isNull() | (named[0] <= cut["k0"])
+        df = df.where(first & (key <= cut))
+    return df
+
+
 def head(df: DataFrame, keys: Sequence[Column | str], n: int = 2 * ROW_GROUP, column: str = "id") -> DataFrame:
-    """The first n rows in key order with ids from 0."""
-    return number_rows(df, keys, column).where(F.col(column) < n)
+    """The first n rows in ascending key order with ids from 0; only they and few others are sorted."""
+    return number_rows(lowest(df, keys, n), keys, column).where(F.col(column) < n)
 
 
 # Pass rates of the generated range filters, and filters per rate.

@@ -779,11 +779,13 @@ LIMIT (SELECT least((0.001::DOUBLE * 1073741824 / 100.0)::BIGINT, count(*)) // {
 """)
 def subset(spark, sf):
     """As if a row took 100 bytes: the leading rows that fill a thousandth of a GiB."""
-    numbered, total = number_rows_total(orders(spark, sf), ["id"])
+    rows = orders(spark, sf)
+    total = rows.count()
     keep = subset_rows(100 * total, total, 0.001, BLOCK)
+    numbered = head(rows, ["id"], keep, "idx")
     path = scratch_path(spark, "subset")
     writers.write_files(
-        file_index(numbered.where(F.col("idx") < keep), BLOCK), path, -(-keep // BLOCK), rows_per_group=BLOCK)
+        file_index(numbered, BLOCK), path, -(-keep // BLOCK), rows_per_group=BLOCK)
     return readers.read_shards(spark, path).select(F.col("id").alias("o_orderkey"))
 
 

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions.arrow import arrow_function
 from nearfield.functions.vectors import normalised_vector
-from nearfield.operators.kernels import as_list_column
 from nearfield.session import materialize
+from nearfield.sources.records import list_records, read_all, read_some
 
 
 def read_vectors(
@@ -133,36 +130,14 @@ def read_fvecs(spark: SparkSession, path: str, dims: int, expected: int | None =
     Fails when the files are not whole records, hold another number of records than expected, or
     a record states another dimension. ``record`` counts over all files in name order.
     """
-    width = 4 * (dims + 1)
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    sizes = files.agg(
-        F.sum("length").alias("bytes"), F.count_if(F.col("length") % width != 0).alias("broken")
-    ).first()
-    if sizes["broken"]:
-        raise ValueError(f"{path}: file size is not a multiple of {width} bytes")
-    if expected is not None and sizes["bytes"] != expected * width:
-        raise ValueError(f"{path}: {sizes['bytes'] // width} vectors instead of {expected}")
-
-    @arrow_function("array<float>")
-    def unpack(column: pa.Array) -> pa.Array:
-        raw = np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), dims + 1)
-        if not (raw[:, 0].copy().view("<i4") == dims).all():
-            raise ValueError(f"a record does not have {dims} dimensions")
-        return as_list_column(np.ascontiguousarray(raw[:, 1:]), pa.float32())
-
-    # Record order exists only below the DataFrame API.
-    records = spark.sparkContext.binaryRecords(path, width).zipWithIndex()
-    rows = spark.createDataFrame(records, "raw binary, record long")
-    return rows.select("record", unpack(F.col("raw")).alias("emb"))
+    return read_all(spark, list_records(spark, path, dims, expected))
 
 
 def read_fvecs_subset(
     spark: SparkSession, path: str, dims: int, wanted: DataFrame, expected: int | None = None
 ) -> DataFrame:
-    """Only the records whose number is in ``wanted.record``."""
-    return read_fvecs(spark, path, dims, expected).join(
-        wanted.select("record"), "record", "left_semi"
-    )
+    """Only the records whose number is in ``wanted.record``; the others are not read."""
+    return read_some(spark, list_records(spark, path, dims, expected), wanted)
 
 
 RESULT_SCHEMA = """

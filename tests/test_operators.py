@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions.hashing import drawn_ranks, hash_draw, replicate_draw, replicate_key
-from nearfield.operators import bootstrap
+from nearfield.operators import bootstrap, sampling
 from nearfield.functions.codec import decode_vector, encode_vector, quantise_column, error_report
 from nearfield.functions.names import (
     format_bytes,
@@ -412,3 +412,28 @@ def test_breakdown_drops_components_that_are_always_zero(spark):
     rows = {(r["run"], r["component"]): r for r in timing_breakdown(df, ["run"], ["x", "y", "z"], "latency").collect()}
     assert set(rows) == {("a", "x"), ("a", "z"), ("b", "x"), ("b", "z")}
     assert rows["b", "x"]["total_ms"] == pytest.approx(5.0) and rows["b", "z"]["qps"] == 4.0
+
+
+def test_lowest_rows_without_a_sort(spark):
+    """Ties in the first key, nulls, NaN and text keys; few rows are left whatever the table's order."""
+    odd = "CASE WHEN id % 997 = 0 THEN NULL WHEN id % 991 = 0 THEN double('NaN') ELSE (id * 7919) % 1000 END"
+    df = spark.range(60_000).selectExpr("id", f"{odd} AS x", "md5(string(id)) AS s", "id % 3 AS z").repartition(6)
+    for keys in (["x", "id"], ["s"], [F.col("z"), "id"], [F.col("x") + 1, "s"]):
+        order = [F.col(k) if isinstance(k, str) else k for k in keys]
+        for n in (0, 1, 700, 5_000, 40_000, 70_000):
+            few = sampling.lowest(df, keys, n)
+            left = few.count()
+            assert left >= min(n, 60_000) and (n > 5_000 or left < 15_000)
+            if n in (700, 40_000):
+                truth = [r.id for r in df.sort(*order).limit(n).collect()]
+                found = sampling.head(df, keys, n, "at").sort("at").collect()
+                assert [r.id for r in found] == truth and [r["at"] for r in found] == list(range(n))
+    assert sampling.lowest(df.limit(0), ["id"], 5).count() == 0
+
+
+def test_a_cut_reaches_the_scan(spark, tmp_path, capsys):
+    spark.range(60_000).write.parquet(str(tmp_path / "t"))
+    few = sampling.lowest(spark.read.parquet(str(tmp_path / "t")), ["id"], 100)
+    few.explain()
+    plan = capsys.readouterr().out
+    assert "LessThanOrEqual(id" in plan and "Sort" not in plan and "Exchange" not in plan

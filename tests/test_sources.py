@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.names import label_field
 from nearfield.operators.layout import file_index
-from nearfield.sources import readers, writers
+from nearfield.sources import readers, records, writers
 
 
 def _shard(path, ids):
@@ -111,6 +111,49 @@ def test_fvecs(spark, tmp_path):
         readers.read_fvecs(spark, str(tmp_path / "c.fvecs"), 3).collect()
 
 
+def test_fvecs_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    values = np.random.default_rng(1).normal(size=(500, 3)).astype("<f4")
+    heads = np.full((500, 1), 3, "<i4")
+    heads[[7, 300]] = 99  # broken records that nobody asks for
+    raw = np.hstack([heads.view("<f4"), values])
+    for name, a, b in (("x y.fvecs", 0, 210), ("y.fvecs", 210, 210), ("z.fvecs", 210, 500)):
+        (tmp_path / name).write_bytes(raw[a:b].tobytes())
+    asked = [0, 5, 6, 8, 209, 210, 211, 299, 301, 499]
+    wanted = spark.createDataFrame([(n,) for n in [*asked, 5, 5, -1, 500, None]], "record long")
+    for gap, piece, seeks in ((64, 4096, 4096), (0, 16, 2), (64, 64, 3)):
+        monkeypatch.setattr(records, "_GAP", gap)
+        monkeypatch.setattr(records, "_PIECE", piece)
+        monkeypatch.setattr(records, "_SEEKS", seeks)
+        rows = readers.read_fvecs_subset(spark, str(tmp_path), 3, wanted).collect()
+        assert sorted(r["record"] for r in rows) == asked
+        assert all(np.array(r["emb"], "f4").tolist() == values[r["record"]].tolist() for r in rows)
+    monkeypatch.setattr(records, "_RANGE", 16 * 37)
+    monkeypatch.setattr(records, "_PIECE", 16 * 5)
+    raw[[7, 300], 0] = raw[0, 0]
+    (tmp_path / "x y.fvecs").write_bytes(raw[:210].tobytes())
+    (tmp_path / "z.fvecs").write_bytes(raw[210:].tobytes())
+    every = readers.read_fvecs(spark, str(tmp_path), 3, 500)
+    assert every.rdd.getNumPartitions() == 6 + 8
+    rows = every.orderBy("record").collect()
+    assert [r["record"] for r in rows] == list(range(500))
+    assert np.array([r["emb"] for r in rows], "f4").tolist() == values.tolist()
+
+
+def test_runs_read_little_beside_what_is_asked():
+    sizes = np.array([100, 0, 1, 899])
+    files = records.RecordFiles(["a", "b", "c", "d"], np.cumsum(sizes) - sizes, sizes, 3)
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 20, 300, 1000):
+        asked = np.sort(rng.choice(1000, n, replace=False))
+        found, read = [], 0
+        for file, first, last, inside in records.runs(asked, files, 3 * 16, 50 * 16):
+            assert 0 <= first == inside[0] and last == inside[-1] < sizes[file] and last - first < 50
+            assert (np.diff(inside) <= 3).all()
+            found += (files.first[file] + inside).tolist()
+            read += last - first + 1
+        assert found == asked.tolist() and read <= 3 * n
+
+
 def _result(case, latencies=None, label=None):
     metrics = {"optimize_duration": 2.5, "recall": 0.5, "ndcg": 0.6, "unknown": [1]}
     if latencies is not None:
