@@ -13,7 +13,6 @@ from nearfield.llm import textscan
 from nearfield.llm.common import by_batch, id_and_text, materialize
 
 GRAM = 4  # words of a seed: an edited copy that keeps one run of four words is still met
-RARE = 1000  # not a limit any more: frequent seeds are aligned like all others (the name is kept for its test)
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.6  # of the score of an unchanged copy of the whole item
 # Grams of items that every task holds at once, and places of items looked at in one go.
@@ -62,6 +61,8 @@ class Seeds:
     def __init__(self, number: list[int | None], words: list[np.ndarray], grams: list[np.ndarray]):
         self.number, self.words = number, words
         self.sorted_words = [np.unique(w) for w in words]
+        # An alignment of the least score has fewer than two item lengths of words after any of its seeds.
+        self.reach = np.array([2 * len(w) for w in words], np.int64)
         gram, item = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         order = np.lexsort((item, gram))
         gram, item = gram[order], item[order]
@@ -106,39 +107,40 @@ class Seeds:
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two word sequences: score, and its first and last place (exclusive)
-    in the passage. One vector step per word of the item; gaps along the passage by a running
-    maximum. A passage that is long for one table is cut into overlapping parts."""
+    in the passage. A passage that is long for one go is cut into overlapping parts. Only one row of
+    the table is held at a time; the begin is found by going back from the end of the best."""
     part = max(_ALIGN_CELLS // max(len(item), 1), 4 * len(item))
     best = (0, 0, 0)
     for at in range(0, len(passage), part):
-        found = _align(item, passage[max(at - 2 * len(item), 0) : at + part])
-        if found[0] > best[0]:
-            shift = max(at - 2 * len(item), 0)
-            best = (found[0], found[1] + shift, found[2] + shift)
-    return best
-
-
-def _align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    n = len(passage)
-    slope = np.arange(n + 1) * -GAP
-    table = np.zeros((len(item) + 1, n + 1), dtype=np.int32)
-    for i, word in enumerate(item):
-        above = table[i]
-        row = above + GAP
+        begin = max(at - 2 * len(item), 0)
+        score, i, j = _peak(item, passage[begin : at + part], local=True)
+        if score > best[0]:
+            best = (score, i, begin + j)
+    score, i, end = best
+    if not score:
+        return 0, 0, 0
+    # what lies more than three item lengths before the end costs more than all words of the item give
+    before = passage[max(end - 3 * len(item), 0) : end]
+    return score, end - _peak(item[:i][::-1], before[::-1], local=False)[2], end
+
+
+def _peak(item: np.ndarray, passage: np.ndarray, local: bool) -> tuple[int, int, int]:
+    """The highest score of an alignment, and how many words of both it ends after (the fewest). It may
+    begin anywhere if ``local``, else with the first words. One vector step per word of the item; gaps
+    along the passage by a running maximum."""
+    slope = np.arange(len(passage) + 1) * -GAP
+    row = np.zeros(len(passage) + 1, np.int64) if local else -slope
+    best = (0, 0, 0)
+    for i, word in enumerate(item, 1):
+        above, row = row, row + GAP
         row[1:] = np.maximum(row[1:], above[:-1] + np.where(passage == word, MATCH, MISMATCH))
-        np.maximum(row, 0, out=row)
-        table[i + 1] = np.maximum.accumulate(row + slope) - slope
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    score, end = int(table[i, j]), int(j)
-    while table[i, j] > 0:
-        here = table[i, j]
-        if here == table[i - 1, j - 1] + (MATCH if passage[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif here == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(j), end
+        if local:
+            np.maximum(row, 0, out=row)
+        row = np.maximum.accumulate(row + slope) - slope
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = (int(row[j]), i, j)
+    return best
 
 
 def _may_align(known: np.ndarray, passage: np.ndarray, length: int, least: float) -> bool:
@@ -151,11 +153,11 @@ def _may_align(known: np.ndarray, passage: np.ndarray, length: int, least: float
     return int((same[stretch:] - same[: len(same) - stretch]).max()) >= least * length - 1e-9
 
 
-def _found(docs: DataFrame, seeds: Seeds, gram: int, reach: int, least: float) -> DataFrame:
+def _found(docs: DataFrame, seeds: Seeds, gram: int, least: float) -> DataFrame:
     """The alignments of the items of ``seeds`` with the documents, found in the tasks that read them.
 
     Every item that shares a gram with a document is aligned with the passages around these grams
-    (``reach`` words to both sides; what meets is one passage), however frequent the grams are.
+    (two lengths of the item to both sides; what meets is one passage), however frequent the grams are.
     """
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
@@ -171,11 +173,12 @@ def _found(docs: DataFrame, seeds: Seeds, gram: int, reach: int, least: float) -
             at, seed = at[inside], seed[inside]
             for item, place in own.met(at, seed) if len(at) else ():
                 doc = np.searchsorted(bounds, place, side="right") - 1
-                new = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > 2 * reach)
+                new = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > 2 * own.reach[item[1:]])
                 first = np.flatnonzero(np.append(True, new))
                 last = np.append(first[1:], len(place)) - 1
+                reach = own.reach[item[first]]
                 begin = np.maximum(place[first] - reach, bounds[doc[first]])
-                end = np.minimum(place[last] + reach, bounds[doc[first] + 1])
+                end = np.minimum(place[last] + gram + reach, bounds[doc[first] + 1])
                 for k, d, a, b in zip(item[first].tolist(), doc[first].tolist(), begin.tolist(), end.tolist()):
                     whole, passage = own.words[k], word[a:b]
                     if not _may_align(own.sorted_words[k], passage, len(whole), least):
@@ -202,7 +205,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, gr
     with the passages around all grams that it shares with a document, frequent ones too; only where
     too few of its words stand together for the least score is the alignment spared. ``score`` is the
     best local alignment over that of an unchanged copy, and pairs of at least ``least`` are returned,
-    the best place of each, with word positions from 0 (the last exclusive). Null texts are empty and
+    the best place of each, with word positions from 0 (the last exclusive). What is found of an item
+    depends on that item and the document only. Null texts are empty and
     hold nothing; empty items and items without an id are left out; rows without an id are searched
     too and returned with a null id; rows that repeat an id count as one document; other columns are
     not read.
@@ -213,8 +217,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, gr
     """
     spark = docs.sparkSession
     item = materialize(items(benchmark, gram=gram).filter("item_id IS NOT NULL"), "items")
-    reach, total = item.agg(F.max(F.size("words")), F.sum(F.size("grams"))).first()
-    if reach is None:
+    total = item.agg(F.sum(F.size("grams"))).first()[0]
+    if total is None:
         return spark.createDataFrame([], _PAIRS)
     parts = total // SEED_LIMIT + 1
     text = id_and_text(docs, id_col, text_col)
@@ -225,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, gr
             continue
         lists = [[x.values.to_numpy().view(np.uint64) for x in chosen[c]] for c in ("words", "grams")]
         seeds = Seeds(chosen["item_id"].to_pylist(), *lists)
-        found.append(materialize(_found(text, seeds, gram, reach, least), "alignments"))
+        found.append(materialize(_found(text, seeds, gram, least), "alignments"))
     aligned = found[0]
     for more in found[1:]:
         aligned = aligned.unionByName(more)

@@ -41,6 +41,18 @@ def test_long_passage_in_parts(monkeypatch):
     assert decontaminate.align(item, passage) == (20, 133, 143)
 
 
+def test_long_items_are_aligned_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    item = rng.integers(0, 10**6, 6_000)
+    passage = np.concatenate((rng.integers(0, 10**6, 9_000), np.insert(item, 3_000, [-1] * 500), [-2] * 4_000))
+    tracemalloc.start()
+    assert decontaminate.align(item, passage) == (12_000 - 500, 9_000, 15_500)
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+
+
 def edited(text, share):
     words = text.split()
     for i in RNG.sample(range(len(words)), int(len(words) * share)):
@@ -92,8 +104,32 @@ def test_agrees_with_all_pairs(spark, docs_of):
                 assert abs(rows[d, k] - score) < 1e-9
 
 
-def test_item_in_many_copies_is_still_found(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(decontaminate, "RARE", 3)
+def test_words_put_in(spark, docs_of):
+    """Copies with words put in, at one place or all over, are found at their score of all pairs,
+    whatever other items there are."""
+    item = prose(40)
+    texts = []
+    for extra in (1, 10, 20, 30, 31, 32, 40):
+        for at in (5, 20, 35):
+            texts.append(" ".join(prose(90) + item[:at] + [f"in{i}" for i in range(extra)] + item[at:] + prose(90)))
+        spread = list(item)
+        for i in range(extra):
+            spread.insert(5 + 35 * i // extra + i, f"in{i}")
+        texts.append(" ".join(prose(90) + spread + prose(90)))
+    truth = {}
+    for d, t in enumerate(texts):
+        score = slow_align(item, t.split()) / 80
+        words = t.split()
+        seeded = any(words[i : i + 4] == item[j : j + 4] for j in range(37) for i in range(len(words) - 3))
+        if score >= 0.6 and seeded:
+            truth[d] = score
+    assert 12 < len(truth) < len(texts)
+    for others in ([], [" ".join(prose(300))], ["one two three four five"]):
+        rows = decontaminate.contaminated(docs_of(texts), benchmark(spark, [" ".join(item), *others])).collect()
+        assert {r.doc_id: r.score for r in rows if r.item_id == 0} == truth
+
+
+def test_item_in_many_copies_is_still_found(spark, docs_of):
     texts = [ITEMS[0]] * 80 + [ITEMS[1]]
     rows = decontaminate.contaminated(docs_of(texts), benchmark(spark)).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == {(i, 0) for i in range(80)} | {(80, 1)}
