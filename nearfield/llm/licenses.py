@@ -14,7 +14,8 @@ _WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The two non-ASCII characters whose lower case has ASCII in it; only A-Z are to be lowered.
 _ODD_CASE = "[İK]"
 K = 2  # words of a gram: the shortest phrase is two words long
-SHIFT = 2  # diagonals at most this far apart are one copy with words put in or left out
+SHIFT = 2  # diagonals at most this far apart are one copy with words put in or left out,
+SHIFT_SHARE = 3  # or this part of a template's grams, where that is more
 COVERAGE = 0.7  # share of a long template's grams that an edited copy must still have
 
 
@@ -47,16 +48,25 @@ def _lower(text: Column) -> Column:
     return F.when(text.rlike(_ODD_CASE), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
 
 
+def _gram_rows(templates: tuple[Template, ...]) -> list[tuple]:
+    """``(tpl, label, exact, shift, n_grams, tpl_pos, unit, gram)`` of every gram position. Positions that
+    hold the same gram are one unit, so that a gram counts once; of an exact phrase each counts."""
+    rows = []
+    for t, template in enumerate(templates):
+        words = template.words.split(" ")
+        grams = [" ".join(words[i : i + K]) for i in range(len(words) - K + 1)]
+        units = list(range(len(grams))) if template.exact else [grams.index(g) for g in grams]
+        shift = 0 if template.exact else max(SHIFT, len(grams) // SHIFT_SHARE)
+        rows += [(t, template.label, template.exact, shift, len(set(units)), i, unit, gram)
+                 for i, (unit, gram) in enumerate(zip(units, grams))]
+    return rows
+
+
 def template_grams(spark, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """One row per gram position of every template: a table as small as the templates."""
-    rows = [
-        (t, label.label, label.exact, len(words) - K + 1, i, " ".join(words[i : i + K]))
-        for t, label in enumerate(templates)
-        for words in [label.words.split(" ")]
-        for i in range(len(words) - K + 1)
-    ]
     table = spark.createDataFrame(
-        rows, "tpl int, label string, exact boolean, n_grams int, tpl_pos int, tpl_gram string")
+        _gram_rows(templates),
+        "tpl int, label string, exact boolean, shift int, n_grams int, tpl_pos int, unit int, tpl_gram string")
     return table.withColumn("h", F.xxhash64("tpl_gram"))
 
 
@@ -69,8 +79,9 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col:
     positions of the templates (a table with the size of the parameter, so it is broadcast); gram
     words are compared too. Each match votes for its diagonal (position in the text less position
     in the template). Of an exact phrase every gram must vote on one diagonal. For other templates,
-    diagonals up to ``SHIFT`` apart are merged into one region, whose span is kept if at least
-    ``COVERAGE`` of the template's grams voted.
+    diagonals up to ``SHIFT`` or a third of the template's grams apart are merged into one region,
+    whose span is kept if at least ``COVERAGE`` of the template's different grams voted; a gram that
+    stands in it more than once counts once.
     """
     text = id_and_text(docs, id_col, text_col)
     words = F.regexp_extract_all(_lower(F.col("text")), F.lit(f"({_WORDS})"), F.lit(1))
@@ -84,19 +95,15 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col:
     ).select("doc_id", "copy", "pos", F.col("g.gram").alias("gram"), F.xxhash64("g.gram").alias("h"))
     small = F.broadcast(template_grams(docs.sparkSession, templates))
     votes = grams.join(small, (grams.h == small.h) & (grams.gram == small.tpl_gram)).select(
-        "doc_id", "copy", "tpl", "label", "exact", "n_grams", "pos",
+        "doc_id", "copy", "tpl", "label", "exact", "shift", "n_grams", "unit", "pos",
         (F.col("pos") - F.col("tpl_pos")).alias("diagonal"))
+    along = Window.partitionBy("doc_id", "copy", "tpl").orderBy("diagonal", "pos")
+    step = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.col("shift"), F.lit(True))
     # distinct: rows that repeat id and text vote once
-    diagonals = votes.distinct().groupBy(
-        "doc_id", "copy", "tpl", "label", "exact", "n_grams", "diagonal"
-    ).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-
-    along = Window.partitionBy("doc_id", "copy", "tpl").orderBy("diagonal")
-    step = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT, F.lit(True))
-    regions = diagonals.withColumn("new", step.cast("int")).withColumn("region", F.sum("new").over(along)).groupBy(
+    regions = votes.distinct().withColumn("new", step.cast("int")).withColumn("region", F.sum("new").over(along)).groupBy(
         "doc_id", "copy", "tpl", "label", "exact", "n_grams", "region"
-    ).agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    coverage = F.least(F.col("votes") / F.col("n_grams"), F.lit(1.0))
+    ).agg(F.size(F.collect_set("unit")).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    coverage = F.col("votes") / F.col("n_grams")
     enough = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(COVERAGE))
     return regions.filter(coverage >= enough).select(
         "doc_id", "copy", "label", "exact", F.col("first").cast("long").alias("first"),
@@ -133,22 +140,21 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
 def sql(table: str = "documents", templates: tuple[Template, ...] = TEMPLATES) -> str:
     """The same digest for DuckDB (texts without NUL characters)."""
     rows = ", ".join(
-        f"({t}, '{x.label}', {str(x.exact).lower()}, {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')"
-        for t, x in enumerate(templates) for w in [x.words.split(" ")] for i in range(len(w) - 1))
+        f"({t}, '{label}', {str(exact).lower()}, {shift}, {n}, {i}, {unit}, '{a}', '{b}')"
+        for t, label, exact, shift, n, i, unit, gram in _gram_rows(templates) for a, b in [gram.split(" ")])
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
-WITH t(tpl, label, exact, n_grams, tpl_pos, a, b) AS (VALUES {rows}),
+WITH t(tpl, label, exact, shift, n_grams, tpl_pos, unit, a, b) AS (VALUES {rows}),
 d AS (SELECT doc_id, regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}),
 g AS (SELECT doc_id, w, unnest(range(len(w) - 1)) AS pos FROM d),
-v AS (SELECT doc_id, tpl, label, exact, n_grams, pos, pos - tpl_pos AS diagonal
+v AS (SELECT doc_id, tpl, label, exact, shift, n_grams, unit, pos, pos - tpl_pos AS diagonal
       FROM g JOIN t ON g.w[pos + 1] = t.a AND g.w[pos + 2] = t.b),
-k AS (SELECT doc_id, tpl, label, exact, n_grams, diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last
-      FROM v GROUP BY ALL),
-n AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER z > {SHIFT}, true) THEN 1 ELSE 0 END AS new
-      FROM k WINDOW z AS (PARTITION BY doc_id, tpl ORDER BY diagonal)),
-r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS region FROM n),
-s AS (SELECT doc_id, tpl, label, exact, region, min(first) AS first,
-             least(sum(votes)::DOUBLE / any_value(n_grams), 1.0) AS coverage FROM r GROUP BY ALL),
+n AS (SELECT *, CASE WHEN coalesce(diagonal - lag(diagonal) OVER z > shift, true) THEN 1 ELSE 0 END AS new
+      FROM v WINDOW z AS (PARTITION BY doc_id, tpl ORDER BY diagonal, pos)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tpl ORDER BY diagonal, pos ROWS UNBOUNDED PRECEDING) AS region
+      FROM n),
+s AS (SELECT doc_id, tpl, label, exact, region, min(pos) AS first,
+             count(DISTINCT unit)::DOUBLE / any_value(n_grams) AS coverage FROM r GROUP BY ALL),
 f AS (SELECT * FROM s WHERE coverage >= CASE WHEN exact THEN 1.0 ELSE {COVERAGE} END),
 m AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word,
              max(first) FILTER (exact) AS last_word,

@@ -46,3 +46,32 @@ def test_spans_and_empty_table(docs_of):
     assert [(r.label, r.first, r.last) for r in found] == [("reserved", 2, 4)]
     assert licenses.scan(docs_of([])).collect() == []
     assert licenses.scan(docs_of(["cc by"], ids=[None])).first().n_base == 1
+
+
+MIT = licenses.TEMPLATES[5].words.split()
+
+
+def test_words_put_in_and_left_out(docs_of):
+    def put(at, n):
+        return " ".join(["before"] * 30 + MIT[:at] + ["put"] * n + MIT[at:] + ["after"] * 30)
+
+    texts = [put(at, n) for at in (3, 8, 13) for n in (1, 2, 3, 4, 5)]
+    texts += [" ".join(w for i, w in enumerate(MIT) if i not in out) for out in ((4,), (4, 5, 6), (1, 9))]
+    for r in licenses.scan(docs_of(texts)).collect():
+        assert r.labels == "mit" and 0.7 <= r.score < 1, texts[r.doc_id]
+    spans = licenses.spans(docs_of([put(8, 5)])).collect()
+    assert [(r.first, r.last) for r in spans] == [(30, 30 + len(MIT) + 4)]
+
+
+def test_few_grams_repeated_are_no_license(docs_of):
+    texts = [" ".join(MIT[:4]) + " " + " ".join(MIT[:4] * 20), "to any person " * 500, "of this software " * 40,
+             " ".join(reversed(MIT)), " ".join(f"{a} {b} so" for a, b in zip(MIT[::4], MIT[1::4]))]
+    assert {(r.labels, r.score) for r in licenses.scan(docs_of(texts)).collect()} == {("", 0.0)}
+
+
+def test_a_gram_held_twice_counts_once(spark, docs_of):
+    own = (licenses.Template("x", "a b c a b d a b e f g h"), licenses.Template("y", "p q p q", exact=True))
+    texts = ["a b c a b d a b e f g h", "a b c a b d a b", "p q p q", "p q p", "p q p q p q"]
+    rows = licenses.scan(docs_of(texts), own).sort("doc_id").collect()
+    assert [(r.labels, r.score, r.n_base) for r in rows] == [
+        ("x", 1.0, 0), ("", 0.0, 0), ("y", 1.0, 1), ("", 0.0, 0), ("y", 1.0, 2)]
