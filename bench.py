@@ -26,7 +26,7 @@ from nearfield.operators.ann import assign_lists, train_lists  # noqa: E402
 from nearfield.operators.knn import nearest  # noqa: E402
 from nearfield.plans import catalogue  # noqa: E402
 from nearfield.plans.inputs import DIM, base, queries  # noqa: E402
-from nearfield.session import materialize  # noqa: E402
+from nearfield.session import materialize, scratch_scope  # noqa: E402
 
 HEADLINE = [
     "KN1_knn_euclidean", "KN1_knn_euclidean_blocks", "KN2_knn_cosine", "KN3_knn_equality",
@@ -98,6 +98,12 @@ def larger_base(spark, sf):
     return materialize(moved, "larger"), n
 
 
+def scoped(spark, step):
+    """A step whose intermediate tables are gone when it ends."""
+    with scratch_scope(spark):
+        return step()
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -116,7 +122,7 @@ def main() -> None:
 
     steps = Steps(spark)
     for name in HEADLINE:
-        steps.run(name, lambda name=name: run(catalogue.QUERIES[name](spark, sf)))
+        steps.run(name, lambda name=name: scoped(spark, lambda: run(catalogue.QUERIES[name](spark, sf))))
 
     rates, elements, recalls = {}, {}, {}
     made = steps.run("larger_base", lambda: larger_base(spark, sf))

@@ -172,6 +172,15 @@ def curve_lists(curve: DataFrame, groups: Sequence[str], recall: str, rate: str)
     return curve.groupBy(*groups).agg(F.array_sort(F.collect_list(point)).alias("points"))
 
 
+def curve_blocks(
+    curve: DataFrame, groups: Sequence[str], recall: str, rate: str, points: int = 1_000
+) -> DataFrame:
+    """The curves in rows of ``points`` points at most: ``(groups, block, points)``, blocks and points in
+    order along the curve, so that no row grows with its curve."""
+    block = curve.withColumn("block", F.floor((F.col("point") - 1) / points).cast("long"))
+    return curve_lists(block, [*groups, "block"], recall, rate)
+
+
 def rate_at_recall(
     df: DataFrame, groups: Sequence[str], index: str, base: str, other: str, *,
     recall: str, rate: str, id_col: str, target: float = 0.90,

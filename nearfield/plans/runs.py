@@ -27,6 +27,7 @@ from nearfield.functions.names import (
 from nearfield.operators.profiles import profile_rollup
 from nearfield.operators.numbering import number_rows
 from nearfield.operators.runs import (
+    curve_blocks,
     curve_lists,
     extremes,
     incomplete_groups,
@@ -309,6 +310,19 @@ def nested_curves(spark, sf):
     return lists.select("user_id", F.array_join(ids, ",").alias("points"))
 
 
+@query("AG21_curve_blocks", f"""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY recall, id, qps) - 1 AS place FROM ({_POINTS_SQL}))
+SELECT dataset, place // 100 AS block, string_agg(id::VARCHAR, ',' ORDER BY place) AS points FROM p GROUP BY ALL
+""")
+def blocked_curves(spark, sf):
+    """Three curves of all lines, a hundred points a row."""
+    points = _points(spark, sf).select("dataset", "recall", F.col("qps").alias("rate"), "id")
+    curve = recall_curve(points, ["dataset"], "recall", "rate", "id").withColumn("qps", F.col("id"))
+    blocks = curve_blocks(curve, ["dataset"], "recall", "qps", 100)
+    ids = F.transform("points", lambda p: p["qps"].cast("string"))
+    return blocks.select("dataset", "block", F.array_join(ids, ",").alias("points"))
+
+
 @query("AG22_rate_at_recall", f"""
 WITH s AS ({_POINTS_SQL}),
 f AS (SELECT * FROM s WHERE recall >= 0.9

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +38,44 @@ def scratch_root(spark: SparkSession) -> str:
     return made
 
 
+# Folder of the innermost scratch scope of this thread or task.
+_scope: ContextVar[str | None] = ContextVar("scratch_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+class Scope:
+    """The tables written since the scope was entered; :meth:`keep` carries a result out of it."""
+
+    def __init__(self, outer: str):
+        self._outer = outer
+
+    def keep(self, df: DataFrame, label: str = "kept") -> DataFrame:
+        """``df`` written outside, where it outlives the scope and does not read its tables."""
+        path = f"{self._outer}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scope]:
+    """Removes the intermediate tables that are written inside, also after an error.
+
+    A DataFrame made inside may read them later: write it, collect it or :meth:`Scope.keep` it before
+    the end. Scopes nest; what an inner one keeps belongs to the outer one. Only the folder that the
+    scope has made in the shared scratch folder is removed.
+    """
+    outer = _scope.get() or scratch_root(spark)
+    folder = f"{outer}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield Scope(outer)
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

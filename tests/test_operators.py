@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -30,8 +32,9 @@ from nearfield.operators.quality import (
 from nearfield.operators.quantiles import group_quantiles, rank_within
 from nearfield.operators.ranges import matches_per_query, range_counts, skippable_blocks
 from nearfield.operators.remap import remap_lists, remap_rows, zip_by_position
-from nearfield.operators.runs import rate_at_recall, timing_breakdown
+from nearfield.operators.runs import curve_blocks, rate_at_recall, recall_curve, timing_breakdown
 from nearfield.operators.sampling import range_filters, sample, split_queries
+from nearfield.session import scratch_root, scratch_scope
 
 
 @pytest.fixture(scope="module")
@@ -437,3 +440,27 @@ def test_a_cut_reaches_the_scan(spark, tmp_path, capsys):
     few.explain()
     plan = capsys.readouterr().out
     assert "LessThanOrEqual(id" in plan and "Sort" not in plan and "Exchange" not in plan
+
+
+def test_scratch_scopes_leave_nothing_but_what_is_kept(spark):
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    with scratch_scope(spark) as outer:
+        with scratch_scope(spark) as inner:
+            numbered = number_rows(spark.range(50), [F.col("id").desc()], "n")
+            passed = inner.keep(numbered)
+        assert passed.count() == 50
+        kept = outer.keep(passed.where("n < 5"))
+    assert sorted((r.id, r.n) for r in kept.collect()) == [(49 - n, n) for n in reversed(range(5))]
+    assert len(set(root.iterdir()) - before) == 1
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        number_rows(spark.range(50), ["id"], "n")
+        1 / 0  # noqa: B018
+    assert len(set(root.iterdir()) - before) == 1
+
+
+def test_curves_in_blocks(spark):
+    df = spark.range(25).selectExpr("'a' AS g", "(id * 7) % 25 AS recall", "id AS qps", "id")
+    rows = curve_blocks(recall_curve(df, ["g"], "recall", "qps", "id"), ["g"], "recall", "qps", 10).sort("block").collect()
+    assert [(r.block, len(r.points)) for r in rows] == [(0, 10), (1, 10), (2, 5)]
+    assert [p.recall for r in rows for p in r.points] == list(range(25))
