@@ -224,14 +224,20 @@ def write_lists(assigned: DataFrame, path: str) -> DataFrame:
 
 
 def probes(queries: DataFrame, centroids: DataFrame, n_probe: int, **sizes: int) -> DataFrame:
-    """The lists to search: ``(qid, emb, list_id, probe_rank)``; 0 means every list."""
+    """The lists to search: ``(qid, list_id, probe_rank)``; 0 means every list."""
     lists = centroids.select(F.col("list_id").cast("long").alias("id"), "emb")
     wanted = n_probe or centroids.count()
     found = nearest(queries.select("qid", "emb"), lists, wanted, **sizes)
-    ranks = found.select(
+    return found.select(
         "qid", F.col("id").cast("int").alias("list_id"), F.col("rank").alias("probe_rank")
     )
-    return queries.select("qid", "emb").join(ranks, "qid")
+
+
+def with_lists(queries: DataFrame, probed: DataFrame) -> DataFrame:
+    """Queries with all their lists to search in one column, nearest first, beside one vector."""
+    lists = probed.groupBy("qid").agg(
+        F.sort_array(F.collect_list(F.struct("probe_rank", "list_id")))["list_id"].alias("list_id"))
+    return queries.select("qid", "emb").join(lists, "qid")
 
 
 def search_lists(
@@ -241,7 +247,7 @@ def search_lists(
     """The k nearest rows among the probed lists; 0 probes search all lists, which is a plain scan."""
     if not n_probe:
         return nearest(queries, assigned.where(F.col("list_id").isNotNull()), k, metric, **sizes)
-    asked = probes(queries, centroids, n_probe, **sizes)
+    asked = with_lists(queries, probes(queries, centroids, n_probe, **sizes))
     partial = nearest_partial(asked, assigned, k, metric, key="list_id", **sizes)
     return rank_nearest(partial, k, metric).select("qid", "id", "rank", "score")
 
@@ -279,17 +285,19 @@ def search_local_lists(
     queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int, n_probe: int,
     metric: str = EUCLIDEAN, **sizes: int,
 ) -> DataFrame:
-    """The k nearest rows among the ``n_probe`` nearest lists of every block (0: all lists)."""
+    """The k nearest rows among the ``n_probe`` nearest lists of every block; 0 searches all lists, which
+    is a plain scan."""
+    if not n_probe:
+        return nearest(queries, assigned.where(F.col("list_id").isNotNull()), k, metric, **sizes)
     numbered = centroids.withColumn("number", F.split("list_id", ":")[1].cast("long"))
-    stats = numbered.agg(F.max("block").alias("last"), F.max("number").alias("most")).first()
+    last = numbered.agg(F.max("block").alias("last")).first()["last"]
     per_block = queries.select("qid", "emb").withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stats["last"]).cast("long")))
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
     )
     heads = numbered.select(F.col("number").alias("id"), "emb", "block")
-    wanted = n_probe or stats["most"] + 1
     found = rank_nearest(
-        nearest_partial(per_block, heads, wanted, key="block", tags=("block",), **sizes),
-        wanted, EUCLIDEAN, ("qid", "block"),
+        nearest_partial(per_block, heads, n_probe, key="block", tags=("block",), **sizes),
+        n_probe, EUCLIDEAN, ("qid", "block"),
     )
     lists = found.select("qid", F.concat_ws(":", "block", "id").alias("list_id"))
     asked = queries.select("qid", "emb").join(lists, "qid")
@@ -327,16 +335,14 @@ def nearest_by_hash(
 ) -> DataFrame:
     """The k nearest rows among those sharing a random-projection bucket with the query.
 
-    A base row lists its buckets beside its vector, which is held once. Buckets leave only the k
-    best per query, so a bucket that holds much of the table is like any other frequent key.
+    Rows and queries list their buckets beside their vectors, which are held once. Buckets leave only
+    the k best per query, so a bucket that holds much of the table is like any other frequent key.
     """
     first = base.select(F.size("emb").alias("d")).where("d >= 0").first()
     directions = hash_directions(first["d"] if first else 0, tables, seed)
     listed = base.select("id", "emb", hash_buckets(F.col("emb"), directions, bucket_length).alias("bucket"))
-    asked = queries.select(
-        "qid", "emb", F.explode(hash_buckets(F.col("emb"), directions, bucket_length)).alias("bucket")
-    )
-    partial = nearest_partial(asked, listed, k, EUCLIDEAN, key="bucket", **sizes)
+    asked = queries.select("qid", "emb", hash_buckets(F.col("emb"), directions, bucket_length).alias("bucket"))
+    partial = nearest_partial(asked, listed, k, EUCLIDEAN, key="bucket", place="table", **sizes)
     once = partial.groupBy("qid", "id").agg(F.min("__key").alias("__key"))
     return rank_nearest(once, k, EUCLIDEAN).select("qid", "id", "rank", "score")
 
@@ -352,35 +358,29 @@ def sweep(
     queries: DataFrame, bases: dict[str, tuple[DataFrame, DataFrame]], centroids: DataFrame,
     truth: DataFrame, n_probes: Sequence[int], ks: Sequence[int], **sizes: int,
 ) -> DataFrame:
-    """Recall of every (quantisation, n_probe, k) from one scan per quantisation.
+    """Recall of every (quantisation, n_probe, k) from one scan per quantisation, and a plain one for
+    all lists (0).
 
     ``bases`` maps a quantisation name to its (queries, assigned rows). Candidates carry the rank
     of the list they came from, so the result for ``n_probe`` is the candidates of rank up to it.
     """
-    lists = centroids.count()
-    depth = {n: n or lists for n in n_probes}
-    asked = probes(queries, centroids, max(depth.values()), **sizes).select(
-        "qid", "list_id", "probe_rank"
-    )
     top = max(ks)
-    options = F.array(*[
-        F.struct(F.lit(n).alias("n_probe"), F.lit(d).alias("depth")) for n, d in depth.items()
-    ])
-    runs = []
+    some = sorted({n for n in n_probes if n})
+    asked = materialize(probes(queries, centroids, some[-1], **sizes), "probes") if some else None
+    per_setting = None
     for name, (own_queries, assigned) in bases.items():
-        wanted = own_queries.select("qid", "emb").join(asked, "qid")
-        runs.append(
-            nearest_partial(
-                wanted, assigned, top, key="list_id", tags=("probe_rank",), **sizes
-            ).withColumn("quantisation", F.lit(name))
-        )
-    found = runs[0]
-    for run in runs[1:]:
-        found = found.unionByName(run)
-    setting = F.explode(F.filter(options, lambda o: o["depth"] >= F.col("probe_rank")))
-    per_setting = found.withColumn("o", setting).select(
-        "quantisation", "o.n_probe", "qid", "id", "__key"
-    )
+        runs = []
+        if some:
+            near = nearest_partial(
+                with_lists(own_queries, asked), assigned, top, key="list_id", place="probe_rank", **sizes)
+            deep = F.filter(F.array(*map(F.lit, some)), lambda n: n >= F.col("probe_rank"))
+            runs.append(near.withColumn("n_probe", F.explode(deep)))
+        if 0 in n_probes:
+            held = assigned.where(F.col("list_id").isNotNull())
+            runs.append(nearest_partial(own_queries, held, top, **sizes).withColumn("n_probe", F.lit(0)))
+        for run in runs:
+            run = run.select(F.lit(name).alias("quantisation"), "n_probe", "qid", "id", "__key")
+            per_setting = run if per_setting is None else per_setting.unionByName(run)
     ranked = materialize(
         rank_nearest(per_setting, top, EUCLIDEAN, ("quantisation", "n_probe", "qid")), "sweep"
     )

@@ -153,11 +153,13 @@ def _nearest_chunk(queries, base, ids, k, metric, worst, allowed):
 
 
 class TopK:
-    """The k nearest ids so far of every query row; blocks of base rows are merged in."""
+    """The k nearest ids so far of every query row; blocks of base rows are merged in. With ``owner``,
+    the vector of every query row, rows share vectors."""
 
-    def __init__(self, queries: VectorBlock, k: int, metric: str):
+    def __init__(self, queries: VectorBlock, k: int, metric: str, owner: np.ndarray | None = None):
         self.queries, self.k, self.metric = queries, k, metric
-        n = len(queries.matrix)
+        self.owner = np.arange(len(queries.matrix)) if owner is None else owner
+        n = len(self.owner)
         self.keys = np.full((n, k), np.inf)
         self.ids = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
 
@@ -172,7 +174,7 @@ class TopK:
             part = rows[at : at + step]
             mask = allowed(part) if allowed is not None else None
             qi, place, keys, found = _nearest_chunk(
-                self.queries.take(part), base, ids, self.k, self.metric,
+                self.queries.take(self.owner[part]), base, ids, self.k, self.metric,
                 self.keys[part, self.k - 1], mask,
             )
             if len(qi):

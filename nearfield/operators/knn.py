@@ -58,6 +58,7 @@ _MOST_BANDS = 64
 _MOST_BUCKETS = 20_000
 _LEAST_ROWS = 4_096
 _CELL = "__cell"
+_PLACE = "__place"
 _FILTER = "filter_type"
 
 
@@ -87,6 +88,7 @@ class _Spec:
     key: str | None
     within: Range | None
     tags: tuple[str, ...]
+    place: str | None = None
 
 
 def _dimension(df: DataFrame) -> int:
@@ -133,8 +135,22 @@ def _finite(table):
     return (table, matrix) if fine.all() else (table.filter(pa.array(fine)), matrix[fine])
 
 
+def _by_value(column: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
+    """Every value but null, and where it stands."""
+    coded = column.dictionary_encode()
+    index = _numpy(coded.indices.fill_null(len(coded.dictionary)))
+    order = np.argsort(index, kind="stable")
+    edges = np.searchsorted(index[order], np.arange(len(coded.dictionary) + 1))
+    for at, value in enumerate(coded.dictionary.to_pylist()):
+        yield value, order[edges[at] : edges[at + 1]]
+
+
 class _Queries:
-    """Query rows as a task sees them; rows with a null in what the filter needs match nothing."""
+    """Query rows as a task sees them; rows with a null in what the filter needs match nothing.
+
+    A query may list its keys. Its vector is held once; it has one list of neighbours, or one per key
+    if the key's place is asked for.
+    """
 
     def __init__(self, table: pa.Table, spec: _Spec, block: VectorBlock | None = None):
         self.spec = spec
@@ -144,20 +160,33 @@ class _Queries:
         self.block = block
         self.labels = {name: table[name].combine_chunks() for name in ("qid", *spec.tags)}
         fine = np.flatnonzero(_valid(table, _filters(spec)[0]))
+        self.owner = np.arange(table.num_rows)
+        self.rows = {None: fine}
         if spec.key:
-            rows: dict = {}
-            for at, value in zip(fine.tolist(), table[spec.key].take(pa.array(fine)).to_pylist()):
-                rows.setdefault(value, []).append(at)
-            self.rows = {value: np.array(found) for value, found in rows.items()}
-        else:
-            self.rows = {None: fine}
+            self._by_key(table.take(pa.array(fine)), fine)
         if spec.within:
             self.low, self.high = (
-                _numpy(table[c].fill_null(0) if table[c].null_count else table[c])
+                _numpy(table[c].fill_null(0) if table[c].null_count else table[c])[self.owner]
                 for c in (spec.within.low, spec.within.high))
 
+    def _by_key(self, table: pa.Table, rows: np.ndarray) -> None:
+        keys = table[self.spec.key].combine_chunks()
+        if pa.types.is_list(keys.type):
+            lengths = _numpy(keys.value_lengths()).astype(np.int64)
+            rows = np.repeat(rows, lengths)
+            if self.spec.place:
+                if _PLACE in table.column_names:
+                    place = _numpy(table[_PLACE].combine_chunks().flatten()).astype(np.int64)
+                else:
+                    place = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                self.labels = {name: labels.take(pa.array(rows)) for name, labels in self.labels.items()}
+                self.labels[self.spec.place] = pa.array(place + 1, pa.int64())
+                self.owner, rows = rows, np.arange(len(rows))
+            keys = keys.flatten()
+        self.rows = {value: rows[part] for value, part in _by_value(keys)}
+
     def collector(self) -> TopK:
-        return TopK(self.block, self.spec.k, self.spec.metric)
+        return TopK(self.block, self.spec.k, self.spec.metric, self.owner)
 
     def add(self, top: TopK, batch) -> None:
         if batch.num_rows:
@@ -182,15 +211,9 @@ class _Queries:
         if pa.types.is_list(codes.type):  # a row stands under each of its keys; its vector is held once
             owner = np.repeat(np.arange(len(codes)), codes.value_lengths().to_numpy())
             codes = codes.flatten()
-        coded = codes.dictionary_encode()
-        values = coded.dictionary.to_pylist()
-        index = _numpy(coded.indices)
-        order = np.argsort(index, kind="stable")
-        edges = np.searchsorted(index[order], np.arange(len(values) + 1))
-        for at, value in enumerate(values):
+        for value, part in _by_value(codes):
             rows = self.rows.get(value)
             if rows is not None:
-                part = order[edges[at] : edges[at + 1]]
                 part = part if owner is None else owner[part]
                 self._merge(
                     top, rows, base.take(part), ids[part], None if attr is None else attr[part]
@@ -239,6 +262,8 @@ class _ManyFilters:
 
 def _partial_schema(queries: DataFrame, spec: _Spec) -> T.StructType:
     fields = [T.StructField(c, queries.schema[c].dataType) for c in ("qid", *spec.tags)]
+    if spec.place:
+        fields.append(T.StructField(spec.place, T.LongType()))
     return T.StructType(
         [*fields, T.StructField("id", T.LongType()), T.StructField("__key", T.DoubleType())]
     )
@@ -274,8 +299,9 @@ def _broadcast_form(table: pa.Table, queries: DataFrame, base: DataFrame, spec:
         elif len(keys) <= 1000:
             base = base.where(F.col(spec.key).isin(keys))
         else:
+            own = queries.schema[spec.key].dataType
             wanted = base.sparkSession.createDataFrame([(key,) for key in keys], T.StructType(
-                [T.StructField(spec.key, queries.schema[spec.key].dataType)]))
+                [T.StructField(spec.key, own.elementType if isinstance(own, T.ArrayType) else own)]))
             base = base.join(F.broadcast(wanted), spec.key, "left_semi").select(*base.columns)
     if spec.within and len(local.low):
         reach = F.col(spec.within.attr).between(local.low.min().item(), local.high.max().item())
@@ -324,6 +350,15 @@ def _by_key(queries: DataFrame, base: DataFrame, key: str, n: int, base_rows: in
     return routed.withColumn(_CELL, cell(F.col("__part"))).drop("__parts", "__part"), placed
 
 
+def _by_listed_keys(queries: DataFrame, base: DataFrame, key: str, route) -> tuple[DataFrame, DataFrame]:
+    """Queries that list their keys go once to every block that one of them leads to, with the keys that
+    do. Only ids and keys are routed; the vectors meet them at the end."""
+    routed, placed = route(queries.select("qid", F.posexplode(key).alias(_PLACE, key)), base)
+    met = routed.groupBy("qid", _CELL).agg(F.sort_array(F.collect_list(F.struct(_PLACE, key))).alias("__met"))
+    lists = met.select("qid", _CELL, *[F.col("__met")[c].alias(c) for c in (key, _PLACE)])
+    return queries.drop(key).join(lists, "qid"), placed
+
+
 def _by_range(queries: DataFrame, base: DataFrame, within: Range, n: int, base_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows lie in bands of the attribute, each of as many blocks as it needs; queries go to the bands
     that their range reaches. The bands are a few rows."""
@@ -413,20 +448,37 @@ def nearest_partial(
     key: str | None = None,
     within: Range | None = None,
     tags: Sequence[str] = (),
+    place: str | None = None,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
     block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Candidate lists ``(qid, tags, id, __key)`` holding at least the k nearest of every query
     row; rows with a null vector, key, attribute or range end never match, nor do vectors with a
     value that is not finite. The base's key column may be a list of distinct keys, under each of
-    which the row stands."""
+    which the row stands.
+
+    The key column of the queries may be such a list too, of queries with ids of their own; a vector is
+    then sent once for all keys. ``place`` names a column for the place (from 1) of the key that
+    led to a row, and asks for the k nearest per place. It is needed if both sides list their keys, as
+    a row could be met under several.
+    """
     ship_package(base.sparkSession)
-    spec = _Spec(k, metric_for(metric), key, within, tuple(tags))
+    spec = _Spec(k, metric_for(metric), key, within, tuple(tags), place)
+    listed = bool(key) and isinstance(queries.schema[key].dataType, T.ArrayType)
+    if place and not listed:
+        raise ValueError("only queries that list their keys have places")
+    if listed and not place and isinstance(base.schema[key].dataType, T.ArrayType):
+        raise ValueError("if both sides list their keys, the place must be asked for")
     asked, held = _filters(spec)
     queries = _present(queries.select(*_query_columns(spec)), asked)
     base = _present(base.select(*_base_columns(spec)), held)
     dim = max(1, _dimension(base))
-    size = queries.count() * dim * 8
+    if listed:
+        # a place has k ids and distances of its own while a task scans
+        counted = queries.agg(F.count("*").alias("n"), F.sum(F.size(key)).alias("keys")).first()
+        size = counted["n"] * dim * 8 + (counted["keys"] or 0) * (16 * k + 16 if place else 16)
+    else:
+        size = queries.count() * dim * 8
     slices = -(-size // broadcast_limit) if broadcast_limit else size
     if slices <= 1:
         return _broadcast_form(queries.toArrow(), queries, base, spec)
@@ -440,7 +492,9 @@ def nearest_partial(
         return found
     rows = max(1, block_values // dim)
 
-    def place(queries: DataFrame, base: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    def spread(queries: DataFrame, base: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        if listed and key in queries.columns and isinstance(queries.schema[key].dataType, T.ArrayType):
+            return _by_listed_keys(queries, base, key, lambda pairs, rows: spread(pairs, rows, n))
         if spec.key and isinstance(base.schema[spec.key].dataType, T.ArrayType):
             return _by_member(queries, base, spec.key, n)
         if spec.key:
@@ -450,8 +504,8 @@ def nearest_partial(
         return _in_all_blocks(queries, base, n)
 
     return _blocked_form(
-        queries, base, place, lambda few: _Queries(few, spec), _partial_schema(queries, spec), rows, k,
-        ["qid", *spec.tags])
+        queries, base, spread, lambda few: _Queries(few, spec), _partial_schema(queries, spec), rows, k,
+        ["qid", *spec.tags, *([place] if place else [])])
 
 
 def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:

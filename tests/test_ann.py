@@ -16,7 +16,7 @@ from nearfield.operators.ann import (
     train_lists,
     write_lists,
 )
-from nearfield.operators.knn import nearest
+from nearfield.operators.knn import nearest, nearest_partial, rank_nearest
 from nearfield.operators.quantize import fit_bounds, nearest_reranked, quantise, with_codes
 from nearfield.operators.reduce import fit_projection, reduce_jointly
 
@@ -167,3 +167,33 @@ def test_projection(data):
     )
     assert collected(nearest(asked, rows.where(F.col("id") >= N // 3), 3)) == expected
     assert fit_projection(b, D).explained_ratio == pytest.approx(1.0)
+
+
+def test_queries_that_list_their_keys(data):
+    """One vector per query, however many keys; in every form, with and without places."""
+    base, queries, b, q = data
+    owner = {x["id"]: x["id"] % 7 for x in base}
+    lists = {x["qid"]: [(x["qid"] * 3 + i * i) % 7 for i in range(3)] for x in queries}
+    lists = {x: list(dict.fromkeys(found)) for x, found in lists.items()}
+    keyed = b.withColumn("key", (F.col("id") % 7).cast("int"))
+    asked = q.withColumn("key", F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (
+        (F.col("qid") * 3 + i * i) % 7).cast("int"))))
+    whole = neighbours(queries, base, 4, passes=lambda x, y: owner[y["id"]] in lists[x["qid"]])
+    places = {
+        (x["qid"], p + 1): neighbours([x], base, 4, passes=lambda _, y: owner[y["id"]] == key)[x["qid"]]
+        for x in queries for p, key in enumerate(lists[x["qid"]])}
+    for sizes in ({}, {"broadcast_limit": 2500}, {"broadcast_limit": 0, "block_values": D * 16}):
+        found = rank_nearest(nearest_partial(asked, keyed, 4, key="key", **sizes), 4, "euclidean")
+        assert collected(found) == whole
+        partial = nearest_partial(asked, keyed, 4, key="key", place="place", **sizes)
+        ranked = rank_nearest(partial, 4, "euclidean", ("qid", "place"))
+        per = {}
+        for r in sorted(ranked.collect(), key=lambda r: r["rank"]):
+            per.setdefault((r["qid"], r["place"]), []).append(r["id"])
+        assert per == places
+    with pytest.raises(ValueError):
+        nearest_partial(q.withColumn("key", F.lit(1)), keyed, 4, key="key", place="place")
+
+
+def test_probe_tables_hold_no_vectors(data, lists):
+    assert probes(data[3], lists[1], 3).columns == ["qid", "list_id", "probe_rank"]
