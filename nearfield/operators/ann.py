@@ -23,7 +23,14 @@ from nearfield.operators.kernels import (
     finite_rows,
     nearest_row,
 )
-from nearfield.operators.knn import nearest, nearest_partial, rank_nearest
+from nearfield.operators.knn import (
+    BLOCK_VALUES,
+    MOST_BUCKETS,
+    nearest,
+    nearest_partial,
+    rank_nearest,
+    stored_by_cell,
+)
 from nearfield.operators.metrics import recall_by_rank
 from nearfield.operators.numbering import number_rows
 from nearfield.session import BROADCAST_LIMIT_BYTES, materialize, ship_package
@@ -69,6 +76,212 @@ def train_lists(
     return _rounds(rows, centroids, iterations, broadcast_limit)
 
 
+# Upper centroids of the tree, at most.
+_MOST_PIVOTS = 1024
+# Values of a slice of lists that a cell's rows are compared with at once, and of sums a task holds.
+_SLICE_VALUES = 2_000_000
+_CELL = "__cell"
+
+
+class _Tree:
+    """Rows and lists in two levels, for lists that are too many to send to every task.
+
+    The upper level is a bounded number of pivots. Every row is placed once with its nearest pivot, in a
+    written table bucketed by cell; a pivot with many rows has many cells. A round then sends each
+    list to the cells that it can be nearest in, and the rows stay where they are. Within ``reach`` of
+    their pivot p no row is nearer to a list c than to p's own nearest list o if
+    d(p, c) > d(p, o) + 2 reach, so nothing else is left out and the assignment is exact.
+
+    A cell has at most ``block_values`` values of rows. Its lists, where the bound leaves out none, are all
+    lists at 8 bytes a value; they are compared slice by slice.
+    """
+
+    def __init__(self, rows: DataFrame, centroids: DataFrame, block_values: int = BLOCK_VALUES):
+        spark = rows.sparkSession
+        ship_package(spark)
+        self.kind = centroids.schema["list_id"].dataType
+        number, dim = centroids.agg(F.count("*"), F.max(F.size("emb"))).first()
+        most = max(1, min(_MOST_PIVOTS, math.isqrt(number), BROADCAST_LIMIT_BYTES // (8 * dim)))
+        drawn = centroids.orderBy(F.xxhash64("list_id"), "list_id").limit(most)
+        self.pivots = spark.sparkContext.broadcast(as_matrix(drawn.select("emb").toArrow()["emb"]))
+        found = rows.select("emb").mapInArrow(self._spread(), "pivot int, n long, reach double")
+        spans = found.groupBy("pivot").agg(F.sum("n").alias("n"), F.max("reach").alias("reach")).collect()
+        size = max(1, block_values // dim)
+        self.parts = {r["pivot"]: -(-r["n"] // size) for r in spans}
+        self.reach = {r["pivot"]: r["reach"] for r in spans if r["pivot"] >= 0}
+        self.columns = rows.schema
+        place, options = self._place(), F.create_map(*[F.lit(x).cast("long") for x in sum(self.parts.items(), ())])
+        placed = rows.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("__pivot", T.LongType())]))
+        part = F.pmod(F.xxhash64("id"), options[F.col("__pivot")]) if self.parts else F.lit(0).cast("long")
+        placed = placed.withColumn(_CELL, F.col("__pivot") * F.lit(1 << 32) + part).drop("__pivot")
+        cells = max(1, sum(self.parts.values()))
+        self.rows = stored_by_cell(placed, max(spark.sparkContext.defaultParallelism, min(MOST_BUCKETS, cells)))
+
+    def _spread(self):
+        shared = self.pivots
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows per pivot, and how far they are from it at most; -1 for rows without a list."""
+            n = np.zeros(len(shared.value) + 1, np.int64)
+            reach = np.zeros(len(n))
+            for batch in batches:
+                owner, gap = _nearest_pivots(batch["emb"], shared.value)
+                n += np.bincount(owner + 1, minlength=len(n))
+                np.maximum.at(reach, owner + 1, gap)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((some - 1).astype(np.int32)), pa.array(n[some]), pa.array(reach[some])],
+                names=["pivot", "n", "reach"])
+
+        return spread
+
+    def _place(self):
+        shared = self.pivots
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                owner, _ = _nearest_pivots(batch["emb"], shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(owner)], names=[*batch.schema.names, "__pivot"])
+
+        return place
+
+    def _routed(self, centroids: DataFrame) -> DataFrame:
+        """``(list_id, emb, cell)``: every list with the cells that hold rows it can be nearest to."""
+        shared, held = self.pivots, sorted(self.reach)
+        reach = np.array([self.reach[p] for p in held])
+        parts = [self.parts[p] for p in held]
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gap = np.full(len(shared.value), np.inf)
+            for batch in batches:
+                if batch.num_rows:
+                    np.minimum(gap, _gaps(as_matrix(batch["emb"]), shared.value).min(axis=0), out=gap)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(gap), dtype=np.int32)), pa.array(gap)], names=["pivot", "gap"])
+
+        found = centroids.select("emb").mapInArrow(least, "pivot int, gap double").groupBy("pivot").agg(
+            F.min("gap").alias("gap")).orderBy("pivot").collect()
+        own = np.array([found[p]["gap"] for p in held])
+        limit = (own + 2 * reach) * (1 + 1e-9) + 1e-300
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows or not held:
+                    continue
+                gaps = _gaps(as_matrix(batch["emb"]), shared.value[held])
+                for at in range(0, batch.num_rows, 256):
+                    near = gaps[at : at + 256] <= limit
+                    cells = [[held[p] * (1 << 32) + part for p in np.flatnonzero(row) for part in range(parts[p])]
+                             for row in near]
+                    some = batch.slice(at, 256)
+                    yield pa.RecordBatch.from_arrays(
+                        [some["list_id"], some["emb"], pa.array(cells, pa.list_(pa.int64()))],
+                        names=["list_id", "emb", "cells"])
+
+        sent = centroids.select("list_id", "emb").mapInArrow(
+            route, T.StructType([*centroids.select("list_id", "emb").schema.fields,
+                                 T.StructField("cells", T.ArrayType(T.LongType()))]))
+        return sent.select("list_id", "emb", F.explode("cells").alias(_CELL))
+
+    def assigned(self, centroids: DataFrame) -> DataFrame:
+        """The rows with ``list_id``."""
+        kind = to_arrow_type(self.kind)
+        schema = T.StructType([*self.columns.fields, T.StructField("list_id", self.kind)])
+
+        def assign(lists: pa.Table, rows: pa.Table) -> pa.Table:
+            number = _nearest_slices(rows["emb"], lists) if lists.num_rows else None
+            column = pa.nulls(rows.num_rows, kind) if number is None else pa.array(number).cast(kind)
+            return rows.drop_columns([_CELL]).append_column("list_id", column)
+
+        return self._routed(centroids).groupBy(_CELL).cogroup(self.rows.groupBy(_CELL)).applyInArrow(assign, schema)
+
+    def sums(self, centroids: DataFrame, schema: str) -> DataFrame:
+        """Per list its rows' sum and number, in several rows."""
+        kind = to_arrow_type(self.kind)
+
+        def add(lists: pa.Table, rows: pa.Table) -> pa.Table:
+            found = [] if not lists.num_rows or not rows.num_rows else list(_add_up(iter([
+                pa.RecordBatch.from_arrays(
+                    [pa.array(_nearest_slices(rows["emb"], lists)).cast(kind), rows["emb"].combine_chunks()],
+                    names=["list_id", "emb"])])))
+            empty = pa.schema([("list_id", kind), ("total", pa.list_(pa.float64())), ("n", pa.int64())])
+            return pa.Table.from_batches(found) if found else empty.empty_table()
+
+        cells = self._routed(centroids).groupBy(_CELL).cogroup(self.rows.groupBy(_CELL)).applyInArrow(add, schema)
+        return cells.mapInArrow(_merge_totals, schema)
+
+
+def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of all pairs, from differences: a product's rounding could leave out a list."""
+    out = np.empty((len(vectors), len(pivots)))
+    for p, pivot in enumerate(pivots):
+        gap = vectors - pivot
+        out[:, p] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def _nearest_pivots(column: pa.Array, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of every row and its distance; -1 and 0 for a vector that is null or not finite."""
+    owner, gap = np.full(len(column), -1, np.int64), np.zeros(len(column))
+    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(rows):
+        matrix = as_matrix(column.take(pa.array(rows)))
+        fine = finite_rows(matrix)
+        rows, matrix = rows[fine], matrix[fine]
+    if len(rows):
+        owner[rows] = nearest_row(VectorBlock(matrix, EUCLIDEAN), VectorBlock(pivots, EUCLIDEAN))
+        far = matrix - pivots[owner[rows]]
+        gap[rows] = np.sqrt(np.einsum("ij,ij->i", far, far))
+    return owner, gap
+
+
+def _nearest_slices(column: pa.ChunkedArray, lists: pa.Table) -> np.ndarray:
+    """The nearest list of every row, ties to the lower number, lists being taken in slices."""
+    lists = lists.sort_by("list_id")
+    numbers, rows = lists["list_id"].to_numpy(), as_matrix(column)
+    step = max(1, _SLICE_VALUES // max(1, rows.shape[1]))
+    block = VectorBlock(rows, EUCLIDEAN)
+    best, gap = np.zeros(len(rows), numbers.dtype), np.full(len(rows), np.inf)
+    for at in range(0, lists.num_rows, step):
+        centres = VectorBlock(as_matrix(lists["emb"].slice(at, step)), EUCLIDEAN)
+        own = nearest_row(block, centres)
+        far = centres.matrix[own] - rows
+        found = np.einsum("ij,ij->i", far, far)
+        nearer = found < gap
+        best[nearer], gap[nearer] = numbers[at + own[nearer]], found[nearer]
+    return best
+
+
+def _merge_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a list from the cells of one task put together, as far as a bounded table reaches."""
+    held, values = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            values += len(batch["total"].flatten())
+        if values > _SLICE_VALUES:
+            held = [_merged(held)]
+            values = len(held[0]["total"].flatten())
+            if values > _SLICE_VALUES // 2:
+                yield held.pop()
+                values = 0
+    if held:
+        yield _merged(held)
+
+
+def _merged(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    lists, owner = np.unique(table["list_id"].to_numpy(), return_inverse=True)
+    order = np.argsort(owner, kind="stable")
+    edges = np.searchsorted(owner[order], np.arange(len(lists)))
+    total = np.add.reduceat(as_matrix(table["total"])[order], edges, axis=0)
+    n = np.add.reduceat(table["n"].to_numpy()[order], edges)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(lists).cast(table["list_id"].type), as_list_column(total, pa.float64()), pa.array(n)],
+        names=["list_id", "total", "n"])
+
+
 def _training_rows(base: DataFrame) -> DataFrame:
     context = base.sparkSession.sparkContext
     fine = F.forall("emb", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
@@ -81,10 +294,13 @@ def _rounds(rows: DataFrame, centroids: DataFrame, iterations: int, broadcast_li
     """Move the centroids to the mean of their rows, ``iterations`` times."""
     ship_package(rows.sparkSession)
     number = centroids.schema["list_id"].dataType.simpleString()
+    schema = f"list_id {number}, total array<double>, n long"
+    tree = None if key or not iterations or _fits(centroids, broadcast_limit) else _Tree(rows, centroids)
     for _ in range(iterations):
-        sums = assign_lists(rows, centroids, broadcast_limit, key).mapInArrow(
-            _add_up, f"list_id {number}, total array<double>, n long"
-        )
+        if tree:
+            sums = tree.sums(centroids, schema)
+        else:
+            sums = assign_lists(rows, centroids, broadcast_limit, key).mapInArrow(_add_up, schema)
         moved = sums.groupBy("list_id").applyInArrow(_average, f"list_id {number}, moved array<double>")
         centroids = _replace_moved(centroids, moved, broadcast_limit)
     return centroids
@@ -168,11 +384,13 @@ def assign_lists(
 ) -> DataFrame:
     """Adds ``list_id``, the nearest centroid, null for a vector that is null or not finite. With
     ``key`` a row's lists are those with its value of that column. Rows stay where they are unless
-    the centroids are too many to send to every task."""
+    the centroids are too many to send to every task; then they are written once by cell."""
     spark = base.sparkSession
     ship_package(spark)
     number = centroids.schema["list_id"].dataType
     own = [key] if key else []
+    if not _fits(centroids, broadcast_limit) and not key:
+        return _Tree(base, centroids).assigned(centroids)
     if not _fits(centroids, broadcast_limit):
         rows = base.select(F.col("id").alias("qid"), "emb", *own)
         lists = centroids.select(F.col("list_id").cast("long").alias("id"), "emb", *own)

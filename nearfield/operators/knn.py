@@ -55,7 +55,7 @@ _PLAN_WAVES = 8
 # Bands of the attribute by which range queries are routed.
 _MOST_BANDS = 64
 # Buckets of a stored base, and the fewest rows worth a block of their own.
-_MOST_BUCKETS = 20_000
+MOST_BUCKETS = 20_000
 _LEAST_ROWS = 4_096
 _CELL = "__cell"
 _PLACE = "__place"
@@ -385,7 +385,7 @@ def _by_range(queries: DataFrame, base: DataFrame, within: Range, n: int, base_r
     return queries.withColumn(_CELL, F.explode(cells)), banded.withColumn(_CELL, cell).drop("__band")
 
 
-def _stored(base: DataFrame, buckets: int) -> DataFrame:
+def stored_by_cell(base: DataFrame, buckets: int) -> DataFrame:
     """The base written once, bucketed by block. The table's name is only needed to tell Spark of the
     buckets; its files lie in the shared folder."""
     spark = base.sparkSession
@@ -410,7 +410,7 @@ def _blocked_form(
     cores = spark.sparkContext.defaultParallelism
     n = _blocks(base.count(), rows, cores)
     routed, placed = place(queries, base, n)
-    stored = _stored(placed, max(cores, min(_MOST_BUCKETS, n)))
+    stored = stored_by_cell(placed, max(cores, min(MOST_BUCKETS, n)))
     waves = -(-queries.count() // (rows * _WAVE_BLOCKS)) or 1
     wave = F.pmod(F.xxhash64("qid", *[c for c in per if c in queries.columns and c != "qid"]), F.lit(waves))
     empty = to_arrow_schema(schema).empty_table()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.arrow import arrow_function
@@ -17,8 +17,11 @@ from nearfield.operators.knn import nearest_partial, rank_nearest
 from nearfield.session import materialize, ship_package
 
 LEVELS = 255
-# Candidate pairs up to which their ids (8 bytes each) are broadcast.
+# Candidate ids up to which they are broadcast (8 bytes each).
 _BROADCAST_CANDIDATES = 2_000_000
+# Words of 64 bits of the filter of more ids than that, 16 MB, and ids a word up to which it is of use.
+_FILTER_WORDS = 1 << 21
+_FILTER_LOAD = 16
 
 
 @dataclass(frozen=True)
@@ -118,16 +121,52 @@ def code_candidates(queries: DataFrame, coded: DataFrame, m: int, bounds: Bounds
     return ranked.withColumn("score", F.col("score") * step)
 
 
+def _bits(number: Column, words: int) -> tuple[Column, Column]:
+    """The word of a number in a Bloom filter, and the bits in it that stand for the number."""
+    draw = F.xxhash64(number)
+    one = F.lit(1).cast("long")
+
+    def bit(at: int) -> Column:  # shiftleft takes its step from a column in SQL only
+        return F.call_function("shiftleft", one, F.shiftrightunsigned(draw, at).bitwiseAND(F.lit(63)).cast("int"))
+
+    word = F.pmod(F.shiftrightunsigned(draw, 20), F.lit(words))
+    return word, bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
+
+
+def bloom_filter(ids: DataFrame, words: int = _FILTER_WORDS) -> DataFrame:
+    """``(__word, __mask)`` of a Bloom filter of distinct ids: at most ``words`` rows, whatever the ids.
+    An id has three bits of one word, so that a lookup is one step."""
+    word, mask = _bits(F.col("id"), words)
+    return ids.select(word.alias("__word"), mask.alias("__own")).groupBy("__word").agg(
+        F.bit_or("__own").alias("__mask"))
+
+
+def may_hold(base: DataFrame, bloom: DataFrame, words: int = _FILTER_WORDS) -> DataFrame:
+    """The rows whose id may be in the filter: all that are, and few others. Rows stay where they are."""
+    word, mask = _bits(F.col("id"), words)
+    met = base.withColumn("__word", word).join(F.broadcast(bloom), "__word")
+    return met.where(F.col("__mask").bitwiseAND(mask) == mask).select(*base.columns)
+
+
+def rows_with(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the base with one of these distinct, written ids."""
+    n = ids.count()
+    if n <= _BROADCAST_CANDIDATES:
+        return base.join(F.broadcast(ids), "id", "left_semi")
+    if n <= _FILTER_LOAD * _FILTER_WORDS:
+        base = may_hold(base, materialize(bloom_filter(ids), "bloom"))
+    return base.join(ids, "id", "left_semi")
+
+
 def rerank(
     candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, metric: str = EUCLIDEAN
 ) -> DataFrame:
     """Exact order of candidate rows: ``(qid, id, rank, score)``. Only candidates meet vectors: their
-    ids, counted first, are sent to the base where they are few, so that only their rows move."""
+    ids, counted first, are sent to the base where they are few, and a Bloom filter of them where
+    they are more, so that only their rows move."""
     found = materialize(candidates.select("qid", "id"), "candidates")
-    ids = found.select("id").distinct()
-    if found.count() <= _BROADCAST_CANDIDATES:
-        ids = F.broadcast(ids)
-    fetched = base.select("id", F.col("emb").alias("__b")).join(ids, "id", "left_semi")
+    ids = materialize(found.select("id").distinct(), "candidate-ids")
+    fetched = rows_with(base.select("id", F.col("emb").alias("__b")), ids)
     pairs = (
         found.join(fetched, "id")
         .join(queries.select("qid", F.col("emb").alias("__q")), "qid")
@@ -138,10 +177,38 @@ def rerank(
     return rank_nearest(keyed.drop("__score"), k, metric).select("qid", "id", "rank", "score")
 
 
+@dataclass(frozen=True)
+class CodeTable:
+    """Written codes ``(id, emb)`` of a base and the bounds they were made with, for many searches."""
+
+    codes: DataFrame
+    bounds: Bounds
+
+
+def write_codes(base: DataFrame, path: str) -> CodeTable:
+    """Make the codes of a base once and store them with their bounds under ``path``."""
+    bounds = fit_bounds(base)
+    limits = list(zip(bounds.low.tolist(), bounds.high.tolist()))
+    rows = base.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(limits)], "dim int, low double, high double")
+    rows.coalesce(1).write.parquet(f"{path}/bounds")
+    with_codes(base.select("id", "emb"), bounds).write.parquet(f"{path}/codes")
+    return read_codes(base.sparkSession, path)
+
+
+def read_codes(spark: SparkSession, path: str) -> CodeTable:
+    rows = spark.read.parquet(f"{path}/bounds").orderBy("dim").collect()
+    bounds = Bounds(np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows]))
+    return CodeTable(spark.read.parquet(f"{path}/codes"), bounds)
+
+
 def nearest_reranked(
-    queries: DataFrame, base: DataFrame, k: int, fetch: int, metric: str = EUCLIDEAN, **sizes: int
+    queries: DataFrame, base: DataFrame, k: int, fetch: int, metric: str = EUCLIDEAN, *,
+    stored: CodeTable | None = None, **sizes: int,
 ) -> DataFrame:
-    """Fetch by code distance, then rank the fetched rows exactly."""
-    bounds = fit_bounds(base)
-    found = code_candidates(queries, with_codes(base, bounds), max(k, fetch), bounds, **sizes)
+    """Fetch by code distance, then rank the fetched rows exactly. With ``stored`` the search reads codes
+    that were written before, else it makes them on the way."""
+    if stored is None:
+        bounds = fit_bounds(base)
+        stored = CodeTable(with_codes(base, bounds), bounds)
+    found = code_candidates(queries, stored.codes, max(k, fetch), stored.bounds, **sizes)
     return rerank(found, queries, base, k, metric)

@@ -29,7 +29,9 @@ from nearfield.operators.quantize import (
     fit_bounds,
     nearest_reranked,
     quantise,
+    read_codes,
     with_codes,
+    write_codes,
 )
 from nearfield.operators.reduce import fit_projection, reduce_jointly
 from nearfield.plans.inputs import BASE_SQL, DIM, QUERIES_SQL, base, knn_oracle, queries, rounded, table
@@ -269,7 +271,7 @@ def reranked_all(spark, sf):
     return rounded(nearest_reranked(asked, rows, K, 10 * K), "score")
 
 
-@query("KN14_reranked", f"""
+_RERANKED_SQL = f"""
 WITH e AS (SELECT vec_id AS id, i, {_X} AS x FROM embeddings, range(1, {DIM + 1}) t(i)),
 lim AS (SELECT min(x) AS lo, max(x) AS hi FROM e),
 c AS (SELECT id, list(greatest(0, least(255, round_even((x - lo) / (hi - lo) * 255, 0))) ORDER BY i)::DOUBLE[{DIM}] AS code
@@ -280,13 +282,26 @@ x AS (SELECT f.qid, f.id, array_distance(q.emb, b.emb) AS d FROM f
       JOIN ({QUERIES_SQL}) q USING (qid) JOIN ({BASE_SQL}) b ON b.id = f.id WHERE f.place <= {2 * K}),
 r AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM x)
 SELECT qid, id, rank, round(d, 6) AS score FROM r WHERE rank <= {K}
-""")
+"""
+
+
+@query("KN14_reranked", _RERANKED_SQL)
 def reranked(spark, sf):
     rows = base(spark, sf).select("id", "emb")
     asked = queries(spark, sf).select("qid", "emb")
     return rounded(nearest_reranked(asked, rows, K, 2 * K), "score")
 
 
+@query("KN14_stored_codes", _RERANKED_SQL)
+def stored_codes(spark, sf):
+    """The same search over codes that are written once and read back with their bounds."""
+    rows = base(spark, sf).select("id", "emb")
+    asked = queries(spark, sf).select("qid", "emb")
+    path = scratch_path(spark, "codes")
+    write_codes(rows, path)
+    return rounded(nearest_reranked(asked, rows, K, 2 * K, stored=read_codes(spark, path)), "score")
+
+
 @query("KN15_hash_search", f"""
 WITH {_VECTORS_SQL},
 d AS (SELECT t, i, ('0x' || substr(md5('1:' || t || ':' || (i - 1)), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1 AS x

@@ -17,7 +17,17 @@ from nearfield.operators.ann import (
     write_lists,
 )
 from nearfield.operators.knn import nearest, nearest_partial, rank_nearest
-from nearfield.operators.quantize import fit_bounds, nearest_reranked, quantise, with_codes
+from nearfield.operators import ann, quantize
+from nearfield.operators.quantize import (
+    bloom_filter,
+    fit_bounds,
+    may_hold,
+    nearest_reranked,
+    quantise,
+    read_codes,
+    with_codes,
+    write_codes,
+)
 from nearfield.operators.reduce import fit_projection, reduce_jointly
 
 N, M, D = 240, 20, 8
@@ -197,3 +207,58 @@ def test_queries_that_list_their_keys(data):
 
 def test_probe_tables_hold_no_vectors(data, lists):
     assert probes(data[3], lists[1], 3).columns == ["qid", "list_id", "probe_rank"]
+
+
+def test_a_filter_of_many_ids_loses_none(spark):
+    base = spark.range(200_000).withColumn("emb", F.lit("x"))
+    ids = spark.range(0, 200_000, 40)
+    found = may_hold(base, bloom_filter(ids, 1024), 1024)
+    assert found.join(ids, "id").count() == 5_000
+    assert found.count() < 12_000  # five ids a word, 15 bits at most: one of 75 others passes
+    assert bloom_filter(ids, 1024).count() <= 1024 and found.columns == ["id", "emb"]
+    assert may_hold(base, bloom_filter(ids.where("id < 0"))).isEmpty()
+
+
+def test_candidates_beyond_the_broadcast_limit(data, monkeypatch, tmp_path, spark):
+    """The same rows by ids, by filter and by a join; the base meets the filter before it is shuffled."""
+    _, _, b, q = data
+    expected = collected(nearest_reranked(q, b, 5, 12))
+    written = write_codes(b, str(tmp_path / "codes"))
+    assert collected(nearest_reranked(q, b, 5, 12, stored=read_codes(spark, str(tmp_path / "codes")))) == expected
+    monkeypatch.setattr(quantize, "_BROADCAST_CANDIDATES", 0)
+    found = nearest_reranked(q, b, 5, 12, stored=written)
+    assert collected(found) == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__mask" in plan
+    monkeypatch.setattr(quantize, "_FILTER_LOAD", 0)
+    assert collected(nearest_reranked(q, b, 5, 12, stored=written)) == expected
+
+
+def test_tree_of_lists(spark, data, monkeypatch):
+    """Rows are placed once and only lists move; cells, slices and bounds change nothing."""
+    base, _, b, _ = data
+    monkeypatch.setattr(ann, "BLOCK_VALUES", D * 30)
+    monkeypatch.setattr(ann, "_SLICE_VALUES", D * 3)
+    rng = np.random.default_rng(5)
+    far = np.float32(rng.normal(size=(4, D))).astype(float) + 100  # a cloud of its own
+    rows = b.unionByName(spark.createDataFrame(
+        [(N + i, p.tolist()) for i, p in enumerate(far)] + [(N + 4, None), (N + 5, [float("inf")] * D)],
+        "id long, emb array<float>"))
+    points = np.array([r["emb"] for r in base] + far.tolist())
+    heads = np.vstack([points[: N // 3 + 12][-14:], points[-2:], points[:1]])  # repeated heads too
+    centres = spark.createDataFrame([(i, h.tolist()) for i, h in enumerate(heads)], "list_id int, emb array<double>")
+    gaps = ((points[:, None] - heads[None]) ** 2).sum(axis=2)
+    tree = ann._Tree(rows, centres, D * 30)
+    assert tree.parts[-1] == 1 and max(tree.parts.values()) > 1
+    routed = tree._routed(centres)
+    assert routed.select("list_id", "__cell").distinct().count() == routed.count()
+    found = assign_lists(rows, centres, broadcast_limit=0)
+    assert found.columns == ["id", "emb", "list_id"]
+    owner = {r["id"]: r["list_id"] for r in found.collect()}
+    assert owner == {**dict(enumerate(gaps.argmin(axis=1).tolist())), N + 4: None, N + 5: None}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    one, two = (
+        {r["list_id"]: r["emb"] for r in train_lists(rows, 20, iterations=3, broadcast_limit=limit).collect()}
+        for limit in (1 << 20, 0))
+    assert one.keys() == two.keys() and all(np.allclose(one[i], two[i]) for i in one)
