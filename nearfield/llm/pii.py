@@ -25,16 +25,24 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Every base match, and every token the field may label, holds one of these.
 _CANDIDATE = "[@0-9]"
 
-LABELS = ("none", *KINDS)
-N_LABELS = len(LABELS)
+# What the field labels: the base kinds, and secrets, which have no base rule.
+SPAN_KINDS = (*KINDS, "secret")
+N_LABELS = 1 + len(SPAN_KINDS)
+# A value that its text calls a secret. It has a digit, as all tokens that may be labelled.
+_SECRET = re.compile(
+    r"""(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)["']?\x20?[=:]\x20?["']?"""
+    r"""((?=[^\s"'0-9]*[0-9])[^\s"']{12,})""")
 ROUNDS = 1000  # at most; a text is done as soon as its messages settle
 SETTLED = 1e-8  # largest change of a log message
 DAMPING = 0.5
 LEAST = 0.5  # probability from which a token is labelled
 FEATURES = 18
+# Features of the signs that rules go by: a plus sign or bracket, a plus sign in front.
+_MARKS = 1 << 1 | 1 << 2 | 1 << 15
+_ALIKE = 4.0  # what is expected of the skip edges before any are seen: tokens of one form agree
 _NEVER = -1e9  # log potential that no number of messages makes up for
 _TOKEN = re.compile(r"\S+")
-_EDGE = "\"'.,;:!?()[]{}<>"
+_EDGE = "\"'.,;:!?()[]{}<>#$%&*=~|`"
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -81,11 +89,16 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def secret_spans(text: str) -> list[Span]:
+    """Values that stand after a name of a secret and a sign of assignment."""
+    return [(m.start(1), len(KINDS), m.end(1)) for m in _SECRET.finditer(text)]
+
+
 @dataclass
 class Graph:
     """The tokens of some texts that may be labelled, and the edges between them.
 
-    ``rule`` is the label that a base span gives a token, 0 if none does. Tokens next to each other
+    ``rule`` is the label that a rule's span gives a token, 0 if none does. Tokens next to each other
     are joined by chain edges. ``skip`` has each token and the next one of the same form in its text,
     ``group`` the group of a token: all tokens of its form in its text, -1 if it has none.
     """
@@ -102,16 +115,17 @@ class Graph:
 
 
 def _form(token: str) -> str | None:
-    """Tokens of one form are similar: case and edge marks don't count, nor do the marks in a number."""
+    """Tokens of one form are similar. Case doesn't count, of an address only the part up to the @, and
+    of a number only its last seven digits: dial codes come and go. Shorter numbers agree by chance."""
     if "@" in token:
-        return token.lower()
-    digits = _digits(token)
-    if len(digits) < 4:
+        return token.lower().split("@")[0] + "@"
+    digits, letters = _digits(token), any(c.isalpha() for c in token)
+    if len(digits) < (4 if letters else 7):
         return None
-    return digits if not any(c.isalpha() for c in token) else token.lower()
+    return token.lower() if letters else digits[-7:]
 
 
-def _features(token: str, before: str | None, after: str | None) -> int:
+def _features(token: str, before: str | None) -> int:
     digits, core = _digits(token), token.strip(_EDGE)
     parts = core.split(".")
     n = len(digits)
@@ -120,7 +134,9 @@ def _features(token: str, before: str | None, after: str | None) -> int:
         any(c.isalpha() for c in core),
         len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts),
         14 <= n <= 19 and luhn(digits), 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19,
-        n >= 20, before is not None, after is not None, before is not None and before.startswith("+"),
+        n >= 20, before is not None and before.startswith("+"),
+        len(core) >= 16 and 0 < n < len(core) and core.isalnum(),
+        len(core) >= 16 and 0 < n < len(core) and all(c in "0123456789abcdef" for c in core.lower()),
     )
     return sum(bit << i for i, bit in enumerate(flags))
 
@@ -136,7 +152,6 @@ def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
         first, last_of, at = len(g.text), {}, 0
         for i, (start, end, place, token) in enumerate(own):
             before = own[i - 1][3] if i and own[i - 1][2] == place - 1 else None
-            after = own[i + 1][3] if i + 1 < len(own) and own[i + 1][2] == place + 1 else None
             core = token.strip(_EDGE) or token
             start += token.find(core)
             end = start + len(core)
@@ -145,7 +160,7 @@ def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
             over = [k for s, k, e in spans[t][at : at + 4] if s < end and e > start]
             node = first + i
             g.text.append(t), g.start.append(start), g.end.append(end), g.place.append(place)
-            g.features.append(_features(token, before, after))
+            g.features.append(_features(token, before))
             g.rule.append(over[0] + 1 if over else 0)
             if before is not None:
                 g.chain.append((node - 1, node))
@@ -247,45 +262,82 @@ class Field:
 
 
 def _counts(g: Graph) -> np.ndarray:
-    """Rows ``(what, a, b, n)``: 0 feature pattern and label, 1 chain and 2 skip edges' labels."""
+    """Rows ``(features, label, front, back, others, n)`` of the tokens, by their rule labels.
+
+    ``front`` and ``back`` are one more than the label of the neighbour there, ``others`` one more than
+    that of the other tokens of its form in its text, 0 if there is none. Every token counts twice,
+    once without the marks that rules go by, as a mention that no rule knows would look. A token
+    without a label whose like has one is not known to be nothing; it is left out.
+    """
     rule = np.array(g.rule, dtype=np.int64)
-    rows = [np.column_stack((np.zeros(len(rule), np.int64), np.array(g.features, np.int64), rule))]
-    for what, edges in ((1, g.chain), (2, g.skip)):
-        pairs = np.array(edges, dtype=np.int64).reshape(-1, 2)
-        rows.append(np.column_stack((np.full(len(pairs), what), rule[pairs[:, 0]], rule[pairs[:, 1]])))
-    found, n = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+    group = np.array(g.group, dtype=np.int64)
+    features = np.array(g.features, dtype=np.int64)
+    front, back, others = (np.zeros(len(rule), np.int64) for _ in range(3))
+    chain = np.array(g.chain, dtype=np.int64).reshape(-1, 2)
+    front[chain[:, 1]] = rule[chain[:, 0]] + 1
+    back[chain[:, 0]] = rule[chain[:, 1]] + 1
+    member = np.flatnonzero(group >= 0)
+    met = np.zeros((group.max(initial=-1) + 1, N_LABELS), np.int64)
+    np.add.at(met, (group[member], rule[member]), 1)
+    rest = met[group[member]]
+    rest[np.arange(len(member)), rule[member]] -= 1
+    some = rest.sum(axis=1) > 0
+    rest[:, 0] = 0  # the label of a rule, if any of them has one
+    others[member[some]] = rest[some].argmax(axis=1) + 1
+    rows = np.column_stack((features, rule, front, back, others))[(rule > 0) | (others < 2)]
+    plain = rows.copy()
+    plain[:, 0] &= ~_MARKS
+    found, n = np.unique(np.concatenate((rows, plain)), axis=0, return_counts=True)
     return np.column_stack((found, n))
 
 
-def _table(rows: np.ndarray) -> np.ndarray:
-    """Log of how much oftener two labels meet than by chance, between -3 and 3."""
-    count = np.full((N_LABELS, N_LABELS), 0.1)
-    np.add.at(count, (rows[:, 1], rows[:, 2]), rows[:, 3])
-    count = count + count.T
-    share = count / count.sum()
-    alone = share.sum(axis=1)
-    return np.clip(np.log(share / np.outer(alone, alone)), -3, 3)
-
-
-def fit(rows: np.ndarray, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Field:
-    """A field from the counts of all texts, piece by piece: a softmax of the features for the
-    tokens, and the labels that meet for each kind of edge. The base rules give the labels."""
-    rows = rows.reshape(-1, 4)
-    tokens = rows[rows[:, 0] == 0]
-    weights = np.zeros((FEATURES + 1, N_LABELS))
-    if len(tokens):
-        x, y = _bits(tokens[:, 1]), np.eye(N_LABELS)[tokens[:, 2]]
-        share = tokens[:, 3] / tokens[:, 3].sum()
-        square = np.zeros_like(weights)
-        for _ in range(steps):
-            z = x @ weights
-            p = np.exp(z - _log_sum(z, axis=1))
-            slope = x.T @ ((p - y) * share[:, None]) + ridge * weights
-            square = 0.9 * square + 0.1 * slope**2
-            weights = weights - rate * 0.2 * slope / (np.sqrt(square) + 1e-6)
-    else:
+def _logits(x: np.ndarray, rows: np.ndarray, field: Field) -> np.ndarray:
+    """Log potentials of a token's labels, given those of the tokens it is joined to."""
+    none = np.zeros((1, N_LABELS))
+    front, back, others = (np.vstack((none, t)) for t in (field.chain, field.chain.T, field.skip))
+    return x @ field.weights + front[rows[:, 2]] + back[rows[:, 3]] + others[rows[:, 4]]
+
+
+def _expected_skip() -> np.ndarray:
+    return _ALIKE * (2 * np.eye(N_LABELS) - 1)
+
+
+def objective(rows: np.ndarray, field: Field, ridge: float) -> float:
+    """Mean pseudo-likelihood of the labels, every token's given those around it, less the ridge for
+    weights that differ from what is expected: nothing, but for skip edges."""
+    z = _logits(_bits(rows[:, 0]), rows, field)
+    own = (z - _log_sum(z, axis=1))[np.arange(len(rows)), rows[:, 1]]
+    size = sum((t**2).sum() for t in (field.weights, field.chain, field.skip - _expected_skip()))
+    return float((own * rows[:, 5]).sum() / rows[:, 5].sum() - ridge / 2 * size)
+
+
+def fit(rows: np.ndarray, steps: int = 600, rate: float = 0.1, ridge: float = 1e-4) -> Field:
+    """The field of greatest :func:`objective` over the counts of all texts: weights of features and
+    tables of both kinds of edges are learned together. Rules give the labels."""
+    rows = rows.reshape(-1, 6)
+    weights, chain, skip = np.zeros((FEATURES + 1, N_LABELS)), np.zeros((N_LABELS, N_LABELS)), _expected_skip()
+    expected = (0, 0, skip.copy())
+    if not len(rows):
         weights[-1, 0] = 5.0
-    return Field(weights, _table(rows[rows[:, 0] == 1]), _table(rows[rows[:, 0] == 2]))
+        return Field(weights, chain, skip)
+    x, y = _bits(rows[:, 0]), np.eye(N_LABELS)[rows[:, 1]]
+    share = rows[:, 5] / rows[:, 5].sum()
+    squares = [np.zeros_like(t) for t in (weights, chain, skip)]
+    for step in range(steps):
+        z = _logits(x, rows, Field(weights, chain, skip))
+        gap = (np.exp(z - _log_sum(z, axis=1)) - y) * share[:, None]
+        around = [np.zeros((N_LABELS + 1, N_LABELS)) for _ in range(3)]
+        for table, column in zip(around, (2, 3, 4)):
+            np.add.at(table, rows[:, column], gap)
+        front, back, others = (table[1:] for table in around)
+        # a skip edge has no direction, so its table is symmetric
+        slopes = (x.T @ gap, front + back.T, (others + others.T) / 2)
+        for t, middle, slope, square in zip((weights, chain, skip), expected, slopes, squares):
+            slope = slope + ridge * (t - middle)
+            square *= 0.9
+            square += 0.1 * slope**2
+            t -= rate * (1 - step / steps) * slope / (np.sqrt(square) + 1e-6)
+    return Field(weights, chain, skip)
 
 
 def added_spans(g: Graph, posterior: np.ndarray) -> list[tuple[int, Span]]:
@@ -305,7 +357,7 @@ def added_spans(g: Graph, posterior: np.ndarray) -> list[tuple[int, Span]]:
 
 
 def _text(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in sorted(spans))
+    return ",".join(f"{SPAN_KINDS[k]}:{i}:{j}" for i, k, j in sorted(spans))
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -315,24 +367,26 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit the field to the base spans of all documents. Tasks count feature patterns and labels, Spark
-    adds the counts up; the driver gets one row per distinct count (bounded by the features)."""
+    """Fit the field to the rules' spans in all documents. Tasks count features and labels of tokens and of
+    those around them, Spark adds the counts up; the driver gets one row per distinct count, which
+    features and labels bound."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [t for t in batch.column(1).to_pylist() if t]
-        rows = _counts(graph(texts, [base_spans(t) for t in texts]))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["what", "a", "b", "n"])
+        rows = _counts(graph(texts, [sorted(base_spans(t) + secret_spans(t)) for t in texts]))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=[*what, "n"])
 
-    counts = by_batch(_candidates(docs, id_col, text_col), each, "what long, a long, b long, n long")
-    rows = counts.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).orderBy("what", "a", "b").toArrow()
+    what = ["features", "label", "front", "back", "others"]
+    counts = by_batch(_candidates(docs, id_col, text_col), each, ", ".join(f"{c} long" for c in [*what, "n"]))
+    rows = counts.groupBy(*what).agg(F.sum("n").alias("n")).orderBy(*what).toArrow()
     return fit(np.column_stack([c.to_numpy() for c in rows.columns]).astype(np.int64))
 
 
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Personal data in every row: ``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)``.
+    """Personal data in every row: ``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans)``.
 
-    The counts and the digest are those of the base rules; ``spans`` has these and the tokens that
-    the field labels, as ``kind:start:end`` in code points. A null or empty text has none; ids may
+    The first counts and the digest are those of the base rules; ``spans`` has these, named secrets and
+    the tokens that the field labels, as ``kind:start:end`` in code points, ``n_spans`` of them. A null or empty text has none; ids may
     be null or repeated; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
@@ -340,8 +394,9 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         base = [base_spans(t) if t else [] for t in texts]
-        spans = [list(s) for s in base]
-        g = graph(texts, base)
+        known = [sorted([*s, *secret_spans(t)]) if t else s for t, s in zip(texts, base)]
+        spans = [list(s) for s in known]
+        g = graph(texts, known)
         if g.text:
             for t, span in added_spans(g, sent.value.posterior(g)):
                 spans[t].append(span)
@@ -352,10 +407,12 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         digests = [sha256(_text(s).encode()).hexdigest() for s in base]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *[pa.array(counts[:, k]) for k in range(len(KINDS))],
-             pa.array(digests, pa.string()), pa.array([_text(s) for s in spans], pa.string())],
-            names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+             pa.array(digests, pa.string()), pa.array([_text(s) for s in spans], pa.string()),
+             pa.array([len(s) for s in spans], pa.int64())],
+            names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"])
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
+              "n_spans long")
     return by_batch(_candidates(docs, id_col, text_col), each, schema)
 
 
