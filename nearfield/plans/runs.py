@@ -25,7 +25,7 @@ from nearfield.functions.names import (
     variant_name,
 )
 from nearfield.operators.profiles import profile_rollup
-from nearfield.operators.numbering import number_rows
+from nearfield.operators.numbering import block_of, number_rows
 from nearfield.operators.runs import (
     curve_blocks,
     curve_lists,
@@ -611,6 +611,10 @@ def results(spark, sf):
     )
 
 
+# Queries a result holds, a multiple of the ten selectivities that they go through, and users a file.
+_RESULT_QUERIES = 1000
+_FILE_USERS = 200
+
 _PER_QUERY_SQL = f"""
 SELECT *, {bucket_sql("(query % 10) / 10.0::DOUBLE", ARXIV_BOUNDS)} AS bucket FROM (
   SELECT upper(event_type) AS run, event_id, value / 1000 AS latency, (event_id % 11) / 10::DOUBLE AS recall,
@@ -627,21 +631,29 @@ FROM (SELECT DISTINCT run FROM p) CROSS JOIN (SELECT unnest([0, 1, 2, 3])::INTEG
 LEFT JOIN r USING (run, bucket) LEFT JOIN x USING (run, bucket)
 """)
 def from_result_files(spark, sf):
-    """From the arrays of result files to recall and throughput per run and selectivity bucket."""
-    events = table(spark, sf, "events").select(
-        "event_type", "user_id", F.struct("event_id", "value").alias("e")
-    )
-    lists = events.groupBy("event_type", "user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    """From the arrays of result files to recall and throughput per run and selectivity bucket.
+
+    A user's events are cut into results of ``_RESULT_QUERIES``, and a file has one such block of
+    ``_FILE_USERS`` users, so that neither grows with the table or with a user.
+    """
+    events = table(spark, sf, "events").select("event_type", "user_id", "event_id", "value")
+    numbered = number_rows(events, ["event_type", "user_id", "event_id"])
+    first = numbered.groupBy("event_type", "user_id").agg(F.min("idx").alias("first"))
+    blocks = numbered.join(first, ["event_type", "user_id"]).select(
+        "event_type", "user_id", block_of(F.col("idx") - F.col("first"), _RESULT_QUERIES).alias("block"),
+        F.struct("event_id", "value").alias("e"),
+    )
+    lists = blocks.groupBy("event_type", "user_id", "block").agg(F.array_sort(F.collect_list("e")).alias("es"))
     metrics = F.struct(
         F.transform("es", lambda e: e["value"] / 1000).alias("serial_latencies"),
         F.transform("es", lambda e: (e["event_id"] % 11) / 10).alias("recalls"),
     )
     task = F.struct(
         F.struct(F.upper("event_type").alias("index")).alias("db_case_config"),
-        F.struct(F.col("user_id").alias("case_id")).alias("case_config"),
+        F.struct((F.col("block") * F.lit(1 << 32) + F.col("user_id")).alias("case_id")).alias("case_config"),
     )
     result = F.struct(metrics.alias("metrics"), task.alias("task_config"))
-    name = F.concat_ws("-", "event_type", F.pmod("user_id", F.lit(20)))
+    name = F.concat_ws("-", "event_type", F.floor(F.col("user_id") / _FILE_USERS), "block")
     path = scratch_path(spark, "query-results")
     lists.select(name.alias("run_id"), result.alias("r")).groupBy("run_id").agg(
         F.collect_list("r").alias("results")

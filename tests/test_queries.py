@@ -3,7 +3,7 @@
 import pytest
 from oracle import connect, differences
 
-from nearfield.plans import catalogue
+from nearfield.plans import catalogue, runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +24,11 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_result_files_of_small_blocks(spark, con, monkeypatch):
+    """However events are cut into results and files, the numbers stay."""
+    monkeypatch.setattr(runs, "_RESULT_QUERIES", 10)
+    monkeypatch.setattr(runs, "_FILE_USERS", 7)
+    name = "AG18_from_result_files"
+    assert differences(catalogue.QUERIES[name](spark, SF), catalogue.ORACLES[name], con) == []
