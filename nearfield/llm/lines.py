@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import textscan
 from nearfield.llm.common import by_batch, id_and_text, materialize
 from nearfield.llm.components import components
+from nearfield.operators.quantize import rows_with
+from nearfield.session import ship_package
 
 MAX_BITS = 3
 SIMILARITY = 0.8
@@ -30,6 +32,12 @@ _MASKS = [a | b for a, b in combinations(_BLOCKS, 2)]
 # and every two cells are one unit of work.
 _CELL = 256
 
+# Postings are dealt to parts by the first bits of their value, so that they need only its last 32
+# bits: 12 bytes each, packed by part, instead of a row each. A task packs about _TAKE lines at a
+# time, a part gets about _PART postings.
+_POST = np.dtype([("low", "<u4"), ("id", "<u8")])
+_TAKE, _PART = 1 << 18, 1 << 17
+
 _LINE = ~textscan.byte_set("\n")
 _NORMAL = np.where(textscan.WORD, textscan.LOWER, 32).astype(np.uint8)
 _NORMAL[48:58] = ord("0")  # numbers differ from page to page: all digits count as one
@@ -41,122 +49,265 @@ def _normalised(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[
     return [b" ".join(raw[i:j].split()) for i, j in zip(starts.tolist(), ends.tolist())]
 
 
-def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
-           n_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per line: a hash of its normalised words, the first bits of its SimHash over them, and how many
-    words there are."""
+# Bit k of a byte as the k-th byte of a number: sums of up to 255 of these count eight bits at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+_AT_ONCE = 255
+
+
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the normalised words of all lines, and the first and the end of each line's."""
     normal = _NORMAL[data]
-    cuts = np.unique(np.concatenate((starts, ends)))
-    offsets = np.concatenate(([0], cuts, [len(data)]))
+    offsets = np.concatenate(([0], np.unique(np.concatenate((starts, ends))), [len(data)]))
     word_starts, word_ends = textscan.spans(normal, np.unique(offsets), textscan.WORD)
     word = textscan.hashes(normal, word_starts, word_ends)
-    first, last = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
+    return word, np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
+
+
+def _keys(word: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     count = last - first
     powers = textscan._power("up", textscan._BASE, int(count.max(initial=0)) + 1)
     place = np.arange(len(word)) - np.repeat(first, count)
     sums = np.zeros(len(word) + 1, dtype=np.uint64)
     np.cumsum(word * powers[place], out=sums[1:])
-    whole = textscan.mix(sums[last] - sums[first] + count.astype(np.uint64))
+    return textscan.mix(sums[last] - sums[first] + count.astype(np.uint64))
+
+
+def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+           n_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per line: a hash of its normalised words, the first bits (a multiple of eight) of its SimHash over
+    them, and how many words there are."""
+    word, first, last = _words(data, starts, ends)
+    whole, count = _keys(word, first, last), last - first
     bits = np.zeros(len(starts), dtype=np.uint64)
     some = np.flatnonzero(count > 0)
-    for i in range(n_bits):
-        ones = np.add.reduceat(((word >> np.uint64(i)) & np.uint64(1)).astype(np.int64), first[some]) if len(some) else []
-        bits[some] |= (np.asarray(ones) * 2 > count[some]).astype(np.uint64) << np.uint64(i)
+    if not len(some):
+        return whole, bits, count
+    pieces = -(-count[some] // _AT_ONCE)
+    at = np.cumsum(pieces) - pieces
+    piece = np.repeat(first[some] - _AT_ONCE * at, pieces) + _AT_ONCE * np.arange(int(pieces.sum()))
+    octets = word.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for i in range(n_bits // 8):
+        sums = np.add.reduceat(_SPREAD[octets[:, i]], piece).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(sums.astype(np.int64), at)
+        byte = np.packbits(ones * 2 > count[some, None], axis=1, bitorder="little")[:, 0]
+        bits[some] |= byte.astype(np.uint64) << np.uint64(8 * i)
     return whole, bits, count
 
 
 def slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: int) -> np.ndarray:
     """Per line that has a word: its value in every MinHash table."""
-    normal = _NORMAL[data]
-    offsets = np.concatenate(([0], np.unique(np.concatenate((starts, ends))), [len(data)]))
-    word_starts, word_ends = textscan.spans(normal, np.unique(offsets), textscan.WORD)
-    word = textscan.hashes(normal, word_starts, word_ends)
-    first, last = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
+    return _slots(*_words(data, starts, ends), tables)
+
+
+def _slots(word: np.ndarray, first: np.ndarray, last: np.ndarray, tables: int) -> np.ndarray:
     first, last = first[last > first], last[last > first]
-    out = np.zeros((len(first), tables), dtype=np.int32)
+    out = np.zeros((len(first), tables), dtype=np.uint64)
     if not len(first):
         return out
     feature = np.append(textscan.grams(word, 2), word[-1:])  # a line's last word has no pair
     alone = last - first == 1
     feature[first[alone]] = word[first[alone]]
     none = last[~alone] - 1
+    feature ^= feature >> np.uint64(29)
+    order = np.empty_like(feature)
     seed = textscan.mix(np.arange(1, tables * _LEAST_HASHES + 1, dtype=np.uint64))
     for t in range(tables):
         value = np.zeros(len(first), dtype=np.uint64)
         for k in range(_LEAST_HASHES):
-            order = (feature ^ (feature >> np.uint64(29))) * (seed[t * _LEAST_HASHES + k] | np.uint64(1))
+            np.multiply(feature, seed[t * _LEAST_HASHES + k] | np.uint64(1), out=order)
             order[none] = np.uint64(0xFFFFFFFFFFFFFFFF)
             value = textscan.mix(value + np.minimum.reduceat(order, first))
-        out[:, t] = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out[:, t] = value
     return out
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 0) -> DataFrame:
-    """``(doc_id, line, key, fp, words, slots)`` for every line that has a word; lines count from 0 within
-    a document and include those without words. ``slots`` are its values in MinHash tables."""
+def _scanned(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of whole texts: their bytes, where lines start and end, and each line's row and number."""
+    data, offsets = textscan.texts(column)
+    for i, j in textscan.runs(offsets):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        starts, ends = textscan.spans(part, at, _LINE)
+        if len(starts):
+            row = np.searchsorted(at, starts, side="right") - 1
+            breaks = np.concatenate(([0], np.cumsum(part == 10)))
+            yield part, starts, ends, row + i, breaks[starts] - breaks[at[row]]
+
+
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, line, key, fp, words)`` for every line that has a word; lines count from 0 within a
+    document and include those without words."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, offsets = textscan.texts(batch.column(1))
-        for i, j in textscan.runs(offsets):
-            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends = textscan.spans(part, at, _LINE)
-            if not len(starts):
-                continue
-            doc = np.searchsorted(at, starts, side="right") - 1
-            breaks = np.concatenate(([0], np.cumsum(part == 10)))
+        for part, starts, ends, row, line in _scanned(batch.column(1)):
             whole, bits, count = prints(part, starts, ends)
             some = count > 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc[some] + i)), pa.array((breaks[starts] - breaks[at[doc]])[some]),
-                 pa.array(whole[some].view(np.int64)), pa.array(bits[some].view(np.int64)),
-                 pa.array(count[some].astype(np.int64)), slot_lists(part, starts, ends)],
-                names=["doc_id", "line", "key", "fp", "words", "slots"])
+                [batch.column(0).take(pa.array(row[some])), pa.array(line[some]), pa.array(whole[some].view(np.int64)),
+                 pa.array(bits[some].view(np.int64)), pa.array(count[some].astype(np.int64))],
+                names=["doc_id", "line", "key", "fp", "words"])
 
-    def slot_lists(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-        found = slots(part, starts, ends, tables)
-        offsets = np.arange(len(found) + 1, dtype=np.int32) * np.int32(tables)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)))
+    return by_batch(id_and_text(docs, id_col, text_col), each, "doc_id long, line long, key long, fp long, words long")
 
-    schema = "doc_id long, line long, key long, fp long, words long, slots array<int>"
-    return by_batch(id_and_text(docs, id_col, text_col), each, schema)
+
+def _posted(df: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]],
+            n: int) -> DataFrame:
+    """Packed postings ``(deal, part, posts)`` of what ``found`` gives of batches: ids, and per id a value in
+    every table; there are about ``n`` ids.
+
+    A part is one table's values of the same first bits, and ``deal`` names what must come together.
+    Of a value that many ids of a task have, only ``_CELL`` are dealt to the part; the others, known to
+    share it, have a negative ``deal`` and go wherever they may.
+    """
+    ship_package(df.sparkSession)
+    bits = max(4, (n // _PART).bit_length())
+
+    def packed(ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, one = np.unique(ids, return_index=True)
+        for t in range(values.shape[1]):
+            value = values[one, t]
+            order = np.argsort(value)
+            value = value[order]
+            posts = np.empty(len(ids), _POST)
+            posts["low"], posts["id"] = value & np.uint64(0xFFFFFFFF), ids[order]
+            starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            few = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids)))) < _CELL
+            cuts = np.searchsorted(value >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            deal, part, held = [], [], []
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                block, fine = posts[cuts[p] : cuts[p + 1]], few[cuts[p] : cuts[p + 1]]
+                for some, name in ((fine, t << bits | p), (~fine, -1 - int(block["id"][0] >> np.uint64(2)))):
+                    if some.any():
+                        deal.append(name)
+                        part.append(t << bits | p)
+                        held.append(block[some].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(deal, pa.int64()), pa.array(part, pa.int64()), pa.array(held, pa.binary())],
+                names=["deal", "part", "posts"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for ids, values in found(batch):
+                held, size = [*held, (ids, values)], size + len(ids)
+                if size >= _TAKE:
+                    yield from packed(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if size:
+            yield from packed(*map(np.concatenate, zip(*held)))
+
+    return df.mapInArrow(each, "deal long, part long, posts binary")
+
+
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one deal, the postings whose value another id has: value (no more than told apart from the
+    table's others) and id in their order, and how many ids have the value."""
+    part, known = table["part"][0].as_py(), table["deal"][0].as_py() < 0
+    if known:
+        blocks = [(p, np.frombuffer(x, _POST)) for p, x in zip(table["part"].to_pylist(), table["posts"].to_pylist())]
+        value = np.concatenate([b["low"].astype(np.int64) | p << 32 for p, b in blocks])
+        return value, np.concatenate([b["id"] for _, b in blocks]), np.full(len(value), _CELL + 1)
+    posts = np.concatenate([np.frombuffer(x, _POST) for x in table["posts"].to_pylist()])
+    posts = posts[np.argsort(posts["low"])]
+    same = posts["low"][1:] == posts["low"][:-1]
+    posts = posts[np.append(False, same) | np.append(same, False)]
+    posts = posts[np.lexsort((posts["id"], posts["low"]))]
+    posts = posts[np.append(True, posts[1:] != posts[:-1])[: len(posts)]]  # several tasks may have met one line
+    low = posts["low"]
+    starts = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)])
+    size = np.diff(np.append(starts, len(low)))
+    size = np.repeat(size, size)
+    return low[size > 1].astype(np.int64) | part << 32, posts["id"][size > 1], size[size > 1]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _near(value: np.ndarray, fp: np.ndarray, choice: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of prints in order of their block, pairs in one block that differ in at most ``MAX_BITS`` bits and
+    agree in no choice of blocks before this one, so that a pair comes once."""
+    found, at = [], np.arange(len(fp) - 1)
+    for step in range(1, len(fp)):
+        at = at[at + step < len(fp)]
+        at = at[value[at] == value[at + step]]
+        if not len(at):
+            break
+        differ = fp[at] ^ fp[at + step]
+        some = np.bitwise_count(differ) <= MAX_BITS
+        near, differ = at[some], differ[some]
+        first = np.argmax([differ & np.uint64(m) == 0 for m in _MASKS], axis=0)
+        near = near[first == choice]
+        found.append((fp[near], fp[near + step]))
+    a, b = map(np.concatenate, zip(*found)) if found else (fp[:0], fp[:0])
+    return a.view(np.int64), b.view(np.int64)
+
+
 def close_prints(distinct: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of keys whose prints ``fp`` differ in at most ``MAX_BITS`` bits, from one
-    row per key. Keys meet in blocks; a block is cut into cells by key, and every two cells of a block
-    are joined on their own, so that no task holds a large block and none is left out."""
-    fp = F.col("fp")
-    slots = F.array(*[
-        F.struct(F.lit(i).cast("tinyint").alias("choice"), fp.bitwiseAND(F.lit(_signed(m))).alias("value"))
-        for i, m in enumerate(_MASKS)])
-    post = distinct.select("key", "fp", F.explode(slots).alias("p")).select("key", "fp", "p.*")
-    size = F.count(F.lit(1)).over(Window.partitionBy("choice", "value"))
-    post = materialize(post.withColumn("members", size).filter("members > 1"), "line-blocks")
+    row per print, which is its key. Prints meet in blocks; a large block is cut into cells by print,
+    and every two cells of it are joined on their own, so that no task holds a large block and none is
+    left out."""
+    n = distinct.count()
+    bits = max(4, (n // _PART).bit_length())
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield fp, np.stack([textscan.mix(fp & np.uint64(m)) for m in _MASKS], axis=1)
+
+    def pairs(table: pa.Table) -> pa.Table:
+        value, fp, size = _met(table)
+        choice, small = value >> (32 + bits), size < _CELL
+        a, b = _near(value[small], fp[small], int(choice[0])) if small.any() else (fp[:0].view(np.int64),) * 2
+        rest = pa.nulls(len(a), pa.int64())
+        return pa.table({
+            "choice": pa.chunked_array([rest, pa.array(choice[~small])]),
+            "value": pa.chunked_array([rest, pa.array(value[~small])]),
+            "a": np.concatenate((a, fp[~small].view(np.int64))),
+            "b": pa.chunked_array([pa.array(b), pa.nulls(int((~small).sum()), pa.int64())])})
+
+    met = _posted(distinct.select("fp"), blocks, n).groupBy("deal").applyInArrow(
+        pairs, "choice long, value long, a long, b long")
+    met = materialize(met, "line-blocks")
+    post = met.filter("b IS NULL").select("choice", "value", F.col("a").alias("fp")).distinct()
+    post = post.join(post.groupBy("value").agg(F.count(F.lit(1)).alias("members")), "value")
     cells = F.ceil(F.col("members") / _CELL).cast("int")
-    cell = F.pmod(F.xxhash64("key"), cells).cast("int")
+    cell = F.pmod(F.xxhash64("fp"), cells).cast("int")
     # a cell meets itself and every other once: the left side is sent to all cells from its own on
-    left = post.select("choice", "value", F.col("key").alias("a"), F.col("fp").alias("fa"), cell.alias("own"),
+    left = post.select("choice", "value", F.col("fp").alias("a"), cell.alias("own"),
                        F.explode(F.sequence(cell, cells - 1)).alias("cell"))
-    right = post.select("choice", "value", F.col("key").alias("b"), F.col("fp").alias("fb"), cell.alias("cell"))
-    met = left.join(right, ["choice", "value", "cell"]).filter(
-        (F.col("own") < F.col("cell")) | (F.col("a") < F.col("b")))
-    differ = F.col("fa").bitwiseXOR(F.col("fb"))
+    right = post.select("value", F.col("fp").alias("b"), cell.alias("cell"))
+    both = left.join(right, ["value", "cell"]).filter((F.col("own") < F.col("cell")) | (F.col("a") < F.col("b")))
+    differ = F.col("a").bitwiseXOR(F.col("b"))
     agreed = F.lit(None).cast("int")
     for i, m in reversed(list(enumerate(_MASKS))):
         agreed = F.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, i).otherwise(agreed)
     # a pair is taken from the first choice under which it agrees, so it comes once
-    near = met.filter(F.bit_count(differ) <= MAX_BITS).filter(agreed == F.col("choice")).filter("a <> b")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = both.filter(F.bit_count(differ) <= MAX_BITS).filter(agreed == F.col("choice")).filter("a <> b")
+    return met.filter("b IS NOT NULL").select("a", "b").union(large.select("a", "b")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def shared_slots(text: DataFrame, tables: int, n: int) -> DataFrame:
+    """``(slot, key)`` of the lines of all texts that share a slot of a MinHash table with another line, of
+    about ``n`` different ones."""
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part, starts, ends, _, _ in _scanned(batch.column(0)):
+            word, first, last = _words(part, starts, ends)
+            yield _keys(word, first, last)[last > first], _slots(word, first, last, tables)
+
+    def members(table: pa.Table) -> pa.Table:
+        slot, key, _ = _met(table)
+        return pa.table({"slot": slot, "key": key.view(np.int64)})
+
+    return _posted(text.select("text"), found, n).groupBy("deal").applyInArrow(members, "slot long, key long").distinct()
 
 
 def _wanted_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``(key, normal)``: the normalised text of chosen lines ``(doc_id, line, key)``, one per key."""
-    some = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("wanted"))
-    read = docs.join(some, "doc_id").select("text", "wanted")
+    some = materialize(places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "key")).alias("wanted")), "places")
+    held = rows_with(docs.withColumnRenamed("doc_id", "id"), some.select(F.col("doc_id").alias("id")))
+    read = held.join(some, held["id"] == some["doc_id"]).select("text", "wanted")
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = textscan.texts(batch.column(0))
@@ -221,93 +372,92 @@ def _alike(pairs: DataFrame, normal: DataFrame, similarity: float) -> DataFrame:
     return materialize(by_batch(met, each, "a long, b long"), "line-links")
 
 
-def similar_lines(nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` between the distinct lines ``(key, fp, first)`` that join all that are similar.
+def similar_lines(nodes: DataFrame, docs: DataFrame, similarity: float, least_words: int,
+                  tables: int) -> DataFrame:
+    """``(node, component)`` of the distinct lines ``(key, fp, words, first)`` that are linked.
 
     Links inside a component that is known already need not be looked at, so pairs are verified in
-    three steps: every line with the first line of its print, and every print's first line with
-    that of the least near print; then first lines of near prints that are still apart; then
-    single lines of near prints that are still apart. What is left out joins nothing new, so the
-    components are those of all pairs, while a group of many copies costs a few pairs per line.
+    three steps: every line with the first line of its print and of its slots, and every print's first
+    line with that of the least near print; then first lines of near prints that are still apart; then
+    single lines of near prints and of slots that are still apart, slots being cut into cells. What is
+    left out joins nothing new, so the components are those of all pairs, while a group of many copies
+    costs a few pairs per line.
     """
-    prints = materialize(nodes.groupBy("fp").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")), "prints")
-    near = materialize(close_prints(prints.select(F.col("fp").alias("key"), "fp")), "near-prints")
+    long = nodes.filter(F.col("words") >= least_words)
+    prints = materialize(long.groupBy("fp").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")), "prints")
+    near = materialize(close_prints(prints.select("fp")), "near-prints")
     met = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp")))
     used = prints.filter("n > 1").select("fp").union(met).distinct()
-    lines = materialize(nodes.join(used, "fp").join(prints.select("fp", "head"), "fp"), "near-lines")
-    normal = materialize(_wanted_texts(docs, lines.select("first.doc_id", "first.line", "key")), "line-texts")
+    place = [F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")]
+    lines = materialize(long.join(used, "fp").join(prints.select("fp", "head"), "fp").select(
+        "key", "fp", "head", *place), "near-lines")
+    places = lines.select("key", "doc_id", "line")
 
     heads = prints.select("fp", "head")
     least = near.groupBy("b").agg(F.min("a").alias("a"))
 
     def of_heads(pairs: DataFrame) -> DataFrame:
         left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in ("a", "b"))
-        return pairs.join(left, "a").join(right, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-
-    stars = lines.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    links = _alike(stars.union(of_heads(least)), normal, similarity)
-
-    def placed(links: DataFrame) -> DataFrame:
-        """Every line with its print and the component it is in so far."""
-        of = components(links)
-        return materialize(lines.join(of, F.col("key") == F.col("node"), "left").select(
-            "key", "fp", F.coalesce("component", "key").alias("part")), "line-parts")
+        return pairs.join(left, "a").join(right, "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
 
-    parts = placed(links)
-    part_of = parts.select("key", "part")
-    apart = of_heads(near).join(part_of.select(F.col("key").alias("a"), F.col("part").alias("pa")), "a").join(
-        part_of.select(F.col("key").alias("b"), F.col("part").alias("pb")), "b").filter("pa <> pb").select("a", "b")
+    first = lines.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).union(of_heads(least))
+    if tables:
+        shared = materialize(shared_slots(docs, tables, nodes.count()), "line-slots")
+        slot_heads = shared.groupBy("slot").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n"))
+        first = first.union(shared.join(slot_heads, "slot").filter("key <> head").select("head", "key"))
+        places = places.union(nodes.join(shared.select("key").distinct(), "key").select("key", *place))
+    normal = materialize(_wanted_texts(docs, places), "line-texts")
+    tried = materialize(first.distinct(), "line-stars")
+    links = _alike(tried, normal, similarity)
+    of = materialize(components(links), "line-parts")
+
+    def part_of(keys: DataFrame) -> DataFrame:
+        return keys.join(of, F.col("key") == F.col("node"), "left").withColumn(
+            "part", F.coalesce("component", "key")).drop("node", "component")
+
+    pairs = of_heads(near)
+    for c in ("a", "b"):
+        pairs = part_of(pairs.withColumn("key", F.col(c))).withColumnRenamed("part", f"p{c}").drop("key")
+    apart = pairs.filter("pa <> pb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     apart = materialize(apart, "heads-apart")
     if not apart.isEmpty():
-        links = links.union(_alike(apart, normal, similarity))
-        parts = placed(links)
+        tried = tried.union(apart)
+        more = _alike(apart, normal, similarity)
+        if not more.isEmpty():
+            links = links.union(more)
+            of = materialize(components(links), "line-parts")
 
     # prints whose lines are not all in one component, alone or together with a near print
+    parts = materialize(part_of(lines.select("key", "fp")), "print-parts")
     span = parts.groupBy("fp").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     every = near.select("a", "b").union(span.filter("low <> high").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
     a, b = (span.select(F.col("fp").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in ("a", "b"))
     mixed = every.join(a, "a").join(b, "b").filter("least(la, lb) <> greatest(ha, hb)").select("a", "b")
     one, two = (parts.select(F.col("fp").alias(c), F.col("key").alias(f"k{c}"), F.col("part").alias(f"p{c}")) for c in ("a", "b"))
-    left = mixed.join(one, "a").join(two, "b").filter("pa <> pb").select(
-        F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    tried = stars.union(of_heads(least)).union(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = materialize(left.distinct().join(tried.distinct(), ["a", "b"], "left_anti"), "lines-apart")
+    left = mixed.join(one, "a").join(two, "b").filter("pa <> pb").select("ka", "kb")
+    if tables:
+        left = left.union(_slots_apart(part_of(shared)))
+    left = left.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+    left = materialize(left.join(tried, ["a", "b"], "left_anti"), "lines-apart")
     if not left.isEmpty():
-        links = links.union(_alike(left, normal, similarity))
-    return links
-
-
-def similar_in_tables(nodes: DataFrame, docs: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """``links`` and those that join all similar lines ``(key, first, slots)`` that share a slot of a table.
-
-    As in ``similar_lines``, every line of a slot is verified with the slot's first line; then every two
-    lines of a slot that are still in different components, slots being cut into cells.
-    """
-    slot = nodes.select("key", F.posexplode("slots").alias("t", "v")).select("key", F.xxhash64("t", "v").alias("slot"))
-    heads = slot.groupBy("slot").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(slot.join(heads, "slot"), "line-slots")
-    used = nodes.select("key", "first").join(shared.select("key").distinct(), "key")
-    normal = materialize(_wanted_texts(docs, used.select("first.doc_id", "first.line", "key")), "slot-texts")
-    stars = materialize(
-        shared.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "slot-stars")
-    links = links.union(_alike(stars, normal, similarity))
-
-    parts = shared.join(components(links), F.col("key") == F.col("node"), "left").select(
-        "slot", "key", "n", F.coalesce("component", "key").alias("part"))
-    parts = materialize(parts, "slot-parts")
-    mixed = parts.groupBy("slot").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-    post = parts.join(mixed.select("slot"), "slot")
+        more = _alike(left, normal, similarity)
+        if not more.isEmpty():
+            of = components(links.union(more))
+    return of
+
+
+def _slots_apart(shared: DataFrame) -> DataFrame:
+    """Pairs ``(ka, kb)`` of lines ``(slot, key, part)`` in one slot and in different parts."""
+    parts = materialize(shared, "slot-parts")
+    mixed = parts.groupBy("slot").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    post = parts.join(mixed.select("slot", "n"), "slot")
     cells = F.ceil(F.col("n") / _CELL).cast("int")
     cell = F.pmod(F.xxhash64("key"), cells).cast("int")
     left = post.select("slot", F.col("key").alias("ka"), F.col("part").alias("pa"), cell.alias("own"),
                        F.explode(F.sequence(cell, cells - 1)).alias("cell"))
     right = post.select("slot", F.col("key").alias("kb"), F.col("part").alias("pb"), cell.alias("cell"))
-    met = left.join(right, ["slot", "cell"]).filter("pa <> pb AND (own < cell OR ka < kb)")
-    apart = met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
-    apart = materialize(apart.join(stars, ["a", "b"], "left_anti"), "slots-apart")
-    if not apart.isEmpty():
-        links = links.union(_alike(apart, normal, similarity))
-    return links
+    return left.join(right, ["slot", "cell"]).filter("pa <> pb AND (own < cell OR ka < kb)").select("ka", "kb")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
@@ -325,17 +475,15 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
     read.
 
     Only distinct lines take part in the blocks, so a line that stands in a third of all documents
-    is one node. Texts are read again for lines in near pairs only.
+    is one node. Texts are scanned again for the slots, and read again for lines in near pairs only.
     """
     text = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    every = materialize(lines(text, tables=tables).distinct(), "lines")
+    every = materialize(lines(text).distinct(), "lines")
     place = F.struct("doc_id", "line")
-    nodes = materialize(every.groupBy("key", "slots").agg(
+    nodes = materialize(every.groupBy("key").agg(
         F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("words").alias("words")), "line-nodes")
-    links = similar_lines(nodes.filter(F.col("words") >= least_words).select("key", "fp", "first"), text, similarity)
-    if tables:
-        links = similar_in_tables(nodes, text, links, similarity)
-    named = nodes.join(components(links), F.col("key") == F.col("node"), "left").select(
+    of = similar_lines(nodes, text, similarity, least_words, tables)
+    named = nodes.join(of, F.col("key") == F.col("node"), "left").select(
         "key", "first", F.coalesce("component", "key").alias("group_id"))
     kept = named.groupBy("group_id").agg(F.min("first").alias("kept"))
     small = named.select(F.col("key").alias("of"), "group_id").join(kept, "group_id")

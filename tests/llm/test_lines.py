@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -142,3 +143,34 @@ def test_changed_words_are_grouped(docs_of):
     kept = [not any(distance(t, texts[j]) <= 0.2 * max(len(t), len(texts[j])) for j in range(i)) for i, t in enumerate(texts)]
     assert rows == dict(enumerate(kept))
     assert [r.n_kept for r in lines.op7_fuzzy_lines(docs_of(texts)).orderBy("doc_id").collect()] == [int(k) for k in kept]
+
+
+def test_scratch_of_unlike_lines(docs_of, spark):
+    """What is written grows by little for a line that nothing resembles: no slots, no row a block."""
+    rng = random.Random(12)
+    texts = ["\n".join(" ".join("".join(rng.choices("abcdefghijklmnop", k=15)) for _ in range(8)) for _ in range(400))
+             for _ in range(20)]
+
+    def written():
+        return sum(f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir")).rglob("part-*.parquet"))
+
+    before = written()
+    assert lines.groups(docs_of(texts), tables=lines.TABLES).filter("keep").count() == 8000
+    assert written() - before < 8000 * 150
+
+
+@pytest.mark.parametrize("cell", [256, 2])
+def test_shared_slots_by_hand(docs_of, monkeypatch, cell):
+    monkeypatch.setattr(lines, "_CELL", cell)
+    texts = [t for t in sample() if t] + ["alpha\nalpha1 beta\nALPHA", ""]
+    held = {}
+    for line in {normal(x) for t in texts for x in t.split("\n")} - {""}:
+        data, _ = textscan.texts(pa.array([line]))
+        values = lines.slots(data, np.array([0]), np.array([len(data)]), lines.TABLES)[0]
+        for slot in enumerate(values.tolist()):
+            held.setdefault(slot, set()).add(print_of(line)[0])
+    wanted = sorted(sorted(keys) for keys in held.values() if len(keys) > 1)
+    found = {}
+    for r in lines.shared_slots(docs_of(texts).repartition(4), lines.TABLES, 100).collect():
+        found.setdefault(r.slot, []).append(r.key)
+    assert sorted(map(sorted, found.values())) == wanted
