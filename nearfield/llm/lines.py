@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import textscan
@@ -33,11 +33,15 @@ _MASKS = [a | b for a, b in combinations(_BLOCKS, 2)]
 _CELL = 256
 
 # Postings are dealt to parts by the first bits of their value, so that they need only its last 32
-# bits: 12 bytes each, packed by part, instead of a row each. A task packs about _TAKE lines at a
-# time, a part gets about _PART postings.
-_POST = np.dtype([("low", "<u4"), ("id", "<u8")])
+# bits: 14 bytes each, packed by part, instead of a row each. A task packs about _TAKE lines at a
+# time, a part gets about _PART postings. ``chars`` is a line's length, 0 if it tells nothing.
+_POST = np.dtype([("low", "<u4"), ("id", "<u8"), ("chars", "<u2")])
 _TAKE, _PART = 1 << 18, 1 << 17
 
+# Edit distances are found for up to _PAIRS pairs of like length at a time, in tables of up to _TABLE
+# numbers; fewer than _FEW pairs for every 64 characters of their lines one by one.
+_PAIRS, _FEW, _TABLE = 2048, 24, 1 << 22
+
 _LINE = ~textscan.byte_set("\n")
 _NORMAL = np.where(textscan.WORD, textscan.LOWER, 32).astype(np.uint8)
 _NORMAL[48:58] = ord("0")  # numbers differ from page to page: all digits count as one
@@ -121,6 +125,27 @@ def _slots(word: np.ndarray, first: np.ndarray, last: np.ndarray, tables: int) -
     return out
 
 
+def _chars(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many characters the normalised lines have."""
+    begins = textscan.WORD[data] & (data & 0xC0 != 0x80)
+    sums = np.concatenate(([0], np.cumsum(begins)))
+    return sums[ends] - sums[starts] + np.maximum(count - 1, 0)
+
+
+def _tag(chars: np.ndarray) -> np.ndarray:
+    return np.where(chars < 1 << 16, chars, 0).astype(np.uint16)
+
+
+def _like_length(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    return (a == 0) | (b == 0) | (np.abs(a - b) <= (1 - similarity) * np.maximum(a, b) + 1e-9)
+
+
+def _of_like_length(a: str, b: str, similarity: float) -> Column:
+    a, b = F.col(a), F.col(b)
+    return (a == 0) | (b == 0) | (F.abs(a - b) <= F.lit(1 - similarity) * F.greatest(a, b) + 1e-9)
+
+
 def _scanned(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of whole texts: their bytes, where lines start and end, and each line's row and number."""
     data, offsets = textscan.texts(column)
@@ -134,8 +159,8 @@ def _scanned(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, line, key, fp, words)`` for every line that has a word; lines count from 0 within a
-    document and include those without words."""
+    """``(doc_id, line, key, fp, words, chars)`` for every line that has a word; lines count from 0 within
+    a document and include those without words."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part, starts, ends, row, line in _scanned(batch.column(1)):
@@ -143,16 +168,18 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             some = count > 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row[some])), pa.array(line[some]), pa.array(whole[some].view(np.int64)),
-                 pa.array(bits[some].view(np.int64)), pa.array(count[some].astype(np.int64))],
-                names=["doc_id", "line", "key", "fp", "words"])
+                 pa.array(bits[some].view(np.int64)), pa.array(count[some].astype(np.int64)),
+                 pa.array(_chars(part, starts, ends, count)[some])],
+                names=["doc_id", "line", "key", "fp", "words", "chars"])
 
-    return by_batch(id_and_text(docs, id_col, text_col), each, "doc_id long, line long, key long, fp long, words long")
+    schema = "doc_id long, line long, key long, fp long, words long, chars long"
+    return by_batch(id_and_text(docs, id_col, text_col), each, schema)
 
 
-def _posted(df: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]],
+def _posted(df: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]],
             n: int) -> DataFrame:
-    """Packed postings ``(deal, part, posts)`` of what ``found`` gives of batches: ids, and per id a value in
-    every table; there are about ``n`` ids.
+    """Packed postings ``(deal, part, posts)`` of what ``found`` gives of batches: ids, their lengths, and
+    per id a value in every table; there are about ``n`` ids.
 
     A part is one table's values of the same first bits, and ``deal`` names what must come together.
     Of a value that many ids of a task have, only ``_CELL`` are dealt to the part; the others, known to
@@ -161,14 +188,14 @@ def _posted(df: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[np.n
     ship_package(df.sparkSession)
     bits = max(4, (n // _PART).bit_length())
 
-    def packed(ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def packed(ids: np.ndarray, chars: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, one = np.unique(ids, return_index=True)
         for t in range(values.shape[1]):
             value = values[one, t]
             order = np.argsort(value)
             value = value[order]
             posts = np.empty(len(ids), _POST)
-            posts["low"], posts["id"] = value & np.uint64(0xFFFFFFFF), ids[order]
+            posts["low"], posts["id"], posts["chars"] = value & np.uint64(0xFFFFFFFF), ids[order], chars[one][order]
             starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
             few = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids)))) < _CELL
             cuts = np.searchsorted(value >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -187,8 +214,8 @@ def _posted(df: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[np.n
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for ids, values in found(batch):
-                held, size = [*held, (ids, values)], size + len(ids)
+            for ids, chars, values in found(batch):
+                held, size = [*held, (ids, chars, values)], size + len(ids)
                 if size >= _TAKE:
                     yield from packed(*map(np.concatenate, zip(*held)))
                     held, size = [], 0
@@ -198,34 +225,39 @@ def _posted(df: DataFrame, found: Callable[[pa.RecordBatch], Iterator[tuple[np.n
     return df.mapInArrow(each, "deal long, part long, posts binary")
 
 
-def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one deal, the postings whose value another id has: value (no more than told apart from the
-    table's others) and id in their order, and how many ids have the value."""
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one deal, the postings whose value another id has: value (with its table and part, so that equal
+    ones meet), id and length in their order, and how many ids have the value."""
     part, known = table["part"][0].as_py(), table["deal"][0].as_py() < 0
     if known:
         blocks = [(p, np.frombuffer(x, _POST)) for p, x in zip(table["part"].to_pylist(), table["posts"].to_pylist())]
         value = np.concatenate([b["low"].astype(np.int64) | p << 32 for p, b in blocks])
-        return value, np.concatenate([b["id"] for _, b in blocks]), np.full(len(value), _CELL + 1)
+        posts = np.concatenate([b for _, b in blocks])
+        return value, posts["id"], posts["chars"], np.full(len(value), _CELL + 1)
     posts = np.concatenate([np.frombuffer(x, _POST) for x in table["posts"].to_pylist()])
     posts = posts[np.argsort(posts["low"])]
     same = posts["low"][1:] == posts["low"][:-1]
     posts = posts[np.append(False, same) | np.append(same, False)]
     posts = posts[np.lexsort((posts["id"], posts["low"]))]
-    posts = posts[np.append(True, posts[1:] != posts[:-1])[: len(posts)]]  # several tasks may have met one line
+    low, ids = posts["low"], posts["id"]
+    other = (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])  # several tasks may have met one line
+    posts = posts[np.append(True, other)[: len(posts)]]
     low = posts["low"]
     starts = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)])
     size = np.diff(np.append(starts, len(low)))
     size = np.repeat(size, size)
-    return low[size > 1].astype(np.int64) | part << 32, posts["id"][size > 1], size[size > 1]
+    posts, low, size = posts[size > 1], low[size > 1], size[size > 1]
+    return low.astype(np.int64) | part << 32, posts["id"], posts["chars"], size
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _near(value: np.ndarray, fp: np.ndarray, choice: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of prints in order of their block, pairs in one block that differ in at most ``MAX_BITS`` bits and
-    agree in no choice of blocks before this one, so that a pair comes once."""
+def _near(value: np.ndarray, fp: np.ndarray, chars: np.ndarray, choice: int,
+          similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of prints in order of their block, pairs in one block that differ in at most ``MAX_BITS`` bits, are
+    of like length and agree in no choice of blocks before this one, so that a pair comes once."""
     found, at = [], np.arange(len(fp) - 1)
     for step in range(1, len(fp)):
         at = at[at + step < len(fp)]
@@ -233,7 +265,7 @@ def _near(value: np.ndarray, fp: np.ndarray, choice: int) -> tuple[np.ndarray, n
         if not len(at):
             break
         differ = fp[at] ^ fp[at + step]
-        some = np.bitwise_count(differ) <= MAX_BITS
+        some = (np.bitwise_count(differ) <= MAX_BITS) & _like_length(chars[at], chars[at + step], similarity)
         near, differ = at[some], differ[some]
         first = np.argmax([differ & np.uint64(m) == 0 for m in _MASKS], axis=0)
         near = near[first == choice]
@@ -242,22 +274,22 @@ def _near(value: np.ndarray, fp: np.ndarray, choice: int) -> tuple[np.ndarray, n
     return a.view(np.int64), b.view(np.int64)
 
 
-def close_prints(distinct: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of keys whose prints ``fp`` differ in at most ``MAX_BITS`` bits, from one
-    row per print, which is its key. Prints meet in blocks; a large block is cut into cells by print,
-    and every two cells of it are joined on their own, so that no task holds a large block and none is
-    left out."""
+def close_prints(distinct: DataFrame, similarity: float = 0.0) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of prints that differ in at most ``MAX_BITS`` bits, from one row ``(fp, chars)``
+    per print. Prints of one line each (``chars`` is its length, else 0) whose lengths rule the
+    similarity out are left out. Prints meet in blocks; a large block is cut into cells by print, and
+    every two cells of it are joined on their own, so that no task holds a large block."""
     n = distinct.count()
     bits = max(4, (n // _PART).bit_length())
 
-    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        yield fp, np.stack([textscan.mix(fp & np.uint64(m)) for m in _MASKS], axis=1)
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        fp, chars = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+        yield fp, _tag(chars), np.stack([textscan.mix(fp & np.uint64(m)) for m in _MASKS], axis=1)
 
     def pairs(table: pa.Table) -> pa.Table:
-        value, fp, size = _met(table)
+        value, fp, chars, size = _met(table)
         choice, small = value >> (32 + bits), size < _CELL
-        a, b = _near(value[small], fp[small], int(choice[0])) if small.any() else (fp[:0].view(np.int64),) * 2
+        a, b = _near(value[small], fp[small], chars[small], int(choice[0]), similarity) if small.any() else (fp[:0].view(np.int64),) * 2
         rest = pa.nulls(len(a), pa.int64())
         return pa.table({
             "choice": pa.chunked_array([rest, pa.array(choice[~small])]),
@@ -265,7 +297,7 @@ def close_prints(distinct: DataFrame) -> DataFrame:
             "a": np.concatenate((a, fp[~small].view(np.int64))),
             "b": pa.chunked_array([pa.array(b), pa.nulls(int((~small).sum()), pa.int64())])})
 
-    met = _posted(distinct.select("fp"), blocks, n).groupBy("deal").applyInArrow(
+    met = _posted(distinct.select("fp", "chars"), blocks, n).groupBy("deal").applyInArrow(
         pairs, "choice long, value long, a long, b long")
     met = materialize(met, "line-blocks")
     post = met.filter("b IS NULL").select("choice", "value", F.col("a").alias("fp")).distinct()
@@ -288,19 +320,22 @@ def close_prints(distinct: DataFrame) -> DataFrame:
 
 
 def shared_slots(text: DataFrame, tables: int, n: int) -> DataFrame:
-    """``(slot, key)`` of the lines of all texts that share a slot of a MinHash table with another line, of
-    about ``n`` different ones."""
+    """``(slot, key, chars)`` of the lines of all texts that share a slot of a MinHash table with another
+    line, of about ``n`` different ones."""
 
-    def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         for part, starts, ends, _, _ in _scanned(batch.column(0)):
             word, first, last = _words(part, starts, ends)
-            yield _keys(word, first, last)[last > first], _slots(word, first, last, tables)
+            some = last > first
+            yield (_keys(word, first, last)[some], _tag(_chars(part, starts, ends, last - first)[some]),
+                   _slots(word, first, last, tables))
 
     def members(table: pa.Table) -> pa.Table:
-        slot, key, _ = _met(table)
-        return pa.table({"slot": slot, "key": key.view(np.int64)})
+        slot, key, chars, _ = _met(table)
+        return pa.table({"slot": slot, "key": key.view(np.int64), "chars": chars.astype(np.int64)})
 
-    return _posted(text.select("text"), found, n).groupBy("deal").applyInArrow(members, "slot long, key long").distinct()
+    return _posted(text.select("text"), found, n).groupBy("deal").applyInArrow(
+        members, "slot long, key long, chars long").distinct()
 
 
 def _wanted_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -357,15 +392,82 @@ def edits(a: str, b: str) -> int:
     return score
 
 
+def _columns(left: list[str], right: list[str]) -> np.ndarray:
+    """Edit distances of pairs, by falling length of ``right``: the steps of ``edits`` on all pairs at once,
+    a column being numbers of 64 rows each."""
+    m, n = (np.array([len(x) for x in side]) for side in (left, right))
+    letter = np.frombuffer("".join(left + right).encode("utf-32-le"), "<u4")
+    used = np.zeros(int(letter.max()) + 1, dtype=np.int64)
+    used[letter] = 1
+    k, pairs, words = int(used.sum()), len(left), int(-(-m.max() // 64))
+    code = (np.cumsum(used) - 1)[letter]
+    if k * pairs * words > _TABLE and pairs > 1:
+        half = pairs // 2
+        return np.concatenate((_columns(left[:half], right[:half]), _columns(left[half:], right[half:])))
+
+    def by_place(length: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((pairs, int(length.max())), dtype=np.int64)
+        out[np.arange(out.shape[1]) < length[:, None]] = codes
+        return np.ascontiguousarray((out + np.arange(pairs)[:, None] * k).T)
+
+    one, top = np.uint64(1), np.uint64(63)
+    places = np.zeros((words, pairs * k), dtype=np.uint64)
+    for i, row in enumerate(by_place(m, code[: m.sum()])):
+        places[i // 64, row[m > i]] |= one << np.uint64(i % 64)
+    up = np.full((words, pairs), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    down = np.zeros((words, pairs), dtype=np.uint64)
+    going = np.searchsorted(-n, -np.arange(int(n.max())), side="left")
+    reach = [int(np.flatnonzero(m > 64 * w)[-1]) + 1 for w in range(words)]  # the pairs with rows in a number
+    for row, going_on in zip(by_place(n, code[m.sum() :]), going.tolist()):
+        above, below = one, np.uint64(0)  # what rises and falls from column to column above a number's rows
+        for w in range(words):
+            c = min(going_on, reach[w])
+            above, below = above[:c] if w else above, below[:c] if w else below
+            same, u, d = places[w].take(row[:c]), up[w, :c], down[w, :c]
+            vertical = same | d
+            same |= below
+            diagonal = (((same & u) + u) ^ u) | same
+            rise = d | ~(diagonal | u)
+            fall = u & diagonal
+            next_above, next_below = rise >> top, fall >> top
+            rise = (rise << one) | above
+            fall = (fall << one) | below
+            up[w, :c] = fall | ~(vertical | rise)
+            down[w, :c] = rise & vertical
+            above, below = next_above, next_below
+    inside = np.clip(m - 64 * np.arange(words)[:, None], 0, 64)
+    mask = np.where(inside > 0, np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - np.maximum(inside, 1)).astype(np.uint64), np.uint64(0))
+    return n + (np.bitwise_count(up & mask).astype(np.int64) - np.bitwise_count(down & mask)).sum(axis=0)
+
+
+def edits_of_pairs(left: list[str], right: list[str]) -> np.ndarray:
+    """The edit distance of every pair."""
+    out = np.zeros(len(left), dtype=np.int64)
+    m, n = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+    rows = np.argsort(-n, kind="stable")
+    at = 0
+    while at < len(rows):
+        to = min(int(np.searchsorted(-n[rows], -0.8 * n[rows[at]], side="right")), at + _PAIRS)
+        some = rows[at:to]
+        if min(m[some].min(), n[some].min()) and len(some) * 64 >= _FEW * m[some].max():
+            out[some] = _columns([left[i] for i in some], [right[i] for i in some])
+        else:
+            out[some] = [edits(left[i], right[i]) for i in some]
+        at = to
+    return out
+
+
 def _alike(pairs: DataFrame, normal: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` of keys whose normalised texts are similar enough."""
     one, two = (normal.select(F.col("key").alias(k), F.col("normal").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fine = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            allowed = (1 - similarity) * max(len(x), len(y)) + 1e-9
-            fine.append(abs(len(x) - len(y)) <= allowed and edits(x, y) <= allowed)
+        left, right = (batch.column(c).to_pylist() for c in (2, 3))
+        size = np.array([[len(x) for x in side] for side in (left, right)])
+        allowed = (1 - similarity) * size.max(axis=0) + 1e-9
+        fine = np.abs(size[0] - size[1]) <= allowed
+        some = np.flatnonzero(fine).tolist()
+        fine[some] = edits_of_pairs([left[i] for i in some], [right[i] for i in some]) <= allowed[some]
         yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
     met = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
@@ -384,28 +486,34 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, similarity: float, least_wo
     costs a few pairs per line.
     """
     long = nodes.filter(F.col("words") >= least_words)
-    prints = materialize(long.groupBy("fp").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")), "prints")
-    near = materialize(close_prints(prints.select("fp")), "near-prints")
-    met = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp")))
-    used = prints.filter("n > 1").select("fp").union(met).distinct()
+    n = F.count(F.lit(1))
+    prints = materialize(long.groupBy("fp").agg(
+        F.min("key").alias("head"), n.alias("n"), F.when(n == 1, F.max("chars")).otherwise(0).alias("chars")), "prints")
+    near = materialize(close_prints(prints, similarity), "near-prints")
+    met = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct().withColumn("met", F.lit(True))
+    used = materialize(prints.join(met.hint("shuffle_hash"), "fp", "left").filter("n > 1 OR met").select("fp", "head"), "used-prints")
     place = [F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")]
-    lines = materialize(long.join(used, "fp").join(prints.select("fp", "head"), "fp").select(
-        "key", "fp", "head", *place), "near-lines")
+    lines = materialize(long.join(used.hint("shuffle_hash"), "fp").select("key", "fp", "head", "chars", *place), "near-lines")
     places = lines.select("key", "doc_id", "line")
 
-    heads = prints.select("fp", "head")
+    heads = lines.filter("key = head").select("fp", "head", "chars")
     least = near.groupBy("b").agg(F.min("a").alias("a"))
+    alike = _of_like_length("ca", "cb", similarity)
 
     def of_heads(pairs: DataFrame) -> DataFrame:
-        left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}")) for c in ("a", "b"))
-        return pairs.join(left, "a").join(right, "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+        left, right = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}"), F.col("chars").alias(f"c{c}"))
+                       for c in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b").filter(alike).select(
+            F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
 
     first = lines.filter("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).union(of_heads(least))
     if tables:
         shared = materialize(shared_slots(docs, tables, nodes.count()), "line-slots")
-        slot_heads = shared.groupBy("slot").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n"))
-        first = first.union(shared.join(slot_heads, "slot").filter("key <> head").select("head", "key"))
-        places = places.union(nodes.join(shared.select("key").distinct(), "key").select("key", *place))
+        slot_heads = shared.groupBy("slot").agg(F.min(F.struct("key", "chars")).alias("head"))
+        first = first.union(shared.withColumnRenamed("chars", "cb").join(
+            slot_heads.select("slot", F.col("head.key").alias("head"), F.col("head.chars").alias("ca")), "slot").filter(
+            "key <> head").filter(alike).select("head", "key"))
+        places = places.union(nodes.join(shared.select("key").distinct().hint("shuffle_hash"), "key").select("key", *place))
     normal = materialize(_wanted_texts(docs, places), "line-texts")
     tried = materialize(first.distinct(), "line-stars")
     links = _alike(tried, normal, similarity)
@@ -428,15 +536,16 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, similarity: float, least_wo
             of = materialize(components(links), "line-parts")
 
     # prints whose lines are not all in one component, alone or together with a near print
-    parts = materialize(part_of(lines.select("key", "fp")), "print-parts")
+    parts = materialize(part_of(lines.select("key", "fp", "chars")), "print-parts")
     span = parts.groupBy("fp").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     every = near.select("a", "b").union(span.filter("low <> high").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
     a, b = (span.select(F.col("fp").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in ("a", "b"))
     mixed = every.join(a, "a").join(b, "b").filter("least(la, lb) <> greatest(ha, hb)").select("a", "b")
-    one, two = (parts.select(F.col("fp").alias(c), F.col("key").alias(f"k{c}"), F.col("part").alias(f"p{c}")) for c in ("a", "b"))
-    left = mixed.join(one, "a").join(two, "b").filter("pa <> pb").select("ka", "kb")
+    one, two = (parts.select(F.col("fp").alias(c), F.col("key").alias(f"k{c}"), F.col("part").alias(f"p{c}"),
+                             F.col("chars").alias(f"c{c}")) for c in ("a", "b"))
+    left = mixed.join(one, "a").join(two, "b").filter("pa <> pb").filter(alike).select("ka", "kb")
     if tables:
-        left = left.union(_slots_apart(part_of(shared)))
+        left = left.union(_slots_apart(part_of(shared), similarity))
     left = left.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     left = materialize(left.join(tried, ["a", "b"], "left_anti"), "lines-apart")
     if not left.isEmpty():
@@ -446,18 +555,19 @@ def similar_lines(nodes: DataFrame, docs: DataFrame, similarity: float, least_wo
     return of
 
 
-def _slots_apart(shared: DataFrame) -> DataFrame:
-    """Pairs ``(ka, kb)`` of lines ``(slot, key, part)`` in one slot and in different parts."""
+def _slots_apart(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(ka, kb)`` of lines ``(slot, key, chars, part)`` of like length in one slot and in different parts."""
     parts = materialize(shared, "slot-parts")
     mixed = parts.groupBy("slot").agg(
         F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
     post = parts.join(mixed.select("slot", "n"), "slot")
     cells = F.ceil(F.col("n") / _CELL).cast("int")
     cell = F.pmod(F.xxhash64("key"), cells).cast("int")
-    left = post.select("slot", F.col("key").alias("ka"), F.col("part").alias("pa"), cell.alias("own"),
+    left = post.select("slot", F.col("key").alias("ka"), F.col("part").alias("pa"), F.col("chars").alias("ca"), cell.alias("own"),
                        F.explode(F.sequence(cell, cells - 1)).alias("cell"))
-    right = post.select("slot", F.col("key").alias("kb"), F.col("part").alias("pb"), cell.alias("cell"))
-    return left.join(right, ["slot", "cell"]).filter("pa <> pb AND (own < cell OR ka < kb)").select("ka", "kb")
+    right = post.select("slot", F.col("key").alias("kb"), F.col("part").alias("pb"), F.col("chars").alias("cb"), cell.alias("cell"))
+    met = left.join(right, ["slot", "cell"]).filter("pa <> pb AND (own < cell OR ka < kb)")
+    return met.filter(_of_like_length("ca", "cb", similarity)).select("ka", "kb")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
@@ -478,16 +588,21 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_i
     is one node. Texts are scanned again for the slots, and read again for lines in near pairs only.
     """
     text = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    every = materialize(lines(text).distinct(), "lines")
+    every = lines(text)
+    if not text.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        every = every.distinct()
+    every = materialize(every, "lines")
     place = F.struct("doc_id", "line")
     nodes = materialize(every.groupBy("key").agg(
-        F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("words").alias("words")), "line-nodes")
+        F.min(place).alias("first"), F.first("fp").alias("fp"), F.first("words").alias("words"),
+        F.first("chars").alias("chars")), "line-nodes")
     of = similar_lines(nodes, text, similarity, least_words, tables)
-    named = nodes.join(of, F.col("key") == F.col("node"), "left").select(
-        "key", "first", F.coalesce("component", "key").alias("group_id"))
-    kept = named.groupBy("group_id").agg(F.min("first").alias("kept"))
-    small = named.select(F.col("key").alias("of"), "group_id").join(kept, "group_id")
-    return every.join(small, F.col("key") == F.col("of")).select(
+    linked = materialize(of.join(nodes.select(F.col("key").alias("node"), "first"), "node"), "linked-lines")
+    kept = linked.groupBy("component").agg(F.min("first").alias("kept"))
+    linked = linked.join(kept, "component").select(F.col("node").alias("key"), "component", "kept")
+    named = nodes.join(linked.hint("shuffle_hash"), "key", "left").select(
+        "key", F.coalesce("component", "key").alias("group_id"), F.coalesce("kept", "first").alias("kept"))
+    return every.join(named, "key").select(
         "doc_id", "line", "words", "group_id", (place == F.col("kept")).alias("keep"))
 
 

@@ -174,3 +174,29 @@ def test_shared_slots_by_hand(docs_of, monkeypatch, cell):
     for r in lines.shared_slots(docs_of(texts).repartition(4), lines.TABLES, 100).collect():
         found.setdefault(r.slot, []).append(r.key)
     assert sorted(map(sorted, found.values())) == wanted
+
+
+def test_edits_of_pairs(monkeypatch):
+    rng = random.Random(10)
+
+    def text(n):
+        return "".join(rng.choice("abcdé ü日") for _ in range(n))
+
+    left = [text(rng.choice([0, 1, 63, 64, 65, 128, rng.randint(1, 300)])) for _ in range(300)]
+    right = ["".join(c for c in a if rng.random() > 0.1) + text(3) if rng.random() < 0.7 else text(90) for a in left]
+    wanted = [lines.edits(a, b) for a, b in zip(left, right)]
+    for few, table in ((24, 1 << 22), (1, 1 << 22), (1, 1 << 10)):
+        monkeypatch.setattr(lines, "_FEW", few)
+        monkeypatch.setattr(lines, "_TABLE", table)
+        assert lines.edits_of_pairs(left, right).tolist() == wanted
+    assert lines.edits_of_pairs([], []).tolist() == []
+
+
+def test_pairs_of_unlike_length_are_not_verified(docs_of):
+    """Equal prints of lines whose lengths rule the similarity out: no pair for every two of them."""
+    words = ["ab", "cd", "ef", "gh", "ij"]
+    rows = lines.lines(docs_of([" ".join(words * k) for k in range(1, 30)] + ["é ü日"]))
+    assert [r.chars for r in rows.orderBy("doc_id").collect()] == [15 * k - 1 for k in range(1, 30)] + [4]
+    one = [(lines._signed(0xFF), 100), (lines._signed(0xFE), 79), (lines._signed(0xFD), 80), (lines._signed(0xFB), 0)]
+    found = lines.close_prints(docs_of([]).sparkSession.createDataFrame(one, "fp long, chars long"), 0.8).collect()
+    assert sorted((r.a, r.b) for r in found) == [(0xFB, 0xFD), (0xFB, 0xFE), (0xFB, 0xFF), (0xFD, 0xFE), (0xFD, 0xFF)]
