@@ -363,16 +363,25 @@ def _wanted_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return by_batch(read, each, "key long, normal string").dropDuplicates(["key"])
 
 
+def _unshared(a: str, b: str) -> tuple[str, str]:
+    """Both texts without what their ends share, found by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        half = (low + high + 1) // 2
+        low, high = (half, high) if a[low:half] == b[low:half] else (low, half - 1)
+    a, b = a[low:], b[low:]
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        half = (low + high + 1) // 2
+        same = a[len(a) - half : len(a) - low] == b[len(b) - half : len(b) - low]
+        low, high = (half, high) if same else (low, half - 1)
+    return a[: len(a) - low], b[: len(b) - low]
+
+
 def edits(a: str, b: str) -> int:
     """Edit distance. What both ends share is left out; the rest takes one step of whole-column bit
     operations per character of ``b``, with a column as one integer."""
-    first, last = 0, 0
-    shorter = min(len(a), len(b))
-    while first < shorter and a[first] == b[first]:
-        first += 1
-    while last < shorter - first and a[-1 - last] == b[-1 - last]:
-        last += 1
-    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    a, b = _unshared(a, b)
     if not a or not b:
         return len(a) + len(b)
     places: dict[str, int] = {}
@@ -443,6 +452,8 @@ def _columns(left: list[str], right: list[str]) -> np.ndarray:
 def edits_of_pairs(left: list[str], right: list[str]) -> np.ndarray:
     """The edit distance of every pair."""
     out = np.zeros(len(left), dtype=np.int64)
+    cut = [_unshared(a, b) for a, b in zip(left, right)]
+    left, right = [a for a, _ in cut], [b for _, b in cut]
     m, n = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
     rows = np.argsort(-n, kind="stable")
     at = 0
