@@ -432,7 +432,8 @@ SELECT {LINE_ID_SQL} AS id, {_format_sql("b", 2)} AS shown, {_format_sql("b", 0)
 FROM (SELECT *, (l_partkey * 1000003 * pow(17, l_linenumber) + l_suppkey)::BIGINT::DOUBLE AS b FROM lineitem)
 """)
 def formatted(spark, sf):
-    size = (F.col("l_partkey") * 1000003 * F.pow(F.lit(17.0), "l_linenumber") + F.col("l_suppkey")).cast("long")
+    """Sizes are doubles, all of them whole numbers: those of many parts are beyond 64 bits."""
+    size = F.col("l_partkey") * 1000003 * F.pow(F.lit(17.0), "l_linenumber") + F.col("l_suppkey")
     return table(spark, sf, "lineitem").select(
         line_id().alias("id"), format_bytes(size).alias("shown"), format_bytes(size, 0).alias("short")
     )
