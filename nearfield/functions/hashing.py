@@ -72,6 +72,11 @@ def _mix32_array(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def replicate_keys(seed: int, replicate: np.ndarray) -> np.ndarray:
+    """:func:`replicate_key` of a whole array."""
+    return _mix32_array((replicate + seed).astype(np.uint32)).astype(np.int64)
+
+
 def drawn_ranks(key: np.ndarray, i: np.ndarray, n: np.ndarray) -> np.ndarray:
     """:func:`replicate_draw` of whole arrays."""
     key, low = key.astype(np.uint32), i.astype(np.uint32)

@@ -1,9 +1,10 @@
 """Bootstrap confidence intervals of a median, or of throughput as 1 / median.
 
-A resample is a set of drawn ranks, so its median is the value at its middle rank; only those
-ranks are ever joined to values. Every draw is generated once, in numpy on Arrow batches, and all
-that is kept of a part of a resample is how many draws lie below a band around the middle, and the
-draws inside it. Such states add up over the parts. A band is some square roots of the resample wide,
+A resample is a set of drawn ranks, so its median is the value at its middle rank. Every draw is
+generated once, in numpy on Arrow batches. A group of at most a chunk of values is resampled by the
+tasks that are sent its values, a part of the replicates each, and leaves one number a replicate. Of
+larger groups only middle ranks are ever joined to values, and all that is kept of a part of a
+resample is how many draws lie below a band around the middle, and the draws inside it. Such states add up over the parts. A band is some square roots of the resample wide,
 so nothing ever holds a whole resample; replicates whose middle lies outside it, which the counts
 show, are drawn again with a wider one.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.hashing import drawn_ranks, replicate_key
+from nearfield.functions.hashing import drawn_ranks, replicate_key, replicate_keys
 from nearfield.operators.quantiles import group_starts, ordered_values, quantiles_of, values_at
 from nearfield.session import materialize, ship_package
 
@@ -38,6 +39,59 @@ def _tasks(starts: DataFrame, replicates: int) -> int:
     return max(cores, min(100_000, total * replicates // _DRAWS_PER_TASK))
 
 
+def _group_middles(values: np.ndarray, replicates: np.ndarray, seed: int, most: int) -> np.ndarray:
+    """The median of every replicate of one group's ordered values, about ``most`` draws at once."""
+    n, found = len(values), np.empty(len(replicates))
+    middles, step = [(n - 1) // 2, n // 2], max(1, most // n)
+    for at in range(0, len(replicates), step):
+        keys = replicate_keys(seed, replicates[at : at + step])
+        ranks = drawn_ranks(keys[:, None], np.arange(n)[None, :], np.array(n))
+        ranks.partition(middles, axis=1)
+        found[at : at + step] = (values[ranks[:, middles[0]]] + values[ranks[:, middles[1]]]) / 2
+    return found
+
+
+def _whole_groups(
+    ordered: DataFrame, starts: DataFrame, groups: Sequence[str], replicates: int, seed: int, tasks: int,
+) -> DataFrame:
+    """``(group_start, replicate, stat)``, the median of every replicate of groups that fit a chunk.
+
+    A part of a group's replicates comes with all its values, so parts are no smaller than a task's draws.
+    """
+    most = _RUN
+    parts = F.ceil(F.col("group_size") * replicates / _DRAWS_PER_TASK).cast("long")
+    last = F.least(parts, F.lit(replicates)) - 1
+    sent = ordered.join(starts, list(groups)).select("group_start", "group_size", "idx", "value").withColumns({
+        "parts": last + 1, "part": F.explode(F.sequence(F.lit(0).cast("long"), last))})
+    sent = sent.repartition(tasks, "group_start", "part").sortWithinPartitions("group_start", "part", "idx")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, wanted = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < max(1, wanted):
+                continue
+            table = pa.Table.from_batches(held)
+            start, size, parts, part, value = (
+                table[c].to_numpy() for c in ("group_start", "group_size", "parts", "part", "value"))
+            at, out = 0, []
+            while at < rows and at + size[at] <= rows:
+                own = np.arange(part[at] * replicates // parts[at], (part[at] + 1) * replicates // parts[at])
+                out.append((start[at], own, _group_middles(value[at : at + size[at]], own, seed, most)))
+                at += size[at]
+            if out:
+                numbers = [np.full(len(own), first) for first, own, _ in out]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (numbers, [own for _, own, _ in out], [m for *_, m in out])],
+                    names=["group_start", "replicate", "stat"])
+            # The last group goes on in the next batch.
+            wanted = size[at] if at < rows else 0
+            held, rows = table.slice(at).to_batches(), rows - at
+
+    return sent.mapInArrow(each, "group_start long, replicate long, stat double")
+
+
 def _runs(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` draws."""
     ends, first = np.cumsum(lengths), 0
@@ -94,7 +148,8 @@ def _middles(replicates: DataFrame, tasks: int) -> DataFrame:
         held = (at >= 0) & (at < F.size("inside"))
         return F.when(held, F.element_at("inside", (at + 1).cast("int")))
 
-    return replicates.join(merged, _ONE).select(
+    # Spark takes replicates for as few as groups, and would broadcast them.
+    return replicates.hint("merge").join(merged, _ONE).select(
         *replicates.columns, rank(F.floor((n - 1) / 2)).alias("low_rank"), rank(middle).alias("high_rank"))
 
 
@@ -126,20 +181,20 @@ def bootstrap_median(
     starts = materialize(group_starts(ordered, names), "groups")
     medians = quantiles_of(ordered, names, {"median": 0.5})
 
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))
-    resampled = starts.where(F.col("group_size") > 1).select(
-        "group_start", "group_size", each.alias("replicate")
-    ).withColumns({
-        "key": replicate_key(seed, F.col("replicate")),
-        "width": F.ceil(F.lit(_BAND) * F.sqrt(F.col("group_size").cast("double"))),
-    })
     ship_package(df.sparkSession)
-    places = _middle_places(resampled, _tasks(starts, replicates))
-    stat = (
-        values_at(ordered, places, "position")
-        .groupBy("group_start", "replicate")
-        .agg(F.avg("value").alias("stat"))
-    )
+    tasks = _tasks(starts, replicates)
+    stat = _whole_groups(
+        ordered, starts.where(F.col("group_size").between(2, _CHUNK)), names, replicates, seed, tasks)
+    large = starts.where(F.col("group_size") > max(1, _CHUNK))
+    if not large.isEmpty():
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))
+        resampled = large.select("group_start", "group_size", each.alias("replicate")).withColumns({
+            "key": replicate_key(seed, F.col("replicate")),
+            "width": F.ceil(F.lit(_BAND) * F.sqrt(F.col("group_size").cast("double"))),
+        })
+        places = _middle_places(resampled, tasks)
+        found = values_at(ordered, places, "position").groupBy(*_ONE).agg(F.avg("value").alias("stat"))
+        stat = stat.unionByName(found)
     if throughput:
         rate = F.when(F.col("stat") > 0, 1 / F.col("stat")).otherwise(F.lit(float("inf")))
         stat = stat.withColumn("stat", rate)

@@ -1,5 +1,7 @@
 """Queries and operators on what only larger tables have."""
 
+from nearfield.operators import bootstrap
+from nearfield.operators.bootstrap import bootstrap_median
 from nearfield.plans.catalogue import QUERIES
 
 
@@ -11,3 +13,25 @@ def test_sizes_beyond_64_bits_are_shown(spark, tmp_path):
     assert {r["id"]: (r["shown"], r["short"]) for r in rows} == {
         17: ("7289.10 PiB", "7289 PiB"), 27: ("43734.61 PiB", "43735 PiB"), 37: ("437346.06 PiB", "437346 PiB"),
         41: ("16.21 MiB", "16 MiB")}
+
+
+def test_resamples_of_many_groups_are_not_broadcast(spark, monkeypatch):
+    """Replicates are many times the groups they come from, which Spark's estimate does not know."""
+    rows = [(i, i % 300, float((i * 7919) % 1013)) for i in range(1500)] + [(1500 + i, 300, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, g long, v double")
+    joins = []
+    plain = bootstrap.materialize
+
+    def seen(table, label):
+        joins.append(table._jdf.queryExecution().executedPlan().toString() if label == "middles" else "")
+        return plain(table, label)
+
+    whole = sorted(bootstrap_median(df, ["g"], "v", "id", replicates=60).collect())
+    monkeypatch.setattr(bootstrap, "materialize", seen)
+    for chunk in (1 << 18, 8):  # all groups where they lie, all but one
+        monkeypatch.setattr(bootstrap, "_CHUNK", chunk)
+        monkeypatch.setattr(bootstrap, "_DRAWS_PER_TASK", 1000)
+        joins.clear()
+        assert sorted(bootstrap_median(df, ["g"], "v", "id", replicates=60).collect()) == whole
+        assert not any("BroadcastHashJoin" in x for x in joins)
+        assert any(joins) == (chunk < 100)
