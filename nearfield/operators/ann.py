@@ -607,3 +607,4 @@ def sweep(
         part = recall_by_rank(ranked, truth, ["quantisation", "n_probe"], k).withColumn("k", F.lit(k))
         results = part if results is None else results.unionByName(part)
     return results
+    truth = materialize(truth, "truth")  # it is read several times for every k
