@@ -553,14 +553,14 @@ def nearest_by_hash(
 ) -> DataFrame:
     """The k nearest rows among those sharing a random-projection bucket with the query.
 
-    Rows and queries list their buckets beside their vectors, which are held once. Buckets leave only
-    the k best per query, so a bucket that holds much of the table is like any other frequent key.
+    Rows and queries list their buckets beside their vectors, which are held once. A pair is compared once,
+    however many buckets it shares, where buckets hold much of the table.
     """
     first = base.select(F.size("emb").alias("d")).where("d >= 0").first()
     directions = hash_directions(first["d"] if first else 0, tables, seed)
     listed = base.select("id", "emb", hash_buckets(F.col("emb"), directions, bucket_length).alias("bucket"))
     asked = queries.select("qid", "emb", hash_buckets(F.col("emb"), directions, bucket_length).alias("bucket"))
-    partial = nearest_partial(asked, listed, k, EUCLIDEAN, key="bucket", place="table", **sizes)
+    partial = nearest_partial(asked, listed, k, EUCLIDEAN, key="bucket", **sizes)
     once = partial.groupBy("qid", "id").agg(F.min("__key").alias("__key"))
     return rank_nearest(once, k, EUCLIDEAN).select("qid", "id", "rank", "score")
 
