@@ -17,6 +17,7 @@ from nearfield.functions.arrow import arrow_function
 from nearfield.functions.hashing import shuffle_key
 from nearfield.operators.kernels import (
     EUCLIDEAN,
+    TopK,
     VectorBlock,
     as_list_column,
     as_matrix,
@@ -24,10 +25,16 @@ from nearfield.operators.kernels import (
     nearest_row,
 )
 from nearfield.operators.knn import (
+    _MOST_WORDS,
     BLOCK_VALUES,
     MOST_BUCKETS,
+    _Queries,
+    _Spec,
+    compared,
+    metric_for,
     nearest,
     nearest_partial,
+    partial_schema,
     rank_nearest,
     stored_by_cell,
 )
@@ -499,15 +506,66 @@ def local_lists(
         centroids.select("block", name, "emb")
 
 
+class _Probing(_Queries):
+    """Queries that find out in a task which lists of a block they probe, so that no table holds their pairs.
+
+    ``heads`` has the numbers and centroids of every block's lists.
+    """
+
+    def __init__(self, table: pa.Table, spec: _Spec, heads: dict, n_probe: int):
+        super().__init__(table, spec)
+        self.heads, self.n_probe = heads, n_probe
+        self.plain = self.block if spec.metric == EUCLIDEAN else VectorBlock(self.block.matrix, EUCLIDEAN)
+
+    def add_block(self, top: TopK, base: VectorBlock, batch) -> None:
+        ids, numbers = batch["id"].to_numpy(), batch["number"].to_numpy()
+        column = batch["block"]
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        every = np.arange(len(self.plain.matrix))
+        for block, part in _by_value(column, batch.num_rows):
+            if block not in self.heads or not len(every):
+                continue
+            lists, centres = self.heads[block]
+            part = part[np.isin(numbers[part], lists)]
+            near = TopK(self.plain, self.n_probe, EUCLIDEAN)
+            near.add(every, centres, lists)
+            who, found, _ = near.rows()
+            probed, held = np.searchsorted(lists, found), np.searchsorted(lists, numbers[part])
+            rows = base.take(part)
+            if len(lists) <= 64 * _MOST_WORDS:
+                marks = [np.zeros((n, -(-len(lists) // 64)), np.uint64) for n in (len(every), len(part))]
+                np.bitwise_or.at(marks[0], (who, probed // 64), np.uint64(1) << (probed % 64).astype(np.uint64))
+                marks[1][np.arange(len(part)), held // 64] = np.uint64(1) << (held % 64).astype(np.uint64)
+                top.add(every, rows, ids[part], marks=marks)
+                continue
+            order = np.argsort(probed, kind="stable")
+            edges = np.searchsorted(probed[order], np.arange(len(lists) + 1))
+            for at in np.unique(held):
+                own = np.flatnonzero(held == at)
+                top.add(np.sort(who[order[edges[at] : edges[at + 1]]]), rows.take(own), ids[part[own]])
+
+
+def _repeats(df: DataFrame, *columns: str) -> bool:
+    return not df.groupBy(*columns).count().where(F.col("count") > 1).isEmpty()
+
+
 def search_local_lists(
     queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int, n_probe: int,
     metric: str = EUCLIDEAN, **sizes: int,
 ) -> DataFrame:
     """The k nearest rows among the ``n_probe`` nearest lists of every block; 0 searches all lists, which
-    is a plain scan."""
+    is a plain scan.
+
+    A query probes lists in every block. Centroids that can be sent to every task are looked up where the
+    block's rows are; only if they cannot, or ids repeat, are the probed lists a table.
+    """
     if not n_probe:
         return nearest(queries, assigned.where(F.col("list_id").isNotNull()), k, metric, **sizes)
     numbered = centroids.withColumn("number", F.split("list_id", ":")[1].cast("long"))
+    limit = sizes.get("broadcast_limit", BROADCAST_LIMIT_BYTES)
+    if _fits(centroids, limit) and not _repeats(centroids, "list_id") and not _repeats(queries, "qid"):
+        partial = _probed_in_tasks(queries, assigned, numbered, k, n_probe, metric, sizes)
+        return rank_nearest(partial, k, metric).select("qid", "id", "rank", "score")
     last = numbered.agg(F.max("block").alias("last")).first()["last"]
     per_block = queries.select("qid", "emb").withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
@@ -523,6 +581,28 @@ def search_local_lists(
     return rank_nearest(partial, k, metric).select("qid", "id", "rank", "score")
 
 
+def _probed_in_tasks(
+    queries: DataFrame, assigned: DataFrame, numbered: DataFrame, k: int, n_probe: int, metric: str, sizes: dict,
+) -> DataFrame:
+    table = numbered.where(F.col("emb").isNotNull()).select("block", "number", "emb").toArrow().sort_by(
+        [("block", "ascending"), ("number", "ascending")]).combine_chunks()
+    heads = {}
+    for block, part in _by_value(table["block"].combine_chunks(), table.num_rows):
+        own = table.take(pa.array(part))
+        matrix = as_matrix(own["emb"])
+        fine = finite_rows(matrix)
+        heads[block] = own["number"].to_numpy()[fine], VectorBlock(matrix[fine], EUCLIDEAN)
+    heads = {block: found for block, found in heads.items() if len(found[0])}
+    name = F.split("list_id", ":")
+    rows = assigned.where(F.col("list_id").isNotNull()).select(
+        "id", "emb", name[0].cast("long").alias("block"), name[1].cast("long").alias("number"))
+    asked = queries.select("qid", "emb").where(F.col("qid").isNotNull())
+    spec = _Spec(k, metric_for(metric), None, None, ())
+    return compared(
+        asked, rows, lambda few: _Probing(few, spec, heads, n_probe), partial_schema(asked, spec), k, order="block",
+        **sizes)
+
+
 def hash_directions(dim: int, tables: int, seed: int) -> np.ndarray:
     """Unit vectors (dim x tables) whose components come from md5, so that any engine can draw them."""
     def component(t: int, i: int) -> float:
@@ -583,6 +663,7 @@ def sweep(
     of the list they came from, so the result for ``n_probe`` is the candidates of rank up to it.
     """
     top = max(ks)
+    truth = materialize(truth, "truth")  # it is read several times for every k
     some = sorted({n for n in n_probes if n})
     asked = materialize(probes(queries, centroids, some[-1], **sizes), "probes") if some else None
     per_setting = None
@@ -607,4 +688,3 @@ def sweep(
         part = recall_by_rank(ranked, truth, ["quantisation", "n_probe"], k).withColumn("k", F.lit(k))
         results = part if results is None else results.unionByName(part)
     return results
-    truth = materialize(truth, "truth")  # it is read several times for every k
