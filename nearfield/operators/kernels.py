@@ -288,9 +288,10 @@ class TopK:
         self.keys[part] = np.take_along_axis(all_keys, order, axis=1)
         self.ids[part] = np.take_along_axis(all_ids, order, axis=1)
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query row, base id and sort key of everything found."""
-        qi, place = np.nonzero(np.isfinite(self.keys))
+    def rows(self, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query row, base id and sort key of everything found, or of what is found for some query rows."""
+        qi, place = np.nonzero(np.isfinite(self.keys[first:last]))
+        qi += first
         return qi, self.ids[qi, place], self.keys[qi, place]
 
 

@@ -48,6 +48,8 @@ BLOCK_VALUES = 8_000_000
 _WAVE_BLOCKS = 4
 # Queries that a task compares with its blocks at once, and words of 64 keys by which they may share one.
 _ASKED = 16_384
+# Query rows whose lists leave a task as one batch.
+_FOUND = 4_096
 _MOST_WORDS = 16
 # Lists of keys and blocks up to this many rows are broadcast (about 32 bytes a row).
 _BROADCAST_KEYS = 1_000_000
@@ -250,8 +252,13 @@ class _Queries:
         else:
             add_in_range(top, rows, self.low, self.high, base, ids, attr)
 
-    def found(self, top: TopK) -> pa.RecordBatch:
-        qi, ids, keys = top.rows()
+    def pieces(self, top: TopK) -> Iterator[pa.RecordBatch]:
+        """What is found, in batches of bounded size."""
+        for first in range(0, len(self.owner), _FOUND):
+            yield self.found(top, first, first + _FOUND)
+
+    def found(self, top: TopK, first: int = 0, last: int | None = None) -> pa.RecordBatch:
+        qi, ids, keys = top.rows(first, last)
         picked = pa.array(qi)
         columns = [labels.take(picked) for labels in self.labels.values()]
         columns += [pa.array(ids, pa.int64()), pa.array(keys, pa.float64())]
@@ -279,12 +286,10 @@ class _ManyFilters:
         for name, part in self.parts.items():
             part.add_block(tops[name], base, batch)
 
-    def found(self, tops: dict[str, TopK]) -> pa.RecordBatch:
-        batches = []
+    def pieces(self, tops: dict[str, TopK]) -> Iterator[pa.RecordBatch]:
         for name, part in self.parts.items():
-            batch = part.found(tops[name])
-            batches.append(batch.add_column(0, _FILTER, pa.array([name] * batch.num_rows, pa.string())))
-        return pa.concat_batches(batches)
+            for batch in part.pieces(tops[name]):
+                yield batch.add_column(0, _FILTER, pa.array([name] * batch.num_rows, pa.string()))
 
 
 def partial_schema(queries: DataFrame, spec: _Spec) -> T.StructType:
@@ -302,7 +307,7 @@ def _scan_with(shared, base: DataFrame, schema: T.StructType) -> DataFrame:
         top = local.collector()
         for batch in batches:
             local.add(top, batch)
-        yield local.found(top)
+        yield from local.pieces(top)
 
     return base.mapInArrow(scan, schema)
 
@@ -483,8 +488,8 @@ def _blocked_form(
             top = asked.collector()
             if many.num_rows:
                 asked.add_block(top, block, many)
-            found.append(asked.found(top))
-        return pa.Table.from_batches(found)
+            found += asked.pieces(top)
+        return pa.Table.from_batches(found) if found else empty
 
     def found(number: int) -> DataFrame:
         asked = routed.where(wave == number).groupBy(_CELL)

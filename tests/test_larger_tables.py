@@ -1,6 +1,7 @@
 """Queries and operators on what only larger tables have."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import collected, neighbours
 from pyspark.sql import functions as F
@@ -183,3 +184,15 @@ def test_waves_are_sized_by_all_lists_of_a_query(spark, monkeypatch):
         _plan(nearest_partial(asked, keyed, 5, key="key", broadcast_limit=0, block_values=4 * 16, **place)).count("FlatMapCoGroupsInArrow")
         for place in ({}, {"place": "place"})]
     assert waves == [3, 15]
+
+
+def test_found_lists_leave_a_task_in_pieces(monkeypatch):
+    """A task that has lists of many queries and places does not make one batch of them."""
+    monkeypatch.setattr(knn, "_FOUND", 4)
+    asked = knn._Queries(pa.table({"qid": list(range(30)), "emb": [[float(i), 1.0] for i in range(30)]}), knn._Spec(
+        3, "euclidean", None, None, ()))
+    top = asked.collector()
+    asked.add(top, pa.record_batch({"id": [5, 6, 7, 8], "emb": [[1.0, 1.0], [9.0, 1.0], [2.0, 2.0], [20.0, 1.0]]}))
+    batches = list(asked.pieces(top))
+    assert [b.num_rows for b in batches] == [12] * 7 + [6]
+    assert pa.Table.from_batches(batches).equals(pa.Table.from_batches([asked.found(top)]))
